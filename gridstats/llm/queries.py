@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstats.llm import licenses, linededup, tokencount, warc
+from gridstats.llm import jaccard, licenses, linededup, tokencount, warc
 from gridstats.llm.shared import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,11 +44,20 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Three words, at least 90 of 100: one block a key is selective enough at this similarity.
+NEAR = jaccard.Spec(words=3, num=90, den=100, spare=0, blocks=1)
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), NEAR).drop("node")
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op3_token_counts": op3_token_counts,
     "op4_line_dedup": op4_line_dedup,
     "op7_warc": op7_warc,
+    "op8_jaccard_join": op8_jaccard_join,
 }
 
 ORACLE: dict[str, str] = {
