@@ -85,13 +85,13 @@ def sketch_keys(values: np.ndarray, spec: Spec, starts: list[int]) -> np.ndarray
 
 
 def shingle_sets(docs: DataFrame, spec: Spec, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, n_shingles, node, elements): elements only on the first row of a node in each task."""
+    """(doc_id, th, n_shingles, node, elements): elements only on the first row of a node in each task; th is the text's hash."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for pdf in batches:
             texts = [b"" if x is None else x.encode("utf-8", "surrogatepass").lower() for x in pdf["text"]]
-            ids = pdf["doc_id"]
+            ids, th = pdf["doc_id"].to_numpy(), pdf["th"].to_numpy()
             for lo, hi in chunks(texts):
                 sizes, sig, values = sets_of(texts[lo:hi], spec.words)
                 nodes = sig.view(np.int64)
@@ -103,11 +103,11 @@ def shingle_sets(docs: DataFrame, spec: Spec, doc_id: str, text: str) -> DataFra
                         elements.append(pack(values[stop[k] - sizes[k] : stop[k]]))
                     else:
                         elements.append(None)
-                yield pd.DataFrame({"doc_id": ids.iloc[lo:hi].to_numpy(), "n_shingles": sizes.astype(np.int64), "node": nodes, "elements": elements})
+                yield pd.DataFrame({"doc_id": ids[lo:hi], "th": th[lo:hi], "n_shingles": sizes.astype(np.int64), "node": nodes, "elements": elements})
 
     # Ids travel as text, so that a null among them changes no value.
-    given = docs.select(F.col(doc_id).cast("long").cast("string").alias("doc_id"), F.col(text).alias("text"))
-    out = given.mapInPandas(run, "doc_id string, n_shingles long, node long, elements binary")
+    given = docs.select(F.col(doc_id).cast("long").cast("string").alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
+    out = given.mapInPandas(run, "doc_id string, th long, n_shingles long, node long, elements binary")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -191,15 +191,29 @@ def link_classes(sets: DataFrame, spec: Spec) -> DataFrame:
     return comps if comps is not None else sets.sparkSession.createDataFrame([], "node long, comp long")
 
 
-def jaccard_components(docs: DataFrame, spec: Spec, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (smallest id linked, itself included), node."""
+def keep_one(docs: DataFrame, spec: Spec, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents without the copies: of each component the smallest id stays (of equal ids the smallest text hash).
+
+    Texts without words stay all; of rows that repeat id and text one stays.
+    """
+    rows = written(jaccard_components(docs, spec, doc_id, text, with_hash=True), "components")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("th").alias("th"))
+    best = rows.where("comp IS NOT NULL").groupBy("comp").agg(F.min(place).alias("best")).select("best.doc_id", "best.th")
+    stay = written(best.union(rows.where("comp IS NULL").select("doc_id", "th").distinct()), "stay").select(
+        F.col("doc_id").alias("_id"), F.col("th").alias("_th")
+    )
+    kept = docs.withColumn("_h", F.xxhash64(F.col(text))).join(stay, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left_semi")
+    return kept.dropDuplicates([doc_id, "_h"]).drop("_h")
+
+
+def jaccard_components(docs: DataFrame, spec: Spec, doc_id: str = "doc_id", text: str = "text", with_hash: bool = False) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id (smallest id linked, itself included); with_hash adds th and comp."""
     sets = written(shingle_sets(docs, spec, doc_id, text), "shingles")
     comps = link_classes(sets, spec)
     least = sets.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = written(least.join(comps, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp")), "classes")
     smallest = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    of = named.join(smallest, "comp").select("node", "component_id")
-    rows = sets.select("doc_id", "n_shingles", "node").withColumn("node", F.when(F.col("n_shingles") > 0, F.col("node")))
-    return rows.join(of, "node", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node"
-    )
+    of = named.join(smallest, "comp").select("node", "comp", "component_id")
+    rows = sets.select("doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
+    out = rows.join(of, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", "component_id", *(["th", "comp"] if with_hash else []))

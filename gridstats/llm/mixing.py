@@ -7,8 +7,8 @@ other, in proportion to their sizes, until one of the two is integral.  The word
 move, so each source ends within one document of its target.
 
 Pairs are formed in parallel in chunks of a source; each chunk leaves one fractional document at
-most.  Those residuals go up a tree of fan-in FAN until each source has one, which is rounded
-at random.  Random numbers come from hashes of the documents: reruns and repartitioning agree.
+most.  Those residuals go up a tree of fan-in FAN until each source has one, which goes to the
+nearer side.  Random numbers come from hashes of the documents: reruns and repartitioning agree.
 
 Size: number of runs of `[^\\x20\\x09-\\x0D]` characters; null text has size 0 and is never taken, nor is
 a source without words (target 0).  A null source is a source, the last.  Repeated rows (id and
@@ -110,7 +110,9 @@ _ROWS = "doc_id string, size long, source_size long, target double, taken long,
 
 def _round(pdf: pd.DataFrame) -> pd.DataFrame:
     """One node of the tree: at most one document keeps a fraction, the others' copies are settled."""
-    pdf = pdf.sort_values(["seed", "doc_id", "size", "nth"], kind="stable", ignore_index=True)
+    # Large documents first, so that what is left over tends to be small.
+    rank = pdf.assign(_class=-np.log2(pdf["size"] + 1).astype(int))
+    pdf = rank.sort_values(["_class", "seed", "doc_id", "size", "nth"], kind="stable", ignore_index=True).drop(columns="_class")
     p = pdf["p"].to_numpy(float).copy()
     seed = pdf["seed"].to_numpy(np.int64).view(np.uint64)
     draw = ((seed * np.uint64(0x9E3779B97F4A7C15) + np.uint64(len(pdf))) >> np.uint64(11)).astype(float) / 2.0**53
@@ -154,9 +156,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         level = written(up.groupBy("sid", "node").applyInPandas(_round, kind), "mixup")
         done.append(level.where("taken >= 0"))
         left, nodes = level.where("taken < 0"), math.ceil(nodes / FAN)
-    # One document a source is left: in with the probability that it still has.
-    coin = F.pmod(F.xxhash64("seed", F.lit(2)), F.lit(1 << 30)) / float(1 << 30) < F.col("p")
-    copies = F.col("copies") + coin.cast("long")
+    # One document a source is left: it goes to the nearer side.
+    copies = F.col("copies") + F.round("p").cast("long")
     done.append(left.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")))
     out = done[0]
     for d in done[1:]:

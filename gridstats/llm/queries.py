@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstats.llm import jaccard, licenses, linededup, mixing, quality, tokencount, warc
+from gridstats.llm import ann, decontam, jaccard, licenses, linededup, mixing, pii, quality, tokencount, warc
 from gridstats.llm.shared import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,17 +59,32 @@ NEAR = jaccard.Spec(words=3, num=90, den=100, spare=0, blocks=1)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), NEAR).drop("node")
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), NEAR)
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
+    "op2_decontamination": op2_decontamination,
     "op3_token_counts": op3_token_counts,
     "op4_line_dedup": op4_line_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op6_quality": op6_quality,
     "op7_warc": op7_warc,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
+    "op10_personal_data": op10_personal_data,
 }
 
 ORACLE: dict[str, str] = {
