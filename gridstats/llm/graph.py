@@ -23,13 +23,12 @@ def components(edges: DataFrame) -> DataFrame:
     labels = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("comp")), "labels")
     for _ in range(ROUNDS):
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("comp").alias("near"))
-        step = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("comp", "near").alias("next"), F.col("comp").alias("old"))
-        step = written(step, "step")
-        up = step.select(F.col("node").alias("up"), F.col("next").alias("top"))
-        jumped = written(
-            step.join(up, F.col("next") == F.col("up"), "left").select("node", F.least("next", F.coalesce("top", "next")).alias("comp"), "old"), "labels"
+        tops = labels.select(F.col("node").alias("up"), F.col("comp").alias("top"))
+        step = written(
+            labels.join(near, F.col("node") == F.col("a")).join(tops, F.least("comp", "near") == F.col("up"), "left")
+            .select("node", F.least("comp", "near", F.coalesce("top", "near")).alias("next"), F.col("comp").alias("old")), "labels",
         )
-        labels = jumped.select("node", "comp")
-        if jumped.where("comp <> old").limit(1).count() == 0:
+        labels = step.select("node", F.col("next").alias("comp"))
+        if step.where("next <> old").limit(1).count() == 0:
             return labels
     raise RuntimeError(f"components still change after {ROUNDS} rounds")

@@ -8,9 +8,9 @@ bits; all choices of its blocks but `spare` are hashed, and one of the hashes is
 
 Equal hashes form buckets.  A bucket is never expanded into pairs: every member is verified
 exactly against one leader, the member found in most buckets.  Two other members can only link
-if their differences from the leader overlap: |A^B| = |dA| + |dB| - 2|dA & dB|.  So members that the
-leader's links have not joined meet again in buckets of the first D+1 elements of dA, those the leader
-lacks first (prefix filter).  This repeats until every bucket lies within one component or is
+if their differences from the leader overlap: |A^B| = |dA| + |dB| - 2|dA & dB|.  So members that
+links have not joined meet again in buckets of the D+1 elements of dA that are rarest among the
+leader's members (prefix filter).  This repeats until every bucket lies within one component or is
 spent.  Nothing is capped: each pair that could link is verified, or is known to be in one component.
 
 Texts with equal sets are one node.  Defined results: null text and text without words have no
@@ -26,7 +26,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridstats.llm.graph import components
@@ -129,35 +129,58 @@ def _buckets(sets: DataFrame, spec: Spec, most: int) -> DataFrame:
     return keyed.join(shared, "key", "left_semi").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
-    """pairs(leader, node, weight) with `linked` and the prefix of the node's difference from the leader."""
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs(leader, node, ...) with the elements of both: own and lead."""
     wanted = pairs.select(F.col("leader").alias("node")).union(pairs.select("node")).distinct()
     have = written(
         sets.where("elements IS NOT NULL").select("node", "elements").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets"
     )
-    both = pairs.join(have.withColumnRenamed("elements", "own"), "node").join(
+    return pairs.join(have.withColumnRenamed("elements", "own"), "node").join(
         have.select(F.col("node").alias("leader"), F.col("elements").alias("lead")), "leader"
     )
 
+
+def _verified(pairs: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
+    """The pairs(leader, node) that link, exactly."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            linked, prefix = [], []
+            linked = []
             for own, lead in zip(pdf["own"], pdf["lead"], strict=True):
                 a, b = unpack(own), unpack(lead)
-                new = a[~np.isin(a, b, assume_unique=True)]
-                common = len(a) - len(new)
+                common = len(np.intersect1d(a, b, assume_unique=True))
                 linked.append(spec.den * common >= spec.num * (len(a) + len(b) - common))
-                k = spec.apart(len(a) + spec.partner(len(a))) + 1
-                if len(new) < k:
-                    new = np.concatenate([new, b[~np.isin(b, a, assume_unique=True)][: k - len(new)]])
-                prefix.append(new[:k].view(np.int64))
-            yield pd.DataFrame({"leader": pdf["leader"], "node": pdf["node"], "weight": pdf["weight"], "linked": linked, "prefix": prefix})
-
-    return both.select("leader", "node", "weight", "own", "lead").mapInPandas(
-        run, "leader long, node long, weight long, linked boolean, prefix array<long>"
+            yield pdf.loc[linked, ["leader", "node"]]
+
+    return _with_sets(pairs, sets).select("leader", "node", "own", "lead").mapInPandas(run, "leader long, node long")
+
+
+def _differences(members: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
+    """One row an element of the difference of node and leader, with the length of prefix that must be indexed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), 256):
+                part = pdf.iloc[lo : lo + 256]
+                sets_ = [(unpack(own), unpack(lead)) for own, lead in zip(part["own"], part["lead"], strict=True)]
+                apart = [np.setxor1d(a, b, assume_unique=True).view(np.int64) for a, b in sets_]
+                n = [len(d) for d in apart]
+                yield pd.DataFrame({
+                    "leader": np.repeat(part["leader"].to_numpy(), n), "node": np.repeat(part["node"].to_numpy(), n),
+                    "weight": np.repeat(part["weight"].to_numpy(), n), "comp": np.repeat(part["comp"].to_numpy(), n), "x": np.concatenate(apart),
+                    "keep": np.repeat([spec.apart(len(a) + spec.partner(len(a))) + 1 for a, _ in sets_], n),
+                })
+
+    return _with_sets(members, sets).select("leader", "node", "weight", "comp", "own", "lead").mapInPandas(
+        run, "leader long, node long, weight long, comp long, x long, keep long"
     )
 
 
+def _open(rows: DataFrame) -> DataFrame:
+    """Keys whose rows lie in more than one component."""
+    return rows.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
+
+
 def link_classes(sets: DataFrame, spec: Spec) -> DataFrame:
     """(node, comp) for nodes with a link; comp is one of the nodes.
 
@@ -169,26 +192,27 @@ def link_classes(sets: DataFrame, spec: Spec) -> DataFrame:
     first = written(_buckets(sets, spec, most), "buckets")
     buckets = first.join(first.groupBy("node").agg(F.count("*").alias("weight")), "node")
     links: DataFrame | None = None
-    comps: DataFrame | None = None
     while True:
         led = buckets.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
-        pairs = written(buckets.join(led, "key").where("node <> leader").select("leader", "node", "weight").distinct(), "pairs")
-        if pairs.limit(1).count() == 0:
-            break
-        found = written(_verified(pairs, sets, spec), "verified")
-        new = found.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+        members = written(buckets.join(led, "key").where("node <> leader"), "members")
+        new = _verified(members.select("leader", "node").distinct(), sets, spec).select(F.col("leader").alias("a"), F.col("node").alias("b"))
         links = written(new if links is None else links.union(new), "links")
         comps = written(components(links), "comps")
-        tagged = found.join(comps, "node", "left").select("leader", "node", "weight", "prefix", F.coalesce("comp", "node").alias("comp"))
-        split = tagged.groupBy("leader").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("leader")
-        elements = written(
-            tagged.join(split, "leader", "left_semi").select("leader", "node", "weight", "comp", F.explode("prefix").alias("x"))
-            .select(F.xxhash64("leader", "x").alias("key"), "node", "weight", "comp"),
-            "prefixes",
+        tagged = written(members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "tagged")
+        still = written(
+            tagged.join(_open(tagged), "key", "left_semi").select("leader", "node", "weight", "comp").distinct(), "still"
+        )
+        if still.limit(1).count() == 0:
+            return comps
+        apart = written(_differences(still, sets, spec), "apart")
+        often = apart.groupBy("leader", "x").agg(F.count("*").alias("often")).withColumnsRenamed({"leader": "_l", "x": "_x"})
+        rarest = Window.partitionBy("leader", "node").orderBy("often", "x")
+        prefix = written(
+            apart.join(often, (F.col("leader") == F.col("_l")) & (F.col("x") == F.col("_x")))
+            .withColumn("place", F.row_number().over(rarest)).where("place <= keep AND often > 1")
+            .select(F.xxhash64("leader", "x").alias("key"), "node", "weight", "comp"), "prefixes",
         )
-        again = elements.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
-        buckets = written(elements.join(again, "key", "left_semi").select("key", "node", "weight"), "buckets")
-    return comps if comps is not None else sets.sparkSession.createDataFrame([], "node long, comp long")
+        buckets = written(prefix.join(_open(prefix), "key", "left_semi").select("key", "node", "weight"), "buckets")
 
 
 def keep_one(docs: DataFrame, spec: Spec, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
