@@ -6,8 +6,8 @@ A shingle flips one bit of a sketch of 64-bit blocks, so the Hamming distance of
 their sets' difference, and by the pigeonhole principle some group of blocks differs in at most `spare`
 bits; all choices of its blocks but `spare` are hashed, and one of the hashes is equal.
 
-Equal hashes form buckets.  A bucket is never expanded into pairs: every member is verified
-exactly against one leader, the member found in most buckets.  Two other members can only link
+Equal hashes form buckets.  A bucket is not expanded into pairs: every member is verified
+exactly against a leader, the member found in most buckets.  Two other members can only link
 if their differences from the leader overlap: |A^B| = |dA| + |dB| - 2|dA & dB|.  So members that
 links have not joined meet again in buckets of the D+1 elements of dA that are rarest among the
 leader's members (prefix filter).  This repeats until every bucket lies within one component or is
@@ -34,6 +34,10 @@ from gridstats.llm.shared import written
 from gridstats.llm.shingles import U, chunks, mix, pack, sets_of, unpack
 
 
+#: Leaders of a bucket at each level are so many times those at the level before.
+FEW = 6
+
+
 @dataclass(frozen=True)
 class Spec:
     """words a shingle; similarity num/den; bits by which a group of blocks may differ, blocks a group."""
@@ -122,7 +126,7 @@ def _buckets(sets: DataFrame, spec: Spec, most: int) -> DataFrame:
                 keys = [sketch_keys(unpack(e), spec, starts) for e in part["elements"]]
                 yield pd.DataFrame({"key": np.concatenate(keys), "node": np.repeat(part["node"].to_numpy(), [len(k) for k in keys])})
 
-    keyed = sets.where("elements IS NOT NULL").select("node", "elements").mapInPandas(run, "key long, node long")
+    keyed = sets.where("elements IS NOT NULL").select("node", "elements").mapInPandas(run, "key long, node long").where("key IS NOT NULL")
     parts = max(12, sets.sparkSession.sparkContext.defaultParallelism, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keyed = keyed.repartition(parts, "key")  # one exchange, for the count and for the rows
     shared = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")
@@ -184,24 +188,39 @@ def _open(rows: DataFrame) -> DataFrame:
 def link_classes(sets: DataFrame, spec: Spec) -> DataFrame:
     """(node, comp) for nodes with a link; comp is one of the nodes.
 
-    The order of leaders is fixed once: by buckets, then node.  Members of a leader come after it, so the
-    leaders of buckets within buckets descend and the loop ends; two nodes that stay
-    together meet in the end with one of them as the leader.
+    The order of leaders is fixed once: by buckets, then node.  A bucket's first leaders (FEW to the power of the
+    level) are verified against the members after them that lie in other components.  The rest of a bucket
+    meets again by its difference from the first leader, which comes before all of them; so leaders of buckets
+    within buckets descend, more of them lead at each level, and two nodes that stay together meet in the end.
     """
     most = sets.agg(F.max("n_shingles")).first()[0] or 0
     first = written(_buckets(sets, spec, most), "buckets")
-    buckets = first.join(first.groupBy("node").agg(F.count("*").alias("weight")), "node")
+    buckets = written(
+        first.join(first.groupBy("node").agg(F.count("*").alias("weight")), "node").withColumn("comp", F.col("node")), "weighted"
+    )
     links: DataFrame | None = None
+    level = 0
     while True:
-        led = buckets.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
-        members = written(buckets.join(led, "key").where("node <> leader"), "members")
-        new = _verified(members.select("leader", "node").distinct(), sets, spec).select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        links = written(new if links is None else links.union(new), "links")
-        comps = written(components(links), "comps")
-        tagged = written(members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "tagged")
-        still = written(
-            tagged.join(_open(tagged), "key", "left_semi").select("leader", "node", "weight", "comp").distinct(), "still"
+        ranked = Window.partitionBy("key").orderBy(F.desc("weight"), F.desc("node"))
+        leads = written(
+            buckets.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= FEW**level)
+            .select("key", F.col("node").alias("leader"), F.col("weight").alias("lead_weight"), F.col("comp").alias("lead_comp"), "place"), "leaders",
+        )
+        after = (F.col("weight") < F.col("lead_weight")) | ((F.col("weight") == F.col("lead_weight")) & (F.col("node") < F.col("leader")))
+        met = buckets.join(leads, "key").where(after)
+        new = _verified(met.where("comp <> lead_comp").select("leader", "node").distinct(), sets, spec).select(
+            F.col("leader").alias("a"), F.col("node").alias("b")
         )
+        links = written(new if links is None else links.union(new), f"links{level}")
+        comps = written(components(links), "comps")
+        # Members after the last leader, in buckets that still hold several components.
+        last = leads.where(F.col("place") == FEW**level).select("key", F.col("leader").alias("_n"), F.col("lead_weight").alias("_w"))
+        rest = buckets.drop("comp").join(last, "key").where(
+            (F.col("weight") < F.col("_w")) | ((F.col("weight") == F.col("_w")) & (F.col("node") < F.col("_n")))
+        ).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        rest = written(rest.select("key", "node", "weight", "comp"), "rest")
+        top = leads.where("place = 1").select("key", "leader")
+        still = written(rest.join(_open(rest), "key", "left_semi").join(top, "key").select("leader", "node", "weight", "comp").distinct(), "still")
         if still.limit(1).count() == 0:
             return comps
         apart = written(_differences(still, sets, spec), "apart")
@@ -212,7 +231,8 @@ def link_classes(sets: DataFrame, spec: Spec) -> DataFrame:
             .withColumn("place", F.row_number().over(rarest)).where("place <= keep AND often > 1")
             .select(F.xxhash64("leader", "x").alias("key"), "node", "weight", "comp"), "prefixes",
         )
-        buckets = written(prefix.join(_open(prefix), "key", "left_semi").select("key", "node", "weight"), "buckets")
+        buckets = written(prefix.join(_open(prefix), "key", "left_semi"), "buckets")
+        level += 1
 
 
 def keep_one(docs: DataFrame, spec: Spec, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
