@@ -6,8 +6,9 @@ codebook.  A query's table holds its inner product with every codeword; a vector
 sum of its BOOKS entries, times the stored ratio of its norm to the norm of its decoded sum.  The
 SHORT best per query are scored anew on the original vectors in double precision.
 
-Queries are stated, candidates are all vectors, in blocks: blocks of codes meet blocks of queries, so memory is
-bounded by two blocks whatever the table holds, and only SHORT rows a query and block go on.
+Queries are stated, candidates are all vectors, in blocks: blocks of codes stream past blocks of
+queries, so memory is bounded by two blocks whatever the table holds.  A task keeps one running
+shortlist a query; GROUPS tasks share the vectors, so GROUPS * SHORT rows a query go on.
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor do those whose length is
 not the most frequent one (ties: the longest); rows without an id take no part.  Of rows that repeat an id one with the smallest hash is kept.
@@ -30,7 +31,8 @@ BEAM = 3
 SAMPLE = 4096  # vectors that codebooks are fitted on
 SHORT = 250
 K = 20
-BLOCK = 8192  # vectors
+BLOCK = 2048  # vectors
+GROUPS = 4  # tasks that share the blocks of vectors for one block of queries
 QUERIES = 512
 
 
@@ -147,29 +149,41 @@ def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     dim = books.shape[2]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Running shortlists of one block of queries; rows come sorted by block."""
+        now, q_ids, lut, best, found = None, None, None, None, None
+
+        def flush() -> Iterator[pd.DataFrame]:
+            if now is not None:
+                out = pd.DataFrame({"query_id": np.repeat(q_ids, best.shape[1]), "vec_id": found.ravel(), "guess": best.ravel().astype(float)})
+                yield out[np.isfinite(out["guess"])]
+
         for pdf in batches:
-            for ids, code, norms, q_ids, q in zip(pdf["ids"], pdf["codes"], pdf["norms"], pdf["q_ids"], pdf["q"], strict=True):
-                ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
+            for block, group, ids, code, norms, own, q in zip(*(pdf[c] for c in ("block", "group", "ids", "codes", "norms", "q_ids", "q")), strict=True):
+                if (block, group) != now:
+                    yield from flush()
+                    now, q_ids = (block, group), np.frombuffer(own, np.int64)
+                    lut = (np.frombuffer(q, np.float32).reshape(len(q_ids), dim) @ books.reshape(-1, dim).T).reshape(len(q_ids), books.shape[0], books.shape[1])
+                    best, found = np.full((len(q_ids), short), -np.inf, np.float32), np.zeros((len(q_ids), short), np.int64)
+                ids, norms = np.frombuffer(ids, np.int64), np.frombuffer(norms, np.float32)
                 code = np.frombuffer(code, np.uint8).reshape(len(ids), -1)
-                lut = np.frombuffer(q, np.float32).reshape(len(q_ids), dim) @ books.reshape(-1, dim).T
                 for lo in range(0, len(q_ids), 64):
-                    t = lut[lo : lo + 64].reshape(-1, books.shape[0], books.shape[1])
+                    t = lut[lo : lo + 64]
                     s = t[:, 0, :][:, code[:, 0]]
                     for j in range(1, books.shape[0]):
                         s += t[:, j, :][:, code[:, j]]
-                    s *= np.frombuffer(norms, np.float32)
+                    s *= norms
                     s[ids[None, :] == q_ids[lo : lo + 64, None]] = -np.inf
-                    w = min(short, len(ids))
-                    top = np.argpartition(-s, w - 1, axis=1)[:, :w]
-                    out = pd.DataFrame({
-                        "query_id": np.repeat(q_ids[lo : lo + 64], w), "vec_id": ids[top].ravel(), "guess": np.take_along_axis(s, top, 1).ravel().astype(float),
-                    })
-                    yield out[np.isfinite(out["guess"])]
-
-    meet = codes.withColumn("block", F.explode(F.array(*[F.lit(b) for b in numbers]))).repartition(max(12, min(parts * len(numbers), 2000)), "ids", "block").join(
-        asked, "block"
-    )
-    guesses = meet.select("ids", "codes", "norms", "q_ids", "q").mapInPandas(scan, "query_id long, vec_id long, guess double")
+                    every = np.concatenate([best[lo : lo + 64], s], axis=1)
+                    top = np.argpartition(-every, short - 1, axis=1)[:, :short]
+                    names = np.concatenate([found[lo : lo + 64], np.broadcast_to(ids, s.shape)], axis=1)
+                    best[lo : lo + 64] = np.take_along_axis(every, top, 1)
+                    found[lo : lo + 64] = np.take_along_axis(names, top, 1)
+        yield from flush()
+
+    grouped = codes.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(GROUPS)))
+    meet = grouped.withColumn("block", F.explode(F.array(*[F.lit(b) for b in numbers]))).join(asked, "block")
+    dealt = meet.repartition(max(12, min(GROUPS * len(numbers), 4000)), "block", "group").sortWithinPartitions("block", "group")
+    guesses = dealt.select("block", "group", "ids", "codes", "norms", "q_ids", "q").mapInPandas(scan, "query_id long, vec_id long, guess double")
     order = Window.partitionBy("query_id").orderBy(F.desc("guess"), "vec_id")
     listed = written(guesses.withColumn("r", F.row_number().over(order)).where(F.col("r") <= short).select("query_id", "vec_id"), "shortlist")
     exact = (
