@@ -10,6 +10,7 @@ from gridstats.operators import season as SE
 from gridstats.operators import stats as ST
 from gridstats.operators import trend as T
 from gridstats.operators.align import attach_small
+from gridstats.plans.joins import _INSIDE as INSIDE_SQL  # noqa: F401
 from gridstats.plans.joins import CELLS, CONTROL_SQL, SCELL_SQL, WINDOW_SQL, YIELD_SQL, linear_predictor, season_days
 from gridstats.plans.registry import query
 from gridstats.plans.scan_project import SEASON_SQL, pvalue_sql, sine_sql
@@ -141,7 +142,10 @@ def _(s, d):
     return ST.with_multi_model_mean(y, ["scenario", "member", "year", "lat", "lon"], ["yield"], "model")
 
 
-@query("d19_season_means", f"SELECT scenario, lat, lon, avg(tmin) AS tminmean, avg(tmax) AS tmaxmean, avg(prec) AS precmean, max(harv - plan) AS ndays FROM ({WINDOW_SQL}) GROUP BY scenario, lat, lon", "tminmean tmaxmean precmean")
+ORACLE_D19 = f"SELECT scenario, lat, lon, avg(tmin) AS tminmean, avg(tmax) AS tmaxmean, avg(prec) AS precmean, max(harv - plan) AS ndays FROM ({WINDOW_SQL}) GROUP BY scenario, lat, lon"
+
+
+@query("d19_season_means", ORACLE_D19, "tminmean tmaxmean precmean")
 def _(s, d):
     return SE.season_means(season_days(s, d), ["scenario", "lat", "lon"], ["tmin", "tmax", "prec"])
 
@@ -166,7 +170,10 @@ def _(s, d):
     return SE.degree_days(days, ["scenario", "lat", "lon"], thresholds=(15, 20, 25), exposure=True)
 
 
-@query("d22_gdd_edd", f"SELECT scenario, lat, lon, max(CASE WHEN tmp = 30 THEN tempgdds END) AS edd, max(CASE WHEN tmp = 10 THEN tempgdds END) - max(CASE WHEN tmp = 30 THEN tempgdds END) AS gdd FROM ({GDD_SQL}) GROUP BY ALL", "edd gdd", 5)
+ORACLE_D22 = f"SELECT scenario, lat, lon, max(CASE WHEN tmp = 30 THEN tempgdds END) AS edd, max(CASE WHEN tmp = 10 THEN tempgdds END) - max(CASE WHEN tmp = 30 THEN tempgdds END) AS gdd FROM ({GDD_SQL}) GROUP BY ALL"
+
+
+@query("d22_gdd_edd", ORACLE_D22, "edd gdd", 5)
 def _(s, d):
     return SE.gdd_edd(gdds(s, d), ["scenario", "lat", "lon"])
 

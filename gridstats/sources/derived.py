@@ -59,7 +59,7 @@ DAILY_SQL = f"""
            last_value(o.tmin IGNORE NULLS) OVER w AS tmin, last_value(o.tmax IGNORE NULLS) OVER w AS tmax
     FROM (SELECT scenario, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS time
           FROM (SELECT scenario, DATE '1995-01-01' AS a, max(time) AS b FROM ({OBS_SQL}) GROUP BY scenario)) s
-    LEFT JOIN (SELECT scenario, time, sum(prec) / 5 AS prec, avg(tasmin) - 273.15 AS tmin, avg(tasmax) - 273.15 AS tmax
+    LEFT JOIN (SELECT scenario, time, avg(prec) / 2 AS prec, avg(tasmin) - 273.15 AS tmin, avg(tasmax) - 273.15 AS tmax
                FROM ({OBS_SQL}) GROUP BY scenario, time) o ON s.scenario = o.scenario AND s.time = o.time
     WINDOW w AS (PARTITION BY s.scenario ORDER BY s.time)"""
 
@@ -71,7 +71,7 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = o.groupBy("scenario").agg(F.max("time").alias("last"))
     spine = span.select("scenario", F.explode(F.sequence(F.to_date(F.lit("1995-01-01")), "last")).alias("time"))
     have = o.groupBy("scenario", "time").agg(
-        (F.sum("prec") / 5).alias("prec"), (F.avg("tasmin") - 273.15).alias("tmin"), (F.avg("tasmax") - 273.15).alias("tmax")
+        (F.avg("prec") / 2).alias("prec"), (F.avg("tasmin") - 273.15).alias("tmin"), (F.avg("tasmax") - 273.15).alias("tmax")
     )
     w = Window.partitionBy("scenario").orderBy("time")
     return spine.join(have, ["scenario", "time"], "left").select(
