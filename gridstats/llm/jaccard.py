@@ -34,6 +34,8 @@ from gridstats.llm.shared import written
 from gridstats.llm.shingles import U, chunks, mix, pack, sets_of, unpack
 
 
+#: Bits of the sketch by which pairs are screened.
+SKETCH = 512
 #: Leaders of a bucket at each level are so many times those at the level before.
 FEW = 6
 
@@ -89,7 +91,10 @@ def sketch_keys(values: np.ndarray, spec: Spec, starts: list[int]) -> np.ndarray
 
 
 def shingle_sets(docs: DataFrame, spec: Spec, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, th, n_shingles, node, elements): elements only on the first row of a node in each task; th is the text's hash."""
+    """(doc_id, th, n_shingles, node, elements, sketch): the last two only on the first row of a node in each task.
+
+    th is the text's hash; sketch is the set's parity sketch of SKETCH bits.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -100,18 +105,21 @@ def shingle_sets(docs: DataFrame, spec: Spec, doc_id: str, text: str) -> DataFra
                 sizes, sig, values = sets_of(texts[lo:hi], spec.words)
                 nodes = sig.view(np.int64)
                 stop = np.cumsum(sizes)
+                flips = np.bincount(np.repeat(np.arange(hi - lo), sizes) * SKETCH + (mix(values) % U(SKETCH)).astype(np.int64), minlength=(hi - lo) * SKETCH) & 1
+                bits = np.packbits(flips.astype(np.uint8).reshape(-1, SKETCH), axis=1).view(">i8").astype(np.int64)
                 elements: list[bytes | None] = []
+                sketches: list[np.ndarray | None] = []
                 for k, node in enumerate(nodes.tolist()):
-                    if sizes[k] and node not in seen:
+                    new = bool(sizes[k]) and node not in seen
+                    if new:
                         seen.add(node)
-                        elements.append(pack(values[stop[k] - sizes[k] : stop[k]]))
-                    else:
-                        elements.append(None)
-                yield pd.DataFrame({"doc_id": ids[lo:hi], "th": th[lo:hi], "n_shingles": sizes.astype(np.int64), "node": nodes, "elements": elements})
+                    elements.append(pack(values[stop[k] - sizes[k] : stop[k]]) if new else None)
+                    sketches.append(bits[k] if new else None)
+                yield pd.DataFrame({"doc_id": ids[lo:hi], "th": th[lo:hi], "n_shingles": sizes.astype(np.int64), "node": nodes, "elements": elements, "sketch": sketches})
 
     # Ids travel as text, so that a null among them changes no value.
     given = docs.select(F.col(doc_id).cast("long").cast("string").alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
-    out = given.mapInPandas(run, "doc_id string, th long, n_shingles long, node long, elements binary")
+    out = given.mapInPandas(run, "doc_id string, th long, n_shingles long, node long, elements binary, sketch array<long>")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -128,9 +136,10 @@ def _buckets(sets: DataFrame, spec: Spec, most: int) -> DataFrame:
 
     keyed = sets.where("elements IS NOT NULL").select("node", "elements").mapInPandas(run, "key long, node long").where("key IS NOT NULL")
     parts = max(12, sets.sparkSession.sparkContext.defaultParallelism, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    keyed = keyed.repartition(parts, "key")  # one exchange, for the count and for the rows
-    shared = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")
-    return keyed.join(shared, "key", "left_semi").distinct()
+    # One exchange: the rows of a key, once there, tell whether it has several nodes.
+    same = Window.partitionBy("key")
+    held = keyed.repartition(parts, "key").withColumn("_a", F.min("node").over(same)).withColumn("_b", F.max("node").over(same))
+    return held.where("_a <> _b").select("key", "node").distinct()
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -171,12 +180,12 @@ def _differences(members: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
                 n = [len(d) for d in apart]
                 yield pd.DataFrame({
                     "leader": np.repeat(part["leader"].to_numpy(), n), "node": np.repeat(part["node"].to_numpy(), n),
-                    "weight": np.repeat(part["weight"].to_numpy(), n), "comp": np.repeat(part["comp"].to_numpy(), n), "x": np.concatenate(apart),
+                    "comp": np.repeat(part["comp"].to_numpy(), n), "x": np.concatenate(apart),
                     "keep": np.repeat([spec.apart(len(a) + spec.partner(len(a))) + 1 for a, _ in sets_], n),
                 })
 
-    return _with_sets(members, sets).select("leader", "node", "weight", "comp", "own", "lead").mapInPandas(
-        run, "leader long, node long, weight long, comp long, x long, keep long"
+    return _with_sets(members, sets).select("leader", "node", "comp", "own", "lead").mapInPandas(
+        run, "leader long, node long, comp long, x long, keep long"
     )
 
 
@@ -185,42 +194,55 @@ def _open(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
 
 
+def _screened(met: DataFrame, spec: Spec) -> DataFrame:
+    """Pairs whose sketches do not already tell that they are too far apart: Hamming distance at most D."""
+    bits = F.aggregate(F.zip_with("sketch", "lead_sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
+    room = F.floor((F.col("n") + F.col("lead_n")) * (spec.den - spec.num) / (spec.den + spec.num))
+    sizes = (F.least("n", "lead_n") * spec.den >= F.greatest("n", "lead_n") * spec.num)
+    return met.where("comp <> lead_comp").where(sizes & (bits <= room)).select("leader", "node").distinct()
+
+
 def link_classes(sets: DataFrame, spec: Spec) -> DataFrame:
     """(node, comp) for nodes with a link; comp is one of the nodes.
 
-    The order of leaders is fixed once: by buckets, then node.  A bucket's first leaders (FEW to the power of the
-    level) are verified against the members after them that lie in other components.  The rest of a bucket
-    meets again by its difference from the first leader, which comes before all of them; so leaders of buckets
-    within buckets descend, more of them lead at each level, and two nodes that stay together meet in the end.
+    The order of leaders is fixed once: by buckets, then node.  A bucket's first leaders (FEW, then FEW squared,
+    and so on) meet the members after them that lie in other components: sketches screen the pairs, sets verify
+    them.  The rest of a bucket meets again by its difference from the first leader, which comes before all of
+    them; so leaders of buckets within buckets descend, more of them lead at each level, and two nodes that
+    stay together meet in the end.
     """
     most = sets.agg(F.max("n_shingles")).first()[0] or 0
     first = written(_buckets(sets, spec, most), "buckets")
-    buckets = written(
-        first.join(first.groupBy("node").agg(F.count("*").alias("weight")), "node").withColumn("comp", F.col("node")), "weighted"
+    weight = first.groupBy("node").agg(F.count("*").alias("weight"))
+    nodes = written(
+        weight.join(sets.where("sketch IS NOT NULL").select("node", F.col("n_shingles").alias("n"), "sketch"), "node").dropDuplicates(["node"]), "nodes"
     )
+    buckets = first.join(nodes, "node").withColumn("comp", F.col("node"))
     links: DataFrame | None = None
-    level = 0
+    comps: DataFrame | None = None
+    few = FEW
     while True:
+        buckets = written(buckets, "buckets")
         ranked = Window.partitionBy("key").orderBy(F.desc("weight"), F.desc("node"))
         leads = written(
-            buckets.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= FEW**level)
-            .select("key", F.col("node").alias("leader"), F.col("weight").alias("lead_weight"), F.col("comp").alias("lead_comp"), "place"), "leaders",
+            buckets.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= few).select(
+                "key", "place", *[F.col(c).alias(to) for c, to in (("node", "leader"), ("weight", "lead_weight"), ("comp", "lead_comp"), ("n", "lead_n"), ("sketch", "lead_sketch"))]
+            ), "leaders",
         )
         after = (F.col("weight") < F.col("lead_weight")) | ((F.col("weight") == F.col("lead_weight")) & (F.col("node") < F.col("leader")))
-        met = buckets.join(leads, "key").where(after)
-        new = _verified(met.where("comp <> lead_comp").select("leader", "node").distinct(), sets, spec).select(
-            F.col("leader").alias("a"), F.col("node").alias("b")
-        )
-        links = written(new if links is None else links.union(new), f"links{level}")
-        comps = written(components(links), "comps")
+        pairs = written(_screened(buckets.join(leads, "key").where(after), spec), "pairs")
+        new = written(_verified(pairs, sets, spec).select(F.col("leader").alias("a"), F.col("node").alias("b")), "links")
+        if links is None or new.limit(1).count():
+            links = new if links is None else links.union(new)
+            comps = written(components(links), "comps")
         # Members after the last leader, in buckets that still hold several components.
-        last = leads.where(F.col("place") == FEW**level).select("key", F.col("leader").alias("_n"), F.col("lead_weight").alias("_w"))
-        rest = buckets.drop("comp").join(last, "key").where(
+        last = leads.where(F.col("place") == few).select("key", F.col("leader").alias("_n"), F.col("lead_weight").alias("_w"))
+        rest = buckets.select("key", "node", "weight").join(last, "key").where(
             (F.col("weight") < F.col("_w")) | ((F.col("weight") == F.col("_w")) & (F.col("node") < F.col("_n")))
         ).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        rest = written(rest.select("key", "node", "weight", "comp"), "rest")
+        rest = written(rest.select("key", "node", "comp"), "rest")
         top = leads.where("place = 1").select("key", "leader")
-        still = written(rest.join(_open(rest), "key", "left_semi").join(top, "key").select("leader", "node", "weight", "comp").distinct(), "still")
+        still = written(rest.join(_open(rest), "key", "left_semi").join(top, "key").select("leader", "node", "comp").distinct(), "still")
         if still.limit(1).count() == 0:
             return comps
         apart = written(_differences(still, sets, spec), "apart")
@@ -229,10 +251,10 @@ def link_classes(sets: DataFrame, spec: Spec) -> DataFrame:
         prefix = written(
             apart.join(often, (F.col("leader") == F.col("_l")) & (F.col("x") == F.col("_x")))
             .withColumn("place", F.row_number().over(rarest)).where("place <= keep AND often > 1")
-            .select(F.xxhash64("leader", "x").alias("key"), "node", "weight", "comp"), "prefixes",
+            .select(F.xxhash64("leader", "x").alias("key"), "node", "comp"), "prefixes",
         )
-        buckets = written(prefix.join(_open(prefix), "key", "left_semi"), "buckets")
-        level += 1
+        buckets = prefix.join(_open(prefix), "key", "left_semi").join(nodes, "node")
+        few *= FEW
 
 
 def keep_one(docs: DataFrame, spec: Spec, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
