@@ -12,7 +12,7 @@ A run of consecutive non-blank lines counts if it holds at least `min_chars` cha
 
 The order is (doc_id, text hash, line); null ids come first.  Of any line one copy always stays.
 Rows that repeat an id and its text are one place: they get the same result.  Lines are compared
-without blanks at either end; blank lines go only inside a run that goes.  Null text stays null, with 0 lines.
+without blanks at either end; blank lines are never deleted.  Null text stays null, with 0 lines.
 Only hashes and positions move until the last join, which moves every text once.
 """
 
@@ -34,7 +34,7 @@ def let(value: Column, body) -> Column:  # noqa: ANN001
 
 
 def _windows(text: Column, min_chars: int, min_lines: int) -> Column:
-    """array<struct<first, last, fp, gram>> over the non-blank lines of a text; lines from 0."""
+    """array<struct<first, lines, fp, gram>> over the non-blank lines of a text; lines from 0."""
     lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), F.trim(x, F.lit(BLANK)).alias("t")))
     filled = F.filter(lines, lambda x: x["t"] != "")
     hashed = F.transform(filled, lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["t"]).alias("h"), F.length(x["t"]).alias("n")))
@@ -53,18 +53,18 @@ def _windows(text: Column, min_chars: int, min_lines: int) -> Column:
 
     def window(run: Column) -> Column:
         return F.struct(
-            run[0]["i"].alias("first"), F.element_at(run, -1)["i"].alias("last"),
+            run[0]["i"].alias("first"), F.transform(run, lambda x: x["i"]).alias("lines"),
             F.array_min(F.transform(run, lambda x: x["h"])).alias("fp"),
             F.xxhash64(F.transform(run, lambda x: x["h"])).alias("gram"),
         )
 
-    empty = F.array().cast("array<struct<first:int,last:int,fp:bigint,gram:bigint>>")
+    empty = F.array().cast("array<struct<first:int,lines:array<int>,fp:bigint,gram:bigint>>")
 
     def at(ls: Column, x: Column, j: Column) -> Column:
         ahead = lambda: F.slice(ls, j + 1, F.lit(min_lines))
         start = F.greatest(j + 2 - min_lines, F.lit(1))
         behind = lambda: F.reverse(F.slice(ls, start, j + 2 - start))
-        alone = F.array(F.struct(x["i"].alias("first"), x["i"].alias("last"), x["h"].alias("fp"), F.xxhash64(F.array(x["h"])).alias("gram")))
+        alone = F.array(F.struct(x["i"].alias("first"), F.array(x["i"]).alias("lines"), x["h"].alias("fp"), F.xxhash64(F.array(x["h"])).alias("gram")))
         fwd = let(shortest(ahead()), lambda k: F.when(k > 0, F.array(window(F.slice(ls, j + 1, k)))).otherwise(empty))
         bwd = let(shortest(behind()), lambda k: F.when(k > 0, F.array(window(F.slice(ls, j + 2 - k, k)))).otherwise(empty))
         return F.when(x["n"] >= min_chars, alone).otherwise(F.array_union(fwd, bwd))
@@ -84,8 +84,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     grams = near.groupBy("gram").agg(F.min(place()).alias("origin"), F.max(place()).alias("b")).where("origin <> b").select("gram", "origin")
     later = near.join(grams, "gram").where(place() != F.col("origin"))
     return (
-        later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
-        .select("doc_id", "th", F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"])))).alias("lines"))
+        later.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("lines"))
     )
 
 

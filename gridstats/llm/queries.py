@@ -110,7 +110,7 @@ ORACLE: dict[str, str] = {
         w AS (SELECT doc_id, s, e, body FROM (SELECT *, min(rb) OVER (PARTITION BY doc_id, ra) AS nb,
                      max(ra) OVER (PARTITION BY doc_id, rb) AS na FROM runs) WHERE rb = nb OR ra = na),
         k AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, s) AS n FROM w),
-        gone AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS i FROM k WHERE n > 1)
+        gone AS (SELECT DISTINCT k.doc_id, f.i FROM k JOIN f ON f.doc_id = k.doc_id AND f.i BETWEEN k.s AND k.e WHERE n > 1)
         SELECT d.doc_id, coalesce(x.text, CASE WHEN d.text IS NOT NULL THEN '' END) AS text,
                CAST(coalesce(x.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(x.g, 0) AS BIGINT) AS n_removed
         FROM documents d LEFT JOIN (
