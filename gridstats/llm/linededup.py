@@ -79,9 +79,12 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.explode(_windows(F.col(text), min_chars, min_lines)).alias("w"),
     ).select("doc_id", "th", "w.*"), "linewindows")
     place = lambda: F.struct(F.col("doc_id").alias("doc_id"), F.col("th").alias("th"), F.col("first").alias("first"))
-    fps = w.groupBy("fp").agg(F.min(place()).alias("a"), F.max(place()).alias("b")).where("a <> b").select("fp")
-    near = w.join(fps, "fp", "left_semi")
-    grams = near.groupBy("gram").agg(F.min(place()).alias("origin"), F.max(place()).alias("b")).where("origin <> b").select("gram", "origin")
+    # Written, so that both sides of each join are exchanges of their own and a very common line's rows can be split.
+    fps = written(w.groupBy("fp").agg(F.min(place()).alias("a"), F.max(place()).alias("b")).where("a <> b").select("fp"), "fingerprints")
+    near = written(w.join(fps, "fp", "left_semi"), "sharedwindows")
+    grams = written(
+        near.groupBy("gram").agg(F.min(place()).alias("origin"), F.max(place()).alias("b")).where("origin <> b").select("gram", "origin"), "origins"
+    )
     later = near.join(grams, "gram").where(place() != F.col("origin"))
     return (
         later.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("lines"))
