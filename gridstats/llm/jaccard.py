@@ -9,8 +9,8 @@ bits; all choices of its blocks but `spare` are hashed, and one of the hashes is
 Equal hashes form buckets.  A bucket is not expanded into pairs: every member is verified
 exactly against a leader, the member found in most buckets.  Two other members can only link
 if their differences from the leader overlap: |A^B| = |dA| + |dB| - 2|dA & dB|.  So members that
-links have not joined meet again in buckets of the D+1 elements of dA that are rarest among the
-leader's members (prefix filter).  This repeats until every bucket lies within one component or is
+links have not joined meet again in buckets of the first D+1 elements of dA, those the leader
+lacks before those it has (prefix filter).  This repeats until every bucket lies within one component or is
 spent.  Nothing is capped: each pair that could link is verified, or is known to be in one component.
 
 Texts with equal sets are one node.  Defined results: null text and text without words have no
@@ -37,7 +37,7 @@ from gridstats.llm.shingles import U, chunks, mix, pack, sets_of, unpack
 #: Bits of the sketch by which pairs are screened.
 SKETCH = 512
 #: Leaders of a bucket at each level are so many times those at the level before.
-FEW = 6
+FEW = 36
 
 
 @dataclass(frozen=True)
@@ -144,7 +144,7 @@ def _buckets(sets: DataFrame, spec: Spec, most: int) -> DataFrame:
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs(leader, node, ...) with the elements of both: own and lead."""
-    wanted = pairs.select(F.col("leader").alias("node")).union(pairs.select("node")).distinct()
+    wanted = pairs.select(F.col("leader").alias("node")).union(pairs.select("node"))
     have = written(
         sets.where("elements IS NOT NULL").select("node", "elements").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets"
     )
@@ -168,25 +168,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
     return _with_sets(pairs, sets).select("leader", "node", "own", "lead").mapInPandas(run, "leader long, node long")
 
 
-def _differences(members: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
-    """One row an element of the difference of node and leader, with the length of prefix that must be indexed."""
+def _prefixes(members: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
+    """members(leader, node, comp) -> (key, node, comp): the elements of the difference that must be indexed.
+
+    Those that the leader lacks come first, each part in order of value.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lo in range(0, len(pdf), 256):
                 part = pdf.iloc[lo : lo + 256]
-                sets_ = [(unpack(own), unpack(lead)) for own, lead in zip(part["own"], part["lead"], strict=True)]
-                apart = [np.setxor1d(a, b, assume_unique=True).view(np.int64) for a, b in sets_]
-                n = [len(d) for d in apart]
+                found = []
+                for own, lead in zip(part["own"], part["lead"], strict=True):
+                    a, b = unpack(own), unpack(lead)
+                    k = spec.apart(len(a) + spec.partner(len(a))) + 1
+                    new = np.setdiff1d(a, b, assume_unique=True)[:k]
+                    found.append(np.concatenate([new, np.setdiff1d(b, a, assume_unique=True)[: k - len(new)]]).view(np.int64))
+                n = [len(d) for d in found]
                 yield pd.DataFrame({
-                    "leader": np.repeat(part["leader"].to_numpy(), n), "node": np.repeat(part["node"].to_numpy(), n),
-                    "comp": np.repeat(part["comp"].to_numpy(), n), "x": np.concatenate(apart),
-                    "keep": np.repeat([spec.apart(len(a) + spec.partner(len(a))) + 1 for a, _ in sets_], n),
+                    "leader": np.repeat(part["leader"].to_numpy(), n), "x": np.concatenate(found),
+                    "node": np.repeat(part["node"].to_numpy(), n), "comp": np.repeat(part["comp"].to_numpy(), n),
                 })
 
-    return _with_sets(members, sets).select("leader", "node", "comp", "own", "lead").mapInPandas(
-        run, "leader long, node long, comp long, x long, keep long"
-    )
+    rows = _with_sets(members, sets).select("leader", "node", "comp", "own", "lead").mapInPandas(run, "leader long, x long, node long, comp long")
+    return rows.select(F.xxhash64("leader", "x").alias("key"), "node", "comp")
 
 
 def _open(rows: DataFrame) -> DataFrame:
@@ -205,9 +210,9 @@ def _screened(met: DataFrame, spec: Spec) -> DataFrame:
 def link_classes(sets: DataFrame, spec: Spec) -> DataFrame:
     """(node, comp) for nodes with a link; comp is one of the nodes.
 
-    The order of leaders is fixed once: by buckets, then node.  A bucket's first leaders (FEW, then FEW squared,
-    and so on) meet the members after them that lie in other components: sketches screen the pairs, sets verify
-    them.  The rest of a bucket meets again by its difference from the first leader, which comes before all of
+    The order of leaders is fixed once: by buckets, then node.  A bucket's first leaders (one, then FEW, then FEW
+    squared, and so on) meet the members after them that lie in other components: sketches screen the pairs, sets
+    verify them.  The rest of a bucket meets again by its difference from the first leader, which comes before all of
     them; so leaders of buckets within buckets descend, more of them lead at each level, and two nodes that
     stay together meet in the end.
     """
@@ -220,7 +225,7 @@ def link_classes(sets: DataFrame, spec: Spec) -> DataFrame:
     buckets = first.join(nodes, "node").withColumn("comp", F.col("node"))
     links: DataFrame | None = None
     comps: DataFrame | None = None
-    few = FEW
+    few = 1
     while True:
         buckets = written(buckets, "buckets")
         ranked = Window.partitionBy("key").orderBy(F.desc("weight"), F.desc("node"))
@@ -235,6 +240,11 @@ def link_classes(sets: DataFrame, spec: Spec) -> DataFrame:
         if links is None or new.limit(1).count():
             links = new if links is None else links.union(new)
             comps = written(components(links), "comps")
+        if few == 1:  # most links are known now; buckets that still hold several components go on
+            tagged = buckets.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            tagged = written(tagged, "tagged")
+            buckets, few = tagged.join(_open(tagged), "key", "left_semi"), FEW
+            continue
         # Members after the last leader, in buckets that still hold several components.
         last = leads.where(F.col("place") == few).select("key", F.col("leader").alias("_n"), F.col("lead_weight").alias("_w"))
         rest = buckets.select("key", "node", "weight").join(last, "key").where(
@@ -245,14 +255,7 @@ def link_classes(sets: DataFrame, spec: Spec) -> DataFrame:
         still = written(rest.join(_open(rest), "key", "left_semi").join(top, "key").select("leader", "node", "comp").distinct(), "still")
         if still.limit(1).count() == 0:
             return comps
-        apart = written(_differences(still, sets, spec), "apart")
-        often = apart.groupBy("leader", "x").agg(F.count("*").alias("often")).withColumnsRenamed({"leader": "_l", "x": "_x"})
-        rarest = Window.partitionBy("leader", "node").orderBy("often", "x")
-        prefix = written(
-            apart.join(often, (F.col("leader") == F.col("_l")) & (F.col("x") == F.col("_x")))
-            .withColumn("place", F.row_number().over(rarest)).where("place <= keep AND often > 1")
-            .select(F.xxhash64("leader", "x").alias("key"), "node", "comp"), "prefixes",
-        )
+        prefix = written(_prefixes(still, sets, spec), "prefixes")
         buckets = prefix.join(_open(prefix), "key", "left_semi").join(nodes, "node")
         few *= FEW
 
