@@ -50,7 +50,7 @@ def _(s, d):
 
 
 # The pooled variance must be the variance of all samples together.
-POOL_SQL = f"SELECT scenario, month, lat, lon, avg(tas) AS tas, (sum((n - 1) * tas_var) + sum(n * (tas - 290) * (tas - 290)) - pow(sum(n * (tas - 290)), 2) / sum(n)) / (sum(n) - 1) AS tas_var, CAST(sum(n) AS BIGINT) AS n FROM ({CLIM_SQL}) GROUP BY scenario, month, lat, lon"
+POOL_SQL = f"SELECT scenario, month, lat, lon, avg(tas) AS tas, (coalesce(sum((n - 1) * tas_var), 0) + sum(n * (tas - 290) * (tas - 290)) - pow(sum(n * (tas - 290)), 2) / sum(n)) / nullif(sum(n) - 1, 0) AS tas_var, CAST(sum(n) AS BIGINT) AS n FROM ({CLIM_SQL}) GROUP BY scenario, month, lat, lon"
 DIRECT_SQL = f"SELECT scenario, month, lat, lon, var_samp(tas) AS tas_var, count(*) AS n FROM ({MONTHLY_SQL}) GROUP BY scenario, month, lat, lon"
 
 
@@ -327,7 +327,7 @@ def _(s, d):
     return clim(s, d).select("scenario", "member", *MCELL, low.alias("low"), high.alias("high"))
 
 
-@query("i9_significance_class", f"SELECT month, lat, lon, CAST(CASE WHEN tas_pval <= 0.1 THEN 0 WHEN tas_pval <= 0.4 THEN 1 ELSE 2 END AS INT) AS class FROM ({TEST_SQL})")
+@query("i9_significance_class", f"SELECT month, lat, lon, CAST(CASE WHEN tas_pval IS NULL THEN NULL WHEN tas_pval <= 0.1 THEN 0 WHEN tas_pval <= 0.4 THEN 1 ELSE 2 END AS INT) AS class FROM ({TEST_SQL})")
 def _(s, d):
     return delta(s, d).select(*MCELL, I.significance_class(F.col("tas_pval"), (0.1, 0.4)).alias("class"))
 

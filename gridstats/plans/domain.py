@@ -36,7 +36,7 @@ def _(s, d):
     return V.interp_levels(col, ["scenario", *MC, "tas_var"], "p", "t").select("scenario", *MC, "lev", "t", "tas_var")
 
 
-@query("j2_reference_climatology", f"""SELECT month, lat, lon, avg(prec) AS prec, (sum((n - 1) * v) + sum(n * prec * prec) - pow(sum(n * prec), 2) / sum(n)) / (sum(n) - 1) AS prec_var FROM
+@query("j2_reference_climatology", f"""SELECT month, lat, lon, avg(prec) AS prec, (coalesce(sum((n - 1) * v), 0) + sum(n * prec * prec) - pow(sum(n * prec), 2) / sum(n)) / nullif(sum(n) - 1, 0) AS prec_var FROM
     (SELECT member, month, lat, lon, avg(prec) * 0.001 AS prec, var_samp(prec) * 0.000001 AS v, count(*) AS n FROM ({MONTHLY_SQL}) WHERE scenario = 'rcp_n' AND year BETWEEN 1995 AND 1999 GROUP BY ALL) GROUP BY month, lat, lon""", "prec prec_var", 8)
 def _(s, d):
     m = P.slice_time(monthly(s, d).where("scenario = 'rcp_n'"), 1995, 1999)

@@ -345,7 +345,7 @@ def pvalue_sql(t: str, df: str) -> str:
     th = f"atan(abs({t}) / sqrt({df}))"
     even = f"sin({th}) * list_sum(list_transform(range(0, CAST({df} AS BIGINT) // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * pow(cos({th}), 2 * k)))"
     odd = f"2 / pi() * ({th} + CASE WHEN {df} > 1 THEN sin({th}) * cos({th}) * list_sum(list_transform(range(0, greatest((CAST({df} AS BIGINT) - 1) // 2, 1)), lambda k: exp(lgamma(k + 1) - lgamma(k + 1.5)) * sqrt(pi()) / 2 * pow(cos({th}), 2 * k))) ELSE 0 END)"
-    return f"greatest(least(1 - CASE WHEN CAST({df} AS BIGINT) % 2 = 0 THEN {even} ELSE {odd} END, 1), 0)"
+    return f"CASE WHEN ({t}) IS NOT NULL AND ({df}) IS NOT NULL THEN greatest(least(1 - CASE WHEN CAST({df} AS BIGINT) % 2 = 0 THEN {even} ELSE {odd} END, 1), 0) END"
 
 
 @query("h9_student_t_pvalue", f"SELECT scenario, member, month, lat, lon, n, {pvalue_sql('(tas_var - 15) / 5', '(n + 1)')} AS p FROM ({CLIM_SQL})", "p")
