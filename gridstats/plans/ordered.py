@@ -69,13 +69,13 @@ def _(s, d):
     return seasons(s, d)
 
 
-RAINY_DRY_SQL = RAINY_SQL.replace("prec - 2.5", "prec - 2.6").replace(">= 2.5 AS wet", ">= 2.6 AS wet")
+RAINY_DRY_SQL = RAINY_SQL.replace("prec - 2.5", "prec - 2.625").replace(">= 2.5 AS wet", ">= 2.625 AS wet")
 
 
 @query("e4_rainy_season_dry", RAINY_DRY_SQL)
 def _(s, d):
-    # A base above the mean rain, so that the search before and after the steepest day runs.
-    return SE.rainy_season(exact_days(s, d), K, base=2.6)
+    # A base above the mean rain, so that the search before and after the steepest day runs; also a multiple of 1/64.
+    return SE.rainy_season(exact_days(s, d), K, base=2.625)
 
 
 @query("b19_valid_season", f"SELECT scenario, ag_year, CASE WHEN outslen > 20 THEN outoday END AS outoday FROM ({RAINY_SQL})")
