@@ -248,3 +248,16 @@ def _(s, d):
     return g.join(A.regrid_nearest(topo.withColumn("lon", lon_to_360(F.col("lon"))), g), CELLS)
 
 
+
+
+@query("h7_yield_level", YIELD_SQL, "yield")
+def _(s, d):
+    return linear_predictor(s, d).select("model", "scenario", "member", "year", "lat", "lon", F.exp("eta").alias("yield"))
+
+
+@query("h8_yield_change_pct", f"SELECT a.model, a.member, a.year, a.lat, a.lon, 100 * (a.yield / b.yield - 1) AS change FROM ({YIELD_SQL}) a JOIN ({YIELD_SQL}) b USING (model, member, year, lat, lon) WHERE a.scenario = 'rcp_a' AND b.scenario = 'rcp_n'", "change")
+def _(s, d):
+    e = linear_predictor(s, d)
+    k = ["model", "member", "year", "lat", "lon"]
+    at = lambda x: e.where(F.col("scenario") == x).select(*k, "eta")
+    return A.grid_arith(at("rcp_a"), at("rcp_n"), k).select(*k, (100 * (F.exp("eta") - 1)).alias("change"))
