@@ -1,14 +1,15 @@
-"""Approximate nearest neighbours (inner product) by additive quantisation.
+"""Nearest neighbours (inner product) by additive quantisation.
 
 BOOKS codebooks of full-dimensional codewords are fitted on a bounded sample by k-means on
 residuals.  Every vector is encoded by beam search: the BEAM best partial sums go on to the next
-codebook.  A query's table holds its inner product with every codeword; a vector's score is the
-sum of its BOOKS entries, times the stored ratio of its norm to the norm of its decoded sum.  The
-SHORT best per query are scored anew on the original vectors in double precision.
+codebook.  A query's table holds its inner product with every codeword; a vector's guess is the
+sum of its BOOKS entries, times the stored scale of its decoded sum.  With each code goes its reach, the length of
+what the code leaves out: no score differs from its guess by more than reach times the query's length.  Every
+vector whose guess and bound come up to the k-th best score found so far is scored on the original vectors
+in double precision, so no neighbour is lost; codebooks that fit badly only make the search slower.
 
-Queries are stated, candidates are all vectors, in blocks: blocks of codes stream past blocks of
-queries, so memory is bounded by two blocks whatever the table holds.  A task keeps one running
-shortlist a query; GROUPS tasks share the vectors, so GROUPS * SHORT rows a query go on.
+Queries are stated, candidates are all vectors, in blocks: blocks of vectors and codes stream past blocks of
+queries.  A task keeps one running list of the best a query; GROUPS tasks share the vectors.
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor do those whose length is
 not the most frequent one (ties: the longest); rows without an id take no part.  Of rows that repeat an id one with the smallest hash is kept.
@@ -29,11 +30,12 @@ BOOKS = 24
 WORDS = 256
 BEAM = 3
 SAMPLE = 4096  # vectors that codebooks are fitted on
-SHORT = 250
 K = 20
 BLOCK = 2048  # vectors
 GROUPS = 4  # tasks that share the blocks of vectors for one block of queries
-QUERIES = 512
+QUERIES = 2048
+SLICE = 64  # queries that are looked up together
+PAIRS = 1 << 20  # products held at once in exact scoring
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -106,8 +108,29 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return ok.where(F.size("v") == dim).groupBy("vec_id").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
 
 
-def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", every: int = 20, k: int = K, short: int = SHORT,
-           sample: int = SAMPLE) -> DataFrame:
+def exact_scores(x: np.ndarray, q: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """q[rows] . x[cols] in double precision, summed in order of components."""
+    out = np.empty(len(rows))
+    step = max(1, PAIRS // x.shape[1])
+    for lo in range(0, len(rows), step):
+        at = slice(lo, lo + step)
+        out[at] = np.cumsum(x[cols[at]].astype(float) * q[rows[at]], axis=1)[:, -1]
+    return out
+
+
+def keep_best(best: np.ndarray, found: np.ndarray, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+    """Puts scored candidates into the lists (score descending, id), in place; best is -inf where a list has room."""
+    n, k = best.shape
+    row = np.concatenate([np.repeat(np.arange(n), k), rows])
+    score, name = np.concatenate([best.ravel(), scores]), np.concatenate([found.ravel(), ids])
+    order = np.lexsort((name, -score, row))
+    per = np.bincount(row, minlength=n)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
+    order = order[place < k]  # every list has at least k rows
+    best[:], found[:] = score[order].reshape(n, k), name[order].reshape(n, k)
+
+
+def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", every: int = 20, k: int = K, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: for each vector whose id is divisible by `every`, its k best among all others."""
     spark = vectors.sparkSession
     base = written(usable(vectors, vec_id, embedding), "vectors")
@@ -116,18 +139,25 @@ def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     if not drawn:
         return spark.createDataFrame([], shape)
     books = train(np.array([r["v"] for r in drawn], np.float32))
+    dim = books.shape[2]
+    lengths = np.linalg.norm(books.astype(float), axis=2)
     parts = max(1, -(-base.count() // BLOCK))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Blocks of codes: at most BLOCK vectors a row."""
+        """Blocks of vectors and codes: at most BLOCK vectors a row."""
         for pdf in batches:
             for lo in range(0, len(pdf), BLOCK):
                 part = pdf.iloc[lo : lo + BLOCK]
                 ids = part["vec_id"].to_numpy(np.int64)
                 x = np.stack(part["v"].to_numpy()).astype(np.float32)
                 codes = encode(x, books)
-                norms = (np.linalg.norm(x, axis=1) / np.maximum(np.linalg.norm(decode(codes, books), axis=1), 1e-30)).astype(np.float32)
-                yield pd.DataFrame({"ids": [ids.tobytes()], "codes": [codes.tobytes()], "norms": [norms.tobytes()]})
+                whole, sums = x.astype(float), decode(codes, books.astype(float))
+                scale = ((whole * sums).sum(1) / np.maximum((sums * sums).sum(1), 1e-30)).astype(np.float32)
+                reach = np.linalg.norm(whole - scale[:, None].astype(float) * sums, axis=1)
+                # What single precision may add to a guess.
+                size = np.abs(scale.astype(float)) * sum(lengths[j][codes[:, j]] for j in range(len(books)))
+                reach = reach * (1 + 1e-12) + (dim + len(books) + 8) * 2.0**-23 * (size + np.linalg.norm(whole, axis=1))
+                yield pd.DataFrame({"ids": [ids.tobytes()], "x": [x.tobytes()], "codes": [codes.tobytes()], "scales": [scale.tobytes()], "reaches": [reach.tobytes()]})
 
     def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Blocks of queries."""
@@ -136,7 +166,7 @@ def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
                 part = pdf.iloc[lo : lo + QUERIES]
                 yield pd.DataFrame({"q_ids": [part["vec_id"].to_numpy(np.int64).tobytes()], "q": [np.stack(part["v"].to_numpy()).astype(np.float32).tobytes()]})
 
-    codes = written(base.repartition(parts, "vec_id").mapInPandas(pack, "ids binary, codes binary, norms binary"), "codes")
+    codes = written(base.repartition(parts, "vec_id").mapInPandas(pack, "ids binary, x binary, codes binary, scales binary, reaches binary"), "codes")
     mine = base.where(F.col("vec_id") % every == 0)
     n_queries = mine.count()
     q_parts = max(1, -(-n_queries // QUERIES))
@@ -146,50 +176,54 @@ def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     numbers = [r["block"] for r in asked.select("block").collect()]  # one number per QUERIES queries
     if not numbers:
         return spark.createDataFrame([], shape)
-    dim = books.shape[2]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Running shortlists of one block of queries; rows come sorted by block."""
-        now, q_ids, lut, best, found = None, None, None, None, None
+        """Running lists of one block of queries; rows come sorted by block."""
+        now, q_ids, q, long, best, found = None, None, None, None, None, None
 
         def flush() -> Iterator[pd.DataFrame]:
             if now is not None:
-                out = pd.DataFrame({"query_id": np.repeat(q_ids, best.shape[1]), "vec_id": found.ravel(), "guess": best.ravel().astype(float)})
-                yield out[np.isfinite(out["guess"])]
+                out = pd.DataFrame({"query_id": np.repeat(q_ids, best.shape[1]), "vec_id": found.ravel(), "score": best.ravel()})
+                yield out[out["score"] > -np.inf]
 
         for pdf in batches:
-            for block, group, ids, code, norms, own, q in zip(*(pdf[c] for c in ("block", "group", "ids", "codes", "norms", "q_ids", "q")), strict=True):
+            columns = ("block", "group", "ids", "x", "codes", "scales", "reaches", "q_ids", "q")
+            for block, group, ids, x, code, scale, reach, own, asks in zip(*(pdf[c] for c in columns), strict=True):
                 if (block, group) != now:
                     yield from flush()
                     now, q_ids = (block, group), np.frombuffer(own, np.int64)
-                    lut = (np.frombuffer(q, np.float32).reshape(len(q_ids), dim) @ books.reshape(-1, dim).T).reshape(len(q_ids), books.shape[0], books.shape[1])
-                    best, found = np.full((len(q_ids), short), -np.inf, np.float32), np.zeros((len(q_ids), short), np.int64)
-                ids, norms = np.frombuffer(ids, np.int64), np.frombuffer(norms, np.float32)
+                    q = np.frombuffer(asks, np.float32).reshape(len(q_ids), dim)
+                    long = np.linalg.norm(q.astype(float), axis=1)
+                    best, found = np.full((len(q_ids), k), -np.inf), np.zeros((len(q_ids), k), np.int64)
+                ids, scale, reach = np.frombuffer(ids, np.int64), np.frombuffer(scale, np.float32), np.frombuffer(reach, float)
+                x = np.frombuffer(x, np.float32).reshape(len(ids), dim)
                 code = np.frombuffer(code, np.uint8).reshape(len(ids), -1)
-                for lo in range(0, len(q_ids), 64):
-                    t = lut[lo : lo + 64]
+                for lo in range(0, len(q_ids), SLICE):
+                    at = slice(lo, lo + SLICE)
+                    t = (q[at] @ books.reshape(-1, dim).T).reshape(-1, books.shape[0], books.shape[1])
                     s = t[:, 0, :][:, code[:, 0]]
                     for j in range(1, books.shape[0]):
                         s += t[:, j, :][:, code[:, j]]
-                    s *= norms
-                    s[ids[None, :] == q_ids[lo : lo + 64, None]] = -np.inf
-                    every = np.concatenate([best[lo : lo + 64], s], axis=1)
-                    top = np.argpartition(-every, short - 1, axis=1)[:, :short]
-                    names = np.concatenate([found[lo : lo + 64], np.broadcast_to(ids, s.shape)], axis=1)
-                    best[lo : lo + 64] = np.take_along_axis(every, top, 1)
-                    found[lo : lo + 64] = np.take_along_axis(names, top, 1)
+                    s *= scale
+                    bound = s + long[at, None] * reach
+                    bound[~(np.isfinite(s) & np.isfinite(bound))] = np.inf  # beyond single precision: no bound
+                    bound[ids[None, :] == q_ids[at, None]] = -np.inf
+                    # The best guesses first, as they raise the score to be reached; then all whose bound reaches it.
+                    few = min(k, len(ids))
+                    first = np.argpartition(-bound, few - 1, axis=1)[:, :few]
+                    rows, cols = np.repeat(np.arange(len(s)), few), first.ravel()
+                    for again in (True, False):
+                        some = bound[rows, cols] > -np.inf
+                        rows, cols = rows[some], cols[some]
+                        keep_best(best[at], found[at], rows, ids[cols], exact_scores(x, q[at], rows, cols))
+                        if again:
+                            bound[rows, cols] = -np.inf
+                            rows, cols = np.nonzero((bound >= best[at, -1:]) & (bound > -np.inf))
         yield from flush()
 
     grouped = codes.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(GROUPS)))
     meet = grouped.withColumn("block", F.explode(F.array(*[F.lit(b) for b in numbers]))).join(asked, "block")
     dealt = meet.repartition(max(12, min(GROUPS * len(numbers), 4000)), "block", "group").sortWithinPartitions("block", "group")
-    guesses = dealt.select("block", "group", "ids", "codes", "norms", "q_ids", "q").mapInPandas(scan, "query_id long, vec_id long, guess double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("guess"), "vec_id")
-    listed = written(guesses.withColumn("r", F.row_number().over(order)).where(F.col("r") <= short).select("query_id", "vec_id"), "shortlist")
-    exact = (
-        listed.join(base, "vec_id")
-        .join(mine.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-        .select("query_id", "vec_id", F.aggregate(F.zip_with("v", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x).alias("score"))
-    )
+    scored = dealt.select("block", "group", "ids", "x", "codes", "scales", "reaches", "q_ids", "q").mapInPandas(scan, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return exact.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -321,6 +321,29 @@ def test_neighbours_recall_and_odd_vectors(spark):
     assert hits / (20 * len(by)) >= 0.9
 
 
+def brute_neighbours(ids, x, every=20, k=20):
+    out = {}
+    for i in np.flatnonzero(ids % every == 0):
+        s = np.cumsum(x.astype(float) * x[i].astype(float), axis=1)[:, -1]
+        order = [j for j in np.lexsort((ids, -s)) if j != i][:k]
+        out[int(ids[i])] = [(int(ids[j]), float(s[j])) for j in order]
+    return out
+
+
+def found_neighbours(spark, ids, x, **more):
+    rows = [(int(i), [float(c) for c in v]) for i, v in zip(ids, x, strict=True)]
+    out = defaultdict(list)
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), **more).orderBy("query_id", "rank").collect():
+        out[r["query_id"]].append((r["vec_id"], r["score"]))
+    return out
+
+
+def test_no_neighbour_is_lost_far_beyond_the_fitting_sample(spark):
+    x = np.random.default_rng(6).normal(size=(12_000, 64)).astype(np.float32)
+    ids = np.arange(len(x))
+    assert found_neighbours(spark, ids, x, every=100, sample=300) == brute_neighbours(ids, x, every=100)
+
+
 def test_few_or_no_vectors(spark):
     df = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.5, 0.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in ann.search(df).orderBy("rank").collect()] == [(20, 1, 1, 0.5), (20, 2, 2, 0.5)]
