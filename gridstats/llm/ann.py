@@ -11,6 +11,9 @@ in double precision, so no neighbour is lost; codebooks that fit badly only make
 Queries are stated, candidates are all vectors, in blocks: blocks of vectors and codes stream past blocks of
 queries.  A task keeps one running list of the best a query; GROUPS tasks share the vectors.
 
+Equal vectors are one candidate and one query, named by their smallest id.  The k + 1 best of them hold all that a query can
+list (it is among them itself); they become ids at the end, by score and id, of equal vectors the k + 1 smallest ids.
+
 Vectors that are null, zero or hold null or non-finite components take no part, nor do those whose length is
 not the most frequent one (ties: the longest); rows without an id take no part.  Of rows that repeat an id one with the smallest hash is kept.
 """
@@ -133,7 +136,10 @@ def keep_best(best: np.ndarray, found: np.ndarray, rows: np.ndarray, ids: np.nda
 def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", every: int = 20, k: int = K, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: for each vector whose id is divisible by `every`, its k best among all others."""
     spark = vectors.sparkSession
-    base = written(usable(vectors, vec_id, embedding), "vectors")
+    rows = written(usable(vectors, vec_id, embedding).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0).cast("float"))), "vectors")  # -0 is 0
+    same = Window.partitionBy("v").orderBy("vec_id")
+    least = rows.withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1)
+    base = written(least.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "distinct")
     shape = "query_id long, rank int, vec_id long, score double"
     drawn = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()
     if not drawn:
@@ -167,7 +173,10 @@ def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
                 yield pd.DataFrame({"q_ids": [part["vec_id"].to_numpy(np.int64).tobytes()], "q": [np.stack(part["v"].to_numpy()).astype(np.float32).tobytes()]})
 
     codes = written(base.repartition(parts, "vec_id").mapInPandas(pack, "ids binary, x binary, codes binary, scales binary, reaches binary"), "codes")
-    mine = base.where(F.col("vec_id") % every == 0)
+    asking = written(
+        rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v").join(base.select("v", F.col("vec_id").alias("name")), "v"), "asking"
+    )
+    mine = asking.select(F.col("name").alias("vec_id"), "v").dropDuplicates(["vec_id"])
     n_queries = mine.count()
     q_parts = max(1, -(-n_queries // QUERIES))
     asked = written(
@@ -183,7 +192,7 @@ def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
 
         def flush() -> Iterator[pd.DataFrame]:
             if now is not None:
-                out = pd.DataFrame({"query_id": np.repeat(q_ids, best.shape[1]), "vec_id": found.ravel(), "score": best.ravel()})
+                out = pd.DataFrame({"query": np.repeat(q_ids, best.shape[1]), "name": found.ravel(), "score": best.ravel()})
                 yield out[out["score"] > -np.inf]
 
         for pdf in batches:
@@ -194,7 +203,7 @@ def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
                     now, q_ids = (block, group), np.frombuffer(own, np.int64)
                     q = np.frombuffer(asks, np.float32).reshape(len(q_ids), dim)
                     long = np.linalg.norm(q.astype(float), axis=1)
-                    best, found = np.full((len(q_ids), k), -np.inf), np.zeros((len(q_ids), k), np.int64)
+                    best, found = np.full((len(q_ids), k + 1), -np.inf), np.zeros((len(q_ids), k + 1), np.int64)
                 ids, scale, reach = np.frombuffer(ids, np.int64), np.frombuffer(scale, np.float32), np.frombuffer(reach, float)
                 x = np.frombuffer(x, np.float32).reshape(len(ids), dim)
                 code = np.frombuffer(code, np.uint8).reshape(len(ids), -1)
@@ -207,14 +216,11 @@ def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
                     s *= scale
                     bound = s + long[at, None] * reach
                     bound[~(np.isfinite(s) & np.isfinite(bound))] = np.inf  # beyond single precision: no bound
-                    bound[ids[None, :] == q_ids[at, None]] = -np.inf
                     # The best guesses first, as they raise the score to be reached; then all whose bound reaches it.
-                    few = min(k, len(ids))
+                    few = min(k + 1, len(ids))
                     first = np.argpartition(-bound, few - 1, axis=1)[:, :few]
                     rows, cols = np.repeat(np.arange(len(s)), few), first.ravel()
                     for again in (True, False):
-                        some = bound[rows, cols] > -np.inf
-                        rows, cols = rows[some], cols[some]
                         keep_best(best[at], found[at], rows, ids[cols], exact_scores(x, q[at], rows, cols))
                         if again:
                             bound[rows, cols] = -np.inf
@@ -224,6 +230,12 @@ def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     grouped = codes.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(GROUPS)))
     meet = grouped.withColumn("block", F.explode(F.array(*[F.lit(b) for b in numbers]))).join(asked, "block")
     dealt = meet.repartition(max(12, min(GROUPS * len(numbers), 4000)), "block", "group").sortWithinPartitions("block", "group")
-    scored = dealt.select("block", "group", "ids", "x", "codes", "scales", "reaches", "q_ids", "q").mapInPandas(scan, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    scored = dealt.select("block", "group", "ids", "x", "codes", "scales", "reaches", "q_ids", "q").mapInPandas(scan, "query long, name long, score double")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "name")
+    listed = written(scored.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r"), "lists")
+    ids = listed.join(base.select(F.col("vec_id").alias("name"), "ids"), "name").select("query", F.explode("ids").alias("vec_id"), "score")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    spread = ids.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
+    others = asking.select("query_id", F.col("name").alias("query")).join(spread, "query").where("query_id <> vec_id")
+    best = Window.partitionBy("query_id").orderBy("r")
+    return others.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

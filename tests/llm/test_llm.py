@@ -344,6 +344,16 @@ def test_no_neighbour_is_lost_far_beyond_the_fitting_sample(spark):
     assert found_neighbours(spark, ids, x, every=100, sample=300) == brute_neighbours(ids, x, every=100)
 
 
+def test_copies_push_no_neighbour_out(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(2_000, 16)).astype(np.float32)
+    x[np.arange(2_000) % 3 == 1] = x[1]
+    x[0], x[20], x[40] = x[1] * 0.999, -x[1], x[1]
+    x[5], x[7] = x[1] * 1.5, np.where(np.arange(16) == 0, -0.0, x[1])
+    ids = rng.permutation(2_000)
+    assert found_neighbours(spark, ids, x) == brute_neighbours(ids, x)
+
+
 def test_few_or_no_vectors(spark):
     df = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.5, 0.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in ann.search(df).orderBy("rank").collect()] == [(20, 1, 1, 0.5), (20, 2, 2, 0.5)]
