@@ -3,9 +3,12 @@
 Emails, addresses, card and phone numbers are found by fixed rules.  They are the seeds: the words
 around them induce lexical patterns (the word before, the word after, the two words before).  All tokens shaped like
 identifiers, seeds or not, form a graph with the patterns they stand in.  Spark scores it
-iteratively: a pattern's score is the mean score of its distinct instances (smoothed), an unseen instance's the
-best score among its trusted patterns.  Instances that reach ACCEPT after ROUNDS rounds are spans of kind
-`id` wherever they stand.
+iteratively.  An instance supports its patterns with 1 if it is a seed, with its score once that reaches ACCEPT, else with
+nothing.  A pattern's score for an unseen instance is the mean support of its other instances (smoothed); it is trusted
+if at least SEEDS others support it.  An instance's score is the best of its trusted patterns.  So accepted
+instances make new patterns trusted in the next round, and none raises its own score.  Instances that
+reach ACCEPT after ROUNDS rounds are spans of kind `id` wherever they stand.  Tokens of fewer than eight
+characters or three digits are no identifiers.
 
 Positions are code points, ends exclusive.  Null text is empty: no spans.  Repeated rows (id and
 text) are found alike.  Added spans never overlap base spans.  Extra columns are ignored.
@@ -24,7 +27,7 @@ from gridstats.llm.shared import written
 
 ROUNDS = 3
 ACCEPT = 0.5
-SEEDS = 3  # distinct seeds that a trusted pattern needs
+SEEDS = 3  # distinct seeds or accepted instances that a trusted pattern needs
 KINDS = ("email", "ip", "card", "phone", "id")
 
 #: Base rules (fixed values); each runs in linear time, as a match can only start where its run does.
@@ -134,24 +137,22 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     return given.mapInPandas(run, _FOUND)
 
 
-def bootstrap(edges: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS) -> tuple[DataFrame, DataFrame]:
+def bootstrap(edges: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS, accept: float = ACCEPT) -> tuple[DataFrame, DataFrame]:
     """edges(pattern, instance, seed), distinct -> (pattern, score, n_seeds) and (instance, score) of unseen instances."""
-    scored = edges.withColumn("s", F.col("seed").cast("double"))
+    scored = edges.withColumn("s", F.col("seed").cast("double")).withColumn("supports", F.col("seed").cast("long"))
     patterns = unseen = None
     for i in range(rounds):
-        patterns = written(
-            scored.groupBy("pattern").agg((F.sum("s") / (F.count("*") + 1)).alias("score"), F.sum(F.col("seed").cast("long")).alias("n_seeds")), "patterns"
-        )
-        trusted = patterns.where(F.col("n_seeds") >= seeds).select(F.col("pattern").alias("_p"), F.col("score").alias("_s"))
-        unseen = written(
-            edges.where("NOT seed").join(trusted, F.col("pattern") == F.col("_p")).groupBy("instance").agg(F.max("_s").alias("score")), "instances"
-        )
+        patterns = written(scored.groupBy("pattern").agg(F.sum("s").alias("total"), F.count("*").alias("n"), F.sum("supports").alias("n_seeds")), "patterns")
+        trusted = patterns.where(F.col("n_seeds") >= seeds).select(F.col("pattern").alias("_p"), "total", "n", "n_seeds")
+        judged = scored.where("NOT seed").join(trusted, F.col("pattern") == F.col("_p")).where(F.col("n_seeds") - F.col("supports") >= seeds)
+        unseen = written(judged.groupBy("instance").agg(F.max((F.col("total") - F.col("s")) / F.col("n")).alias("score")), "instances")
         if i + 1 < rounds:
-            back = unseen.select(F.col("instance").alias("_i"), F.col("score").alias("_v"))
+            back = unseen.where(F.col("score") >= accept).select(F.col("instance").alias("_i"), F.col("score").alias("_v"))
             scored = edges.join(back, F.col("instance") == F.col("_i"), "left").select(
-                "pattern", "instance", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("_v", F.lit(0.0))).alias("s")
+                "pattern", "instance", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("_v", F.lit(0.0))).alias("s"),
+                (F.col("seed") | F.col("_v").isNotNull()).cast("long").alias("supports"),
             )
-    return patterns, unseen
+    return patterns.select("pattern", (F.col("total") / (F.col("n") + 1)).alias("score"), "n_seeds"), unseen
 
 
 def _joined(spans: Column) -> Column:
@@ -170,7 +171,7 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         seen.select(F.xxhash64("x.value").alias("instance"), F.col("x.seed").alias("seed"), F.explode("x.patterns").alias("pattern"))
         .groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges",
     )
-    _, unseen = bootstrap(edges)
+    _, unseen = bootstrap(edges, accept=accept)
     good = unseen.where(F.col("score") >= accept).select("instance")
     more = (
         seen.where("NOT x.seed").select("doc_id", "th", F.xxhash64("x.value").alias("instance"), "x.start", "x.stop")

@@ -390,6 +390,17 @@ def test_patterns_discover_identifiers(spark):
     assert pii.find_personal_data(docs_of(spark, [])).count() == 0
 
 
+def test_accepted_identifiers_make_new_patterns_trusted(spark):
+    rows = [(i, f"please mail to user{i}@mail.example.com today and more") for i in range(30)]
+    rows += [(100 + i, f"please mail to KEY{i}99XX77YY55 today and more") for i in range(4)]
+    rows += [(200 + i, f"vault entry KEY{i}99XX77YY55 closed") for i in range(4)] + [(300, "vault entry NEW123456789 closed")]
+    # One seed in four is no ground for the other three.
+    rows += [(400 + i, f"ticket no box{i}@mail.example.com done") for i in range(10)] + [(500 + i, f"ticket no {12345600 + i} done") for i in range(30)]
+    out = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(docs_of(spark, rows)).collect()}
+    assert out[300] == "id:12:24" and out[203] == "id:12:26" and out[103] == "id:15:29"
+    assert {out[500 + i] for i in range(30)} == {""}
+
+
 # Pipeline
 
 
