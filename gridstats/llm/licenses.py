@@ -24,7 +24,8 @@ BASE_PHRASES = (
 )
 
 #: label, keyword that must stand in the text, name as a regular expression over words,
-#: identifier as written after an SPDX tag (words, as punctuation is gone).
+#: identifier as written after an SPDX tag (words, as punctuation is gone), if it has no other entry.
+#: Every match of a name holds its keyword.
 LICENSES = (
     ("apache-1.1", "apache", r"apache (?:software )?license (?:version |v )?1 1", r"apache 1 1"),
     ("apache-2.0", "apache", r"apache (?:software )?license (?:version |v )?2(?: 0)?", r"apache 2 0"),
@@ -65,15 +66,16 @@ LICENSES = (
     ("odbl-1.0", "open data", r"open (?:data commons open )?database license(?: (?:version |v )?1 0)?", r"odbl 1 0"),
     ("cc0-1.0", "cc0", r"cc0(?: (?:version |v )?1 0)?(?: universal)?", r"cc0 1 0"),
     *(
-        (f"cc-{kind.replace(' ', '-')}-{major}.0", kw, rf"(?:{short}|creative commons {long})(?: license)?(?: (?:version |v )?{major} 0)(?: international| unported)?", rf"cc {kind} {major} 0")
-        for kind, kw, short, long in (
-            ("by", " by ", r"cc by", r"attribution"),
-            ("by sa", " sa ", r"cc by sa", r"attribution share ?alike"),
-            ("by nd", " nd ", r"cc by nd", r"attribution no ?deriv(?:ative)?s"),
-            ("by nc", " nc ", r"cc by nc", r"attribution non ?commercial"),
-            ("by nc sa", " nc sa ", r"cc by nc sa", r"attribution non ?commercial share ?alike"),
-            ("by nc nd", " nc nd ", r"cc by nc nd", r"attribution non ?commercial no ?deriv(?:ative)?s"),
+        (f"cc-{kind.replace(' ', '-')}-{major}.0", kw, rf"{name}(?: license)?(?: (?:version |v )?{major} 0)(?: international| unported)?", spdx and f"cc {kind} {major} 0")
+        for kind, long in (
+            ("by", r"attribution"),
+            ("by sa", r"attribution share ?alike"),
+            ("by nd", r"attribution no ?deriv(?:ative)?s"),
+            ("by nc", r"attribution non ?commercial"),
+            ("by nc sa", r"attribution non ?commercial share ?alike"),
+            ("by nc nd", r"attribution non ?commercial no ?deriv(?:ative)?s"),
         )
+        for kw, name, spdx in ((f" cc {kind} ", f"cc {kind}", True), ("creative commons attribution", f"creative commons {long}", False))
         for major in (2, 3, 4)
     ),
 )
@@ -103,9 +105,32 @@ MENTIONS = (
     ("warranty-disclaimer", "without warranty", r"(?:is )?provided as is without warranty", 0.3),
 )
 
+#: Sentences of licence bodies: label, keyword, pattern, weight.
+BODIES = (
+    ("mit", "hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 0.9),
+    ("bsl-1.0", "hereby granted", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", 0.9),
+    ("isc", "hereby granted", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided that", 0.9),
+    ("0bsd", "hereby granted", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted(?! provided)", 0.9),
+    ("postgresql", "hereby granted", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", 0.9),
+    ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted provided that", 0.8),
+    ("bsd-3-clause", "neither the name", r"neither the names? of (?:[^ ]+ ){1,20}nor the names of (?:its|the) contributors may be used to endorse or promote products derived from this software", 0.9),
+    ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 0.9),
+    ("apache-2.0", "terms and conditions", r"apache license version 2 0 january 2004(?: http www apache org licenses)? terms and conditions for use reproduction and distribution", 0.95),
+    ("gpl-2.0", "free software foundation", r"under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", 0.95),
+    ("gpl-3.0", "free software foundation", r"under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", 0.95),
+    ("lgpl-2.1", "free software foundation", r"under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license", 0.95),
+    ("lgpl-3.0", "free software foundation", r"under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license", 0.95),
+    ("agpl-3.0", "free software foundation", r"under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license", 0.95),
+    ("zlib", "held liable", r"in no event will the authors be held liable for any damages arising from the use of this software", 0.8),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain", 0.95),
+    ("wtfpl", "what the fuck", r"you just do what the fuck you want to", 0.9),
+    ("cc0-1.0", "public domain", r"the person who associated a work with this deed has dedicated the work to the public domain", 0.95),
+)
+
 #: Any rule's match holds one of these.
 ANCHORS = ("licen", "spdx", "cc0", " cc by", "creative commons", "public domain", "all rights reserved",
-           "proprietary", "without warranty", "bsd", "mit no attribution", "all-rights")
+           "proprietary", "without warranty", "bsd", "mit no attribution", "all-rights", "hereby granted",
+           "redistribution and use", "neither the name", "advertising materials", "held liable", "what the fuck")
 
 LEVELS = 5
 
@@ -117,8 +142,11 @@ def rules() -> list[Rule]:
     out: list[Rule] = []
     for prio, form, form_kw, template, weight in FORMS:
         for label, kw, name, spdx in LICENSES:
+            if form == "identifier" and not spdx:
+                continue
             kw = " " if form == "identifier" else kw
             out.append((prio, label, kw, form_kw, template.format(name=name, spdx=spdx), weight))
+    out += [(1, label, kw, " ", rx, w) for label, kw, rx, w in BODIES]
     out += [(LEVELS - 1, label, kw, " ", rx, w) for label, kw, rx, w in MENTIONS]
     return sorted(out, key=lambda r: r[0])
 

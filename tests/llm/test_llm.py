@@ -59,6 +59,49 @@ def test_license_scan_has_no_python(spark):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+def examples(tree):
+    """Texts that a rule matches: every alternative, options left out and taken."""
+    out = [""]
+    for op, arg in tree:
+        kind = str(op)
+        if kind == "LITERAL":
+            more = [chr(arg)]
+        elif kind in ("NOT_LITERAL", "IN"):
+            more = ["x"] if kind == "NOT_LITERAL" or str(arg[0][0]) == "NEGATE" else [chr(c) for _, c in arg]
+        elif kind == "MAX_REPEAT":
+            more = [x * n for n in {arg[0], min(arg[1], arg[0] + 1)} for x in examples(arg[2])]
+        elif kind == "SUBPATTERN":
+            more = examples(arg[3])
+        elif kind == "BRANCH":
+            more = [x for a in arg[1] for x in examples(a)]
+        else:
+            assert kind == "ASSERT_NOT"
+            more = [""]
+        out = list(dict.fromkeys(a + b for a in out for b in more))
+    return out
+
+
+def test_every_example_of_a_rule_passes_its_gates():
+    lost = set()
+    for _, label, kw, kw2, rx, _ in licenses.rules():
+        for x in examples(re._parser.parse(rx)):
+            assert re.fullmatch(rx, x), (rx, x)
+            x = f" {x} "
+            if kw not in x or kw2 not in x or not any(a in x for a in licenses.ANCHORS):
+                lost.add((label, kw, kw2, x))
+    assert not lost
+
+
+def test_long_names_and_bodies_are_found(spark):
+    rows = [
+        (1, "Licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."), (2, "CC BY-NC-ND 3.0"),
+        (3, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\")"),
+        (4, "SPDX-License-Identifier: CC-BY-SA-4.0"), (5, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that"),
+    ]
+    out = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(docs_of(spark, rows)).collect()}
+    assert out == {1: ("cc-by-sa-4.0", 0.95), 2: ("cc-by-nc-nd-3.0", 0.7), 3: ("mit", 0.9), 4: ("cc-by-sa-4.0", 1.0), 5: ("bsd", 0.8)}
+
+
 # 2. Decontamination
 
 ITEM = "A train leaves Berlin at 8 am, and travels 90 km in 3 hours, then stops in Berlin again."
