@@ -6,10 +6,12 @@ literal, ASCII letters lower-cased.  Windows of WINDOW template tokens with at l
 Windows of the documents are joined with those of the benchmark on the hash.  Matches of one item
 at one offset form an occurrence; its slots must be consistent: equal values of the item are equal values
 in the document.  A document holds an item if consistent occurrences cover at least SHARE of the
-item's windows: `verbatim` if all slots are the item's own, else `reparameterised`.
+item's windows, or one of them covers STRETCH tokens of the item on end (all of a shorter item): `verbatim` if all
+slots are the item's own, else `reparameterised`.
 
-Null texts hold nothing; an item with fewer than WINDOW tokens is one shorter window, one with
-fewer than LITERALS tokens is never found.  Repeated items are found alike; repeated documents (id and text)
+Null texts hold nothing; an item with fewer than WINDOW tokens is one shorter window.  An item of which no window has
+enough literals is one window over all of it, found only with the item's own slots.  One with
+fewer than LITERALS tokens is never found, nor one that is altered so that neither SHARE nor STRETCH is left.  Repeated items are found alike; repeated documents (id and text)
 give one row an item.  Extra columns are ignored.
 
 Hashes of the benchmark are sent to the tasks to discard other windows early if there are at most
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridstats.llm.shared import written
@@ -32,6 +34,7 @@ from gridstats.llm.shingles import _BYTES as BYTE_CODES
 WINDOW = 5
 LITERALS = 3
 SHARE = 0.8
+STRETCH = 13
 FEW_WINDOWS = 1_000_000
 
 #: Number words and units (fixed values).
@@ -131,8 +134,9 @@ def _window_hashes(code: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.nd
     return at, mix(h)[at]
 
 
-def template_windows(texts: list[bytes], widths: tuple[int, ...], only: np.ndarray | None, literals: int) -> Iterator[tuple[int, int, int, int, list[str], int]]:
-    """(text number, width, position, hash, slots, tokens of the text) of windows with enough literals."""
+def template_windows(texts: list[bytes], widths: tuple[int, ...], only: np.ndarray | None, literals: int,
+                     whole: frozenset[int] = frozenset()) -> Iterator[tuple[int, int, int, int, list[str], int]]:
+    """(text number, width, position, hash, slots, tokens of the text) of windows with enough literals (any, for widths in whole)."""
     for lo, hi in chunks(texts):
         part = texts[lo:hi]
         data = b"\0" + b"\0".join(t.replace(b"\0", b" ") for t in part) + b"\0"
@@ -148,7 +152,7 @@ def template_windows(texts: list[bytes], widths: tuple[int, ...], only: np.ndarr
             if only is not None and len(h):
                 hit = _is_in(h, only)
                 at, h = at[hit], h[hit]
-            enough = so_far[at + width] - so_far[at] >= min(literals, width)
+            enough = so_far[at + width] - so_far[at] >= (0 if width in whole else min(literals, width))
             for i, x in zip(at[enough].tolist(), h[enough].view(np.int64).tolist(), strict=True):
                 d = int(doc[i])
                 yield lo + d, width, i - int(first[d]), x, _slots(data, start, stop, code, i, i + width), int(per[d])
@@ -157,15 +161,21 @@ def template_windows(texts: list[bytes], widths: tuple[int, ...], only: np.ndarr
 _OUT = "doc_id string, th long, width int, pos int, hash long, slots array<string>, n_tokens int"
 
 
-def _windows(df: DataFrame, widths: tuple[int, ...] | None, only: np.ndarray | None, window: int, literals: int) -> DataFrame:
-    """Windows of df(doc_id, th, text).  widths None: `window`, or the whole of a shorter text."""
+def _windows(df: DataFrame, widths: tuple[int, ...] | None, only: np.ndarray | None, window: int, literals: int,
+             whole: frozenset[int] = frozenset()) -> DataFrame:
+    """Windows of df(doc_id, th, text).  widths None: `window`, or the whole of a shorter text or of one without enough literals."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = ["" if x is None else x for x in pdf["text"]]
             raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-            kept = [(n, w, p, x, s, k) for n, w, p, x, s, k in template_windows(raw, widths or tuple(range(literals, window + 1)), only, literals)
+            kept = [(n, w, p, x, s, k) for n, w, p, x, s, k in template_windows(raw, widths or tuple(range(literals, window + 1)), only, literals, whole)
                     if widths is not None or w == min(window, k)]
+            if widths is None:
+                for i in sorted(set(range(len(raw))) - {x[0] for x in kept}):
+                    size = len(_tokens(b"\0" + raw[i].replace(b"\0", b" ") + b"\0")[0])
+                    if size >= literals:
+                        kept += [(i, *x[1:]) for x in template_windows([raw[i]], (size,), None, 0)]
             ids, th = pdf["doc_id"].to_numpy(), pdf["th"].to_numpy()
             for lo in range(0, len(kept), 20_000):
                 n, w, p, x, s, k = zip(*kept[lo : lo + 20_000], strict=True)
@@ -175,31 +185,42 @@ def _windows(df: DataFrame, widths: tuple[int, ...] | None, only: np.ndarray | N
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-               window: int = WINDOW, literals: int = LITERALS, share: float = SHARE) -> DataFrame:
+               window: int = WINDOW, literals: int = LITERALS, share: float = SHARE, stretch: int = STRETCH) -> DataFrame:
     """One row a document and item held: doc_id, th, item_id, n_windows, n_found, coverage, kind, first_token."""
     keyed = lambda df, i, t: df.select(F.col(i).cast("long").cast("string").alias("doc_id"), F.xxhash64(F.col(t)).alias("th"), F.col(t).alias("text"))
     items = written(_windows(keyed(benchmark, item_id, item_text).distinct(), None, None, window, literals), "items")
     n = items.count()
-    only, widths = None, tuple(range(literals, window + 1))
+    poor = F.size("slots") > F.col("width") - literals  # windows over all of an item without enough literals
+    whole = frozenset(r["width"] for r in items.where(poor).select("width").distinct().collect())
+    only, widths = None, tuple(sorted({*range(literals, window + 1), *whole}))
     if n <= FEW_WINDOWS:
         known = items.select("hash", "width").distinct().toPandas()  # at most FEW_WINDOWS rows
         only = np.sort(known["hash"].to_numpy(np.int64).view(np.uint64)) if len(known) else np.zeros(1, U)
         widths = tuple(sorted(known["width"].unique().tolist())) or (window,)
     theirs = items.select(
-        F.col("doc_id").alias("item"), F.col("th").alias("item_th"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "hash", "width"
+        F.col("doc_id").alias("item"), F.col("th").alias("item_th"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "hash", "width", F.col("n_tokens").alias("item_tokens")
     ).join(items.groupBy(F.col("doc_id").alias("item"), F.col("th").alias("item_th")).agg(F.countDistinct("pos").alias("n_windows")), ["item_th", "item"])
-    ours = _windows(keyed(docs, doc_id, text), widths, only, window, literals)
-    met = ours.join(theirs, ["hash", "width"]).where(F.size("slots") == F.size("item_slots"))
+    ours = _windows(keyed(docs, doc_id, text), widths, only, window, literals, whole)
+    met = ours.join(theirs, ["hash", "width"]).where(F.size("slots") == F.size("item_slots")).where(~poor | (F.col("slots") == F.col("item_slots")))
     pairs = F.transform(F.arrays_zip("item_slots", "slots"), lambda z: F.struct(z["item_slots"].alias("a"), z["slots"].alias("b")))
     spot = met.groupBy("doc_id", "th", "item", "item_th", "n_windows", (F.col("pos") - F.col("item_pos")).alias("offset")).agg(
-        F.collect_set("item_pos").alias("found"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"), F.min("pos").alias("first_token")
+        F.collect_set("item_pos").alias("found"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"), F.min("pos").alias("first_token"),
+        F.max("width").alias("width"), F.max("item_tokens").alias("item_tokens"),
     )
+    none = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("stop"), F.lit(0).alias("most"))
+
+    def longer(acc: Column, x: Column) -> Column:
+        start, stop = F.when(x <= acc["stop"], acc["start"]).otherwise(x), x + F.col("width")
+        return F.struct(start.alias("start"), stop.alias("stop"), F.greatest(acc["most"], stop - start).alias("most"))
+
+    spot = spot.withColumn("long", F.aggregate(F.array_sort("found"), none, longer, lambda acc: acc["most"]) >= F.least(F.lit(stretch), "item_tokens"))
     consistent = spot.where(F.size(F.array_distinct(F.transform("pairs", lambda z: z["a"]))) == F.size("pairs"))
     held = consistent.groupBy("doc_id", "th", "item", "item_th", "n_windows").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("found")))).alias("n_found"),
         F.max(F.exists("pairs", lambda z: z["a"] != z["b"])).alias("other"), F.min("first_token").alias("first_token"),
+        F.max("long").alias("long"),
     )
-    return held.where(F.col("n_found") >= share * F.col("n_windows")).select(
+    return held.where((F.col("n_found") >= share * F.col("n_windows")) | F.col("long")).select(
         F.col("doc_id").cast("long").alias("doc_id"), "th", F.col("item").cast("long").alias("item_id"),
         F.col("n_windows").cast("long").alias("n_windows"), F.col("n_found").cast("long").alias("n_found"),
         (F.col("n_found") / F.col("n_windows")).alias("coverage"),

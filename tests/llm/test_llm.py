@@ -121,6 +121,17 @@ def test_reparameterised_items_are_found_and_inconsistent_ones_are_not(spark):
     assert left.count() == len(rows) - 3 and left.columns == ["doc_id", "text"]
 
 
+def test_long_passages_and_items_without_literals_are_found(spark):
+    words = [f"{a}{b}" for a in ("ta", "ke", "li", "mo", "su", "ra") for b in "bcdfghjklm"][:59]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "12 + 7 = 19, 19 + 8 = 27"), (3, "5 6")], "item_id long, text string")
+    rows = [
+        (1, "before it " + " ".join(words[7:52]) + " after it"), (2, "so 12 + 7 = 19, 19 + 8 = 27 holds"), (3, "so 12 + 7 = 19, 19 + 9 = 28 holds"),
+        (4, " ".join(words[20:32])), (5, "5 6"), (6, " ".join(words[20:33])),
+    ]
+    out = {(r["doc_id"], r["item_id"]): r["kind"] for r in decontam.find_leaks(docs_of(spark, rows), bench).collect()}
+    assert out == {(1, 1): "verbatim", (2, 2): "verbatim", (6, 1): "verbatim"}
+
+
 def test_leaks_against_brute_force(spark):
     sf = Path("/root/testdata/sf0.001")
     docs, bench = (spark.read.parquet(str(sf / f"{n}.parquet")) for n in ("documents", "benchmark"))
