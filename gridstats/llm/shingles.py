@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 
 U = np.uint64
-BITS = 40  # of a stored shingle; its text's signature uses all 64
 CHUNK = 1 << 20  # bytes of text handled together
 
 
@@ -53,7 +52,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sets_of(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sizes, signatures, values): sorted distinct BITS-bit shingle values, text after text.
+    """(sizes, signatures, values): sorted distinct 64-bit shingle values, text after text.
 
     A text with fewer than n words has its whole sequence as one shingle, none without words.
     """
@@ -80,32 +79,27 @@ def sets_of(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndar
                 v = mix(np.array([v ^ x], U))[0] + U(words[d])
             one.append(v)
         owner, value = np.concatenate([owner, short]), np.concatenate([value, np.array(one, U)])
-    key = owner.astype(U) << U(BITS) | value >> U(64 - BITS)
-    order = np.argsort(key, kind="stable")
-    key, value = key[order], value[order]
-    keep = np.ones(len(key), bool)
-    keep[1:] = key[1:] != key[:-1]
-    key, value = key[keep], value[keep]
-    owner = (key >> U(BITS)).astype(np.int64)
+    order = np.lexsort((value, owner))
+    owner, value = owner[order], value[order]
+    keep = np.ones(len(value), bool)
+    keep[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+    owner, value = owner[keep], value[keep]
     sizes = np.bincount(owner, minlength=len(texts))
     sig = np.zeros(len(texts), U)
     some = np.flatnonzero(sizes)
     if len(some):
         at = (np.cumsum(sizes) - sizes)[some]
         sig[some] = mix(np.add.reduceat(mix(value), at) ^ mix(np.bitwise_xor.reduceat(value, at) + sizes[some].astype(U)))
-    return sizes, sig, key & U((1 << BITS) - 1)
+    return sizes, sig, value
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Five bytes a value."""
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : BITS // 8].tobytes()
+    """Eight bytes a value."""
+    return values.astype("<u8").tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, BITS // 8)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, : BITS // 8] = raw
-    return out.view("<u8").ravel().astype(U)
+    return np.frombuffer(data, "<u8").astype(U)
 
 
 def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:

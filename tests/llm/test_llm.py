@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridstats.llm import ann, decontam, graph, jaccard, licenses, linededup, mixing, pii, quality, tokencount, warc
+from gridstats.llm import ann, decontam, graph, jaccard, licenses, linededup, mixing, pii, quality, shingles, tokencount, warc
 from gridstats.llm.queries import vocabulary
 
 ODD = [(1, None), (2, ""), (2, ""), (None, " \t\n"), (3, "x" * 50_000), (None, None), (4, "a b " * 9_000)]
@@ -325,6 +325,12 @@ def brute_components(rows, spec):
     return sorted(((d, len(sets[i]), least.get(root(i)) if sets[i] else d) for i, (d, _) in enumerate(rows)), key=str)
 
 
+def test_no_shingles_of_a_long_text_merge():
+    n = 3_000_000  # with 40 bits four pairs would be expected to merge
+    sizes, _, values = shingles.sets_of([b" ".join(b"%d" % i for i in range(n)), b"a b"], 1)
+    assert sizes.tolist() == [n, 2] and (shingles.unpack(shingles.pack(values)) == values).all()
+
+
 @pytest.mark.parametrize("spec", [jaccard.Spec(3, 90, 100, 0, 1), jaccard.Spec()])
 def test_components_against_brute_force(spark, spec):
     rng = random.Random(8)
