@@ -1,54 +1,61 @@
 """N-gram Jaccard join by parity sketches.
 
 Every text is a set of hashed word shingles.  In a band of set sizes, a set of s and one of t
-shingles whose Jaccard similarity reaches num/den differ in at most D = (s+t)(den-num)/(den+num).
-A shingle flips one bit of a sketch of 64-bit blocks, so the Hamming distance of two sketches is at most
-their sets' difference, and by the pigeonhole principle some group of blocks differs in at most `spare`
-bits; all choices of its blocks but `spare` are hashed, and one of the hashes is equal.
-
-Equal hashes form buckets.  A bucket is not expanded into pairs: every member is verified
-exactly against a leader, the member found in most buckets.  Two other members can only link
+shingles whose Jaccard similarity reaches num/den differ in at most D = (s+t)(den-num)/(den+num) shingles.
+A shingle is XORed into one of the blocks of a sketch, so two sketches differ in at most as many blocks as
+their sets in shingles, and by the pigeonhole principle sketches of more than D blocks have an equal one.  Its
+hash is a bucket key.  Blocks without shingles are no keys, unless a set has so many that all equal blocks could be such.
+
+Equal keys form buckets.  A bucket is not expanded into pairs: its members meet its leader, the one found
+in most buckets; a second parity sketch, of SKETCH bits, whose Hamming distance is also at most the sets' difference,
+screens the pairs, and the sets themselves verify them.  Two other members can only link
 if their differences from the leader overlap: |A^B| = |dA| + |dB| - 2|dA & dB|.  So members that
 links have not joined meet again in buckets of the first D+1 elements of dA, those the leader
 lacks before those it has (prefix filter).  This repeats until every bucket lies within one component or is
 spent.  Nothing is capped: each pair that could link is verified, or is known to be in one component.
 
-Texts with equal sets are one node.  Defined results: null text and text without words have no
+Texts with equal sets are one node.  What is moved: 16 bytes a key once; of nodes in any bucket the packed text,
+from which the set is made again where it is needed.
+
+Defined results: null text and text without words have no
 shingles and link with nothing, component_id is then the row's own id; rows that share an id
-keep their own component; a null id is passed over for the smallest id.  Extra columns are ignored.
+keep their own component; a null id is passed over for the smallest id.  Texts of any length are taken whole;
+ties of leaders go to the larger node.  An empty table gives no rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridstats.llm.graph import components
-from gridstats.llm.shared import written
-from gridstats.llm.shingles import U, chunks, mix, pack, sets_of, unpack
+from gridstats.llm.shared import discard, written
+from gridstats.llm.shingles import U, chunks, mix, sets_of
 
 
 #: Bits of the sketch by which pairs are screened.
 SKETCH = 512
 #: Leaders of a bucket at each level are so many times those at the level before.
 FEW = 36
+#: Sets of any size that can be held have a band.
+LARGEST = 1 << 40
 
 
 @dataclass(frozen=True)
 class Spec:
-    """words a shingle; similarity num/den; bits by which a group of blocks may differ, blocks a group."""
+    """Words a shingle; similarity num/den."""
 
     words: int = 5
     num: int = 80
     den: int = 100
-    spare: int = 1
-    blocks: int = 3
 
     def apart(self, s: int) -> int:
         """Largest symmetric difference of linked sets with s elements together."""
@@ -58,129 +65,188 @@ class Spec:
         """Largest set that can link with one of n."""
         return n * self.den // self.num
 
-    def bands(self, most: int) -> list[int]:
-        """Smallest sizes of the bands, up to beyond `most`: a set links within its band or the next."""
-        out = [1]
-        while out[-1] <= most:
-            out.append(self.partner(out[-1]) + 1)
-        return [*out, self.partner(out[-1]) + 1]
-
-
-def sketch_keys(values: np.ndarray, spec: Spec, starts: list[int]) -> np.ndarray:
-    """Bucket keys of a set in its own pair of bands and in the one below."""
-    n = len(values)
-    band = int(np.searchsorted(starts, n, side="right")) - 1
-    out = []
-    v = mix(values + U(0x51ED270B))
-    for p in ({band, band - 1} - {-1}):
-        small = starts[p + 1] - 1
-        d = spec.apart(small + spec.partner(small))
-        groups = -(-(d + 1) // (spec.spare + 1))
-        total = groups * spec.blocks
-        block = (v >> U(6)) % U(total)
-        bit = v & U(63)
-        flips = np.bincount((block << U(6) | bit).astype(np.int64), minlength=total * 64) & 1
-        words = np.packbits(flips.astype(np.uint8)).view(">u8").astype(U)
-        hashed = mix(words + mix(np.arange(total, dtype=U) + U(p << 32))).reshape(groups, spec.blocks)
-        for chosen in combinations(range(spec.blocks), spec.blocks - spec.spare):
-            key = hashed[:, chosen[0]]
-            for c in chosen[1:]:
-                key = mix(key) + hashed[:, c]
-            out.append(mix(key + U(sum(1 << c for c in chosen))))
-    return np.concatenate(out).view(np.int64)
-
-
-def shingle_sets(docs: DataFrame, spec: Spec, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, th, n_shingles, node, elements, sketch): the last two only on the first row of a node in each task.
-
-    th is the text's hash; sketch is the set's parity sketch of SKETCH bits.
+
+@lru_cache(maxsize=8)
+def bands(spec: Spec) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By band: smallest size, largest partner of its sets, blocks of a sketch, blocks that may differ.
+
+    A set links within its band or the next.  Blocks are as few as leave twice the empty ones expected of the smallest sets.
     """
+    starts, far, blocks, differ = [1], [], [], []
+    while starts[-1] <= LARGEST:
+        starts.append(spec.partner(starts[-1]) + 1)
+        small = starts[-1] - 1
+        d = spec.apart(small + spec.partner(small))
+        b = d + 1
+        while 2 * b * math.exp(-starts[-2] / b) >= b - d:
+            b += 1 + b // 128
+        far.append(spec.partner(small))
+        blocks.append(b)
+        differ.append(d)
+    return np.array(starts[:-1]), np.array(far), np.array(blocks), np.array(differ)
+
+
+def sketch_keys(sizes: np.ndarray, values: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
+    """(set number, bucket key) of non-empty sets, given one after the other: in their own band and the one below."""
+    starts, far, blocks, differ = bands(spec)
+    band = np.searchsorted(starts, sizes, side="right") - 1
+    spot, token = mix(values + U(0x51ED270B)) >> U(32), mix(values ^ U(0x2545F4914F6CDD1D))
+    stop = np.cumsum(sizes)
+    of, keys = [], []
+    for below in (0, 1):
+        p = band - below
+        use = np.flatnonzero((p >= 0) & (sizes <= far[np.maximum(p, 0)]))
+        if not len(use):
+            continue
+        p, n = p[use], sizes[use]
+        if len(use) == len(sizes):
+            x, t = spot, token
+        else:
+            at = np.arange(int(n.sum())) + np.repeat(stop[use] - n - (np.cumsum(n) - n), n)
+            x, t = spot[at], token[at]
+        b = blocks[p]
+        first = np.cumsum(b) - b
+        place = np.repeat(first, n) + (x * np.repeat(b, n).astype(U) >> U(32)).astype(np.int64)
+        sketch = np.zeros(int(b.sum()), U)
+        np.bitwise_xor.at(sketch, place, t)
+        filled = np.bincount(place, minlength=len(sketch)) > 0
+        owner = np.repeat(np.arange(len(use)), b)
+        empty = b - np.add.reduceat(filled.astype(np.int64), first)
+        kept = filled | (empty >= b - differ[p])[owner]
+        within = (np.arange(len(sketch)) - first[owner]).astype(U)
+        keys.append(mix(sketch + mix(within + (p[owner].astype(U) << U(32))))[kept])
+        of.append(use[owner[kept]])
+    return np.concatenate(of), np.concatenate(keys).view(np.int64)
+
+
+def bit_sketches(sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Parity sketches of SKETCH bits, as rows of longs."""
+    n = len(sizes)
+    flips = np.bincount(np.repeat(np.arange(n), sizes) * SKETCH + (mix(values) % U(SKETCH)).astype(np.int64), minlength=n * SKETCH) & 1
+    return np.packbits(flips.astype(np.uint8).reshape(-1, SKETCH), axis=1).view(">i8").astype(np.int64)
+
+
+def _given(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    # Ids travel as text, so that a null among them changes no value.
+    return docs.select(F.col(doc_id).cast("long").cast("string").alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
+
+
+def _chunked(batches: Iterator[pd.DataFrame], words: int) -> Iterator[tuple[pd.DataFrame, list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, texts, sizes, nodes, values) in stretches of bounded size."""
+    for pdf in batches:
+        texts = [b"" if x is None else x.encode("utf-8", "surrogatepass").lower() for x in pdf["text"]]
+        for lo, hi in chunks(texts):
+            sizes, sig, values = sets_of(texts[lo:hi], words)
+            yield pdf.iloc[lo:hi], texts[lo:hi], sizes, sig.view(np.int64), values
+
+
+def sized_nodes(docs: DataFrame, spec: Spec, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, th, n_shingles, node): th is the text's hash, node that of its set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
-        for pdf in batches:
-            texts = [b"" if x is None else x.encode("utf-8", "surrogatepass").lower() for x in pdf["text"]]
-            ids, th = pdf["doc_id"].to_numpy(), pdf["th"].to_numpy()
-            for lo, hi in chunks(texts):
-                sizes, sig, values = sets_of(texts[lo:hi], spec.words)
-                nodes = sig.view(np.int64)
-                stop = np.cumsum(sizes)
-                flips = np.bincount(np.repeat(np.arange(hi - lo), sizes) * SKETCH + (mix(values) % U(SKETCH)).astype(np.int64), minlength=(hi - lo) * SKETCH) & 1
-                bits = np.packbits(flips.astype(np.uint8).reshape(-1, SKETCH), axis=1).view(">i8").astype(np.int64)
-                elements: list[bytes | None] = []
-                sketches: list[np.ndarray | None] = []
-                for k, node in enumerate(nodes.tolist()):
-                    new = bool(sizes[k]) and node not in seen
-                    if new:
-                        seen.add(node)
-                    elements.append(pack(values[stop[k] - sizes[k] : stop[k]]) if new else None)
-                    sketches.append(bits[k] if new else None)
-                yield pd.DataFrame({"doc_id": ids[lo:hi], "th": th[lo:hi], "n_shingles": sizes.astype(np.int64), "node": nodes, "elements": elements, "sketch": sketches})
+        for part, _, sizes, nodes, _ in _chunked(batches, spec.words):
+            yield pd.DataFrame({"doc_id": part["doc_id"], "th": part["th"], "n_shingles": sizes.astype(np.int64), "node": nodes})
 
-    # Ids travel as text, so that a null among them changes no value.
-    given = docs.select(F.col(doc_id).cast("long").cast("string").alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
-    out = given.mapInPandas(run, "doc_id string, th long, n_shingles long, node long, elements binary, sketch array<long>")
+    out = _given(docs, doc_id, text).mapInPandas(run, "doc_id string, th long, n_shingles long, node long")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def _buckets(sets: DataFrame, spec: Spec, most: int) -> DataFrame:
+def _buckets(docs: DataFrame, spec: Spec, text: str) -> DataFrame:
     """(key, node) of keys that more than one node has."""
-    starts = spec.bands(most)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lo in range(0, len(pdf), 256):
-                part = pdf.iloc[lo : lo + 256]
-                keys = [sketch_keys(unpack(e), spec, starts) for e in part["elements"]]
-                yield pd.DataFrame({"key": np.concatenate(keys), "node": np.repeat(part["node"].to_numpy(), [len(k) for k in keys])})
-
-    keyed = sets.where("elements IS NOT NULL").select("node", "elements").mapInPandas(run, "key long, node long").where("key IS NOT NULL")
-    parts = max(12, sets.sparkSession.sparkContext.defaultParallelism, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        seen: set[int] = set()  # of this task's texts: copies give their keys once
+        for _, _, sizes, nodes, values in _chunked(batches, spec.words):
+            new = np.zeros(len(sizes), bool)
+            for k, node in enumerate(nodes.tolist()):
+                if sizes[k] and node not in seen:
+                    seen.add(node)
+                    new[k] = True
+            if new.any():
+                of, keys = sketch_keys(sizes[new], values[np.repeat(new, sizes)], spec)
+                yield pd.DataFrame({"key": keys, "node": nodes[new][of]})
+
+    keyed = docs.select(F.col(text).alias("text")).mapInPandas(run, "key long, node long")
+    spark = docs.sparkSession
+    parts = max(12, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # One exchange: the rows of a key, once there, tell whether it has several nodes.
     same = Window.partitionBy("key")
     held = keyed.repartition(parts, "key").withColumn("_a", F.min("node").over(same)).withColumn("_b", F.max("node").over(same))
     return held.where("_a <> _b").select("key", "node").distinct()
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs(leader, node, ...) with the elements of both: own and lead."""
-    wanted = pairs.select(F.col("leader").alias("node")).union(pairs.select("node"))
-    have = written(
-        sets.where("elements IS NOT NULL").select("node", "elements").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets"
-    )
-    return pairs.join(have.withColumnRenamed("elements", "own"), "node").join(
-        have.select(F.col("node").alias("leader"), F.col("elements").alias("lead")), "leader"
-    )
+def _bodies(docs: DataFrame, spec: Spec, text: str, weights: DataFrame) -> DataFrame:
+    """(node, n, sketch, body, weight) of the nodes in weights: size, bit sketch and packed text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        press = zstandard.ZstdCompressor(level=3)
+        for _, texts, sizes, nodes, values in _chunked(batches, spec.words):
+            bits = bit_sketches(sizes, values)
+            new = []
+            for k, node in enumerate(nodes.tolist()):
+                if sizes[k] and node not in seen:
+                    seen.add(node)
+                    new.append(k)
+            if new:
+                yield pd.DataFrame({"node": nodes[new], "n": sizes[new].astype(np.int64), "sketch": list(bits[new]), "body": [press.compress(texts[k]) for k in new]})
+
+    all_ = docs.select(F.col(text).alias("text")).mapInPandas(run, "node long, n long, sketch array<long>, body binary")
+    # Merge joins at every size: a table that is broadcast when it is small would hide what the exchange costs.
+    return all_.hint("merge").join(weights, "node").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "body", "weight")])
+
+
+class _Sets:
+    """Sets made again from packed texts; the leader's is kept while it stays the same."""
 
+    def __init__(self, spec: Spec) -> None:
+        self.words, self.open, self.last, self.lead = spec.words, zstandard.ZstdDecompressor(), None, None
 
-def _verified(pairs: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
+    def of(self, body: bytes) -> np.ndarray:
+        return sets_of([self.open.decompress(body)], self.words)[2]
+
+    def leader(self, name: int, body: bytes) -> np.ndarray:
+        if name != self.last:
+            self.last, self.lead = name, self.of(body)
+        return self.lead
+
+
+def _with_bodies(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """pairs(leader, node, ...) with the packed texts of both, own and lead; rows of a leader come together."""
+    own = pairs.hint("merge").join(held.select("node", F.col("body").alias("own")), "node")
+    return own.hint("merge").join(held.select(F.col("node").alias("leader"), F.col("body").alias("lead")), "leader")
+
+
+def _verified(pairs: DataFrame, held: DataFrame, spec: Spec) -> DataFrame:
     """The pairs(leader, node) that link, exactly."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sets = _Sets(spec)
         for pdf in batches:
             linked = []
-            for own, lead in zip(pdf["own"], pdf["lead"], strict=True):
-                a, b = unpack(own), unpack(lead)
+            for name, own, lead in zip(pdf["leader"], pdf["own"], pdf["lead"], strict=True):
+                a, b = sets.of(own), sets.leader(name, lead)
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 linked.append(spec.den * common >= spec.num * (len(a) + len(b) - common))
             yield pdf.loc[linked, ["leader", "node"]]
 
-    return _with_sets(pairs, sets).select("leader", "node", "own", "lead").mapInPandas(run, "leader long, node long")
+    return _with_bodies(pairs, held).select("leader", "node", "own", "lead").mapInPandas(run, "leader long, node long")
 
 
-def _prefixes(members: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
+def _prefixes(members: DataFrame, held: DataFrame, spec: Spec) -> DataFrame:
     """members(leader, node, comp) -> (key, node, comp): the elements of the difference that must be indexed.
 
     Those that the leader lacks come first, each part in order of value.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sets = _Sets(spec)
         for pdf in batches:
             for lo in range(0, len(pdf), 256):
                 part = pdf.iloc[lo : lo + 256]
                 found = []
-                for own, lead in zip(part["own"], part["lead"], strict=True):
-                    a, b = unpack(own), unpack(lead)
+                for name, own, lead in zip(part["leader"], part["own"], part["lead"], strict=True):
+                    a, b = sets.of(own), sets.leader(name, lead)
                     k = spec.apart(len(a) + spec.partner(len(a))) + 1
                     new = np.setdiff1d(a, b, assume_unique=True)[:k]
                     found.append(np.concatenate([new, np.setdiff1d(b, a, assume_unique=True)[: k - len(new)]]).view(np.int64))
@@ -190,7 +256,7 @@ def _prefixes(members: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
                     "node": np.repeat(part["node"].to_numpy(), n), "comp": np.repeat(part["comp"].to_numpy(), n),
                 })
 
-    rows = _with_sets(members, sets).select("leader", "node", "comp", "own", "lead").mapInPandas(run, "leader long, x long, node long, comp long")
+    rows = _with_bodies(members, held).select("leader", "node", "comp", "own", "lead").mapInPandas(run, "leader long, x long, node long, comp long")
     return rows.select(F.xxhash64("leader", "x").alias("key"), "node", "comp")
 
 
@@ -199,15 +265,26 @@ def _open(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
 
 
-def _screened(met: DataFrame, spec: Spec) -> DataFrame:
-    """Pairs whose sketches do not already tell that they are too far apart: Hamming distance at most D."""
+def _in_components(rows: DataFrame, comps: DataFrame | None, node: str = "node", to: str = "comp") -> DataFrame:
+    """rows with the component of a node: the node itself, if it has no links."""
+    if comps is None:
+        return rows.withColumn(to, F.col(node))
+    known = comps.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
+    return rows.join(known, F.col(node) == F.col("_n"), "left").withColumn(to, F.coalesce("_c", node)).drop("_n", "_c")
+
+
+def _screened(met: DataFrame, held: DataFrame, comps: DataFrame | None, spec: Spec) -> DataFrame:
+    """Pairs of different components whose sizes and sketches don't already tell that they are too far apart."""
+    apart = _in_components(_in_components(met, comps), comps, "leader", "lead_comp").where("comp <> lead_comp").select("leader", "node")
+    small = held.select("node", "n", "sketch")
+    both = apart.join(small, "node").join(small.select(F.col("node").alias("leader"), F.col("n").alias("lead_n"), F.col("sketch").alias("lead_sketch")), "leader")
     bits = F.aggregate(F.zip_with("sketch", "lead_sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
     room = F.floor((F.col("n") + F.col("lead_n")) * (spec.den - spec.num) / (spec.den + spec.num))
-    sizes = (F.least("n", "lead_n") * spec.den >= F.greatest("n", "lead_n") * spec.num)
-    return met.where("comp <> lead_comp").where(sizes & (bits <= room)).select("leader", "node").distinct()
+    sizes = F.least("n", "lead_n") * spec.den >= F.greatest("n", "lead_n") * spec.num
+    return both.where(sizes & (bits <= room)).select("leader", "node")
 
 
-def link_classes(sets: DataFrame, spec: Spec) -> DataFrame:
+def link_classes(docs: DataFrame, spec: Spec, text: str) -> DataFrame | None:
     """(node, comp) for nodes with a link; comp is one of the nodes.
 
     The order of leaders is fixed once: by buckets, then node.  A bucket's first leaders (one, then FEW, then FEW
@@ -216,47 +293,49 @@ def link_classes(sets: DataFrame, spec: Spec) -> DataFrame:
     them; so leaders of buckets within buckets descend, more of them lead at each level, and two nodes that
     stay together meet in the end.
     """
-    most = sets.agg(F.max("n_shingles")).first()[0] or 0
-    first = written(_buckets(sets, spec, most), "buckets")
-    weight = first.groupBy("node").agg(F.count("*").alias("weight"))
-    nodes = written(
-        weight.join(sets.where("sketch IS NOT NULL").select("node", F.col("n_shingles").alias("n"), "sketch"), "node").dropDuplicates(["node"]), "nodes"
-    )
-    buckets = first.join(nodes, "node").withColumn("comp", F.col("node"))
-    links: DataFrame | None = None
-    comps: DataFrame | None = None
-    few = 1
+    first = written(_buckets(docs, spec, text), "buckets")
+    weights = first.groupBy("node").agg(F.count("*").alias("weight"))
+    held = written(_bodies(docs, spec, text, weights), "nodes")
+    rank = held.select("node", "weight")
+    buckets, links, comps, few = first, None, None, 1
     while True:
-        buckets = written(buckets, "buckets")
+        weighed = written(buckets.join(rank, "node").select("key", "node", "weight"), "weighed")
+        discard(buckets)
+        buckets = weighed
         ranked = Window.partitionBy("key").orderBy(F.desc("weight"), F.desc("node"))
         leads = written(
-            buckets.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= few).select(
-                "key", "place", *[F.col(c).alias(to) for c, to in (("node", "leader"), ("weight", "lead_weight"), ("comp", "lead_comp"), ("n", "lead_n"), ("sketch", "lead_sketch"))]
-            ), "leaders",
+            buckets.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= few)
+            .select("key", "place", F.col("node").alias("leader"), F.col("weight").alias("lead_weight")), "leaders",
         )
         after = (F.col("weight") < F.col("lead_weight")) | ((F.col("weight") == F.col("lead_weight")) & (F.col("node") < F.col("leader")))
-        pairs = written(_screened(buckets.join(leads, "key").where(after), spec), "pairs")
-        new = written(_verified(pairs, sets, spec).select(F.col("leader").alias("a"), F.col("node").alias("b")), "links")
+        met = buckets.join(leads, "key").where(after).select("leader", "node").distinct()
+        pairs = written(_screened(met, held, comps, spec), "pairs")
+        new = written(_verified(pairs, held, spec).select(F.col("leader").alias("a"), F.col("node").alias("b")), "links")
+        discard(pairs)
         if links is None or new.limit(1).count():
             links = new if links is None else links.union(new)
-            comps = written(components(links), "comps")
+            discard(comps)
+            comps = components(links)
         if few == 1:  # most links are known now; buckets that still hold several components go on
-            tagged = buckets.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            tagged = written(tagged, "tagged")
-            buckets, few = tagged.join(_open(tagged), "key", "left_semi"), FEW
+            tagged = written(_in_components(buckets.select("key", "node"), comps), "tagged")
+            discard(buckets, leads)
+            buckets = written(tagged.join(_open(tagged), "key", "left_semi").select("key", "node"), "open")
+            discard(tagged)
+            few = FEW
             continue
         # Members after the last leader, in buckets that still hold several components.
         last = leads.where(F.col("place") == few).select("key", F.col("leader").alias("_n"), F.col("lead_weight").alias("_w"))
-        rest = buckets.select("key", "node", "weight").join(last, "key").where(
-            (F.col("weight") < F.col("_w")) | ((F.col("weight") == F.col("_w")) & (F.col("node") < F.col("_n")))
-        ).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        rest = written(rest.select("key", "node", "comp"), "rest")
+        beyond = (F.col("weight") < F.col("_w")) | ((F.col("weight") == F.col("_w")) & (F.col("node") < F.col("_n")))
+        rest = written(_in_components(buckets.join(last, "key").where(beyond).select("key", "node"), comps), "rest")
         top = leads.where("place = 1").select("key", "leader")
         still = written(rest.join(_open(rest), "key", "left_semi").join(top, "key").select("leader", "node", "comp").distinct(), "still")
+        discard(rest, buckets, leads)
         if still.limit(1).count() == 0:
+            discard(still, held)
             return comps
-        prefix = written(_prefixes(still, sets, spec), "prefixes")
-        buckets = prefix.join(_open(prefix), "key", "left_semi").join(nodes, "node")
+        prefix = written(_prefixes(still, held, spec), "prefixes")
+        buckets = written(prefix.join(_open(prefix), "key", "left_semi").select("key", "node"), "open")
+        discard(still, prefix)
         few *= FEW
 
 
@@ -277,8 +356,8 @@ def keep_one(docs: DataFrame, spec: Spec, doc_id: str = "doc_id", text: str = "t
 
 def jaccard_components(docs: DataFrame, spec: Spec, doc_id: str = "doc_id", text: str = "text", with_hash: bool = False) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (smallest id linked, itself included); with_hash adds th and comp."""
-    sets = written(shingle_sets(docs, spec, doc_id, text), "shingles")
-    comps = link_classes(sets, spec)
+    sets = written(sized_nodes(docs, spec, doc_id, text), "shingles")
+    comps = link_classes(docs, spec, text)
     least = sets.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = written(least.join(comps, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp")), "classes")
     smallest = named.groupBy("comp").agg(F.min("least").alias("component_id"))

@@ -54,8 +54,8 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Three words, at least 90 of 100: one block a key is selective enough at this similarity.
-NEAR = jaccard.Spec(words=3, num=90, den=100, spare=0, blocks=1)
+#: Three words, at least 90 of 100.
+NEAR = jaccard.Spec(words=3, num=90, den=100)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

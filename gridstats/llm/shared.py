@@ -13,7 +13,8 @@ def shared_folder(spark: SparkSession) -> str:
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.gridstats.folder", "")
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="spark-")
     spark.conf.set("spark.gridstats.folder", own)
@@ -29,4 +30,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables of written(); no frame that is still to run may read them."""
+    for t in tables:
+        if t is not None:
+            spark = t.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(t.folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

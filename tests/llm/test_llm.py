@@ -331,7 +331,7 @@ def test_no_shingles_of_a_long_text_merge():
     assert sizes.tolist() == [n, 2] and (shingles.unpack(shingles.pack(values)) == values).all()
 
 
-@pytest.mark.parametrize("spec", [jaccard.Spec(3, 90, 100, 0, 1), jaccard.Spec()])
+@pytest.mark.parametrize("spec", [jaccard.Spec(3, 90, 100), jaccard.Spec()])
 def test_components_against_brute_force(spark, spec):
     rng = random.Random(8)
     vocab = [f"w{i}" for i in range(300)]
