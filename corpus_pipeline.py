@@ -14,7 +14,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 #: Five words, similarity 0.8.
-NEAR = jaccard.Spec(words=5, num=80, den=100, spare=1, blocks=3)
+NEAR = jaccard.Spec(words=5, num=80, den=100)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
