@@ -265,19 +265,17 @@ def _open(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
 
 
-def _in_components(rows: DataFrame, comps: DataFrame | None, node: str = "node", to: str = "comp") -> DataFrame:
-    """rows with the component of a node: the node itself, if it has no links."""
+def _in_components(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """rows with the component of their node: the node itself, if it has no links."""
     if comps is None:
-        return rows.withColumn(to, F.col(node))
-    known = comps.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
-    return rows.join(known, F.col(node) == F.col("_n"), "left").withColumn(to, F.coalesce("_c", node)).drop("_n", "_c")
+        return rows.withColumn("comp", F.col("node"))
+    return rows.join(comps.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def _screened(met: DataFrame, held: DataFrame, comps: DataFrame | None, spec: Spec) -> DataFrame:
-    """Pairs of different components whose sizes and sketches don't already tell that they are too far apart."""
-    apart = _in_components(_in_components(met, comps), comps, "leader", "lead_comp").where("comp <> lead_comp").select("leader", "node")
+def _screened(met: DataFrame, held: DataFrame, spec: Spec) -> DataFrame:
+    """Pairs whose sizes and sketches don't already tell that they are too far apart."""
     small = held.select("node", "n", "sketch")
-    both = apart.join(small, "node").join(small.select(F.col("node").alias("leader"), F.col("n").alias("lead_n"), F.col("sketch").alias("lead_sketch")), "leader")
+    both = met.join(small, "node").join(small.select(F.col("node").alias("leader"), F.col("n").alias("lead_n"), F.col("sketch").alias("lead_sketch")), "leader")
     bits = F.aggregate(F.zip_with("sketch", "lead_sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
     room = F.floor((F.col("n") + F.col("lead_n")) * (spec.den - spec.num) / (spec.den + spec.num))
     sizes = F.least("n", "lead_n") * spec.den >= F.greatest("n", "lead_n") * spec.num
@@ -299,17 +297,17 @@ def link_classes(docs: DataFrame, spec: Spec, text: str) -> DataFrame | None:
     rank = held.select("node", "weight")
     buckets, links, comps, few = first, None, None, 1
     while True:
-        weighed = written(buckets.join(rank, "node").select("key", "node", "weight"), "weighed")
+        weighed = written(_in_components(buckets.join(rank, "node").select("key", "node", "weight"), comps), "weighed")
         discard(buckets)
         buckets = weighed
         ranked = Window.partitionBy("key").orderBy(F.desc("weight"), F.desc("node"))
         leads = written(
             buckets.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= few)
-            .select("key", "place", F.col("node").alias("leader"), F.col("weight").alias("lead_weight")), "leaders",
+            .select("key", "place", F.col("node").alias("leader"), F.col("weight").alias("lead_weight"), F.col("comp").alias("lead_comp")), "leaders",
         )
         after = (F.col("weight") < F.col("lead_weight")) | ((F.col("weight") == F.col("lead_weight")) & (F.col("node") < F.col("leader")))
-        met = buckets.join(leads, "key").where(after).select("leader", "node").distinct()
-        pairs = written(_screened(met, held, comps, spec), "pairs")
+        met = buckets.join(leads, "key").where(after & (F.col("comp") != F.col("lead_comp"))).select("leader", "node").distinct()
+        pairs = written(_screened(met, held, spec), "pairs")
         new = written(_verified(pairs, held, spec).select(F.col("leader").alias("a"), F.col("node").alias("b")), "links")
         discard(pairs)
         if links is None or new.limit(1).count():
