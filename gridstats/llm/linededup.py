@@ -1,19 +1,23 @@
-"""Line dedup: runs of lines that stand earlier in the corpus are deleted, DataFrame functions only.
-
-A run of consecutive non-blank lines counts if it holds at least `min_chars` characters or
-`min_lines` lines.  Windows are the shortest such runs from each line forwards and backwards.
-
-1. Winnowing: each window selects the smallest of its line hashes as its fingerprint, so any two
-   equal runs that count share one.
-2. Fingerprints at one position only are dropped (join on fingerprints that repeat).
-3. Extension: around the shared fingerprints the windows themselves are compared by a hash of
-   all their lines.  A run that repeats is the union of its windows, however far it reaches
-   either way from a fingerprint; a window whose content starts earlier elsewhere is deleted.
-
-The order is (doc_id, text hash, line); null ids come first.  Of any line one copy always stays.
-Rows that repeat an id and its text are one place: they get the same result.  Lines are compared
-without blanks at either end; blank lines are never deleted.  Null text stays null, with 0 lines.
-Only hashes and positions move until the last join, which moves every text once.
+"""Line dedup by winnowing: runs of lines that stand earlier in the corpus are deleted, DataFrame functions only.
+
+1. The gram of a non-blank line is the shortest run of non-blank lines from it on that holds at least `min_chars`
+   characters or `min_lines` lines (a long line alone is one); the last lines of a text may have none.
+2. Winnowing: the window of a line is the lines of its gram.  Each window selects the line whose gram has the smallest
+   digest (of equal ones the first); only selected lines are fingerprints.  So every repeated line of `min_chars`
+   characters is selected, and every repeated run that holds a window and the grams of its lines (twice `min_chars`
+   characters or `min_lines` lines are enough) has a selected line in common with its copies.
+3. A fingerprint's first place in the corpus is its origin; every later place is joined to it.
+4. Extension: from the joined places the lines before and after are compared until they differ.  A line of `min_chars`
+   characters ends the comparison, as it is a fingerprint of its own; short lines between two fingerprints are
+   fewer than `min_lines`, and after the last one of a run fewer than 2 * min_lines, so no more need to be compared.
+5. The later run is deleted: the fingerprint's line and the lines that matched on either side.
+
+Lines are compared by 128-bit digests of their whole text, without blanks at either end, never by 64-bit hashes alone.
+A deleted line always has an equal one earlier, so of any line one copy stays.  The order is (doc_id, text hash, line);
+null ids come first.  Rows that repeat an id and its text are one place: they get the same result.  Blank lines are never
+deleted.  Null text stays null, with 0 lines; empty text is one blank line.  Texts of any length are taken whole; a text
+gives at most one row a line.  An empty table gives no rows.  Extra columns are kept; n_lines and n_removed of the input
+are replaced.  Only digests and positions move until the last join, which moves every text once.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridstats.llm.shared import written
+from gridstats.llm.shared import discard, written
 
 MIN_CHARS = 40
 MIN_LINES = 4
@@ -33,14 +37,16 @@ def let(value: Column, body) -> Column:  # noqa: ANN001
     return F.transform(F.array(value), body)[0]
 
 
-def _windows(text: Column, min_chars: int, min_lines: int) -> Column:
-    """array<struct<first, lines, fp, gram>> over the non-blank lines of a text; lines from 0."""
-    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), F.trim(x, F.lit(BLANK)).alias("t")))
-    filled = F.filter(lines, lambda x: x["t"] != "")
-    hashed = F.transform(filled, lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["t"]).alias("h"), F.length(x["t"]).alias("n")))
+def _fingerprints(text: Column, min_chars: int, min_lines: int) -> Column:
+    """array<struct<key, line, left, right>> of the selected lines; left and right: neighbours (line, digest), nearest first."""
+    raw = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), F.trim(x, F.lit(BLANK)).alias("t")))
+    lines = F.transform(
+        F.filter(raw, lambda x: x["t"] != ""),
+        lambda x: F.struct(x["i"].alias("i"), F.md5(x["t"]).alias("h"), F.length(x["t"]).alias("n")),
+    )
 
     def shortest(run: Column) -> Column:
-        """How many lines from the start of a run of up to min_lines lines make it count; 0: none."""
+        """How many lines from the start of a run of up to min_lines lines make a gram; 0: none."""
         zero = F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"), F.lit(0).alias("r"))
         return F.aggregate(
             run, zero,
@@ -51,49 +57,75 @@ def _windows(text: Column, min_chars: int, min_lines: int) -> Column:
             lambda a: a["r"],
         )
 
-    def window(run: Column) -> Column:
+    def gram(ls: Column, x: Column, j: Column) -> Column:
+        k = F.when(x["n"] >= min_chars, F.lit(1)).otherwise(shortest(F.slice(ls, j + 1, F.lit(min_lines))))
+        return let(k, lambda k: F.struct(
+            F.when(k == 1, x["h"]).when(k > 1, F.md5(F.array_join(F.transform(F.slice(ls, j + 1, k), lambda y: y["h"]), ""))).alias("key"),
+            j.alias("j"), k.alias("k"),
+        ))
+
+    def chosen(gs: Column) -> Column:
+        """Positions of the window minima."""
+        return F.array_distinct(F.transform(
+            F.filter(gs, lambda g: g["k"] > 0),
+            lambda g: F.when(g["k"] == 1, g["j"]).otherwise(F.array_min(F.filter(F.slice(gs, g["j"] + 1, g["k"]), lambda y: y["k"] > 0))["j"]),
+        ))
+
+    def short_ones(run: Column) -> Column:
+        """The lines of a run before its first long one, without their lengths."""
+        return let(run, lambda r: F.transform(
+            F.slice(r, F.lit(1), F.coalesce(F.nullif(F.array_position(F.transform(r, lambda x: x["n"] >= min_chars), True), F.lit(0)) - 1, F.size(r).cast("long")).cast("int")),
+            lambda x: F.struct(x["i"].alias("i"), F.unhex(x["h"]).alias("h")),
+        ))
+
+    def fingerprint(ls: Column, gs: Column, j: Column) -> Column:
+        start = F.greatest(j + 2 - min_lines, F.lit(1))
         return F.struct(
-            run[0]["i"].alias("first"), F.transform(run, lambda x: x["i"]).alias("lines"),
-            F.array_min(F.transform(run, lambda x: x["h"])).alias("fp"),
-            F.xxhash64(F.transform(run, lambda x: x["h"])).alias("gram"),
+            F.unhex(gs[j]["key"]).alias("key"), ls[j]["i"].alias("line"),
+            short_ones(F.reverse(F.slice(ls, start, j + 1 - start))).alias("left"),
+            short_ones(F.slice(ls, j + 2, F.lit(2 * min_lines - 1))).alias("right"),
         )
 
-    empty = F.array().cast("array<struct<first:int,lines:array<int>,fp:bigint,gram:bigint>>")
+    return let(lines, lambda ls: let(
+        F.transform(ls, lambda x, j: gram(ls, x, j)),
+        lambda gs: F.transform(chosen(gs), lambda j: fingerprint(ls, gs, j)),
+    ))
 
-    def at(ls: Column, x: Column, j: Column) -> Column:
-        ahead = lambda: F.slice(ls, j + 1, F.lit(min_lines))
-        start = F.greatest(j + 2 - min_lines, F.lit(1))
-        behind = lambda: F.reverse(F.slice(ls, start, j + 2 - start))
-        alone = F.array(F.struct(x["i"].alias("first"), F.array(x["i"]).alias("lines"), x["h"].alias("fp"), F.xxhash64(F.array(x["h"])).alias("gram")))
-        fwd = let(shortest(ahead()), lambda k: F.when(k > 0, F.array(window(F.slice(ls, j + 1, k)))).otherwise(empty))
-        bwd = let(shortest(behind()), lambda k: F.when(k > 0, F.array(window(F.slice(ls, j + 2 - k, k)))).otherwise(empty))
-        return F.when(x["n"] >= min_chars, alone).otherwise(F.array_union(fwd, bwd))
 
-    return let(hashed, lambda ls: F.flatten(F.transform(ls, lambda x, j: at(ls, x, j))))
+def _same(own: Column, origin: Column) -> Column:
+    """Line numbers of own as far as its digests and those of origin agree."""
+    agree = F.transform(F.zip_with(own, origin, lambda a, b: F.coalesce(a["h"] == b, F.lit(False))), lambda x: x)
+    return let(agree, lambda a: F.transform(
+        F.slice(own, F.lit(1), F.coalesce(F.nullif(F.array_position(a, False), F.lit(0)) - 1, F.size(a).cast("long")).cast("int")), lambda x: x["i"]
+    ))
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_lines: int = MIN_LINES) -> DataFrame:
     """(doc_id, th, lines): the lines to delete, numbered from 0, of each text that has any; th is the text's hash."""
     w = written(docs.select(
         F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"),
-        F.explode(_windows(F.col(text), min_chars, min_lines)).alias("w"),
-    ).select("doc_id", "th", "w.*"), "linewindows")
-    place = lambda: F.struct(F.col("doc_id").alias("doc_id"), F.col("th").alias("th"), F.col("first").alias("first"))
+        F.explode(_fingerprints(F.col(text), min_chars, min_lines)).alias("w"),
+    ).select("doc_id", "th", "w.*"), "fingerprints")
+    place = lambda: F.struct(F.col("doc_id").alias("doc_id"), F.col("th").alias("th"), F.col("line").alias("line"))
     # Written, so that both sides of each join are exchanges of their own and a very common line's rows can be split.
-    fps = written(w.groupBy("fp").agg(F.min(place()).alias("a"), F.max(place()).alias("b")).where("a <> b").select("fp"), "fingerprints")
-    near = written(w.join(fps, "fp", "left_semi"), "sharedwindows")
-    grams = written(
-        near.groupBy("gram").agg(F.min(place()).alias("origin"), F.max(place()).alias("b")).where("origin <> b").select("gram", "origin"), "origins"
+    first = written(w.groupBy("key").agg(F.min(place()).alias("origin"), F.max(place()).alias("last")).where("origin <> last").select("key", "origin"), "origins")
+    met = written(w.join(first, "key"), "repeated")
+    here = place() == F.col("origin")
+    digests = lambda c: F.transform(c, lambda x: x["h"])
+    origins = written(
+        met.where(here).groupBy("key").agg(F.first(digests("left")).alias("before"), F.first(digests("right")).alias("after")), "neighbours"
     )
-    later = near.join(grams, "gram").where(place() != F.col("origin"))
-    return (
-        later.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("lines"))
+    later = met.where(~here).join(origins, "key").select(
+        "doc_id", "th", F.concat(F.array("line"), _same(F.col("left"), F.col("before")), _same(F.col("right"), F.col("after"))).alias("lines")
     )
+    out = written(later.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("lines")), "deleted")
+    discard(w, first, met, origins)
+    return out
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_lines: int = MIN_LINES) -> DataFrame:
     """The input with `text` cut, and n_lines (all lines before), n_removed (lines deleted)."""
-    src = docs.drop(*[c for c in ("n_lines", "n_removed", "_th", "_lines") if c not in (doc_id, text)])
+    src = docs.drop(*[c for c in ("n_lines", "n_removed", "_th", "_id", "_key", "_lines") if c not in (doc_id, text)])
     gone = repeated_lines(src, doc_id, text, min_chars, min_lines).select(
         F.col("doc_id").alias("_id"), F.col("th").alias("_key"), F.col("lines").alias("_lines")
     )

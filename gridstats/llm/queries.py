@@ -109,19 +109,23 @@ ORACLE: dict[str, str] = {
     "op4_line_dedup": """
         WITH l0 AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL),
         l AS (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS raw FROM l0),
-        f AS (SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r,
+        f AS (SELECT doc_id, i, t, md5(t) AS h, length(t) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r,
                      sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i) AS c
               FROM (SELECT doc_id, i, trim(raw, ' ' || chr(9) || chr(13)) AS t FROM l) WHERE t <> ''),
-        runs AS (SELECT a.doc_id, a.i AS s, b.i AS e, a.r AS ra, b.r AS rb,
-                        array_to_string(list(m.t ORDER BY m.r), chr(10)) AS body
-                 FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.r BETWEEN a.r AND a.r + 3
-                      JOIN f m ON m.doc_id = a.doc_id AND m.r BETWEEN a.r AND b.r
-                 WHERE b.c - a.c + length(a.t) >= 40 OR b.r - a.r = 3
-                 GROUP BY ALL),
-        w AS (SELECT doc_id, s, e, body FROM (SELECT *, min(rb) OVER (PARTITION BY doc_id, ra) AS nb,
-                     max(ra) OVER (PARTITION BY doc_id, rb) AS na FROM runs) WHERE rb = nb OR ra = na),
-        k AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, s) AS n FROM w),
-        gone AS (SELECT DISTINCT k.doc_id, f.i FROM k JOIN f ON f.doc_id = k.doc_id AND f.i BETWEEN k.s AND k.e WHERE n > 1)
+        k AS (SELECT a.doc_id, a.r, min(b.r - a.r + 1) AS k FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.r BETWEEN a.r AND a.r + 3
+              WHERE b.c - a.c + a.n >= 40 OR b.r - a.r = 3 GROUP BY ALL),
+        g AS (SELECT k.doc_id, k.r, k.k, CASE WHEN k.k = 1 THEN min(m.h) ELSE md5(string_agg(m.h, '' ORDER BY m.r)) END AS key
+              FROM k JOIN f m ON m.doc_id = k.doc_id AND m.r BETWEEN k.r AND k.r + k.k - 1 GROUP BY k.doc_id, k.r, k.k),
+        s AS (SELECT DISTINCT doc_id, r, key FROM (
+              SELECT a.doc_id, b.r, b.key, row_number() OVER (PARTITION BY a.doc_id, a.r ORDER BY b.key, b.r) AS q
+              FROM g a JOIN g b ON a.doc_id = b.doc_id AND b.r BETWEEN a.r AND a.r + a.k - 1) WHERE q = 1),
+        o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, r) AS q FROM s),
+        m AS (SELECT b.doc_id, b.r, a.doc_id AS od, a.r AS og FROM o a JOIN o b ON a.key = b.key AND a.q = 1 AND b.q > 1),
+        x AS (SELECT m.*, d FROM m CROSS JOIN (SELECT unnest(range(-3, 8)) AS d) WHERE d <> 0),
+        y AS (SELECT x.doc_id, x.r, x.d, b.i, row_number() OVER (PARTITION BY x.doc_id, x.r, x.d > 0 ORDER BY abs(x.d)) AS q
+              FROM x JOIN f b ON b.doc_id = x.doc_id AND b.r = x.r + x.d JOIN f a ON a.doc_id = x.od AND a.r = x.og + x.d
+              WHERE a.t = b.t AND b.n < 40),
+        gone AS (SELECT doc_id, i FROM y WHERE q = abs(d) UNION SELECT m.doc_id, f.i FROM m JOIN f ON f.doc_id = m.doc_id AND f.r = m.r)
         SELECT d.doc_id, coalesce(x.text, CASE WHEN d.text IS NOT NULL THEN '' END) AS text,
                CAST(coalesce(x.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(x.g, 0) AS BIGINT) AS n_removed
         FROM documents d LEFT JOIN (
