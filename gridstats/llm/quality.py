@@ -1,19 +1,23 @@
 """Quality classifier by compression.
 
-Two zstandard dictionaries are raw samples of good and of bad labelled text.  A text is
-compressed with either and with none; the normalised difference of the compressed sizes and the compressed rate
-(sizes over length, so that texts of any length compare) become a score by a logistic
-calibration on labelled rows.  Only the text enters a score.
-
-Training uses at most SAMPLE labelled texts of each class (those with the smallest hash of the id) and at
-most PIECE characters of each; scoring reads every whole text.  Null text is scored as empty text,
-and empty text has a defined score.  Labels are read where not null.  If a class has no labelled row,
-every score is the share of good labels.  Repeated rows score alike; other columns are kept, clashing names replaced.
+Two zstandard dictionaries are trained on pieces of good and of bad labelled texts.  A text is compressed with either,
+in pieces of PIECE bytes so that the dictionary and not the text itself explains each; the difference of the two
+compressed sizes over the larger one is all that enters a score.  A logistic curve over it, fitted on labelled rows that no
+dictionary has seen and never falling, makes it the probability of label 1.
+
+Training uses at most SAMPLE labelled texts of each class (those with the smallest hash of the id), two thirds for the
+dictionaries and one third for the curve.  Of the former's pieces, from all through the texts, at most PIECES of
+each class go into a dictionary (those with the smallest hash); the latter are compressed whole where they lie, and only their
+differences are collected.  Scoring reads every whole text, of any length, in bounded memory.
+
+Null text is scored as empty text; its difference is 0, so empty texts share a defined score.  Labels other than 0 and 1, null labels and
+null ids teach nothing; of labels that repeat an id one counts.  If a class has no labelled row, every score is the share of
+good labels (0.5 without any).  Repeated rows score alike.  An empty table gives no rows.  Other columns are kept, `score` and
+`predicted` of the input are replaced.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,9 +27,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 1500
-PIECE = 6000
-DICTIONARY = 110_000  # bytes
+SAMPLE = 1500  # texts of a class
+PIECES = 3000  # of a class, for its dictionary
+LEARN = 2000  # characters of such a piece
+DICTIONARY = 16_000  # bytes
+PIECE = 400  # bytes that are compressed at once
 LEVEL = 3
 THRESHOLD = 0.3
 
@@ -37,105 +43,103 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 
 @dataclass(frozen=True)
 class Model:
+    """Dictionaries and curve: score = 1 / (1 + exp(-(start + slope * difference))); prior alone if there is no curve."""
+
     good: bytes
     bad: bytes
-    mean: tuple[float, ...]
-    scale: tuple[float, ...]
-    weights: tuple[float, ...]
+    curve: tuple[float, float] | None
     prior: float
 
 
+def dictionary(pieces: list[bytes], size: int = DICTIONARY) -> bytes:
+    """Trained on the pieces, or made of them if they are too few to train on."""
+    try:
+        return zstandard.train_dictionary(size, pieces).as_bytes()
+    except zstandard.ZstdError:
+        return b"\n".join(pieces)[-size:].ljust(64, b" ")
+
+
 class Scorer:
-    """Compressors of a model; one per task."""
+    """The two compressors; one pair a task."""
 
-    def __init__(self, model: Model) -> None:
-        self.model = model
-        made = []
-        for d in (model.good, model.bad):
-            z = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    def __init__(self, good: bytes, bad: bytes) -> None:
+        self.pair = []
+        for d in (good, bad):
+            z = zstandard.ZstdCompressionDict(d)
             z.precompute_compress(level=LEVEL)
-            made.append(zstandard.ZstdCompressor(dict_data=z, write_content_size=False))
-        self.good, self.bad = made
-        self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
+            self.pair.append(zstandard.ZstdCompressor(dict_data=z, write_content_size=False, write_dict_id=False))
 
-    def features(self, text: str | None) -> list[float]:
+    def sizes(self, text: str | None) -> tuple[int, int]:
         data = b"" if text is None else text.encode("utf-8", "surrogatepass")
-        n = len(data) + 16
-        g, b, p = (len(c.compress(data)) for c in (self.good, self.bad, self.plain))
-        diff = (b - g) / max(b, g)
-        rate = g / n
-        return [diff, rate, p / n, diff * rate, np.log(n), rate * np.log(n), (b - g) / n]
-
-    def scores(self, texts: Iterator[str | None]) -> np.ndarray:
-        x = np.array([self.features(t) for t in texts], float).reshape(-1, 7)
-        return calibrated(self.model, x)
-
-
-def calibrated(model: Model, x: np.ndarray) -> np.ndarray:
-    if not model.weights:
-        return np.full(len(x), model.prior)
-    z = terms((x - np.array(model.mean)) / np.array(model.scale)) @ np.array(model.weights)
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-
-def terms(z: np.ndarray) -> np.ndarray:
-    """Constant, linear and product terms of standardised features."""
-    z = np.clip(z, -6, 6)
-    i, j = np.triu_indices(z.shape[1])
-    return np.concatenate([np.ones((len(z), 1)), z, z[:, i] * z[:, j]], axis=1)
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Newton steps with a small ridge."""
-    w = np.zeros(x.shape[1])
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + np.eye(x.shape[1]) * 1.0
-        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - w)
-        w = w + step
-        if np.abs(step).max() < 1e-6:
+        pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
+        good, bad = (sum(len(c.compress(p)) for p in pieces) for c in self.pair)
+        return good, bad
+
+    def difference(self, text: str | None) -> float:
+        """From -1 to 1; positive if the good dictionary compresses better."""
+        good, bad = self.sizes(text)
+        return (bad - good) / max(good, bad, 1)
+
+
+def probability(difference: np.ndarray, curve: tuple[float, float]) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(curve[0] + curve[1] * difference, -30, 30)))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+    """(start, slope) by Newton steps, the slope at least 0."""
+    mean, scale = float(x.mean()), float(x.std()) or 1.0
+    z = np.stack([np.ones(len(x)), (x - mean) / scale], axis=1)
+    w = np.zeros(2)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        h = (z * (weight * p * (1 - p) + 1e-9)[:, None]).T @ z + ridge * np.eye(2)
+        step = np.linalg.solve(h, z.T @ (weight * (y - p)) - ridge * w)
+        w = w + np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-8:
             break
-    return w
+    slope = max(w[1] / scale, 0.0)
+    return float(w[0] - slope * mean), float(slope)
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
-    """Two thirds of the sample build the dictionaries, the last third calibrates."""
     y = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).where(
         F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id"))
-    ).dropDuplicates(["_id"])
+    ).groupBy("_id").agg(F.min("_y").alias("_y"))
     counts = {r["_y"]: r["n"] for r in y.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.5
     if len(counts) < 2:
-        return Model(b"", b"", (), (), (), prior)
-    order = [F.xxhash64("_id"), F.col("_id")]
+        return Model(b"", b"", None, prior)
     picked = None
     for c in (0, 1):
-        part = y.where(F.col("_y") == c).orderBy(*order).limit(sample)
+        part = y.where(F.col("_y") == c).orderBy(F.xxhash64("_id"), "_id").limit(sample)
         picked = part if picked is None else picked.union(part)
-    rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.substring(F.col(text), 1, PIECE), F.lit("")).alias("_t")).join(
-        F.broadcast(picked), "_id"
-    ).dropDuplicates(["_id"]).collect()  # at most 2 * sample rows of PIECE characters
-    rows.sort(key=lambda r: (zlib.crc32(str(r["_id"]).encode()), r["_id"]))
-    by = {c: [r["_t"] for r in rows if r["_y"] == c] for c in (0, 1)}
-    if not by[0] or not by[1]:
-        return Model(b"", b"", (), (), (), prior)
-    built = {}
-    for c, texts in by.items():
-        learn = texts[: max(1, len(texts) * 2 // 3)]
-        share = max(64, DICTIONARY // len(learn))
-        # Spread over many texts; pieces from within each, as junk and prose differ throughout.
-        pieces = [t.encode()[len(t) // 3 : len(t) // 3 + share * 4] for t in learn[:: max(1, len(learn) * share * 4 // DICTIONARY)]]
-        built[c] = b"\n".join(pieces)[:DICTIONARY].ljust(64, b" ")
-    model = Model(built[1], built[0], (), (), (), prior)
-    scorer = Scorer(model)
-    use = [(c, t) for c in (0, 1) for t in by[c][len(by[c]) * 2 // 3 :] or by[c]]
-    x = np.array([scorer.features(t) for _, t in use])
-    truth = np.array([c for c, _ in use], float)
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    share = np.where(truth == 1, prior / truth.mean(), (1 - prior) / (1 - truth.mean()))
-    w = _logistic(terms((x - mean) / scale), truth, share)
-    return Model(model.good, model.bad, tuple(mean), tuple(scale), tuple(w), prior)
+    rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(picked), "_id")  # at most 2 * sample
+    teaches = F.pmod(F.xxhash64(F.lit("role"), "_id"), F.lit(3)) < 2
+    stretches = rows.where(teaches & (F.length("_t") > 0)).select(
+        "_id", "_y", "_t", F.explode(F.sequence(F.lit(0), F.floor((F.length("_t") - 1) / LEARN).cast("int"))).alias("_k")
+    )
+    order = F.xxhash64("_id", "_k")
+    learn: dict[int, list[bytes]] = {}
+    for c in (0, 1):
+        few = stretches.where(F.col("_y") == c).select(order.alias("o"), F.expr(f"substring(_t, _k * {LEARN} + 1, {LEARN})").alias("piece")).orderBy("o", "piece")
+        learn[c] = [r["piece"].encode("utf-8", "surrogatepass") for r in few.limit(PIECES).collect()]
+    if not learn[0] or not learn[1]:
+        return Model(b"", b"", None, prior)
+    good, bad = dictionary(learn[1]), dictionary(learn[0])
+
+    @F.pandas_udf("double")
+    def difference(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(good, bad)
+        for s in batches:
+            yield pd.Series([scorer.difference(t) for t in s], dtype=float)
+
+    seen = rows.where(~teaches).select("_y", difference(F.col("_t")).alias("d")).toPandas()  # two numbers a row
+    truth, x = seen["_y"].to_numpy(float), seen["d"].to_numpy(float)
+    if not 0 < truth.sum() < len(truth):
+        return Model(good, bad, (float(np.log(prior / (1 - prior))), 10.0), prior)
+    weight = np.where(truth == 1, prior / truth.mean(), (1 - prior) / (1 - truth.mean()))
+    return Model(good, bad, logistic(x, truth, weight), prior)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -144,8 +148,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(model) if model.weights else None
+        scorer = Scorer(model.good, model.bad) if model.curve else None
         for s in batches:
-            yield pd.Series(scorer.scores(s) if scorer else np.full(len(s), model.prior))
+            yield pd.Series(
+                probability(np.array([scorer.difference(t) for t in s], float), model.curve) if scorer else np.full(len(s), model.prior)
+            )
 
     return src.withColumn("score", scored(F.col(text))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -11,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from gridstats.llm import ann, decontam, graph, jaccard, licenses, linededup, mixing, pii, quality, shingles, tokencount, warc
@@ -296,23 +297,44 @@ def test_mix_meets_targets(spark):
 # 6. Quality
 
 
-def test_quality_on_held_out_rows(spark):
-    sf = Path("/root/testdata/sf0.01")
-    docs, labels = (spark.read.parquet(str(sf / f"{n}.parquet")) for n in ("documents", "labels"))
+def area(scores, truth):
+    """Share of pairs of a good and a bad row in the right order."""
+    good, bad = (np.array([s for s, y in zip(scores, truth, strict=True) if y == k]) for k in (1, 0))
+    return float(((good[:, None] > bad).mean() + (good[:, None] >= bad).mean()) / 2)
+
+
+@pytest.mark.parametrize(("sf", "least"), [("sf0.01", 0.95), ("sf0.1", 0.94)])
+def test_quality_on_held_out_rows(spark, sf, least):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{n}.parquet") for n in ("documents", "labels"))
     model = quality.fit(docs, labels)
     out = quality.score(docs, model).join(labels, "doc_id").where(quality.held_out(F.col("doc_id"))).collect()
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in out)
-    assert sum(r["predicted"] == r["quality"] for r in out) / len(out) > 0.9
+    assert sum(r["predicted"] == r["quality"] for r in out) / len(out) > 0.93
+    assert area([r["score"] for r in out], [r["quality"] for r in out]) > least
+    # The score by hand: two sizes of the whole text, their difference, one curve that never falls.
+    for r in sorted(out, key=lambda r: -len(r["text"] or ""))[:20]:
+        data, sizes = (r["text"] or "").encode(), []
+        for d in (model.good, model.bad):
+            z = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False)
+            sizes.append(sum(len(z.compress(data[i : i + quality.PIECE])) for i in range(0, len(data), quality.PIECE)))
+        x = (sizes[1] - sizes[0]) / max(*sizes, 1)
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-(model.curve[0] + model.curve[1] * x))), abs=0.01)
+    assert model.curve[1] > 0
 
 
 def test_quality_of_odd_rows(spark):
     rows = docs_of(spark, [(i, f"good plain words in a row {i} and more of them") for i in range(1, 40)] + [(i, "### $$$ !!!") for i in range(40, 80)])
-    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(1, 80)], "doc_id long, quality int")
+    labels = spark.createDataFrame([*((i, int(i < 40)) for i in range(1, 80)), (None, 1), (3, None), (500, 1), (7, 1)], "doc_id long, quality int")
     model = quality.fit(rows, labels)
-    out = quality.score(docs_of(spark, ODD, score="x"), model).collect()
-    assert len(out) == len(ODD) and all(0 <= r["score"] <= 1 for r in out)
+    out = quality.score(docs_of(spark, [*ODD, (9, "x y " * 200_000)], score="x"), model).collect()
+    assert len(out) == len(ODD) + 1 and all(0 <= r["score"] <= 1 for r in out)
+    assert len({r["score"] for r in out if not r["text"]}) == 1
     one = quality.fit(rows, labels.where("quality = 1"))
     assert {r["score"] for r in quality.score(docs_of(spark, ODD), one).collect()} == {1.0}
+    none = quality.fit(rows, labels.limit(0))
+    assert {r["score"] for r in quality.score(docs_of(spark, ODD), none).collect()} == {0.5}
+    assert quality.score(docs_of(spark, []), model).count() == 0
+    assert quality.fit(docs_of(spark, []), labels).curve is None
 
 
 # 7. Archive
