@@ -28,12 +28,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridstats.llm.graph import components
@@ -43,6 +44,8 @@ from gridstats.llm.shingles import U, chunks, mix, sets_of
 
 #: Bits of the sketch by which pairs are screened.
 SKETCH = 512
+#: The longs of that sketch.
+WORDS = tuple(f"s{i}" for i in range(SKETCH // 64))
 #: Leaders of a bucket at each level are so many times those at the level before.
 FEW = 36
 #: Sets of any size that can be held have a band.
@@ -176,7 +179,7 @@ def _buckets(docs: DataFrame, spec: Spec, text: str) -> DataFrame:
 
 
 def _bodies(docs: DataFrame, spec: Spec, text: str, weights: DataFrame) -> DataFrame:
-    """(node, n, sketch, body, weight) of the nodes in weights: size, bit sketch and packed text."""
+    """(node, n, s0, s1, ..., body, weight) of the nodes in weights: size, bit sketch and packed text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -189,11 +192,11 @@ def _bodies(docs: DataFrame, spec: Spec, text: str, weights: DataFrame) -> DataF
                     seen.add(node)
                     new.append(k)
             if new:
-                yield pd.DataFrame({"node": nodes[new], "n": sizes[new].astype(np.int64), "sketch": list(bits[new]), "body": [press.compress(texts[k]) for k in new]})
+                yield pd.DataFrame({"node": nodes[new], "n": sizes[new].astype(np.int64), **{c: bits[new, i] for i, c in enumerate(WORDS)}, "body": [press.compress(texts[k]) for k in new]})
 
-    all_ = docs.select(F.col(text).alias("text")).mapInPandas(run, "node long, n long, sketch array<long>, body binary")
+    all_ = docs.select(F.col(text).alias("text")).mapInPandas(run, "node long, n long, " + "".join(f"{c} long, " for c in WORDS) + "body binary")
     # Merge joins at every size: a table that is broadcast when it is small would hide what the exchange costs.
-    return all_.hint("merge").join(weights, "node").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "body", "weight")])
+    return all_.hint("merge").join(weights, "node").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", *WORDS, "body", "weight")])
 
 
 class _Sets:
@@ -272,55 +275,45 @@ def _in_components(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
     return rows.join(comps.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def _screened(met: DataFrame, held: DataFrame, spec: Spec) -> DataFrame:
-    """Pairs whose sizes and sketches don't already tell that they are too far apart."""
-    small = held.select("node", "n", "sketch")
-    both = met.join(small, "node").join(small.select(F.col("node").alias("leader"), F.col("n").alias("lead_n"), F.col("sketch").alias("lead_sketch")), "leader")
-    bits = F.aggregate(F.zip_with("sketch", "lead_sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
+def _may_link(spec: Spec) -> Column:
+    """Sizes and sketches of node and leader don't already tell that they are too far apart."""
+    bits = reduce(add, (F.bit_count(F.col(c).bitwiseXOR(F.col(f"lead_{c}"))) for c in WORDS))
     room = F.floor((F.col("n") + F.col("lead_n")) * (spec.den - spec.num) / (spec.den + spec.num))
-    sizes = F.least("n", "lead_n") * spec.den >= F.greatest("n", "lead_n") * spec.num
-    return both.where(sizes & (bits <= room)).select("leader", "node")
+    return (F.least("n", "lead_n") * spec.den >= F.greatest("n", "lead_n") * spec.num) & (bits <= room)
 
 
 def link_classes(docs: DataFrame, spec: Spec, text: str) -> DataFrame | None:
     """(node, comp) for nodes with a link; comp is one of the nodes.
 
-    The order of leaders is fixed once: by buckets, then node.  A bucket's first leaders (one, then FEW, then FEW
-    squared, and so on) meet the members after them that lie in other components: sketches screen the pairs, sets
-    verify them.  The rest of a bucket meets again by its difference from the first leader, which comes before all of
+    The order of leaders is fixed once: by buckets, then node.  A bucket's first leaders (one, then FEW in buckets of
+    differences, then FEW squared, and so on) meet the members after them that lie in other components: sketches screen the
+    pairs, sets verify them.  The rest of a bucket meets again by its difference from the first leader, which comes before all of
     them; so leaders of buckets within buckets descend, more of them lead at each level, and two nodes that
     stay together meet in the end.
     """
     first = written(_buckets(docs, spec, text), "buckets")
     weights = first.groupBy("node").agg(F.count("*").alias("weight"))
     held = written(_bodies(docs, spec, text, weights), "nodes")
-    rank = held.select("node", "weight")
+    rank = held.select("node", "weight", "n", *WORDS)
     buckets, links, comps, few = first, None, None, 1
     while True:
-        weighed = written(_in_components(buckets.join(rank, "node").select("key", "node", "weight"), comps), "weighed")
+        weighed = written(_in_components(buckets.join(rank, "node"), comps), "weighed")
         discard(buckets)
         buckets = weighed
         ranked = Window.partitionBy("key").orderBy(F.desc("weight"), F.desc("node"))
         leads = written(
             buckets.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= few)
-            .select("key", "place", F.col("node").alias("leader"), F.col("weight").alias("lead_weight"), F.col("comp").alias("lead_comp")), "leaders",
+            .select("key", "place", F.col("node").alias("leader"), *[F.col(c).alias(f"lead_{c}") for c in ("weight", "comp", "n", *WORDS)]), "leaders",
         )
         after = (F.col("weight") < F.col("lead_weight")) | ((F.col("weight") == F.col("lead_weight")) & (F.col("node") < F.col("leader")))
-        met = buckets.join(leads, "key").where(after & (F.col("comp") != F.col("lead_comp"))).select("leader", "node").distinct()
-        pairs = written(_screened(met, held, spec), "pairs")
+        met = buckets.join(leads, "key").where(after & (F.col("comp") != F.col("lead_comp")) & _may_link(spec))
+        pairs = written(met.select("leader", "node").distinct(), "pairs")
         new = written(_verified(pairs, held, spec).select(F.col("leader").alias("a"), F.col("node").alias("b")), "links")
         discard(pairs)
         if links is None or new.limit(1).count():
             links = new if links is None else links.union(new)
             discard(comps)
             comps = components(links)
-        if few == 1:  # most links are known now; buckets that still hold several components go on
-            tagged = written(_in_components(buckets.select("key", "node"), comps), "tagged")
-            discard(buckets, leads)
-            buckets = written(tagged.join(_open(tagged), "key", "left_semi").select("key", "node"), "open")
-            discard(tagged)
-            few = FEW
-            continue
         # Members after the last leader, in buckets that still hold several components.
         last = leads.where(F.col("place") == few).select("key", F.col("leader").alias("_n"), F.col("lead_weight").alias("_w"))
         beyond = (F.col("weight") < F.col("_w")) | ((F.col("weight") == F.col("_w")) & (F.col("node") < F.col("_n")))
@@ -331,6 +324,7 @@ def link_classes(docs: DataFrame, spec: Spec, text: str) -> DataFrame | None:
         if still.limit(1).count() == 0:
             discard(still, held)
             return comps
+        # Most links are known now.  Buckets of common passages and of looser copies, which stay large, are left at once.
         prefix = written(_prefixes(still, held, spec), "prefixes")
         buckets = written(prefix.join(_open(prefix), "key", "left_semi").select("key", "node"), "open")
         discard(still, prefix)
