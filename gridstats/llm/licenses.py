@@ -1,14 +1,15 @@
 """License scan: ordered signature rules over normalised text, DataFrame functions only.
 
-Text is reduced to lower-case words joined by single blanks.  Rules are pairs of a
-keyword and a regular expression; a rule runs only on texts that hold its keyword, and
-no rule runs on texts without any anchor word.  Every detection is an interval.  An
-interval that lies inside one of an earlier (stronger) priority, or inside a longer one of
-the same priority, is suppressed.
+Text is reduced to words joined by single blanks, A-Z in lower case.  Rules are hand-written: identifiers in SPDX
+expressions, sentences of licence bodies and file headers, shared clauses, short forms and addresses, mentions; and the
+names of licences in notices, pointers and titles.  Each has its keyword, expression, priority, label and weight.
+A keyword's rules run only on texts that hold it, and no rule runs on texts without any anchor word.  Every detection
+is an interval.  An interval that lies inside one of an earlier (stronger) priority, or inside a longer one of
+the same priority, is suppressed; of equal intervals of a priority the first rule's stays.
 
 The whole job is one projection: no shuffle, no Python.  Defined results: null or
-empty text has zero words, no labels and score 0; repeated rows are scanned alike; other
-columns of the input are kept and a clash with an output name replaces the input's column.
+empty text has zero words, no labels and score 0; texts of any length are scanned whole; repeated rows are scanned alike; an
+empty table gives no rows; other columns of the input are kept and a clash with an output name replaces the input's column.
 """
 
 from __future__ import annotations
@@ -23,50 +24,49 @@ BASE_PHRASES = (
     ("general public license", "gpl"),
 )
 
-#: label, keyword that must stand in the text, name as a regular expression over words,
-#: identifier as written after an SPDX tag (words, as punctuation is gone), if it has no other entry.
+#: label, keyword that must stand in the text, name as a regular expression over words.
 #: Every match of a name holds its keyword.
 LICENSES = (
-    ("apache-1.1", "apache", r"apache (?:software )?license (?:version |v )?1 1", r"apache 1 1"),
-    ("apache-2.0", "apache", r"apache (?:software )?license (?:version |v )?2(?: 0)?", r"apache 2 0"),
-    ("mit", " mit ", r"mit license", r"mit"),
-    ("mit-0", "no attribution", r"mit no attribution(?: license)?", r"mit 0"),
-    ("isc", " isc ", r"isc license", r"isc"),
-    ("bsd-2-clause", " bsd ", r"(?:simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd)(?: license)?", r"bsd 2 clause"),
-    ("bsd-3-clause", " bsd ", r"(?:new bsd|revised bsd|modified bsd|bsd 3 clause|3 clause bsd|three clause bsd)(?: license)?", r"bsd 3 clause"),
-    ("bsd-4-clause", " bsd ", r"(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)(?: license)?", r"bsd 4 clause"),
-    ("0bsd", " bsd ", r"(?:zero clause bsd|bsd zero clause)(?: license)?", r"0bsd"),
-    ("gpl-1.0", "general public license", r"(?:gnu )?general public license (?:version |v )?1(?: 0)?", r"gpl 1 0(?: only| or later)?"),
-    ("gpl-2.0", "general public license", r"(?:gnu )?general public license (?:version |v )?2(?: 0)?", r"gpl 2 0(?: only| or later)?"),
-    ("gpl-3.0", "general public license", r"(?:gnu )?general public license (?:version |v )?3(?: 0)?", r"gpl 3 0(?: only| or later)?"),
-    ("lgpl-2.0", "general public license", r"(?:gnu )?(?:lesser|library) general public license (?:version |v )?2(?: 0)?", r"lgpl 2 0(?: only| or later)?"),
-    ("lgpl-2.1", "general public license", r"(?:gnu )?(?:lesser|library) general public license (?:version |v )?2 1", r"lgpl 2 1(?: only| or later)?"),
-    ("lgpl-3.0", "general public license", r"(?:gnu )?lesser general public license (?:version |v )?3(?: 0)?", r"lgpl 3 0(?: only| or later)?"),
-    ("agpl-3.0", "general public license", r"(?:gnu )?affero general public license (?:version |v )?3(?: 0)?", r"agpl 3 0(?: only| or later)?"),
-    ("gfdl-1.2", "documentation license", r"(?:gnu )?free documentation license (?:version |v )?1 2", r"gfdl 1 2(?: only| or later)?"),
-    ("gfdl-1.3", "documentation license", r"(?:gnu )?free documentation license (?:version |v )?1 3", r"gfdl 1 3(?: only| or later)?"),
-    ("mpl-1.1", "mozilla", r"mozilla public license (?:version |v )?1 1", r"mpl 1 1"),
-    ("mpl-2.0", "mozilla", r"mozilla public license (?:version |v )?2(?: 0)?", r"mpl 2 0"),
-    ("epl-1.0", "eclipse", r"eclipse public license (?:version |v )?1(?: 0)?", r"epl 1 0"),
-    ("epl-2.0", "eclipse", r"eclipse public license (?:version |v )?2(?: 0)?", r"epl 2 0"),
-    ("cddl-1.0", "development and distribution", r"common development and distribution license(?: (?:version |v )?1(?: 0)?)?", r"cddl 1 0"),
-    ("cpl-1.0", "common public", r"common public license(?: (?:version |v )?1(?: 0)?)?", r"cpl 1 0"),
-    ("eupl-1.2", "european union public", r"european union public licen[cs]e (?:version |v )?1 2", r"eupl 1 2"),
-    ("artistic-2.0", "artistic", r"artistic license (?:version |v )?2(?: 0)?", r"artistic 2 0"),
-    ("bsl-1.0", "boost", r"boost software license(?: (?:version |v )?1(?: 0)?)?", r"bsl 1 0"),
-    ("zlib", "zlib", r"zlib(?: libpng)? license", r"zlib"),
-    ("unlicense", "unlicense", r"(?:the )?unlicense", r"unlicense"),
-    ("wtfpl", "what the fuck", r"do what the fuck you want to public license", r"wtfpl"),
-    ("python-2.0", "python software foundation", r"python software foundation license(?: (?:version |v )?2)?", r"python 2 0"),
-    ("php-3.01", " php ", r"php license(?: (?:version |v )?3 0?1)?", r"php 3 01"),
-    ("postgresql", "postgresql", r"postgresql license", r"postgresql"),
-    ("openssl", "openssl", r"openssl license", r"openssl"),
-    ("ofl-1.1", "open font", r"(?:sil )?open font license(?: (?:version |v )?1 1)?", r"ofl 1 1"),
-    ("ms-pl", "microsoft", r"microsoft public license", r"ms pl"),
-    ("odbl-1.0", "open data", r"open (?:data commons open )?database license(?: (?:version |v )?1 0)?", r"odbl 1 0"),
-    ("cc0-1.0", "cc0", r"cc0(?: (?:version |v )?1 0)?(?: universal)?", r"cc0 1 0"),
+    ("apache-1.1", "apache", r"apache (?:software )?license (?:version |v )?1 1"),
+    ("apache-2.0", "apache", r"apache (?:software )?license (?:version |v )?2(?: 0)?"),
+    ("mit", " mit ", r"mit license"),
+    ("mit-0", "no attribution", r"mit no attribution(?: license)?"),
+    ("isc", " isc ", r"isc license"),
+    ("bsd-2-clause", " bsd ", r"(?:simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd)(?: license)?"),
+    ("bsd-3-clause", " bsd ", r"(?:new bsd|revised bsd|modified bsd|bsd 3 clause|3 clause bsd|three clause bsd)(?: license)?"),
+    ("bsd-4-clause", " bsd ", r"(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)(?: license)?"),
+    ("0bsd", " bsd ", r"(?:zero clause bsd|bsd zero clause)(?: license)?"),
+    ("gpl-1.0", "general public license", r"(?:gnu )?general public license (?:version |v )?1(?: 0)?"),
+    ("gpl-2.0", "general public license", r"(?:gnu )?general public license (?:version |v )?2(?: 0)?"),
+    ("gpl-3.0", "general public license", r"(?:gnu )?general public license (?:version |v )?3(?: 0)?"),
+    ("lgpl-2.0", "general public license", r"(?:gnu )?(?:lesser|library) general public license (?:version |v )?2(?: 0)?"),
+    ("lgpl-2.1", "general public license", r"(?:gnu )?(?:lesser|library) general public license (?:version |v )?2 1"),
+    ("lgpl-3.0", "general public license", r"(?:gnu )?lesser general public license (?:version |v )?3(?: 0)?"),
+    ("agpl-3.0", "general public license", r"(?:gnu )?affero general public license (?:version |v )?3(?: 0)?"),
+    ("gfdl-1.2", "documentation license", r"(?:gnu )?free documentation license (?:version |v )?1 2"),
+    ("gfdl-1.3", "documentation license", r"(?:gnu )?free documentation license (?:version |v )?1 3"),
+    ("mpl-1.1", "mozilla", r"mozilla public license (?:version |v )?1 1"),
+    ("mpl-2.0", "mozilla", r"mozilla public license (?:version |v )?2(?: 0)?"),
+    ("epl-1.0", "eclipse", r"eclipse public license (?:version |v )?1(?: 0)?"),
+    ("epl-2.0", "eclipse", r"eclipse public license (?:version |v )?2(?: 0)?"),
+    ("cddl-1.0", "development and distribution", r"common development and distribution license(?: (?:version |v )?1(?: 0)?)?"),
+    ("cpl-1.0", "common public", r"common public license(?: (?:version |v )?1(?: 0)?)?"),
+    ("eupl-1.2", "european union public", r"european union public licen[cs]e (?:version |v )?1 2"),
+    ("artistic-2.0", "artistic", r"artistic license (?:version |v )?2(?: 0)?"),
+    ("bsl-1.0", "boost", r"boost software license(?: (?:version |v )?1(?: 0)?)?"),
+    ("zlib", "zlib", r"zlib(?: libpng)? license"),
+    ("unlicense", "unlicense", r"(?:the )?unlicense"),
+    ("wtfpl", "what the fuck", r"do what the fuck you want to public license"),
+    ("python-2.0", "python software foundation", r"python software foundation license(?: (?:version |v )?2)?"),
+    ("php-3.01", " php ", r"php license(?: (?:version |v )?3 0?1)?"),
+    ("postgresql", "postgresql", r"postgresql license"),
+    ("openssl", "openssl", r"openssl license"),
+    ("ofl-1.1", "open font", r"(?:sil )?open font license(?: (?:version |v )?1 1)?"),
+    ("ms-pl", "microsoft", r"microsoft public license"),
+    ("odbl-1.0", "open data", r"open (?:data commons open )?database license(?: (?:version |v )?1 0)?"),
+    ("cc0-1.0", "cc0", r"cc0(?: (?:version |v )?1 0)?(?: universal)?"),
     *(
-        (f"cc-{kind.replace(' ', '-')}-{major}.0", kw, rf"{name}(?: license)?(?: (?:version |v )?{major} 0)(?: international| unported)?", spdx and f"cc {kind} {major} 0")
+        (f"cc-{kind.replace(' ', '-')}-{major}.0", kw, rf"{name}(?: license)?(?: (?:version |v )?{major} 0)(?: international| unported)?")
         for kind, long in (
             ("by", r"attribution"),
             ("by sa", r"attribution share ?alike"),
@@ -75,14 +75,13 @@ LICENSES = (
             ("by nc sa", r"attribution non ?commercial share ?alike"),
             ("by nc nd", r"attribution non ?commercial no ?deriv(?:ative)?s"),
         )
-        for kw, name, spdx in ((f" cc {kind} ", f"cc {kind}", True), ("creative commons attribution", f"creative commons {long}", False))
+        for kw, name in ((f" cc {kind} ", f"cc {kind}"), ("creative commons attribution", f"creative commons {long}"))
         for major in (2, 3, 4)
     ),
 )
 
 #: priority (0 strongest), name of the form, keyword of the form, template, weight.
 FORMS = (
-    (0, "identifier", "spdx", r"spdx license identifiers? {spdx}", 1.0),
     (1, "notice", " under ", r"(?:licensed|released|distributed|available|published|provided|redistributed|covered) under (?:the )?(?:terms of (?:the )?)?{name}", 0.95),
     (1, "subject", "subject to", r"subject to (?:the )?(?:terms of (?:the )?)?{name}", 0.9),
     (2, "pointer", " see ", r"see (?:also )?(?:the )?{name}(?: for (?:more )?details)?", 0.8),
@@ -90,47 +89,358 @@ FORMS = (
     (3, "title", " ", r"{name}", 0.7),
 )
 
-#: Families without a version, and notices of no licence at all: label, keyword, pattern, weight.
-MENTIONS = (
-    ("gpl", "general public license", r"(?:gnu )?general public license", 0.5),
-    ("lgpl", "lesser general public", r"(?:gnu )?lesser general public license", 0.5),
-    ("agpl", "affero", r"(?:gnu )?affero general public license", 0.5),
-    ("apache", "apache license", r"apache license", 0.5),
-    ("bsd", " bsd ", r"bsd license", 0.5),
-    ("mpl", "mozilla", r"mozilla public license", 0.5),
-    ("creative-commons", "creative commons", r"creative commons", 0.4),
-    ("public-domain", "public domain", r"(?:in|into|to) the public domain", 0.6),
-    ("all-rights-reserved", "all rights reserved", r"all rights reserved", 0.3),
-    ("proprietary", "proprietary", r"proprietary and confidential", 0.4),
-    ("warranty-disclaimer", "without warranty", r"(?:is )?provided as is without warranty", 0.3),
-)
+#: SPDX identifiers (fixed values) as words, and the label if it is not the identifier joined by dashes.
+SPDX = """
+apache 1 0 = apache-1.0
+apache 1 1 = apache-1.1
+apache 2 0 = apache-2.0
+mit = mit
+mit 0 = mit-0
+isc = isc
+0bsd = 0bsd
+bsd 1 clause = bsd-1-clause
+bsd 2 clause = bsd-2-clause
+bsd 2 clause patent = bsd-2-clause-patent
+bsd 3 clause = bsd-3-clause
+bsd 3 clause clear = bsd-3-clause-clear
+bsd 4 clause = bsd-4-clause
+gpl 1 0(?: only| or later)? = gpl-1.0
+gpl 2 0(?: only| or later)? = gpl-2.0
+gpl 3 0(?: only| or later)? = gpl-3.0
+lgpl 2 0(?: only| or later)? = lgpl-2.0
+lgpl 2 1(?: only| or later)? = lgpl-2.1
+lgpl 3 0(?: only| or later)? = lgpl-3.0
+agpl 3 0(?: only| or later)? = agpl-3.0
+gfdl 1 1(?: only| or later)? = gfdl-1.1
+gfdl 1 2(?: only| or later)? = gfdl-1.2
+gfdl 1 3(?: only| or later)? = gfdl-1.3
+gpl [23] 0(?: only| or later)? with classpath exception 2 0 = classpath-exception-2.0
+gpl [23] 0(?: only| or later)? with gcc exception [23] [01] = gcc-exception
+gpl 2 0(?: only| or later)? with linux syscall note = linux-syscall-note
+apache 2 0 with llvm exception = llvm-exception
+mpl 1 0 = mpl-1.0
+mpl 1 1 = mpl-1.1
+mpl 2 0 = mpl-2.0
+mpl 2 0 no copyleft exception = mpl-2.0-no-copyleft-exception
+epl 1 0 = epl-1.0
+epl 2 0 = epl-2.0
+cddl 1 0 = cddl-1.0
+cddl 1 1 = cddl-1.1
+cpl 1 0 = cpl-1.0
+cpal 1 0 = cpal-1.0
+eupl 1 1 = eupl-1.1
+eupl 1 2 = eupl-1.2
+osl 3 0 = osl-3.0
+afl 3 0 = afl-3.0
+artistic 1 0 = artistic-1.0
+artistic 2 0 = artistic-2.0
+bsl 1 0 = bsl-1.0
+busl 1 1 = busl-1.1
+sspl 1 0 = sspl-1.0
+elastic 2 0 = elastic-2.0
+zlib = zlib
+libpng 2 0 = libpng-2.0
+unlicense = unlicense
+wtfpl = wtfpl
+python 2 0 = python-2.0
+psf 2 0 = psf-2.0
+php 3 0 = php-3.0
+php 3 01 = php-3.01
+postgresql = postgresql
+openssl = openssl
+curl = curl
+x11 = x11
+ntp = ntp
+hpnd = hpnd
+ncsa = ncsa
+icu = icu
+beerware = beerware
+blueoak 1 0 0 = blueoak-1.0.0
+ofl 1 1 = ofl-1.1
+ms pl = ms-pl
+ms rl = ms-rl
+upl 1 0 = upl-1.0
+mulanpsl 2 0 = mulanpsl-2.0
+cecill 2 1 = cecill-2.1
+cecill b = cecill-b
+cecill c = cecill-c
+vim = vim
+ruby = ruby
+w3c = w3c
+zpl 2 1 = zpl-2.1
+odbl 1 0 = odbl-1.0
+odc by 1 0 = odc-by-1.0
+pddl 1 0 = pddl-1.0
+cdla permissive 2 0 = cdla-permissive-2.0
+cc0 1 0 = cc0-1.0
+cc by 2 0 = cc-by-2.0
+cc by 3 0 = cc-by-3.0
+cc by 4 0 = cc-by-4.0
+cc by sa 2 0 = cc-by-sa-2.0
+cc by sa 3 0 = cc-by-sa-3.0
+cc by sa 4 0 = cc-by-sa-4.0
+cc by nd 3 0 = cc-by-nd-3.0
+cc by nd 4 0 = cc-by-nd-4.0
+cc by nc 3 0 = cc-by-nc-3.0
+cc by nc 4 0 = cc-by-nc-4.0
+cc by nc sa 3 0 = cc-by-nc-sa-3.0
+cc by nc sa 4 0 = cc-by-nc-sa-4.0
+cc by nc nd 3 0 = cc-by-nc-nd-3.0
+cc by nc nd 4 0 = cc-by-nc-nd-4.0
+"""
 
-#: Sentences of licence bodies: label, keyword, pattern, weight.
-BODIES = (
-    ("mit", "hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 0.9),
-    ("bsl-1.0", "hereby granted", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", 0.9),
-    ("isc", "hereby granted", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided that", 0.9),
-    ("0bsd", "hereby granted", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted(?! provided)", 0.9),
-    ("postgresql", "hereby granted", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", 0.9),
-    ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted provided that", 0.8),
-    ("bsd-3-clause", "neither the name", r"neither the names? of (?:[^ ]+ ){1,20}nor the names of (?:its|the) contributors may be used to endorse or promote products derived from this software", 0.9),
-    ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 0.9),
-    ("apache-2.0", "terms and conditions", r"apache license version 2 0 january 2004(?: http www apache org licenses)? terms and conditions for use reproduction and distribution", 0.95),
-    ("gpl-2.0", "free software foundation", r"under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", 0.95),
-    ("gpl-3.0", "free software foundation", r"under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", 0.95),
-    ("lgpl-2.1", "free software foundation", r"under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license", 0.95),
-    ("lgpl-3.0", "free software foundation", r"under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license", 0.95),
-    ("agpl-3.0", "free software foundation", r"under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license", 0.95),
-    ("zlib", "held liable", r"in no event will the authors be held liable for any damages arising from the use of this software", 0.8),
-    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain", 0.95),
-    ("wtfpl", "what the fuck", r"you just do what the fuck you want to", 0.9),
-    ("cc0-1.0", "public domain", r"the person who associated a work with this deed has dedicated the work to the public domain", 0.95),
-)
+#: Hand-written signatures by (priority, weight): label ; keyword that every match holds ; expression over words.
+SIGNATURES = {
+    # Sentences that grant or open a licence: bodies and file headers.
+    (1, 0.95): r"""
+mit ; hereby granted ; permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+mit ; without restriction ; to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell
+mit ; above copyright notice ; the above copyright notice and this permission notice(?: including the next paragraph)? shall be included in all copies or substantial portions of the software
+mit ; in no event ; in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise
+x11 ; hereby granted ; permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction (?:[^ ]+ ){1,120}x consortium
+x11 ; x consortium ; except as contained in this notice the name of the x consortium shall not be used in advertising
+mit-0 ; mit no attribution ; mit no attribution
+bsl-1.0 ; hereby granted ; permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation
+bsl-1.0 ; boost ; distributed under the boost software license version 1 0
+isc ; hereby granted ; permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided that
+0bsd ; hereby granted ; permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted(?! provided)
+postgresql ; hereby granted ; permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted
+hpnd ; hereby granted ; permission to use copy modify(?: and)? distribute(?: and sell)? this software and its documentation for any purpose(?: and)?(?: is hereby granted)? without fee is hereby granted
+ntp ; hereby granted ; permission to use copy modify and distribute this software and its documentation for any purpose with or without fee is hereby granted
+curl ; hereby granted ; permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is without warranty of any kind express or implied
+ncsa ; hereby granted ; developed by (?:[^ ]+ ){1,30}permission is hereby granted free of charge
+ncsa ; ncsa ; university of illinois ncsa open source license
+icu ; icu license ; icu license icu 1 8 1 and later
+upl-1.0 ; universal permissive ; universal permissive license(?: upl)? version 1 0
+blueoak-1.0.0 ; blue oak ; blue oak model license version 1 0 0
+bsd-3-clause ; neither the name ; neither the names? of (?:[^ ]+ ){1,20}?nor the names of (?:its|the|their) contributors may be used to endorse or promote products derived from this software
+bsd-3-clause ; may not be used ; the names? of (?:[^ ]+ ){1,12}?may not be used to endorse or promote products derived from this software without
+bsd-3-clause-clear ; patent rights ; no express or implied licenses to any party s patent rights are granted by this license
+bsd-4-clause ; advertising materials ; all advertising materials mentioning features or use of this software must display the following acknowledge?ment
+bsd-2-clause-patent ; each copyright holder ; subject to the terms and conditions of this license each copyright holder and contributor hereby grants to those receiving rights under this license a perpetual worldwide
+apache-1.0 ; apache group ; this product includes software developed by the apache group for use in the apache http server project
+apache-1.1 ; apache software foundation ; this product includes software developed by the apache software foundation
+apache-2.0 ; terms and conditions ; apache license version 2 0 january 2004(?: https? www apache org licenses)? terms and conditions for use reproduction and distribution
+apache-2.0 ; apache license ; licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license
+apache-2.0 ; apache org licenses ; you may obtain a copy of the license at https? www apache org licenses license 2 0
+apache-2.0 ; asf ; licensed to the apache software foundation asf under one or more contributor license agreements
+apache-2.0 ; grant of patent license ; grant of patent license subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide
+apache-2.0 ; grant of copyright license ; grant of copyright license subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide
+llvm-exception ; llvm exceptions ; apache license v?2 0 with llvm exceptions
+gpl-1.0 ; general public license ; gnu general public license version 1 february 1989
+gpl-2.0 ; general public license ; gnu general public license version 2 june 1991
+gpl-3.0 ; general public license ; gnu general public license version 3 29 june 2007
+lgpl-2.0 ; general public license ; gnu library general public license version 2 june 1991
+lgpl-2.1 ; general public license ; gnu lesser general public license version 2 1 february 1999
+lgpl-3.0 ; general public license ; gnu lesser general public license version 3 29 june 2007
+agpl-3.0 ; general public license ; gnu affero general public license version 3 19 november 2007
+gpl-1.0 ; free software foundation ; terms of the gnu general public license as published by the free software foundation either version 1
+gpl-2.0 ; free software foundation ; terms of the gnu general public license(?: version 2)? as published by the free software foundation(?: either)? version 2(?: of the license)?
+gpl-2.0 ; free software foundation ; gnu general public license version 2(?: only)? as published by the free software foundation
+gpl-3.0 ; free software foundation ; terms of the gnu general public license as published by the free software foundation(?: either)? version 3(?: of the license)?
+lgpl-2.0 ; free software foundation ; terms of the gnu library general public license as published by the free software foundation(?: either)? version 2(?: of the license)?
+lgpl-2.1 ; free software foundation ; terms of the gnu lesser general public license as published by the free software foundation(?: either)? version 2 1(?: of the license)?
+lgpl-3.0 ; free software foundation ; terms of the gnu lesser general public license as published by the free software foundation(?: either)? version 3(?: of the license)?
+agpl-3.0 ; free software foundation ; terms of the gnu affero general public license as published by the free software foundation(?: either)? version 3(?: of the license)?
+gpl ; are designed to ; the licenses for most software(?: and other practical works)? are designed to take away your freedom to share and change(?: it| the works)
+lgpl ; general public license ; this license the lesser general public license applies to some specially designated software packages
+gpl-3.0 ; conveying ; conveying verbatim copies you may convey verbatim copies of the program s source code as you receive it
+gpl-2.0 ; verbatim copies ; you may copy and distribute verbatim copies of the program s source code as you receive it in any medium
+agpl-3.0 ; remote network ; remote network interaction use with the gnu general public license
+classpath-exception-2.0 ; special exception ; as a special exception the copyright holders of this library give you permission to link this library with independent modules
+gcc-exception ; runtime library exception ; gcc runtime library exception
+gfdl ; document ; permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license
+gfdl-1.1 ; documentation license ; gnu free documentation license version 1 1
+mpl-1.1 ; mozilla ; the contents of this file are subject to the mozilla public license version 1 1
+mpl-1.0 ; mozilla ; the contents of this file are subject to the mozilla public license version 1 0
+mpl-2.0 ; mozilla ; this source code form is subject to the terms of the mozilla public license v(?:ersion)? ?2 0
+mpl-2.0 ; mpl ; if a copy of the mpl was not distributed with this file you can obtain one at https? (?:www )?mozilla org mpl 2 0
+mpl-2.0 ; incompatible with secondary ; this source code form is incompatible with secondary licenses as defined by the mozilla public license
+epl-1.0 ; eclipse ; made available under the terms of the eclipse public license v(?:ersion)? ?1 0 which accompanies this distribution
+epl-2.0 ; eclipse ; made available under the terms of the eclipse public license v(?:ersion)? ?2 0
+epl ; accompanying program ; the accompanying program is provided under the terms of this eclipse public license
+cpl-1.0 ; accompanying program ; the accompanying program is provided under the terms of this common public license
+cddl-1.0 ; common development ; the contents of this file are subject to the terms of the common development and distribution license
+cddl-1.1 ; cddl ; cddl version 1 1
+eupl ; eupl ; licensed under the eupl
+eupl-1.2 ; eupl ; eupl v ?1 2
+osl-3.0 ; open software license ; licensed under the open software license version 3 0
+afl-3.0 ; academic free ; licensed under the academic free license version 3 0
+artistic-1.0 ; artistic ; the artistic license preamble
+artistic-2.0 ; artistic ; the artistic license 2 0 copyright
+zlib ; held liable ; in no event will the authors be held liable for any damages arising from the use of this software
+zlib ; altered source ; altered source versions must be plainly marked as such and must not be misrepresented as being the original software
+zlib ; misrepresented ; the origin of this software must not be misrepresented you must not claim that you wrote the original software
+libpng-2.0 ; png reference ; png reference library license version 2
+unlicense ; unencumbered ; this is free and unencumbered software released into the public domain
+unlicense ; unlicense ; for more information please refer to https? unlicense org
+unlicense ; jurisdictions ; in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain
+wtfpl ; what the fuck ; you just do what the fuck you want to
+wtfpl ; what the fuck ; do what the fuck you want to public license version 2
+beerware ; beer ; the beer ware license revision 42
+beerware ; beer ; you can buy me a beer in return
+cc0-1.0 ; public domain ; the person who associated a work with this deed has dedicated the work to the public domain
+cc0-1.0 ; cc0 ; creative commons cc0 1 0 universal
+cc0-1.0 ; affirmer ; affirmer hereby overtly fully permanently irrevocably and unconditionally waives abandons and surrenders
+cc-by-4.0 ; creative commons ; creative commons attribution 4 0 international public license
+cc-by-sa-4.0 ; creative commons ; creative commons attribution share ?alike 4 0 international public license
+cc-by-nc-4.0 ; creative commons ; creative commons attribution non ?commercial 4 0 international public license
+cc-by-nd-4.0 ; creative commons ; creative commons attribution no ?derivatives 4 0 international public license
+cc-by-nc-sa-4.0 ; creative commons ; creative commons attribution non ?commercial share ?alike 4 0 international public license
+cc-by-nc-nd-4.0 ; creative commons ; creative commons attribution non ?commercial no ?derivatives 4 0 international public license
+creative-commons ; ccpl ; this creative commons public license ccpl or license
+cc-by ; creativecommons ; creativecommons org licenses by [1-4] [05]
+cc-by-sa ; creativecommons ; creativecommons org licenses by sa [1-4] [05]
+cc-by-nc ; creativecommons ; creativecommons org licenses by nc [1-4] [05]
+cc-by-nd ; creativecommons ; creativecommons org licenses by nd [1-4] [05]
+cc-by-nc-sa ; creativecommons ; creativecommons org licenses by nc sa [1-4] [05]
+cc-by-nc-nd ; creativecommons ; creativecommons org licenses by nc nd [1-4] [05]
+cc0-1.0 ; creativecommons ; creativecommons org publicdomain zero 1 0
+python-2.0 ; psf ; psf license agreement for python
+python-2.0 ; psf ; psf hereby grants licensee a nonexclusive royalty free world wide license
+php-3.01 ; php license ; this source file is subject to version 3 01 of the php license
+php-3.0 ; php license ; this source file is subject to version 3 0 of the php license
+openssl ; openssl ; this product includes software developed by the openssl project for use in the openssl toolkit
+ofl-1.1 ; open font ; this font software is licensed under the sil open font license version 1 1
+ofl-1.1 ; font software ; the font software may not be sold by itself
+ms-pl ; microsoft ; microsoft public license ms pl
+ms-rl ; microsoft ; microsoft reciprocal license ms rl
+busl-1.1 ; business source ; business source license 1 1
+sspl-1.0 ; server side public ; server side public license version 1
+elastic-2.0 ; elastic license ; elastic license(?: v| version)? ?2(?: 0)?
+mulanpsl-2.0 ; mulan ; mulan psl v2
+cecill ; cecill ; governed by the cecill(?: [bc])? license under french law
+vim ; vim license ; vim license
+w3c ; w3c ; w3c software (?:and document )?(?:notice and )?license
+zpl-2.1 ; zope ; zope public license zpl version 2 1
+odbl-1.0 ; open database ; made available under the open database license
+odc-by-1.0 ; open data commons ; open data commons attribution license
+pddl-1.0 ; public domain dedication ; open data commons public domain dedication and licen[cs]e
+cdla-permissive-2.0 ; community data ; community data license agreement permissive version 2 0
+openrail ; rail ; (?:open|bigscience|creativeml) (?:open ?)?rail(?: m| [ms])? licen[cs]e
+llama ; community license ; llama [23](?: [0-9])? community license(?: agreement)?
+json ; good not evil ; the software shall be used for good not evil
+""",
+    # Clauses that several licences share, short forms and pointers.
+    (2, 0.8): r"""
+bsd ; redistribution and use ; redistribution and use in source and binary forms with or without modification are permitted(?: provided that)?
+bsd ; redistributions of source ; redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+bsd ; redistributions in binary ; redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer
+bsd ; bsd style ; bsd style licen[cs]e(?: that can be found in the license file)?
+mit ; mit style ; mit style licen[cs]e
+mit ; mit licensed ; mit licensed
+mit ; expat license ; expat license
+mit ; opensource org ; (?:www )?opensource org licenses mit(?: license)?(?: php)?
+apache-2.0 ; opensource org ; (?:www )?opensource org licenses apache 2 0
+bsd-2-clause ; opensource org ; (?:www )?opensource org licenses bsd 2 clause
+bsd-3-clause ; opensource org ; (?:www )?opensource org licenses bsd 3 clause
+isc ; opensource org ; (?:www )?opensource org licenses isc
+apache-2.0 ; apache org licenses ; (?:www )?apache org licenses license 2 0(?: txt| html)?
+apache-2.0 ; apache ; apache 2(?: 0)? licen[cs]ed?
+apache-2.0 ; asl ; asl 2 0
+apache-2.0 ; alv2 ; alv2
+gpl ; gnu org ; (?:www )?gnu org (?:licenses|copyleft) gpl(?: html| txt)?
+lgpl ; gnu org ; (?:www )?gnu org (?:licenses|copyleft) lgpl(?: html| txt)?
+agpl ; gnu org ; (?:www )?gnu org licenses agpl(?: html| txt)?
+gpl-2.0 ; gnu org ; (?:www )?gnu org licenses (?:old licenses )?gpl 2 0(?: html| txt)?
+gpl-3.0 ; gnu org ; (?:www )?gnu org licenses gpl 3 0(?: html| txt)?
+gpl-2.0 ; gplv2 ; gplv2(?: 0)?(?: or later| only)?
+gpl-3.0 ; gplv3 ; gplv3(?: 0)?(?: or later| only)?
+lgpl-2.1 ; lgplv2 ; lgplv2(?: 1)?(?: or later| only)?
+lgpl-3.0 ; lgplv3 ; lgplv3(?: 0)?(?: or later| only)?
+agpl-3.0 ; agplv3 ; agplv3(?: 0)?(?: or later| only)?
+gpl-2.0 ; gpl 2 ; gpl 2(?: 0)?(?: licen[cs]ed?)?(?: or later| only)?
+gpl-3.0 ; gpl 3 ; gpl 3(?: 0)?(?: licen[cs]ed?)?(?: or later| only)?
+gpl-2.0 ; gpl v ; gpl v 2(?: 0)?
+gpl-2.0 ; gpl v2 ; gpl v2(?: 0)?(?: or later| only)?
+gpl-3.0 ; gpl v3 ; gpl v3(?: 0)?(?: or later| only)?
+gpl-2.0 ; gpl version ; gpl version 2(?: 0)?(?: or later| only| or any later version)?
+gpl-3.0 ; gpl version ; gpl version 3(?: 0)?(?: or later| only| or any later version)?
+lgpl-2.1 ; lgpl ; lgpl (?:version |v )?2 1(?: or later| only)?
+lgpl-3.0 ; lgpl ; lgpl (?:version |v )?3(?: 0)?(?: or later| only)?
+lgpl-3.0 ; lgpl v3 ; lgpl v3(?: 0)?
+lgpl-2.1 ; lgpl v2 ; lgpl v2(?: 1)?
+agpl-3.0 ; agpl ; agpl (?:version |v )?3(?: 0)?(?: or later| only)?
+agpl-3.0 ; agpl v3 ; agpl v3(?: 0)?
+gpl ; licence ; gnu general public licence
+lgpl ; licence ; gnu lesser general public licence
+gpl ; either version ; either version [123] of the license or at your option any later version
+gpl ; received a copy ; you should have received a copy of the gnu general public license along with this (?:program|library|software|file|package)
+lgpl ; received a copy ; you should have received a copy of the gnu (?:lesser|library) general public license along with this (?:program|library|software|file|package)
+agpl ; received a copy ; you should have received a copy of the gnu affero general public license along with this (?:program|library|software|file|package)
+gpl ; merchantability ; without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details
+lgpl ; merchantability ; without even the implied warranty of merchantability or fitness for a particular purpose see the gnu (?:lesser|library) general public license for more details
+mpl-2.0 ; mplv2 ; mplv2(?: 0)?
+mpl-2.0 ; mpl 2 ; mpl 2(?: 0)?(?: licen[cs]ed?)?
+mpl-1.1 ; mpl 1 ; mpl 1 1(?: gpl 2 0 lgpl 2 1)?
+mpl ; mozilla org mpl ; (?:www )?mozilla org mpl
+epl-1.0 ; eclipse org ; (?:www )?eclipse org legal epl v10(?: html)?
+epl-2.0 ; eclipse org ; (?:www )?eclipse org legal epl (?:v20|2 0)(?: html)?
+boost ; boost org ; (?:www )?boost org license 1 0(?: txt)?
+cc-by-4.0 ; cc by 4 ; cc by 4 0
+cc-by-sa-4.0 ; cc by sa 4 ; cc by sa 4 0
+cc-by-sa-3.0 ; cc by sa 3 ; cc by sa 3 0
+cc-by-nc ; commercial licen ; attribution non ?commercial licen[cs]e
+cc-by-sa ; share ; attribution share ?alike licen[cs]e
+cc0-1.0 ; cc0 ; cc0 public domain dedication
+public-domain ; public domain ; (?:dedicated|released|placed|contributed|donated) (?:in|in ?to|to) the public domain
+public-domain ; public domain ; (?:is|are) in the public domain
+public-domain ; public domain ; public domain dedication
+dual ; dual licen ; dual licen[cs]ed(?: under)?
+dual ; either the ; under either the (?:[^ ]+ ){1,6}?or the (?:[^ ]+ ){1,6}?at your option
+license-file ; license file ; (?:see|found in) the license file(?: in the root directory)?(?: for (?:details|more information|the full license text))?
+license-file ; copying ; see the (?:file )?copying(?: file)? for (?:more )?(?:details|copying conditions|license terms)
+""",
+    # Families without a version, and notices of no licence at all.
+    (4, 0.5): r"""
+gpl ; general public license ; (?:gnu )?general public license
+lgpl ; general public license ; (?:gnu )?(?:lesser|library) general public license
+agpl ; affero ; (?:gnu )?affero general public license
+gfdl ; documentation license ; (?:gnu )?free documentation license
+apache ; apache license ; apache license
+apache ; apache software license ; apache software license
+bsd ; bsd license ; bsd license
+bsd ; bsd licen ; bsd licensed
+mpl ; mozilla ; mozilla public license
+epl ; eclipse ; eclipse public license
+cddl ; common development ; common development and distribution license
+cc-by ; creative commons ; creative commons attribution(?: license)?
+creative-commons ; creative commons ; creative commons(?: licen[cs]ed?)?
+public-domain ; public domain ; (?:in|into|to) the public domain
+copyleft ; copyleft ; copyleft(?:ed)?(?: licen[cs]e)?
+free-software ; free software ; this (?:program|library|software|package) is free software
+open-source ; open source license ; (?:an )?(?:osi approved )?open source license
+all-rights-reserved ; all rights reserved ; all rights reserved
+all-rights-reserved ; alle rechte ; alle rechte vorbehalten
+all-rights-reserved ; tous droits ; tous droits réservés
+all-rights-reserved ; todos los derechos ; todos los derechos reservados
+proprietary ; proprietary ; proprietary and confidential
+proprietary ; proprietary ; (?:is|contains) (?:the )?(?:confidential and )?proprietary (?:information|software|property)
+proprietary ; unauthorized copying ; unauthorized copying of this file via any medium is strictly prohibited
+proprietary ; may not be ; may not be (?:reproduced|copied|distributed)(?: or [a-z]+){0,3} without (?:the )?(?:express |prior ){0,2}written (?:permission|consent)
+evaluation-only ; evaluation ; for (?:internal )?evaluation purposes only
+non-commercial ; commercial ; for non ?commercial use only
+no-derivatives ; derivative ; no derivative works (?:are )?(?:permitted|allowed)
+warranty-disclaimer ; without warranty ; (?:is |are )?(?:provided|distributed|supplied) as is(?:,)? without warranty(?: of any kind)?
+warranty-disclaimer ; without any warranty ; in the hope that it will be useful but without any warranty
+warranty-disclaimer ; merchantability ; implied warranties? of merchantability(?: and| or)?(?: non ?infringement)?(?: fitness for a particular purpose)?
+warranty-disclaimer ; as is ; provided as is with(?:out| no) (?:express or implied )?warrant(?:y|ies)
+liability-disclaimer ; consequential damages ; (?:indirect )?incidental special exemplary or consequential damages
+patent-grant ; patent ; royalty free irrevocable patent license
+trademark ; trademark ; does not grant (?:permission|rights) to use the trade names trademarks
+copyright-notice ; copyright ; copyright c (?:19|20)[0-9]{2}
+copyright-notice ; copyright ; copyright (?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?
+""",
+}
 
 #: Any rule's match holds one of these.
-ANCHORS = ("licen", "spdx", "cc0", " cc by", "creative commons", "public domain", "all rights reserved",
-           "proprietary", "without warranty", "bsd", "mit no attribution", "all-rights", "hereby granted",
-           "redistribution and use", "neither the name", "advertising materials", "held liable", "what the fuck")
+ANCHORS = ("licen", "spdx", "cc0", " cc by ", "creative commons", "creativecommons", "public domain", "all rights reserved", "rechte vorbehalten",
+           "droits réservés", "derechos reservados", "propriet", "warrant", "bsd", "mit no attribution", "hereby granted", "without restriction",
+           "copyright", "in no event", "x consortium", "redistribution", "neither the name", "may not be", "advertising materials", "apache",
+           "the software", "special exception", "runtime library", "mpl", "accompanying program", "cddl", "eupl", "misrepresented", "altered source",
+           "what the fuck", "beer", "affirmer", "psf", "openssl", "font software", "mulan", "alv2", "asl 2 0", "gnu org", "gpl", "either version",
+           "mozilla", "boost org", "eclipse org", "dual ", "copying", "copyleft", "free software", "unauthorized", "evaluation", "commercial use",
+           "derivative", "damages", "trademark", "at your option", "held liable", "remote network", "verbatim", "unencumbered", "jurisdictions", "secondary")
 
 LEVELS = 5
 
@@ -138,22 +448,27 @@ Rule = tuple[int, str, str, str, str, float]
 
 
 def rules() -> list[Rule]:
-    """(priority, label, keyword, second keyword, regex, weight), strongest first."""
+    """(priority, label, keyword, second keyword, regex, weight), strongest first.
+
+    Identifiers count after an SPDX tag, and within its expression after OR and AND.
+    """
     out: list[Rule] = []
-    for prio, form, form_kw, template, weight in FORMS:
-        for label, kw, name, spdx in LICENSES:
-            if form == "identifier" and not spdx:
-                continue
-            kw = " " if form == "identifier" else kw
-            out.append((prio, label, kw, form_kw, template.format(name=name, spdx=spdx), weight))
-    out += [(1, label, kw, " ", rx, w) for label, kw, rx, w in BODIES]
-    out += [(LEVELS - 1, label, kw, " ", rx, w) for label, kw, rx, w in MENTIONS]
+    chain = r"(?<=spdx license identifiers? [a-z0-9 ]{1,60} (?:or|and) )"
+    for line in SPDX.strip().split("\n"):
+        words, label = line.split(" = ")
+        out += [(0, label, "spdx license", " ", f"spdx license identifiers? {words}", 1.0), (0, label, "spdx license", " ", chain + words, 1.0)]
+    for (prio, weight), block in SIGNATURES.items():
+        for line in block.strip().split("\n"):
+            label, kw, rx = line.split(" ; ")
+            out.append((prio, label, kw, " ", rx, weight))
+    out += [(prio, label, kw, form_kw, template.format(name=name), weight) for prio, _, form_kw, template, weight in FORMS for label, kw, name in LICENSES]
     return sorted(out, key=lambda r: r[0])
 
 
 def normalise(text: Column) -> Column:
-    """Lower-case words (runs of digits, letters and everything beyond ASCII) with a blank on each side."""
-    words = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
+    """Words (runs of digits, letters and everything beyond ASCII), A-Z in lower case, with a blank on each side."""
+    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.regexp_replace(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
     return F.concat(F.lit(" "), F.trim(words), F.lit(" "))
 
 
@@ -161,18 +476,34 @@ def _blanks(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
 
-def _rule_array(rule_list: list[Rule]) -> Column:
+def _rule_array(rule_list: list[tuple[int, Rule]]) -> Column:
     return F.array(
         *[
             F.struct(
-                F.lit(i).alias("id"), F.lit(p).alias("prio"), F.lit(label).alias("label"), F.lit(kw).alias("kw"),
+                F.lit(i).alias("id"), F.lit(p).alias("prio"), F.lit(label).alias("label"),
                 F.lit(kw2).alias("kw2"), F.lit(f"(?<= ){rx}(?= )").alias("rx"), F.lit(float(w)).alias("weight"),
             )
-            for i, (p, label, kw, kw2, rx, w) in enumerate(rule_list)
+            for i, (p, label, _, kw2, rx, w) in rule_list
         ]
     )
 
 
+def _candidates(norm: Column, rule_list: list[Rule]) -> Column:
+    """Rules whose keyword stands in the text, of keywords of which some rule matches.
+
+    The alternation of a keyword's rules is one literal, compiled once; single rules run only where it has found something.
+    """
+    by: dict[str, list[tuple[int, Rule]]] = {}
+    for i, r in enumerate(rule_list):
+        by.setdefault(r[2], []).append((i, r))
+    none = F.array().cast("array<struct<id:int,prio:int,label:string,kw2:string,rx:string,weight:double>>")
+    groups = [
+        F.when(F.contains(norm, F.lit(kw)) & norm.rlike("(?<= )(?:" + "|".join(dict.fromkeys(r[4] for _, r in own)) + ")(?= )"), _rule_array(own)).otherwise(none)
+        for kw, own in by.items()
+    ]
+    return F.filter(F.flatten(F.array(*groups)) if groups else none, lambda r: F.contains(norm, r["kw2"]))
+
+
 def _intervals(norm: Column, rule: Column) -> Column:
     """All matches of a rule as (start, -end, prio, id, label, weight), characters from 0."""
     pieces = F.arrays_zip(
@@ -238,10 +569,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", rule_list: list[Rule] | N
     anchored = F.lit(False)
     for a in ANCHORS:
         anchored = anchored | F.contains(norm, F.lit(a))
-    candidates = F.filter(
-        _rule_array(rule_list), lambda r: F.contains(norm, r["kw"]) & F.contains(norm, r["kw2"])
-    )
-    found = F.when(anchored, F.flatten(F.transform(candidates, lambda r: _intervals(norm, r)))).otherwise(
+    found = F.when(anchored, F.flatten(F.transform(_candidates(norm, rule_list), lambda r: _intervals(norm, r)))).otherwise(
         F.array().cast("array<struct<start:int,stop:int,prio:int,id:int,label:string,weight:double>>")
     )
     df = df.select(

@@ -12,7 +12,8 @@ nearer side.  Random numbers come from hashes of the documents: reruns and repar
 
 Size: number of runs of `[^\\x20\\x09-\\x0D]` characters; null text has size 0 and is never taken, nor is
 a source without words (target 0).  A null source is a source, the last.  Repeated rows (id and
-text) are documents of their own, told apart by a number among equals.
+text) are documents of their own, told apart by a number among equals.  Texts of any length count whole; ties of seeds are
+broken by id, size and number; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridstats.llm.shared import written
+from gridstats.llm.shingles import mix as mixed
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST = 3.0
@@ -108,20 +110,29 @@ def pivot(size: np.ndarray, p: np.ndarray, draw: np.ndarray) -> int:
 _ROWS = "doc_id string, size long, source_size long, target double, taken long, copies long, p double, sid long, node long, seed long, nth int"
 
 
-def _round(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One node of the tree: at most one document keeps a fraction, the others' copies are settled."""
-    # Large documents first, so that what is left over tends to be small.
-    rank = pdf.assign(_class=-np.log2(pdf["size"] + 1).astype(int))
-    pdf = rank.sort_values(["_class", "seed", "doc_id", "size", "nth"], kind="stable", ignore_index=True).drop(columns="_class")
-    p = pdf["p"].to_numpy(float).copy()
-    seed = pdf["seed"].to_numpy(np.int64).view(np.uint64)
-    draw = ((seed * np.uint64(0x9E3779B97F4A7C15) + np.uint64(len(pdf))) >> np.uint64(11)).astype(float) / 2.0**53
-    left = pivot(pdf["size"].to_numpy(float), p, draw)
-    settled = np.ones(len(pdf), bool)
-    if left >= 0:
-        settled[left] = False
-    copies = pdf["copies"].to_numpy(np.int64) + np.where(settled, p, 0).astype(np.int64)
-    return pdf.assign(copies=copies, taken=np.where(settled, copies * pdf["size"], -1), p=np.where(settled, 0.0, p))
+def draws(seed: np.ndarray, level: int) -> np.ndarray:
+    """Uniform numbers, independent from level to level of the tree, of documents' seeds."""
+    with np.errstate(over="ignore"):
+        x = mixed(seed.view(np.uint64) ^ mixed(np.full(len(seed), level + 1, np.uint64)))
+    return (x >> np.uint64(11)).astype(float) / 2.0**53
+
+
+def _round(level: int):  # noqa: ANN202
+    """What a node of the tree at that level does: at most one document keeps a fraction, the others' copies are settled."""
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        # Large documents first, so that what is left over tends to be small.
+        rank = pdf.assign(_class=-np.log2(pdf["size"] + 1).astype(int))
+        pdf = rank.sort_values(["_class", "seed", "doc_id", "size", "nth"], kind="stable", ignore_index=True).drop(columns="_class")
+        p = pdf["p"].to_numpy(float).copy()
+        left = pivot(pdf["size"].to_numpy(float), p, draws(pdf["seed"].to_numpy(np.int64), level))
+        settled = np.ones(len(pdf), bool)
+        if left >= 0:
+            settled[left] = False
+        copies = pdf["copies"].to_numpy(np.int64) + np.where(settled, p, 0).astype(np.int64)
+        return pdf.assign(copies=copies, taken=np.where(settled, copies * pdf["size"], -1), p=np.where(settled, 0.0, p))
+
+    return settle
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
@@ -148,12 +159,14 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     )
     most_docs = want.agg(F.max("n_docs")).first()[0] or 0
     kind = _ROWS + ", source string, th long"
-    level = written(start.groupBy("sid", "node").applyInPandas(_round, kind), "mix0")
+    level = written(start.groupBy("sid", "node").applyInPandas(_round(0), kind), "mix0")
     done = [level.where("taken >= 0")]
     left, nodes = level.where("taken < 0"), math.ceil(most_docs / CHUNK)
+    height = 0
     while nodes > 1:
+        height += 1
         up = left.withColumn("node", F.floor(F.col("node") / FAN))
-        level = written(up.groupBy("sid", "node").applyInPandas(_round, kind), "mixup")
+        level = written(up.groupBy("sid", "node").applyInPandas(_round(height), kind), "mixup")
         done.append(level.where("taken >= 0"))
         left, nodes = level.where("taken < 0"), math.ceil(nodes / FAN)
     # One document a source is left: it goes to the nearer side.

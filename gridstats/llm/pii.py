@@ -1,22 +1,25 @@
 """Personal data: fixed patterns, then bootstrapped contextual extraction.
 
-Emails, addresses, card and phone numbers are found by fixed rules.  They are the seeds: the words
-around them induce lexical patterns (the word before, the word after, the two words before).  All tokens shaped like
+Emails, addresses, card and phone numbers are found by fixed rules.  They are seeds, and so are tokens whose shape alone
+tells a secret (long hexadecimal or mixed keys, keys with a known prefix), which are spans of kind `id` themselves.  The words
+around seeds induce lexical patterns (the word before, the word after, the two words before).  All tokens shaped like
 identifiers, seeds or not, form a graph with the patterns they stand in.  Spark scores it
 iteratively.  An instance supports its patterns with 1 if it is a seed, with its score once that reaches ACCEPT, else with
-nothing.  A pattern's score for an unseen instance is the mean support of its other instances (smoothed); it is trusted
+nothing.  A pattern's score for an unseen instance is the mean support of its other instances; it is trusted
 if at least SEEDS others support it.  An instance's score is the best of its trusted patterns.  So accepted
-instances make new patterns trusted in the next round, and none raises its own score.  Instances that
-reach ACCEPT after ROUNDS rounds are spans of kind `id` wherever they stand.  Tokens of fewer than eight
-characters or three digits are no identifiers.
+instances make new patterns trusted in the next round, and none raises its own score; accepted ones stay so, and rounds go on until
+none is new.  Accepted instances are spans of kind `id` wherever they stand.  Tokens of fewer than SHORTEST
+characters or without a digit are no identifiers.
 
-Positions are code points, ends exclusive.  Null text is empty: no spans.  Repeated rows (id and
-text) are found alike.  Added spans never overlap base spans.  Extra columns are ignored.
+Positions are code points, ends exclusive.  Null or empty text has no spans.  Texts of any length are read whole, in time
+linear in their length; words of contexts are whole.  Spans of equal start are ordered by kind.  Repeated rows (id and
+text) are found alike.  Added spans never overlap base spans.  An empty table gives no rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,7 +28,6 @@ from pyspark.sql import functions as F
 
 from gridstats.llm.shared import written
 
-ROUNDS = 3
 ACCEPT = 0.5
 SEEDS = 3  # distinct seeds or accepted instances that a trusted pattern needs
 KINDS = ("email", "ip", "card", "phone", "id")
@@ -37,6 +39,12 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"(?<![0-9])[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+#: Shapes of secrets: long hexadecimal, keys with a known prefix, long keys of mixed letters and digits.
+_SECRET = re.compile(
+    r"[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{35}"
+    r"|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+"
+)
+SHORTEST = 6
 #: Identifier-like tokens: runs without blanks, quotes and brackets that hold digits.
 _TOKEN = re.compile(r"[^\s\"'<>()\[\]{},;|]+")
 
@@ -82,39 +90,53 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def looks_like_identifier(token: str) -> bool:
-    """At least eight characters, three of them digits."""
-    return len(token) >= 8 and sum(c in "0123456789" for c in token) >= 3
-
-
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Identifier-like tokens outside the base spans."""
-    out, k = [], 0
-    for m in _TOKEN.finditer(text):
-        if not _DIGIT.search(m.group()) or not looks_like_identifier(m.group().rstrip(".:!?")):
-            continue
-        s, e = m.start(), m.start() + len(m.group().rstrip(".:!?"))
-        while k < len(base) and base[k][0] < s and max(b[2] for b in base[: k + 1]) <= s and base[k][2] <= s:
+    return len(token) >= SHORTEST and _DIGIT.search(token) is not None
+
+
+def looks_like_secret(token: str) -> bool:
+    """A known shape, with letters and digits; or 24 characters and more with capitals, small letters and five digits."""
+    letters, digits = any(c.isalpha() for c in token), sum(c in "0123456789" for c in token)
+    if _SECRET.fullmatch(token):
+        return letters and digits > 0
+    mixed = token.isascii() and re.fullmatch(r"[A-Za-z0-9+/=_-]{24,}", token) is not None
+    return mixed and digits >= 5 and token.lower() != token and token.upper() != token
+
+
+def tokens(text: str) -> list[tuple[int, int]]:
+    """(start, end) of all words between blanks, quotes and brackets."""
+    return [m.span() for m in _TOKEN.finditer(text)]
+
+
+def candidates(text: str, words: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Identifier-like words, without marks at their ends, outside the base spans; both lists are in order and read once."""
+    out, k, reach = [], 0, 0
+    for start, stop in words:
+        token = text[start:stop].rstrip(".:!?#$%&*=")
+        end = start + len(token)
+        while k < len(base) and base[k][0] < end:
+            reach = max(reach, base[k][2])
             k += 1
-        if all(b[2] <= s or b[0] >= e for b in base[max(0, k - 4) :] if b[0] < e):
-            out.append((s, e))
+        if reach <= start and looks_like_identifier(token):
+            out.append((start, end))
     return out
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
+def contexts(text: str, words: list[tuple[int, int]], starts: list[int], start: int, end: int) -> list[str]:
     """Lexical patterns around a span: the word before, the word after, the two words before."""
-    before = text[max(0, start - 60) : start].lower().split()[-2:]
-    after = text[end : end + 40].lower().split()[:1]
+    at = bisect_left(starts, start)
+    before = [text[s : min(e, start)].lower() for s, e in words[max(0, at - 2) : at]]
+    after = bisect_left(starts, end)
     out = []
     if before:
         out.append(f"< {before[-1]}")
     if len(before) == 2:
         out.append(f"<< {before[0]} {before[1]}")
-    if after:
-        out.append(f"> {after[0]}")
+    if after < len(words):
+        out.append(f"> {text[slice(*words[after])].lower()}")
     return out
 
 
-_FOUND = "doc_id string, th long, spans array<struct<start:int,kind:int,stop:int>>, seen array<struct<start:int,stop:int,seed:boolean,value:string,patterns:array<string>>>"
+_FOUND = "doc_id string, th long, spans array<struct<start:int,kind:int,stop:int>>, seen array<struct<start:int,stop:int,seed:boolean,base:boolean,value:string,patterns:array<string>>>"
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -126,9 +148,16 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
             for t in pdf["text"]:
                 t = "" if t is None else t
                 base = base_spans(t)
-                own = [{"start": s, "stop": e, "seed": True, "value": t[s:e], "patterns": contexts(t, s, e)} for s, _, e in base]
-                if _DIGIT.search(t):
-                    own += [{"start": s, "stop": e, "seed": False, "value": t[s:e], "patterns": contexts(t, s, e)} for s, e in candidates(t, base)]
+                own = []
+                if base or _DIGIT.search(t):
+                    words = tokens(t)
+                    starts = [w[0] for w in words]
+                    around = lambda s, e: contexts(t, words, starts, s, e)  # noqa: B023, E731
+                    own = [{"start": s, "stop": e, "seed": True, "base": True, "value": t[s:e], "patterns": around(s, e)} for s, _, e in base]
+                    own += [
+                        {"start": s, "stop": e, "seed": looks_like_secret(t[s:e]), "base": False, "value": t[s:e], "patterns": around(s, e)}
+                        for s, e in candidates(t, words, base)
+                    ]
                 spans.append([{"start": s, "kind": k, "stop": e} for s, k, e in base])
                 seen.append(own)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "th": pdf["th"], "spans": spans, "seen": seen})
@@ -137,22 +166,29 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     return given.mapInPandas(run, _FOUND)
 
 
-def bootstrap(edges: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS, accept: float = ACCEPT) -> tuple[DataFrame, DataFrame]:
-    """edges(pattern, instance, seed), distinct -> (pattern, score, n_seeds) and (instance, score) of unseen instances."""
-    scored = edges.withColumn("s", F.col("seed").cast("double")).withColumn("supports", F.col("seed").cast("long"))
-    patterns = unseen = None
-    for i in range(rounds):
+def bootstrap(edges: DataFrame, seeds: int = SEEDS, accept: float = ACCEPT) -> tuple[DataFrame, DataFrame]:
+    """edges(pattern, instance, seed), distinct -> (pattern, score, n_seeds) and (instance, score) of accepted unseen instances."""
+    accepted: DataFrame | None = None
+    n = 0
+    while True:
+        scored = edges.withColumn("_v", F.lit(None).cast("double"))
+        if accepted is not None:
+            scored = edges.join(accepted.select(F.col("instance").alias("_i"), F.col("score").alias("_v")), F.col("instance") == F.col("_i"), "left")
+        scored = scored.select(
+            "pattern", "instance", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("_v", F.lit(0.0))).alias("s"),
+            (F.col("seed") | F.col("_v").isNotNull()).cast("long").alias("supports"),
+        )
         patterns = written(scored.groupBy("pattern").agg(F.sum("s").alias("total"), F.count("*").alias("n"), F.sum("supports").alias("n_seeds")), "patterns")
         trusted = patterns.where(F.col("n_seeds") >= seeds).select(F.col("pattern").alias("_p"), "total", "n", "n_seeds")
         judged = scored.where("NOT seed").join(trusted, F.col("pattern") == F.col("_p")).where(F.col("n_seeds") - F.col("supports") >= seeds)
-        unseen = written(judged.groupBy("instance").agg(F.max((F.col("total") - F.col("s")) / F.col("n")).alias("score")), "instances")
-        if i + 1 < rounds:
-            back = unseen.where(F.col("score") >= accept).select(F.col("instance").alias("_i"), F.col("score").alias("_v"))
-            scored = edges.join(back, F.col("instance") == F.col("_i"), "left").select(
-                "pattern", "instance", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("_v", F.lit(0.0))).alias("s"),
-                (F.col("seed") | F.col("_v").isNotNull()).cast("long").alias("supports"),
-            )
-    return patterns.select("pattern", (F.col("total") / (F.col("n") + 1)).alias("score"), "n_seeds"), unseen
+        best = judged.groupBy("instance").agg(F.max((F.col("total") - F.col("s")) / F.greatest(F.col("n") - 1, F.lit(1))).alias("score")).where(F.col("score") >= accept)
+        if accepted is not None:  # once accepted, always
+            best = best.union(accepted).groupBy("instance").agg(F.max("score").alias("score"))
+        accepted = written(best, "instances")
+        found = accepted.count()
+        if found == n:
+            return patterns.select("pattern", (F.col("total") / (F.col("n") + 1)).alias("score"), "n_seeds"), accepted
+        n = found
 
 
 def _joined(spans: Column) -> Column:
@@ -163,7 +199,7 @@ def _joined(spans: Column) -> Column:
 
 
 def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", accept: float = ACCEPT) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, n_id, base_sha256, spans."""
+    """doc_id, n_email, n_ip, n_card, n_phone, n_id, n_spans, base_sha256, spans."""
     found = written(scan(docs, doc_id, text), "entities")
     seen = found.select("doc_id", "th", F.explode("seen").alias("x"))
     # An instance is one value; as a seed anywhere it is a seed everywhere.
@@ -172,9 +208,10 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         .groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges",
     )
     _, unseen = bootstrap(edges, accept=accept)
-    good = unseen.where(F.col("score") >= accept).select("instance")
+    secrets = edges.where("seed").select("instance")
+    good = unseen.select("instance").union(secrets).distinct()
     more = (
-        seen.where("NOT x.seed").select("doc_id", "th", F.xxhash64("x.value").alias("instance"), "x.start", "x.stop")
+        seen.where("NOT x.base").select("doc_id", "th", F.xxhash64("x.value").alias("instance"), "x.start", "x.stop")
         .join(good, "instance", "left_semi").groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
         .agg(F.array_sort(F.collect_set(F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "stop"))).alias("more"))
     )
@@ -184,6 +221,7 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     n = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long")
     return both.select(
         F.col("doc_id").cast("long").alias("doc_id"), *[n(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])], F.size(extra).cast("long").alias("n_id"),
+        (F.size(base) + F.size(extra)).cast("long").alias("n_spans"),
         F.sha2(_joined(F.array_sort(base)).cast("binary"), 256).alias("base_sha256"),
         _joined(F.array_sort(F.concat(base, extra))).alias("spans"),
     )
