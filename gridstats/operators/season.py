@@ -101,13 +101,19 @@ def season_means(days: DataFrame, keys: list[str], names: Iterable[str]) -> Data
 def degree_days(days: DataFrame, keys: list[str], tmin: str = "tmin", tmax: str = "tmax", thresholds: Iterable[int] = THRESHOLDS, exposure: bool = False) -> DataFrame:
     """Sum over days for each threshold tmp: degree days, or the share of days within [tmp, tmp + 1].
 
-    Equal temperature pairs are counted once with their number, thresholds explode after that.
+    Each pair of temperatures is worked out once for the whole table, for all thresholds together, and joined
+    back to the cells' counts of it; the thresholds explode after the sums.
     """
     f = sine_exposure if exposure else sine_degree_days
+    wanted = [float(x) for x in thresholds]
+    name = "exposure" if exposure else "tempgdds"
     same = days.groupBy(*keys, tmin, tmax).agg(F.count("*").alias("_n"))
-    t = F.array(*[F.lit(float(x)) for x in thresholds])
-    per = same.select(*keys, "_n", F.explode(F.transform(t, lambda x: F.struct(x.alias("tmp"), f(F.col(tmin), F.col(tmax), x).alias("v")))).alias("e"))
-    return per.groupBy(*keys, F.col("e.tmp").alias("tmp")).agg(F.sum(F.col("e.v") * F.col("_n")).alias("exposure" if exposure else "tempgdds"))
+    values = days.select(F.col(tmin).alias("_lo"), F.col(tmax).alias("_hi")).distinct().select(
+        "_lo", "_hi", *[f(F.col("_lo"), F.col("_hi"), F.lit(x)).alias(f"_v{i}") for i, x in enumerate(wanted)]
+    )
+    both = same.join(values, F.col(tmin).eqNullSafe(F.col("_lo")) & F.col(tmax).eqNullSafe(F.col("_hi")))
+    sums = both.groupBy(*keys).agg(*[F.sum(F.col(f"_v{i}") * F.col("_n")).alias(f"_v{i}") for i in range(len(wanted))])
+    return sums.select(*keys, F.explode(F.array(*[F.struct(F.lit(x).alias("tmp"), F.col(f"_v{i}").alias(name)) for i, x in enumerate(wanted)])).alias("_e")).select(*keys, "_e.*")
 
 
 def gdd_edd(gdds: DataFrame, keys: list[str], low: float = 10.0, high: float = 30.0) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -21,6 +23,100 @@ def _(s, d):
     return io.scan_months(obs(s, d), 1996, 1998, (6, 7, 8)).groupBy("scenario", "year", "month").agg(F.count("*").alias("n"), F.sum("prec").alias("prec"))
 
 
+def kept(s, name, write):
+    """A folder of its own in the cluster's shared folder (in local runs a new temporary one), filled by write(path)."""
+    base = s.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not s.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    write(path)
+    return path
+
+
+_RUNS = ("rcp_a", "rcp_n", "rcp_r")
+
+
+@query("a1_scan_runs", f"SELECT scenario, CAST(member AS VARCHAR) AS member, count(*) AS n, sum(prec) AS prec FROM ({OBS_SQL}) WHERE member < 2 GROUP BY ALL", "prec")
+def _(s, d):
+    o = obs(s, d).where("member < 2")
+
+    def runs(path):
+        for scenario in _RUNS:
+            for member in range(2):
+                io.write_grid(o.where((F.col("scenario") == scenario) & (F.col("member") == member)).select("time", "lat", "lon", "prec"), f"{path}/{scenario}_{member}")
+
+    return io.scan_runs(s, kept(s, "runs", runs)).groupBy("scenario", "member").agg(F.count("*").alias("n"), F.sum("prec").alias("prec"))
+
+
+@query("a3_scan_all", f"SELECT year, count(tas) AS n_tas, count(rain) AS n_rain, sum(rain) AS rain FROM (SELECT year, tas, NULL AS rain FROM ({MONTHLY_SQL}) WHERE year <= 1997 UNION ALL SELECT year, tas, prec FROM ({MONTHLY_SQL}) WHERE year > 1997) GROUP BY ALL", "rain")
+def _(s, d):
+    m = monthly(s, d)
+    old = kept(s, "old", lambda p: io.write_grid(m.where("year <= 1997").select("year", "tas"), p))
+    new = kept(s, "new", lambda p: io.write_grid(m.where("year > 1997").select("year", "tas", F.col("prec").alias("rain")), p))
+    return io.scan_all(s, old, new).groupBy("year").agg(F.count("tas").alias("n_tas"), F.count("rain").alias("n_rain"), F.sum("rain").alias("rain"))
+
+
+@query("a7_read_codes", "SELECT CAST(n_nationkey AS INT) AS code, n_name AS name FROM nation")
+def _(s, d):
+    codes = table(s, d, "nation").select(F.col("n_nationkey").cast("int").alias("code"), F.col("n_name").alias("name"))
+    return io.read_codes(s, kept(s, "codes", lambda p: io.write_summary_csv(codes, p)))
+
+
+@query("a9_write_grid", f"SELECT scenario, lat, lon, avg(tas) AS tas FROM ({OBS_SQL}) GROUP BY ALL", "tas")
+def _(s, d):
+    grid = obs(s, d).groupBy("scenario", "lat", "lon").agg(F.avg("tas").alias("tas"))
+
+    def parts(path):
+        io.write_grid(grid.where("scenario = 'rcp_a'"), path)
+        io.write_grid(grid.where("scenario <> 'rcp_a'"), path, mode="append")
+
+    return s.read.parquet(kept(s, "grid", parts))
+
+
+@query("a10_write_yearly", f"SELECT scenario, member, year, count(*) AS n, sum(prec + CASE WHEN year = 1996 THEN 1 ELSE 0 END) AS prec FROM ({OBS_SQL}) GROUP BY ALL", "prec")
+def _(s, d):
+    o = obs(s, d).select("scenario", "member", "year", "lat", "lon", "prec")
+
+    def years(path):
+        io.write_yearly(o, path)
+        io.write_yearly(o.where("year = 1996").withColumn("prec", F.col("prec") + 1), path)  # only those folders are replaced
+
+    return s.read.parquet(kept(s, "yearly", years)).groupBy("scenario", "member", "year").agg(F.count("*").alias("n"), F.sum("prec").alias("prec"))
+
+
+@query("a11_clean_before_write", f"SELECT scenario, count(*) AS n FROM ({OBS_SQL}) WHERE year = 2000 GROUP BY ALL")
+def _(s, d):
+    o = obs(s, d).select("scenario", "year", "tas")
+
+    def twice(path):
+        io.write_grid(o, path)
+        io.write_grid(o.where("year = 2000"), path)  # what was there goes
+
+    return s.read.parquet(kept(s, "clean", twice)).groupBy("scenario").agg(F.count("*").alias("n"))
+
+
+@query("a12_write_summary_csv", f"SELECT scenario, CAST(month AS INT) AS month, avg(tas) AS tas FROM ({MONTHLY_SQL}) GROUP BY ALL", "tas")
+def _(s, d):
+    summary = monthly(s, d).groupBy("scenario", F.col("month").cast("int").alias("month")).agg(F.avg("tas").alias("tas"))
+    return s.read.csv(kept(s, "summary", lambda p: io.write_summary_csv(summary, p)), header=True, schema="scenario string, month int, tas double")
+
+
+@query("a13_compressed_output", f"SELECT scenario, year, sum(prec) AS prec, count(*) AS n FROM ({OBS_SQL}) GROUP BY ALL", "prec")
+def _(s, d):
+    o = obs(s, d).select("scenario", "year", "prec")
+    read = s.read.parquet(*[kept(s, f"packed-{c}", lambda p, i=i, c=c: io.write_grid(o.where(F.col("year") % 2 == i), p, compression=c)) for i, c in enumerate(("zstd", "gzip"))])
+    return read.groupBy("scenario", "year").agg(F.sum("prec").alias("prec"), F.count("*").alias("n"))
+
+
+@query("b2_drop_bounds", f"SELECT scenario, lat, avg(tas) AS tas FROM ({OBS_SQL}) GROUP BY ALL", "tas")
+def _(s, d):
+    o = obs(s, d).withColumns({"lat_bnds": F.array(F.col("lat") - 2.5, F.col("lat") + 2.5), "time_bnds": F.array("time", "time")})
+    kept_columns = P.drop_bounds(o.groupBy("scenario", "lat").agg(F.avg("tas").alias("tas"), F.first("lat_bnds").alias("lat_bnds"), F.first("time_bnds").alias("time_bnds")))
+    return kept_columns
+
+
 @query("a4_tag_and_stack", f"""SELECT period, scenario, count(*) AS n, avg(tas) AS tas, avg(rain) AS rain FROM (
     SELECT 'historical' AS period, scenario, tas, NULL AS rain FROM ({MONTHLY_SQL}) WHERE year BETWEEN 1995 AND 1997
     UNION ALL SELECT 'future', scenario, tas, prec FROM ({MONTHLY_SQL}) WHERE year BETWEEN 1999 AND 2001) GROUP BY ALL""", "tas rain")
