@@ -98,7 +98,11 @@ def _(s, d):
     return T.trend_slope(y, k, "year", ["y"]).join(mean, k).select(*k, F.try_divide(100 * F.col("y"), F.col("m")).alias("trend"))
 
 
-@query("j9_yield_trend_bootstrap")
+#: The bootstrap's SQL over yearly yields instead of temperatures, with 60 replicates.
+_BOOT = AG.BOOT_SQL.replace(f"avg(tas) AS tas FROM ({OBS_SQL})", f"avg(yield) AS tas FROM ({YIELD_SQL})").replace("range(30)", "range(60)")
+
+
+@query("j9_yield_trend_bootstrap", f"SELECT scenario, lat, lon, tas AS y, tas_var AS y_var FROM ({_BOOT})", "y y_var", 9)
 def _(s, d):
     y = linear_predictor(s, d).groupBy("scenario", "lat", "lon", "year").agg(F.avg(F.exp("eta")).alias("y"))
     return T.trend_bootstrap(y, ["scenario", "lat", "lon"], "year", "y", nsamp=60)
