@@ -6,9 +6,10 @@ the last token before it (merging the two alone gives the two back).  The count
 the count before that token plus one.  Whole texts add up the counts of their pre-tokens, so a
 prefix's count, or the longest prefix within a budget, is read off without encoding again.
 
-Null text is empty: 0 bytes, 0 tokens.  Repeated rows are counted alike.  Other columns are kept;
-a clash with an output name replaces the input's column.  Memory: a task holds one Arrow batch and a
-cache of at most 2 * CACHE pre-tokens.
+Null text is empty: 0 bytes, 0 tokens.  Repeated rows are counted alike.  An empty table gives an empty
+table.  Other columns are kept; a clash with an output name replaces the input's column.  A text of any
+length is counted whole, in time linear in its length and with 4 bytes a character.  Memory: a task holds
+one Arrow batch, the counts of one text, and a cache of at most 2 * CACHE pre-tokens.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import json
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -24,6 +26,10 @@ from pyspark.sql import functions as F
 
 LIMIT = 512
 CACHE = 400_000
+#: Longer pre-tokens are counted anew each time; so many characters never hold more than 255 tokens.
+SHORT = 60
+#: Pre-tokens that a shorter text would split (fixed values).
+CONTRACTIONS = frozenset(("'s", "'t", "'re", "'ve", "'m", "'ll", "'d"))
 #: Pre-token pattern of the byte-level tokenizer (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -64,8 +70,9 @@ class PrefixCounter:
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pretokens = regex.compile(PATTERN)
         self.fits: dict[int, bool] = {}
-        self.totals: dict[str, int] = {}
-        self.older: dict[str, int] = {}
+        self.runs = regex.compile(r"\s{2,}")
+        self.locals: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, ids: list[int]) -> list[int]:
         """Plain merging by rank, for pairs of tokens and for tests."""
@@ -160,15 +167,20 @@ class PrefixCounter:
             known = self.wholes[t] = self.merged([self.ids[b[i : i + 1]] for i in range(len(b))]) == [t]
         return known
 
-    def total(self, piece: str) -> int:
-        if (n := self.totals.get(piece)) is None:
-            if (n := self.older.pop(piece, None)) is None:
-                n = self.byte_prefixes(piece.encode("utf-8", "surrogatepass"))[-1]
-            if len(piece) <= 64:
-                if len(self.totals) >= CACHE:  # two generations: what is in use moves on, the rest goes
-                    self.older, self.totals = self.totals, {}
-                self.totals[piece] = n
-        return n
+    def local(self, piece: str) -> bytes | np.ndarray:
+        """Counts of a pre-token's prefixes of 1, 2, ... characters, each as if the text ended there."""
+        if (known := self.locals.get(piece)) is None:
+            if (known := self.older.pop(piece, None)) is None:
+                if piece[0] == "'" and piece in CONTRACTIONS:  # cut short, the apostrophe stands alone
+                    known = [*(1 + n for n in (0, *self.char_prefixes(piece[1:-1])[1:])), self.char_prefixes(piece)[-1]]
+                else:
+                    known = self.char_prefixes(piece)[1:]
+                known = bytes(known) if len(piece) <= SHORT else np.array(known, dtype=np.int32)
+            if len(piece) <= SHORT:
+                if len(self.locals) >= CACHE:  # two generations: what is in use moves on, the rest goes
+                    self.older, self.locals = self.locals, {}
+                self.locals[piece] = known
+        return known
 
     def parts(self, text: str) -> Iterator[tuple[str, bool]]:
         """The text in order, (stretch, is a special token)."""
@@ -180,42 +192,55 @@ class PrefixCounter:
                 yield x, bool(i % 2)
 
     def count(self, text: str) -> int:
-        n, total = 0, self.total
+        n, local = 0, self.local
         for stretch, special in self.parts(text):
-            if special:
-                n += 1
-                continue
-            pieces = self.pretokens.findall(stretch)
-            known = list(map(self.totals.get, pieces))
-            if None in known:
-                known = [total(p) if k is None else k for p, k in zip(pieces, known, strict=True)]
-            n += sum(known)
+            n += 1 if special else sum(int(local(p)[-1]) for p in self.pretokens.findall(stretch))
         return n
 
-    def prefixes(self, text: str) -> list[int]:
-        """counts[i]: tokens of the first i characters, each as if they were the whole text."""
-        out, before = [0], 0
+    def prefixes(self, text: str) -> np.ndarray:
+        """counts[i]: tokens of the first i characters, each as if they were the whole text.
+
+        A later end of the text changes the split into pre-tokens only within runs of blanks, within
+        contractions (see local) and within special tokens; everything else adds up.
+        """
+        out = np.zeros(len(text) + 1, dtype=np.int32)
+        at = tail = 0  # tail: the last place before `at` from which the split does not depend on what follows
         for stretch, special in self.parts(text):
-            at, base = 0, before
-            pieces = [stretch] if special else self.pretokens.findall(stretch)
-            settled = 0  # characters of the stretch up to where no later end can change the split
-            settled_n = base
-            for p in pieces:
-                inner = None if special or p[0] == "'" or p[0].isspace() else self.char_prefixes(p)
-                for j in range(1, len(p) + 1):
-                    if special and j == len(p):
-                        out.append(base + 1)
-                    elif inner is not None:
-                        out.append(base + inner[j])
-                    else:
-                        out.append(settled_n + sum(map(self.total, self.pretokens.findall(stretch[settled : at + j]))))
-                at += len(p)
-                base += 1 if special else self.total(p)
-                if not p.isspace():
-                    settled, settled_n = at, base
-            before = base
+            stop = at + len(stretch)
+            if special:
+                for i in range(at + 1, stop):
+                    out[i] = out[tail] + self.count(text[tail:i])
+                out[stop] = out[at] + 1
+                tail = stop
+            else:
+                tail = at + self._add(stretch, out[at : stop + 1])
+            at = stop
         return out
 
+    def _add(self, stretch: str, out: np.ndarray) -> int:
+        """Fills out[1:] for a stretch without special tokens, on top of out[0]; the start of its last pre-token that is not blank."""
+        pieces = self.pretokens.findall(stretch)
+        known = list(map(self.locals.get, pieces))
+        if None in known:
+            known = [self.local(p) if k is None else k for p, k in zip(pieces, known, strict=True)]
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends = np.cumsum(sizes)
+        if ends[-1] > SHORT and sizes.max() > SHORT:
+            inner = np.concatenate([np.frombuffer(k, np.uint8) if type(k) is bytes else k for k in known]).astype(np.int32)
+        else:
+            inner = np.frombuffer(b"".join(known), np.uint8)
+        totals = inner[ends - 1].astype(np.int32)
+        before = np.cumsum(totals, dtype=np.int32) - totals + out[0]
+        np.add(inner, np.repeat(before, sizes), out=out[1:], casting="unsafe")
+        for m in self.runs.finditer(stretch):  # a prefix that ends in a run of blanks holds them as one pre-token
+            lo, hi = m.span()
+            run = self.local(m[0])
+            out[lo + 1 : hi + 1] = out[lo] + (np.frombuffer(run, np.uint8) if type(run) is bytes else run)
+        last = len(pieces) - 1
+        while last > 0 and pieces[last].isspace():
+            last -= 1
+        return int(ends[last] - sizes[last])
+
     def char_prefixes(self, piece: str) -> list[int]:
         by_byte = self.byte_prefixes(piece.encode("utf-8", "surrogatepass"))
         out, at = [0], 0
@@ -224,15 +249,6 @@ class PrefixCounter:
             out.append(by_byte[at])
         return out
 
-    def longest_prefix(self, text: str, limit: int) -> int:
-        """Characters of the longest prefix all of whose prefixes hold at most `limit` tokens' worth of text."""
-        counts = self.prefixes(text)
-        best = 0
-        for i, n in enumerate(counts):
-            if n <= limit:
-                best = i
-        return best
-
 
 @lru_cache(maxsize=4)
 def counter(path: str) -> PrefixCounter:
@@ -240,22 +256,35 @@ def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
+def longest_within(counts: np.ndarray, budget: int) -> int:
+    """Characters of the longest prefix of at most `budget` tokens (counts may fall as a text grows, so the last such)."""
+    if counts[-1] <= budget:
+        return len(counts) - 1
+    return int(np.flatnonzero(counts <= budget)[-1])
+
+
 def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = LIMIT) -> DataFrame:
-    """Adds n_bytes, n_tokens and over_limit.  One pass in place: no shuffle."""
-    src = docs.drop(*[c for c in ("n_bytes", "n_tokens", "over_limit") if c != text])
+    """Adds n_bytes, n_tokens, over_limit and, from the same prefix counts, chars_in_limit (characters of the longest prefix of at
+    most `limit` tokens) and tokens_of_half (tokens of the first half of the characters, rounded down).  One pass in place: no shuffle."""
+    src = docs.drop(*[c for c in ("n_bytes", "n_tokens", "over_limit", "chars_in_limit", "tokens_of_half", "_t") if c != text])
 
-    @F.pandas_udf("long")
-    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("n_tokens long, chars_in_limit long, tokens_of_half long")
+    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = counter(path)
         for s in batches:
-            yield pd.Series([0 if x is None else c.count(x) for x in s], dtype="int64")
+            rows = []
+            for x in s:
+                counts = c.prefixes(x or "")
+                rows.append((counts[-1], longest_within(counts, limit), counts[(len(counts) - 1) // 2]))
+            yield pd.DataFrame(rows, columns=["n_tokens", "chars_in_limit", "tokens_of_half"], dtype="int64")
 
-    whole = src.select("*", tokens(F.col(text)).alias("n_tokens"))
+    whole = src.select("*", tokens(F.col(text)).alias("_t"))
     return whole.select(
         *[F.col(f"`{c}`") for c in src.columns],
         F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"),
-        "n_tokens",
-        (F.col("n_tokens") > limit).alias("over_limit"),
+        "_t.n_tokens",
+        (F.col("_t.n_tokens") > limit).alias("over_limit"),
+        "_t.chars_in_limit", "_t.tokens_of_half",
     )
 
 
@@ -266,7 +295,7 @@ def prefix_store(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = counter(path)
         for s in batches:
-            yield pd.Series([[0] if x is None else c.prefixes(x) for x in s])
+            yield pd.Series([c.prefixes(x or "") for x in s])
 
     return docs.select(F.col(doc_id).alias("doc_id"), counts(F.col(text)).alias("counts"))
 

@@ -218,8 +218,11 @@ def test_every_prefix_is_exact(counter, library):
     rng = random.Random(4)
     texts = ["", "they'll we'l 'll ' x", "x<|endoftext|>y <|endo", "émoji 😀😀 123 45a  ", "   x", "a  b  \n\n c", "aaaaaaaaaaaaaaaaaaaaaaaa"]
     texts += ["".join(rng.choice("ab c'lsrev\n\t 19é!<|") for _ in range(40)) for _ in range(60)]
+    parts = ["'s", "'re", "'ll", "'", "'v", "e", " ", "  ", "\n", " Don't", "12", "<|endoftext|>", "<|endof", "!", " ?", "日本", "😀", "l"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(150)]
+    texts += ["word " + "y" * 90 + "  \n " + " " * 70 + "<|endoftext|>", "." * 70 + "<|endoftext|>"]
     for t in texts:
-        assert counter.prefixes(t) == [len(library.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)]
+        assert counter.prefixes(t).tolist() == [len(library.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)]
 
 
 def test_counts_and_budgets(spark, library):
@@ -228,12 +231,24 @@ def test_counts_and_budgets(spark, library):
     out = tokencount.count_tokens(docs_of(spark, rows, n_tokens="clash"), vocabulary(), limit=100).collect()
     assert sorted((r["n_bytes"], r["n_tokens"]) for r in out) == want
     assert all(r["over_limit"] == (r["n_tokens"] > 100) for r in out)
+    for r in out:
+        t = r["text"] or ""
+        n = lambda i: len(library.encode(t[:i], add_special_tokens=False).ids)  # noqa: B023, E731
+        assert r["tokens_of_half"] == n(len(t) // 2) and n(r["chars_in_limit"]) <= 100
+        assert all(n(i) > 100 for i in range(r["chars_in_limit"] + 1, min(len(t), r["chars_in_limit"] + 20) + 1))
+    assert tokencount.count_tokens(docs_of(spark, []), vocabulary()).count() == 0
     store = tokencount.prefix_store(docs_of(spark, rows[-1:]), vocabulary())
     cut = tokencount.cut_for_budget(store, 5).first()
     assert cut["counts"][cut["n_chars"]] <= 5 and all(n > 5 for n in cut["counts"][cut["n_chars"] + 1 :])
     assert tokencount.tokens_of_prefix(store, 10**6).first()["n_tokens"] == cut["counts"][-1]
 
 
+def test_prefixes_of_very_long_texts(counter, library):
+    for t in (" " * 200_000, "x" * 200_000, "a\n\n b's " * 30_000):
+        counts = counter.prefixes(t)
+        assert len(counts) == len(t) + 1 and counts[-1] == len(library.encode(t, add_special_tokens=False).ids)
+
+
 # 4. Line dedup
 
 
