@@ -30,43 +30,51 @@ def merge_grids(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
 
 
 def axis_of(df: DataFrame, axis: str) -> DataFrame:
-    """The distinct values of a coordinate: small whatever the table's length, as grids are fixed."""
+    """The distinct values of a coordinate: as long as the grid is wide, whatever the table's length."""
     return df.select(axis).where(F.col(axis).isNotNull()).distinct()
 
 
-def _near_axis(source: DataFrame, target: DataFrame, axis: str, limit: Column | None) -> DataFrame:
-    """(axis of target, `_axis` of source): the nearest source value; ties take the smaller.
+def _between(source: DataFrame, target: DataFrame, axis: str) -> DataFrame:
+    """(axis of target, _lo, _hi): the source values at or below it and above it, NULL where there is none.
 
-    The pairing of two axes is a few hundred rows a side.
+    Both axes are sorted once, in one task: at 0.01 degrees that is 36 000 values.
     """
-    pairs = axis_of(target, axis).join(F.broadcast(axis_of(source, axis).withColumnRenamed(axis, f"_{axis}")), limit if limit is not None else F.lit(True))
-    order = Window.partitionBy(axis).orderBy(F.abs(F.col(axis) - F.col(f"_{axis}")), f"_{axis}")
-    return pairs.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    both = axis_of(source, axis).select(axis, F.col(axis).alias("_s"), F.lit(False).alias("_t")).unionByName(
+        axis_of(target, axis).select(axis, F.lit(None).cast("double").alias("_s"), F.lit(True).alias("_t"))
+    ).groupBy(axis).agg(F.max("_s").alias("_s"), F.max("_t").alias("_t"))
+    up = Window.orderBy(axis).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.orderBy(F.desc(axis)).rowsBetween(Window.unboundedPreceding, -1)
+    return both.select(axis, "_t", F.last("_s", True).over(up).alias("_lo"), F.last("_s", True).over(down).alias("_hi")).where("_t").drop("_t")
+
+
+def _near_axis(source: DataFrame, target: DataFrame, axis: str) -> DataFrame:
+    """(axis of target, `_axis` of source, _in): the nearest source value, ties take the smaller; _in: within the source's range."""
+    x, lo, hi = F.col(axis), F.col("_lo"), F.col("_hi")
+    return _between(source, target, axis).select(
+        axis, F.when(hi.isNull() | (x - lo <= hi - x), lo).otherwise(hi).alias(f"_{axis}"),
+        (lo.isNotNull() & (hi.isNotNull() | (lo == x))).alias("_in"),
+    ).where(F.col(f"_{axis}").isNotNull())
 
 
 def snap_join(a: DataFrame, b: DataFrame, on: list[str], tol: float = 0.001) -> DataFrame:
     """a joined with b on `on`, latitudes and longitudes of b matched to a's within tol."""
     for axis in ("lat", "lon"):
-        near = _near_axis(b, a, axis, F.abs(F.col(axis) - F.col(f"_{axis}")) <= tol)
-        b = b.withColumnRenamed(axis, f"_{axis}").join(F.broadcast(near), f"_{axis}").drop(f"_{axis}")
+        near = _near_axis(b, a, axis).where(F.abs(F.col(axis) - F.col(f"_{axis}")) <= tol).drop("_in")
+        b = b.withColumnRenamed(axis, f"_{axis}").join(near, f"_{axis}").drop(f"_{axis}")
     return a.join(b, [*on, "lat", "lon"])
 
 
 def regrid_nearest(df: DataFrame, target: DataFrame) -> DataFrame:
     """df on the axes of target(lat, lon): the nearest cell, nothing outside the source's range."""
     for axis in ("lat", "lon"):
-        ends = df.agg(F.min(axis).alias("_lo"), F.max(axis).alias("_hi"))
-        near = _near_axis(df, target, axis, None).join(F.broadcast(ends), F.col(axis).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
-        df = df.withColumnRenamed(axis, f"_{axis}").join(F.broadcast(near), f"_{axis}").drop(f"_{axis}")
+        near = _near_axis(df, target, axis).where("_in").drop("_in")
+        df = df.withColumnRenamed(axis, f"_{axis}").join(near, f"_{axis}").drop(f"_{axis}")
     return df
 
 
 def _brackets(source: DataFrame, target: DataFrame, axis: str) -> DataFrame:
     """(axis, _axis, _w): the source values on either side with linear weights; a hit has one side."""
-    s = axis_of(source, axis).select(F.col(axis).alias("_lo"))
-    s = s.withColumn("_hi", F.lead("_lo").over(Window.orderBy("_lo")))  # an axis, a few hundred rows
-    t = axis_of(target, axis)
-    inside = t.join(F.broadcast(s), (F.col(axis) >= F.col("_lo")) & ((F.col(axis) < F.col("_hi")) | (F.col(axis) == F.col("_lo"))))
+    inside = _between(source, target, axis).where(F.col("_lo").isNotNull() & (F.col("_hi").isNotNull() | (F.col("_lo") == F.col(axis))))
     w = F.coalesce(F.try_divide(F.col(axis) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
     ends = F.array(F.struct(F.col("_lo").alias("at"), (1 - w).alias("w")), F.struct(F.col("_hi").alias("at"), w.alias("w")))
     return inside.select(axis, F.explode(F.filter(ends, lambda e: e["w"] > 0)).alias("_e")).select(
@@ -79,7 +87,7 @@ def regrid_bilinear(df: DataFrame, target: DataFrame, keys: list[str], names: It
     lat, lon = _brackets(df, target, "lat"), _brackets(df, target, "lon")
     need = lat.groupBy("lat").agg(F.count("*").alias("_nlat")), lon.groupBy("lon").agg(F.count("*").alias("_nlon"))
     src = df.withColumnsRenamed({"lat": "_lat", "lon": "_lon"})
-    corners = src.join(F.broadcast(lat.join(need[0], "lat")), "_lat").join(F.broadcast(lon.join(need[1], "lon")), "_lon")
+    corners = src.join(lat.join(need[0], "lat"), "_lat").join(lon.join(need[1], "lon"), "_lon")
     w = F.col("_wlat") * F.col("_wlon")
     n = F.max(F.col("_nlat") * F.col("_nlon"))
     return corners.groupBy(*keys, "lat", "lon").agg(*[F.when(F.count(v) == n, F.sum(F.col(v) * w)).alias(v) for v in names])
@@ -89,7 +97,7 @@ def impose_coords(df: DataFrame, target: DataFrame, axis: str) -> DataFrame:
     """The i-th value of an axis becomes the target's i-th value."""
     rank = lambda d, name: axis_of(d, axis).select(F.col(axis).alias(name), F.row_number().over(Window.orderBy(axis)).alias("_i"))
     pairs = rank(df, "_old").join(rank(target, "_new"), "_i").drop("_i")
-    return df.join(F.broadcast(pairs), F.col(axis) == F.col("_old")).withColumn(axis, F.col("_new")).drop("_old", "_new")
+    return df.join(pairs, F.col(axis) == F.col("_old")).withColumn(axis, F.col("_new")).drop("_old", "_new")
 
 
 def attach_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -132,18 +140,20 @@ def point_in_polygon(x: Column, y: Column, ring: Column) -> Column:
     return F.aggregate(F.transform(edges, crosses), F.lit(0), lambda s, c: s + c) % 2 == 1
 
 
-def rasterize(cells: DataFrame, polygons: DataFrame, value: str, background: float = 0.0, missing: float = -9999.0) -> DataFrame:
+def rasterize(cells: DataFrame, polygons: DataFrame, value: str, background: float = 0.0, missing: float = -9999.0, tile: float = 5.0) -> DataFrame:
     """Cells with the value of the last polygon(shape_no, rings, value) whose inside holds their centre.
 
-    Polygons meet cells by bounding box first.
+    A polygon meets the cells of the tiles that its bounding box touches, by an equi-join; the box is tested next, its rings last.
     """
     flat = F.flatten("rings")
+    at = lambda c: F.floor(c / tile)
     boxed = polygons.select(
         "shape_no", "rings", value,
         F.array_min(F.transform(flat, lambda p: p["x"])).alias("x0"), F.array_max(F.transform(flat, lambda p: p["x"])).alias("x1"),
         F.array_min(F.transform(flat, lambda p: p["y"])).alias("y0"), F.array_max(F.transform(flat, lambda p: p["y"])).alias("y1"),
-    )
-    near = cells.join(boxed, F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1")))
+    ).withColumn("_tx", F.explode(F.sequence(at(F.col("x0")), at(F.col("x1"))))).withColumn("_ty", F.explode(F.sequence(at(F.col("y0")), at(F.col("y1")))))
+    tiled = cells.select("lat", "lon", at(F.col("lon")).alias("_tx"), at(F.col("lat")).alias("_ty"))
+    near = tiled.join(boxed, ["_tx", "_ty"]).where(F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1")))
     hits = F.aggregate(F.transform("rings", lambda r: point_in_polygon(F.col("lon"), F.col("lat"), r).cast("int")), F.lit(0), lambda s, c: s + c)
     last = near.where(hits % 2 == 1).groupBy("lat", "lon").agg(F.max_by(value, "shape_no").alias("_v"))
     v = F.coalesce(F.when(F.col("_v") != missing, F.col("_v")), F.lit(background))

@@ -43,6 +43,17 @@ def select_level(df: DataFrame, lev: float) -> DataFrame:
     return df.where((F.col("lev") == lev) | F.col("lev").isNull()).withColumn("lev", F.lit(float(lev)))
 
 
+def with_place(df: DataFrame, first: str, *rest: str, place: str = "place") -> DataFrame:
+    """Place of each row in the order of first, *rest, from 1: rows before its value of `first` plus its rank within that value.
+
+    Only the counts of the distinct values of `first` are added up in one task.
+    """
+    before = F.sum("_n").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1))
+    counts = df.groupBy(first).agg(F.count("*").alias("_n")).select(F.col(first).alias("_first"), F.coalesce(before, F.lit(0)).alias("_before"))
+    inner = F.row_number().over(Window.partitionBy(first).orderBy(*rest))
+    return df.withColumn("_r", inner).join(counts, F.col(first).eqNullSafe(F.col("_first"))).withColumn(place, F.col("_before") + F.col("_r")).drop("_r", "_first", "_before")
+
+
 def select_scenarios(df: DataFrame, names: list[str]) -> DataFrame:
     """The listed scenarios with their place in the list as `ord`."""
     place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("scenario")).cast("int")

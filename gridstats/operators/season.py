@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,8 +88,9 @@ def two_year_days(df: DataFrame, harvest_year: int, time: str = "time") -> DataF
     from gridstats.functions.scalar import noleap_doy
 
     day = F.to_date(F.col(time))
+    span = (F.col(time) >= F.lit(date(harvest_year - 1, 1, 1))) & (F.col(time) < F.lit(date(harvest_year + 1, 1, 1)))
     leap = (F.month(day) == 2) & (F.dayofmonth(day) == 29)
-    return df.where(F.year(day).isin(harvest_year - 1, harvest_year) & ~leap).withColumn(
+    return df.where(span & ~leap).withColumn(
         "day_idx", ((F.year(day) - (harvest_year - 1)) * 365 + noleap_doy(day) - 1).cast("int")
     )
 

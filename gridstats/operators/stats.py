@@ -67,6 +67,14 @@ def weighted_mean(df: DataFrame, keys: list[str], names: Iterable[str], weight:
     ])
 
 
+def means_by_weights(df: DataFrame, keys: list[str], value: str, weights: dict[str, Column | None]) -> DataFrame:
+    """One mean of a column for each named weight (None: unweighted), in one pass."""
+    x = F.col(value)
+    return df.groupBy(*keys).agg(*[
+        (F.avg(x) if w is None else F.try_divide(F.sum(x * w), F.sum(w))).alias(name) for name, w in weights.items()
+    ])
+
+
 def class_sum(df: DataFrame, keys: list[str], column: str, codes: Iterable[int], value: str) -> DataFrame:
     """Sum over listed classes, 0 where there is none."""
     inside = F.when(F.col(column).isin(list(codes)), F.col(value))

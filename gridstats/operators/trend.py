@@ -34,7 +34,8 @@ def trend_bootstrap(df: DataFrame, keys: list[str], x: str, y: str, nsamp: int =
     """Mean and variance (ddof 0) of the slopes of nsamp resamples with replacement per group.
 
     A group's series is one array; replicates are rows, so the work spreads over groups times
-    replicates.  Draw i of replicate r is state_i // 65536 mod n of a seeded generator.
+    replicates.  Draw i of replicate r is state_i // 65536 mod n of a generator seeded by seed, replicate and group,
+    so that groups are resampled independently.
     """
     one = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     middle = F.avg(x).alias("_mid")
@@ -43,7 +44,8 @@ def trend_bootstrap(df: DataFrame, keys: list[str], x: str, y: str, nsamp: int =
     ).withColumn("p", F.transform("p", lambda v: F.struct((v["x"] - F.col("_mid")).alias("x"), v["y"].alias("y"))))
     reps = series.select(*keys, "p", F.explode(F.sequence(F.lit(0), F.lit(nsamp - 1))).alias("r"))
     n = F.size("p")
-    start = ((F.lit(seed) * 7919 + F.col("r") * 104729) % LCG_M).cast("long")
+    group = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])), 1, 7), 16, 10).cast("long")
+    start = ((F.lit(seed) * 7919 + F.col("r") * 104729 + group) % LCG_M).cast("long")
     zero = F.struct(start.alias("s"), F.array().cast("array<struct<x:double,y:double>>").alias("out"))
 
     def draw(acc: Column, _: Column) -> Column:

@@ -115,11 +115,8 @@ def _(s, d):
 
 @query("d15_weight_choices", f"SELECT scenario, sum(tas * weight) / sum(weight) AS by_area, sum(tas * weight * prec) / sum(weight * prec) AS by_production, avg(tas) AS plain FROM ({OBS_SQL}) GROUP BY scenario", "by_area by_production plain")
 def _(s, d):
-    o = obs(s, d).withColumn("production", F.col("weight") * F.col("prec"))
-    k = ["scenario"]
-    area = ST.weighted_mean(o, k, ["tas"], "weight").withColumnRenamed("tas", "by_area")
-    production = ST.weighted_mean(o, k, ["tas"], "production").withColumnRenamed("tas", "by_production")
-    return area.join(production, k).join(o.groupBy(*k).agg(F.avg("tas").alias("plain")), k)
+    area = F.col("weight")
+    return ST.means_by_weights(obs(s, d), ["scenario"], "tas", {"by_area": area, "by_production": area * F.col("prec"), "plain": None})
 
 
 @query("d16_group_totals", f"SELECT scenario, year, sum(weight) AS area, sum(weight * prec) AS production, avg(weight) AS mean_area FROM ({OBS_SQL}) GROUP BY scenario, year", "area production mean_area", 2)
@@ -191,8 +188,9 @@ def _(s, d):
 _LCG = "(s * 1103515245 + 12345) % 2147483648"
 BOOT_SQL = f"""WITH RECURSIVE g AS (SELECT scenario, lat, lon, list(struct_pack(x := year - mid, y := tas) ORDER BY year, tas) AS p, count(*) AS n FROM (SELECT *, avg(year) OVER (PARTITION BY scenario, lat, lon) AS mid FROM
         (SELECT scenario, lat, lon, year, avg(tas) AS tas FROM ({OBS_SQL}) GROUP BY ALL)) GROUP BY ALL),
-    states AS (SELECT r, 0 AS i, CAST((1 * 7919 + r * 104729) % 2147483648 AS BIGINT) AS s FROM range(30) t(r) UNION ALL SELECT r, i + 1, CAST({_LCG} AS BIGINT) FROM states WHERE i < 12),
-    draws AS (SELECT scenario, lat, lon, r, p[CAST((s // 65536) % n AS BIGINT) + 1] AS v FROM g JOIN states ON i BETWEEN 1 AND n),
+    states AS (SELECT scenario, lat, lon, n, r, 0 AS i, CAST((1 * 7919 + r * 104729 + CAST('0x' || substr(md5(concat_ws('|', scenario, lat, lon)), 1, 7) AS BIGINT)) % 2147483648 AS BIGINT) AS s FROM g, range(30) t(r)
+        UNION ALL SELECT scenario, lat, lon, n, r, i + 1, CAST({_LCG} AS BIGINT) FROM states WHERE i < n),
+    draws AS (SELECT scenario, lat, lon, r, p[CAST((s // 65536) % g.n AS BIGINT) + 1] AS v FROM g JOIN states USING (scenario, lat, lon) WHERE i >= 1),
     slopes AS (SELECT scenario, lat, lon, r, count(*) AS k, sum(v.x) AS sx, sum(v.y) AS sy, sum(v.x * v.x) AS sxx, sum(v.x * v.y) AS sxy FROM draws GROUP BY ALL),
     b AS (SELECT scenario, lat, lon, CASE WHEN abs(k * sxx - sx * sx) > 1e-9 THEN (k * sxy - sx * sy) / (k * sxx - sx * sx) END AS b FROM slopes)
     SELECT scenario, lat, lon, CASE WHEN count(b) = count(*) THEN avg(b) END AS tas, CASE WHEN count(b) = count(*) THEN var_pop(b) END AS tas_var FROM b GROUP BY scenario, lat, lon"""

@@ -168,10 +168,7 @@ def _(s, d):
 @query("f1_sort_by", f"SELECT scenario, year, avg(tas) AS tas, row_number() OVER (ORDER BY year, scenario) AS place FROM ({OBS_SQL}) GROUP BY scenario, year", "tas")
 def _(s, d):
     y = obs(s, d).groupBy("scenario", "year").agg(F.avg("tas").alias("tas"))
-    # One row a scenario and year: the place is told by a count, the sort is Spark's.
-    earlier = y.select(F.struct("year", "scenario").alias("e"))
-    place = y.join(F.broadcast(earlier), F.col("e") <= F.struct("year", "scenario")).groupBy("scenario", "year", "tas").agg(F.count("*").alias("place"))
-    return place.orderBy("year", "scenario")
+    return P.with_place(y, "year", "scenario").orderBy("year", "scenario")
 
 
 @query("f2_sort_scenarios", f"SELECT scenario, CASE scenario WHEN 'rcp_r' THEN 1 WHEN 'rcp_n' THEN 2 ELSE 3 END AS ord, year, sum(prec) AS prec FROM ({OBS_SQL}) GROUP BY ALL", "prec")

@@ -20,7 +20,7 @@ MKEYS = "scenario, member, year, month, lat, lon"
 
 @query("a2_scan_months", f"SELECT scenario, year, month, count(*) AS n, sum(prec) AS prec FROM ({OBS_SQL}) WHERE year BETWEEN 1996 AND 1998 AND month IN (6, 7, 8) GROUP BY ALL", "prec")
 def _(s, d):
-    return io.scan_months(obs(s, d), 1996, 1998, (6, 7, 8)).groupBy("scenario", "year", "month").agg(F.count("*").alias("n"), F.sum("prec").alias("prec"))
+    return io.scan_months(obs(s, d), 1996, 1998, (6, 7, 8), "time").groupBy("scenario", "year", "month").agg(F.count("*").alias("n"), F.sum("prec").alias("prec"))
 
 
 def kept(s, name, write):

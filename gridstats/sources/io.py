@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +20,14 @@ def scan_runs(spark: SparkSession, path: str, pattern: str = RUN_PATTERN) -> Dat
     }).where("scenario <> ''").drop("_path")
 
 
-def scan_months(df: DataFrame, first: int, last: int, months: Iterable[int] | None = None) -> DataFrame:
-    """Only the listed months of the years: on tables partitioned by year and month this prunes folders."""
+def scan_months(df: DataFrame, first: int, last: int, months: Iterable[int] | None = None, time: str | None = None) -> DataFrame:
+    """Only the listed months of the years: on tables partitioned by year and month this prunes folders.
+
+    Where `year` is derived, name the day it comes from as `time`: its range reaches the scan.
+    """
     out = df.where(F.col("year").between(first, last))
+    if time is not None:
+        out = out.where((F.col(time) >= F.lit(date(first, 1, 1))) & (F.col(time) < F.lit(date(last + 1, 1, 1))))
     return out if months is None else out.where(F.col("month").isin(list(months)))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import random
 import re
 import statistics
 from pathlib import Path
@@ -70,6 +71,36 @@ def test_student_p(spark, t, df):
     assert row["m"] == row["p"]
 
 
+def test_student_p_at_many_degrees_is_normal(spark):
+    p = spark.range(1).select(S.student_t_pvalue(F.lit(1.96), F.lit(10**9)).alias("p")).first()["p"]
+    assert p == pytest.approx(math.erfc(1.96 / math.sqrt(2)), abs=1e-9)
+
+
+def test_places_without_pairs(spark):
+    rows = [(y, n) for y in (3, None, 1, 2) for n in ("b", "a", None)]
+    out = P.with_place(spark.createDataFrame(rows, "year int, name string"), "year", "name")
+    low = lambda v: (v is not None, v)
+    assert [(r["year"], r["name"]) for r in sorted(out.collect(), key=lambda r: r["place"])] == sorted(rows, key=lambda r: (low(r[0]), low(r[1])))
+    assert "NestedLoop" not in out._jdf.queryExecution().toString()
+
+
+def test_axes_and_polygons_meet_without_nested_loops(spark):
+    g = spark.createDataFrame([(float(i), float(j), 1.0) for i in range(3) for j in range(3)], "lat double, lon double, x double")
+    poly = spark.createDataFrame([(1, [[(-20.5, -20.5), (20.5, -20.5), (20.5, 20.5), (-20.5, 20.5)]], 2.0)], "shape_no int, rings array<array<struct<x:double,y:double>>>, v double")
+    raster = A.rasterize(g, poly, "v", tile=3.0)
+    assert [r["v"] for r in raster.collect()] == [2.0] * 9
+    for out in (A.regrid_nearest(g, g), A.regrid_bilinear(g, g, [], ["x"]), A.snap_join(g, g, []), raster):
+        assert "NestedLoop" not in out._jdf.queryExecution().toString()
+
+
+def test_groups_are_resampled_independently(spark):
+    rng = random.Random(5)
+    series = [(y, rng.random()) for y in range(12)]
+    df = spark.createDataFrame([(k, y, v) for k in (1, 2) for y, v in series], "k int, year int, x double")
+    a, b = T.trend_bootstrap(df, ["k"], "year", "x").collect()
+    assert a["x"] != b["x"]
+
+
 def test_no_spread_gives_no_test(spark):
     a = spark.createDataFrame([(1, 3.0, 0.0)], "lat int, x double, x_var double")
     assert one(I.diff_ttest(a, a, ["lat"], ["x"], 5), "x_pval") is None
