@@ -410,17 +410,23 @@ def test_archive_round_trip(spark, tmp_path):
     big = "é" * 600
     rows = [(1, "u1", big), (5, "u2", big), (3, None, big), (None, "u4", big), (7, "u\r\n5", "small"), (8, "u6", "small"), (9, "u7", None), (5, "u2", big)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("x"))
-    warc.write_archive(pages, str(tmp_path / "a"))
+    warc.write_archive(pages, str(tmp_path / "a"), date="2024-05-06T07:08:09Z")
     out = warc.read_archive(spark, str(tmp_path / "a"))
     got = sorted(((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in out.collect()), key=str)
     assert got == sorted([(1, "revisit", 5, 1200), (5, "response", None, 1200), (3, "revisit", 5, 1200), (None, "revisit", 5, 1200), (7, "response", None, 5),
                           (8, "response", None, 5), (9, "response", None, 0), (5, "response", None, 1200)], key=str)
     assert out.where("NOT verified").count() == 0
+    assert sorted(((r["page_id"], r["url"]) for r in out.collect()), key=str) == sorted(((i, u) for i, u, _ in rows), key=str)
+    payloads = {r[0]: (r[2] or "").encode() for r in rows}
     assert spark.read.parquet(str(tmp_path / "a/payloads")).count() == 3
     for r in warc.record_bytes(out).collect():
         head, _, rest = bytes(r["record"]).partition(b"\r\n\r\n")
         n = int(re.search(rb"Content-Length: (\d+)", head)[1])
         assert head.startswith(b"WARC/1.1\r\nWARC-Type: ") and rest[n:] == b"\r\n\r\n" and len(rest) == n + 4
+        assert b"\r\nWARC-Date: 2024-05-06T07:08:09Z" in head and (b"\r\nContent-Type: " in head) == (b"WARC-Type: response" in head)
+        assert rest[:n] == (payloads[r["page_id"]] if b"WARC-Type: response" in head else b"")
+    warc.write_archive(pages.limit(0), str(tmp_path / "none"))
+    assert warc.read_archive(spark, str(tmp_path / "none")).count() == 0
 
 
 # 8. Jaccard join
