@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridstats.llm.shared import written
 
@@ -100,9 +101,10 @@ def decode(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """(vec_id, v): finite, non-zero vectors of the usual length, one per id."""
+    """(vec_id, v): finite, non-zero vectors of the usual length, one per id; v keeps single precision if it has it, else is double."""
     v = F.col("v")
-    ok = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<float>").alias("v")).where(
+    kind = "float" if isinstance(vectors.schema[embedding].dataType.elementType, T.FloatType) else "double"
+    ok = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(f"array<{kind}>").alias("v")).where(
         F.col("vec_id").isNotNull() & v.isNotNull()
         & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     )
@@ -136,7 +138,10 @@ def keep_best(best: np.ndarray, found: np.ndarray, rows: np.ndarray, ids: np.nda
 def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", every: int = 20, k: int = K, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: for each vector whose id is divisible by `every`, its k best among all others."""
     spark = vectors.sparkSession
-    rows = written(usable(vectors, vec_id, embedding).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0).cast("float"))), "vectors")  # -0 is 0
+    found = usable(vectors, vec_id, embedding)
+    kind = found.schema["v"].dataType.elementType
+    real = np.float32 if isinstance(kind, T.FloatType) else np.float64
+    rows = written(found.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0).cast(kind))), "vectors")  # -0 is 0
     same = Window.partitionBy("v").orderBy("vec_id")
     least = rows.withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1)
     base = written(least.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "distinct")
@@ -144,7 +149,9 @@ def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     drawn = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()
     if not drawn:
         return spark.createDataFrame([], shape)
-    books = train(np.array([r["v"] for r in drawn], np.float32))
+    fitting = np.array([r["v"] for r in drawn]).astype(np.float32)
+    fitting = fitting[np.abs(fitting).max(axis=1) < 1e18]  # products of longer vectors leave single precision; they are scored without a bound
+    books = train(fitting if len(fitting) else np.ones((1, len(drawn[0]["v"])), np.float32))
     dim = books.shape[2]
     lengths = np.linalg.norm(books.astype(float), axis=2)
     parts = max(1, -(-base.count() // BLOCK))
@@ -155,7 +162,7 @@ def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
             for lo in range(0, len(pdf), BLOCK):
                 part = pdf.iloc[lo : lo + BLOCK]
                 ids = part["vec_id"].to_numpy(np.int64)
-                x = np.stack(part["v"].to_numpy()).astype(np.float32)
+                x = np.stack(part["v"].to_numpy()).astype(real)
                 codes = encode(x, books)
                 whole, sums = x.astype(float), decode(codes, books.astype(float))
                 scale = ((whole * sums).sum(1) / np.maximum((sums * sums).sum(1), 1e-30)).astype(np.float32)
@@ -170,7 +177,7 @@ def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
         for pdf in batches:
             for lo in range(0, len(pdf), QUERIES):
                 part = pdf.iloc[lo : lo + QUERIES]
-                yield pd.DataFrame({"q_ids": [part["vec_id"].to_numpy(np.int64).tobytes()], "q": [np.stack(part["v"].to_numpy()).astype(np.float32).tobytes()]})
+                yield pd.DataFrame({"q_ids": [part["vec_id"].to_numpy(np.int64).tobytes()], "q": [np.stack(part["v"].to_numpy()).astype(real).tobytes()]})
 
     codes = written(base.repartition(parts, "vec_id").mapInPandas(pack, "ids binary, x binary, codes binary, scales binary, reaches binary"), "codes")
     asking = written(
@@ -201,15 +208,15 @@ def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
                 if (block, group) != now:
                     yield from flush()
                     now, q_ids = (block, group), np.frombuffer(own, np.int64)
-                    q = np.frombuffer(asks, np.float32).reshape(len(q_ids), dim)
+                    q = np.frombuffer(asks, real).reshape(len(q_ids), dim)
                     long = np.linalg.norm(q.astype(float), axis=1)
                     best, found = np.full((len(q_ids), k + 1), -np.inf), np.zeros((len(q_ids), k + 1), np.int64)
                 ids, scale, reach = np.frombuffer(ids, np.int64), np.frombuffer(scale, np.float32), np.frombuffer(reach, float)
-                x = np.frombuffer(x, np.float32).reshape(len(ids), dim)
+                x = np.frombuffer(x, real).reshape(len(ids), dim)
                 code = np.frombuffer(code, np.uint8).reshape(len(ids), -1)
                 for lo in range(0, len(q_ids), SLICE):
                     at = slice(lo, lo + SLICE)
-                    t = (q[at] @ books.reshape(-1, dim).T).reshape(-1, books.shape[0], books.shape[1])
+                    t = (q[at].astype(np.float32) @ books.reshape(-1, dim).T).reshape(-1, books.shape[0], books.shape[1])
                     s = t[:, 0, :][:, code[:, 0]]
                     for j in range(1, books.shape[0]):
                         s += t[:, j, :][:, code[:, j]]

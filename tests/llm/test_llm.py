@@ -199,6 +199,15 @@ def test_leaks_against_brute_force(spark):
     assert want <= got and got
 
 
+def test_leaks_are_the_same_however_windows_are_joined(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    read = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    found = lambda: sorted(map(tuple, decontam.find_leaks(read("documents"), read("benchmark")).collect()))
+    want = found()
+    monkeypatch.setattr(decontam, "FEW_WINDOWS", 0)
+    assert want and found() == want
+
+
 # 3. Token counts
 
 
@@ -536,6 +545,20 @@ def test_no_neighbour_is_lost_far_beyond_the_fitting_sample(spark):
     assert found_neighbours(spark, ids, x, every=100, sample=300) == brute_neighbours(ids, x, every=100)
 
 
+def test_double_vectors_are_scored_as_they_are(spark):
+    x = np.random.default_rng(8).normal(size=(400, 8)) * (1 + 1e-9)
+    x[7] *= 1e40  # beyond single precision
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.search(df, k=5).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert sorted(got) == list(range(0, 400, 20))
+    for q, rows in got.items():
+        score = np.cumsum(x * x[q], axis=1)[:, -1]
+        want = sorted((j for j in range(400) if j != q), key=lambda j: (-score[j], j))[:5]
+        assert rows == [(j, score[j]) for j in want]
+
+
 def test_copies_push_no_neighbour_out(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(2_000, 16)).astype(np.float32)
