@@ -3,6 +3,8 @@
 Words become typed placeholders: numbers (digits, also with inner points, and number words) <num>;
 capitalised words within a sentence <name>, neighbours joined; units after a number <unit>; all others are
 literal, ASCII letters lower-cased.  Windows of WINDOW template tokens with at least LITERALS literals are hashed.
+A capitalised word that opens a sentence may be a name or not: a window with such words is hashed twice, with them as literals and with
+all of them as <name>; of two matches at one place the one with fewer such readings counts.
 Windows of the documents are joined with those of the benchmark on the hash.  Matches of one item
 at one offset form an occurrence; its slots must be consistent: equal values of the item are equal values
 in the document.  A document holds an item if consistent occurrences cover at least SHARE of the
@@ -14,8 +16,8 @@ enough literals is one window over all of it, found only with the item's own slo
 fewer than LITERALS tokens is never found, nor one that is altered so that neither SHARE nor STRETCH is left.  Repeated items are found alike; repeated documents (id and text)
 give one row an item.  Extra columns are ignored.
 
-Hashes of the benchmark are sent to the tasks to discard other windows early if there are at most
-FEW_WINDOWS of them, else all windows of the documents go into the join.
+A Bloom filter of the benchmark's hashes, of 2^FILTER_BITS bits (8 MB) whatever the benchmark's size, is built in Spark and goes to
+the tasks to discard other windows before the join; what it lets through wrongly the join discards.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ WINDOW = 5
 LITERALS = 3
 SHARE = 0.8
 STRETCH = 13
-FEW_WINDOWS = 1_000_000
+FILTER_BITS = 26
 
 #: Number words and units (fixed values).
 NUMBER_WORDS = ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen "
@@ -72,21 +74,21 @@ def _is_in(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
 _LISTS: dict[str, np.ndarray] = {}
 
 
-def _tokens(data: bytes, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, stop, code) of the template tokens of texts joined by zero bytes."""
+def _tokens(data: bytes, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop, code, opener) of the template tokens of texts joined by zero bytes; openers may be names that open a sentence."""
     a = np.frombuffer(data, np.uint8)
     word = _WORD[a]
     edge = np.flatnonzero(np.diff(word.astype(np.int8), prepend=0, append=0))
     start, stop = edge[::2], edge[1::2]
     if not len(start):
-        return start, stop, np.zeros(0, U)
+        return start, stop, np.zeros(0, U), np.zeros(0, bool)
     length = stop - start
     at = np.flatnonzero(word)
     first = np.cumsum(length) - length
     within = np.arange(len(at)) - np.repeat(first, length)
     code = mix(np.add.reduceat(_CODES[a[at]] * _powers(int(length.max()))[within], first) + length.astype(U))
     if plain:
-        return start, stop, code
+        return start, stop, code, np.zeros(len(start), bool)
     if not _LISTS:
         _LISTS.update(num=_word_code(NUMBER_WORDS), unit=_word_code(UNITS))
     digits = _DIGIT[a[start]]
@@ -97,10 +99,10 @@ def _tokens(data: bytes, plain: bool = False) -> tuple[np.ndarray, np.ndarray, n
     before = np.where(start > 0, last[np.maximum(start - 1, 0)], -1)
     opens = (before < 0) | _STOP[a[np.maximum(before, 0)]]
     second = a[np.minimum(start + 1, len(a) - 1)]
-    name = _UPPER[a[start]] & (length > 1) & (_LOWER[second] | (second >= 128)) & ~opens & ~number
+    capital = _UPPER[a[start]] & (length > 1) & (_LOWER[second] | (second >= 128)) & ~number
     unit = np.zeros(len(start), bool)
     unit[1:] = number[:-1] & _is_in(code[1:], _LISTS["unit"]) & ~number[1:] & (start[1:] - stop[:-1] <= 2)
-    name &= ~unit
+    name, opener = capital & ~opens & ~unit, capital & opens & ~unit
     code = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, code)))
     # Digits joined by a point or comma are one number, neighbouring names one name.
     gap = np.zeros(len(start), np.int64)
@@ -112,7 +114,7 @@ def _tokens(data: bytes, plain: bool = False) -> tuple[np.ndarray, np.ndarray, n
     )
     keep = np.flatnonzero(~joined)
     last_of = np.append(keep[1:], len(start)) - 1
-    return start[keep], stop[last_of], code[keep]
+    return start[keep], stop[last_of], code[keep], opener[keep]
 
 
 def _slots(data: bytes, start: np.ndarray, stop: np.ndarray, code: np.ndarray, lo: int, hi: int) -> list[str]:
@@ -122,43 +124,71 @@ def _slots(data: bytes, start: np.ndarray, stop: np.ndarray, code: np.ndarray, l
     ]
 
 
-def _window_hashes(code: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the windows that lie within one text."""
-    if len(code) < width:
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    n = len(code) - width + 1
-    h = code[:n] + U(width)
+def _window_hashes(code: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    h = code[at] + U(width)
     for i in range(1, width):
-        h = mix(h) + code[i : n + i]
-    at = np.flatnonzero(doc[:n] == doc[width - 1 :])
-    return at, mix(h)[at]
+        h = mix(h) + code[at + i]
+    return mix(h)
+
+
+def _bits_of(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of a hash in a filter of 2^bits bits."""
+    mask = U((1 << bits) - 1)
+    return h & mask, (h >> U(bits)) & mask
+
+
+def _may_hold(only: np.ndarray, h: np.ndarray) -> np.ndarray:
+    out = np.ones(len(h), bool)
+    for place in _bits_of(h, len(only).bit_length() + 2):
+        out &= (only[place >> U(3)] >> (place & U(7)).astype(np.uint8)) & 1 == 1
+    return out
+
+
+def window_filter(hashes: DataFrame, bits: int) -> np.ndarray:
+    """Bloom filter of the column `hash`: 2^bits bits, made of bitmaps of 4 KB that Spark aggregates."""
+    mask = (1 << bits) - 1
+    places = F.explode(F.array(F.col("hash").bitwiseAND(mask) + 1, F.shiftrightunsigned("hash", bits).bitwiseAND(mask) + 1))
+    maps = hashes.select(places.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in maps.collect():  # at most 2^bits bits
+        lo = (r["b"] - 1) * 4096
+        out[lo : lo + 4096] = np.frombuffer(r["m"], np.uint8)
+    return out
 
 
 def template_windows(texts: list[bytes], widths: tuple[int, ...], only: np.ndarray | None, literals: int,
-                     whole: frozenset[int] = frozenset()) -> Iterator[tuple[int, int, int, int, list[str], int]]:
-    """(text number, width, position, hash, slots, tokens of the text) of windows with enough literals (any, for widths in whole)."""
+                     whole: frozenset[int] = frozenset()) -> Iterator[tuple[int, int, int, int, list[str], int, bool]]:
+    """(text number, width, position, hash, slots, tokens of the text, openers are names) of windows with enough literals (any, for widths in whole)."""
     for lo, hi in chunks(texts):
         part = texts[lo:hi]
         data = b"\0" + b"\0".join(t.replace(b"\0", b" ") for t in part) + b"\0"
         starts = 1 + np.cumsum([0] + [len(t) + 1 for t in part[:-1]])
-        start, stop, code = _tokens(data)
+        start, stop, code, opener = _tokens(data)
         doc = np.searchsorted(starts, start, side="right") - 1
         per = np.bincount(doc, minlength=len(part))
         first = np.cumsum(per) - per
-        literal = (code != NUM) & (code != NAME) & (code != UNIT)
-        so_far = np.concatenate([[0], np.cumsum(literal)])
-        for width in widths:
-            at, h = _window_hashes(code, doc, width)
-            if only is not None and len(h):
-                hit = _is_in(h, only)
-                at, h = at[hit], h[hit]
-            enough = so_far[at + width] - so_far[at] >= (0 if width in whole else min(literals, width))
-            for i, x in zip(at[enough].tolist(), h[enough].view(np.int64).tolist(), strict=True):
-                d = int(doc[i])
-                yield lo + d, width, i - int(first[d]), x, _slots(data, start, stop, code, i, i + width), int(per[d])
-
-
-_OUT = "doc_id string, th long, width int, pos int, hash long, slots array<string>, n_tokens int"
+        openers = np.concatenate([[0], np.cumsum(opener)])
+        for named in (False, True):
+            codes = np.where(opener, NAME, code) if named else code
+            literal = (codes != NUM) & (codes != NAME) & (codes != UNIT)
+            so_far = np.concatenate([[0], np.cumsum(literal)])
+            for width in widths:
+                if len(codes) < width:
+                    continue
+                at = np.flatnonzero(doc[: len(codes) - width + 1] == doc[width - 1 :])
+                if named:
+                    at = at[openers[at + width] > openers[at]]
+                at = at[so_far[at + width] - so_far[at] >= (0 if width in whole and not named else min(literals, width))]
+                h = _window_hashes(codes, at, width)
+                if only is not None:
+                    hit = _may_hold(only, h)
+                    at, h = at[hit], h[hit]
+                for i, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
+                    d = int(doc[i])
+                    yield lo + d, width, i - int(first[d]), x, _slots(data, start, stop, codes, i, i + width), int(per[d]), named
+
+
+_OUT = "doc_id string, th long, width int, pos int, hash long, slots array<string>, n_tokens int, named boolean"
 
 
 def _windows(df: DataFrame, widths: tuple[int, ...] | None, only: np.ndarray | None, window: int, literals: int,
@@ -169,17 +199,17 @@ def _windows(df: DataFrame, widths: tuple[int, ...] | None, only: np.ndarray | N
         for pdf in batches:
             texts = ["" if x is None else x for x in pdf["text"]]
             raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-            kept = [(n, w, p, x, s, k) for n, w, p, x, s, k in template_windows(raw, widths or tuple(range(literals, window + 1)), only, literals, whole)
-                    if widths is not None or w == min(window, k)]
+            kept = [x for x in template_windows(raw, widths or tuple(range(literals, window + 1)), only, literals, whole)
+                    if widths is not None or x[1] == min(window, x[5])]
             if widths is None:
                 for i in sorted(set(range(len(raw))) - {x[0] for x in kept}):
                     size = len(_tokens(b"\0" + raw[i].replace(b"\0", b" ") + b"\0")[0])
                     if size >= literals:
-                        kept += [(i, *x[1:]) for x in template_windows([raw[i]], (size,), None, 0)]
+                        kept += [(i, *x[1:]) for x in template_windows([raw[i]], (size,), None, 0) if not x[6]]
             ids, th = pdf["doc_id"].to_numpy(), pdf["th"].to_numpy()
             for lo in range(0, len(kept), 20_000):
-                n, w, p, x, s, k = zip(*kept[lo : lo + 20_000], strict=True)
-                yield pd.DataFrame({"doc_id": ids[list(n)], "th": th[list(n)], "width": w, "pos": p, "hash": x, "slots": s, "n_tokens": k})
+                n, w, p, x, s, k, named = zip(*kept[lo : lo + 20_000], strict=True)
+                yield pd.DataFrame({"doc_id": ids[list(n)], "th": th[list(n)], "width": w, "pos": p, "hash": x, "slots": s, "n_tokens": k, "named": named})
 
     return df.mapInPandas(run, _OUT)
 
@@ -189,19 +219,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     """One row a document and item held: doc_id, th, item_id, n_windows, n_found, coverage, kind, first_token."""
     keyed = lambda df, i, t: df.select(F.col(i).cast("long").cast("string").alias("doc_id"), F.xxhash64(F.col(t)).alias("th"), F.col(t).alias("text"))
     items = written(_windows(keyed(benchmark, item_id, item_text).distinct(), None, None, window, literals), "items")
-    n = items.count()
     poor = F.size("slots") > F.col("width") - literals  # windows over all of an item without enough literals
-    whole = frozenset(r["width"] for r in items.where(poor).select("width").distinct().collect())
-    only, widths = None, tuple(sorted({*range(literals, window + 1), *whole}))
-    if n <= FEW_WINDOWS:
-        known = items.select("hash", "width").distinct().toPandas()  # at most FEW_WINDOWS rows
-        only = np.sort(known["hash"].to_numpy(np.int64).view(np.uint64)) if len(known) else np.zeros(1, U)
-        widths = tuple(sorted(known["width"].unique().tolist())) or (window,)
+    found = items.groupBy("width").agg(F.max(poor).alias("poor")).collect()  # one row a width
+    whole = frozenset(r["width"] for r in found if r["poor"])
+    widths = tuple(sorted(r["width"] for r in found)) or (window,)
+    only = window_filter(items, FILTER_BITS)
     theirs = items.select(
-        F.col("doc_id").alias("item"), F.col("th").alias("item_th"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "hash", "width", F.col("n_tokens").alias("item_tokens")
+        F.col("doc_id").alias("item"), F.col("th").alias("item_th"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "hash", "width", F.col("n_tokens").alias("item_tokens"), F.col("named").alias("item_named")
     ).join(items.groupBy(F.col("doc_id").alias("item"), F.col("th").alias("item_th")).agg(F.countDistinct("pos").alias("n_windows")), ["item_th", "item"])
     ours = _windows(keyed(docs, doc_id, text), widths, only, window, literals, whole)
     met = ours.join(theirs, ["hash", "width"]).where(F.size("slots") == F.size("item_slots")).where(~poor | (F.col("slots") == F.col("item_slots")))
+    readings = F.col("named").cast("int") + F.col("item_named").cast("int") * 2
+    place = ("doc_id", "th", "item", "item_th", "n_windows", "item_tokens", "pos", "item_pos")
+    met = met.groupBy(*place).agg(F.min_by(F.struct("slots", "item_slots", "width"), readings).alias("m")).select(*place, "m.*")
     pairs = F.transform(F.arrays_zip("item_slots", "slots"), lambda z: F.struct(z["item_slots"].alias("a"), z["slots"].alias("b")))
     spot = met.groupBy("doc_id", "th", "item", "item_th", "n_windows", (F.col("pos") - F.col("item_pos")).alias("offset")).agg(
         F.collect_set("item_pos").alias("found"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"), F.min("pos").alias("first_token"),
@@ -231,4 +261,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that hold no item of the benchmark."""
     leaks = written(find_leaks(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct(), "leaks")
-    return docs.join(leaks, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_th")), "left_anti")
+    return docs.join(leaks, docs[doc_id].eqNullSafe(leaks["_id"]) & (F.xxhash64(docs[text]) == leaks["_th"]), "left_anti")

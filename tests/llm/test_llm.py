@@ -204,10 +204,33 @@ def test_leaks_are_the_same_however_windows_are_joined(spark, monkeypatch):
     read = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
     found = lambda: sorted(map(tuple, decontam.find_leaks(read("documents"), read("benchmark")).collect()))
     want = found()
-    monkeypatch.setattr(decontam, "FEW_WINDOWS", 0)
+    monkeypatch.setattr(decontam, "FILTER_BITS", 15)  # as good as no filter
     assert want and found() == want
 
 
+def test_names_that_open_sentences(spark):
+    bench = spark.createDataFrame(
+        [(1, "Natalia sold 48 clips in April."), (2, "She went home early. Anna then lost her old red kite near Paris. Anna cried all day long over it.")],
+        "item_id long, text string",
+    )
+    rows = [
+        (1, "Marcus sold 60 clips in March."), (2, "Natalia sold 48 clips in April."), (3, "Then Marcus sold 60 clips in March."), (4, "In May he sold clips."),
+        (5, "She went home early. Bella then lost her old red kite near Rome. Bella cried all day long over it."),
+        (6, "He went home early. Bella then lost her old red kite near Rome. Bella cried all day long over it."),
+        (7, "She went home early. Bella then lost her old red kite near Rome. Clara cried all day long over it."),
+    ]
+    out = {(r["doc_id"], r["item_id"]): r["kind"] for r in decontam.find_leaks(docs_of(spark, rows), bench).collect()}
+    assert out == {(1, 1): "reparameterised", (2, 1): "verbatim", (3, 1): "reparameterised", (5, 2): "reparameterised", (6, 2): "reparameterised"}
+
+
+def test_leaks_in_empty_tables_and_with_clashing_names(spark):
+    bench = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    docs = docs_of(spark, [(1, ITEM)], item=5, hash=6, th=7, pos=8, named=True, item_id=9, _id=3, m="m")
+    assert decontam.find_leaks(docs.limit(0), bench).count() == 0 and decontam.find_leaks(docs, bench.limit(0)).count() == 0
+    assert decontam.drop_leaking(docs, bench).count() == 0
+    assert decontam.drop_leaking(docs, bench.limit(0)).collect() == docs.collect()
+
+
 # 3. Token counts
 
 
