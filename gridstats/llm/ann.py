@@ -11,11 +11,12 @@ in double precision, so no neighbour is lost; codebooks that fit badly only make
 Queries are stated, candidates are all vectors, in blocks: blocks of vectors and codes stream past blocks of
 queries.  A task keeps one running list of the best a query; GROUPS tasks share the vectors.
 
-Equal vectors are one candidate and one query, named by their smallest id.  The k + 1 best of them hold all that a query can
+Equal vectors are one candidate and one query, named by their smallest id and, as different vectors may share that, a 64-bit hash.  The k + 1 best of them hold all that a query can
 list (it is among them itself); they become ids at the end, by score and id, of equal vectors the k + 1 smallest ids.
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor do those whose length is
-not the most frequent one (ties: the longest); rows without an id take no part.  Of rows that repeat an id one with the smallest hash is kept.
+not the most frequent one (ties: the longest); rows without an id take no part.  Rows that repeat an id are rows like others: each is a candidate, and each a query
+that leaves out only itself; its list stands once for each such row.
 """
 
 from __future__ import annotations
@@ -101,7 +102,7 @@ def decode(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """(vec_id, v): finite, non-zero vectors of the usual length, one per id; v keeps single precision if it has it, else is double."""
+    """(vec_id, v): finite, non-zero vectors of the usual length; v keeps single precision if it has it, else is double."""
     v = F.col("v")
     kind = "float" if isinstance(vectors.schema[embedding].dataType.elementType, T.FloatType) else "double"
     ok = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(f"array<{kind}>").alias("v")).where(
@@ -110,7 +111,7 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     )
     lengths = ok.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), F.desc("n")).limit(1).collect()
     dim = lengths[0]["n"] if lengths else 0
-    return ok.where(F.size("v") == dim).groupBy("vec_id").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
+    return ok.where(F.size("v") == dim)
 
 
 def exact_scores(x: np.ndarray, q: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
@@ -123,16 +124,16 @@ def exact_scores(x: np.ndarray, q: np.ndarray, rows: np.ndarray, cols: np.ndarra
     return out
 
 
-def keep_best(best: np.ndarray, found: np.ndarray, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-    """Puts scored candidates into the lists (score descending, id), in place; best is -inf where a list has room."""
+def keep_best(best: np.ndarray, found: np.ndarray, hashes: np.ndarray, rows: np.ndarray, ids: np.ndarray, id_hashes: np.ndarray, scores: np.ndarray) -> None:
+    """Puts scored candidates into the lists (score descending, id, hash), in place; best is -inf where a list has room."""
     n, k = best.shape
     row = np.concatenate([np.repeat(np.arange(n), k), rows])
-    score, name = np.concatenate([best.ravel(), scores]), np.concatenate([found.ravel(), ids])
-    order = np.lexsort((name, -score, row))
+    score, name, tie = np.concatenate([best.ravel(), scores]), np.concatenate([found.ravel(), ids]), np.concatenate([hashes.ravel(), id_hashes])
+    order = np.lexsort((tie, name, -score, row))
     per = np.bincount(row, minlength=n)
     place = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
     order = order[place < k]  # every list has at least k rows
-    best[:], found[:] = score[order].reshape(n, k), name[order].reshape(n, k)
+    best[:], found[:], hashes[:] = score[order].reshape(n, k), name[order].reshape(n, k), tie[order].reshape(n, k)
 
 
 def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", every: int = 20, k: int = K, sample: int = SAMPLE) -> DataFrame:
@@ -144,9 +145,9 @@ def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     rows = written(found.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0).cast(kind))), "vectors")  # -0 is 0
     same = Window.partitionBy("v").orderBy("vec_id")
     least = rows.withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1)
-    base = written(least.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "distinct")
+    base = written(least.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("h", F.xxhash64("v")), "distinct")
     shape = "query_id long, rank int, vec_id long, score double"
-    drawn = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()
+    drawn = base.orderBy(F.xxhash64("vec_id"), "vec_id", "h").limit(sample).select("v").collect()
     if not drawn:
         return spark.createDataFrame([], shape)
     fitting = np.array([r["v"] for r in drawn]).astype(np.float32)
@@ -170,24 +171,26 @@ def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
                 # What single precision may add to a guess.
                 size = np.abs(scale.astype(float)) * sum(lengths[j][codes[:, j]] for j in range(len(books)))
                 reach = reach * (1 + 1e-12) + (dim + len(books) + 8) * 2.0**-23 * (size + np.linalg.norm(whole, axis=1))
-                yield pd.DataFrame({"ids": [ids.tobytes()], "x": [x.tobytes()], "codes": [codes.tobytes()], "scales": [scale.tobytes()], "reaches": [reach.tobytes()]})
+                yield pd.DataFrame({"ids": [ids.tobytes()], "hs": [part["h"].to_numpy(np.int64).tobytes()], "x": [x.tobytes()], "codes": [codes.tobytes()], "scales": [scale.tobytes()], "reaches": [reach.tobytes()]})
 
     def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Blocks of queries."""
         for pdf in batches:
             for lo in range(0, len(pdf), QUERIES):
                 part = pdf.iloc[lo : lo + QUERIES]
-                yield pd.DataFrame({"q_ids": [part["vec_id"].to_numpy(np.int64).tobytes()], "q": [np.stack(part["v"].to_numpy()).astype(real).tobytes()]})
+                yield pd.DataFrame({"q_ids": [part["vec_id"].to_numpy(np.int64).tobytes()], "q_hs": [part["h"].to_numpy(np.int64).tobytes()], "q": [np.stack(part["v"].to_numpy()).astype(real).tobytes()]})
 
-    codes = written(base.repartition(parts, "vec_id").mapInPandas(pack, "ids binary, x binary, codes binary, scales binary, reaches binary"), "codes")
+    codes = written(base.repartition(parts, "vec_id", "h").mapInPandas(pack, "ids binary, hs binary, x binary, codes binary, scales binary, reaches binary"), "codes")
+    wanted = rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id"), "v").agg(F.count("*").cast("int").alias("times"))
+    # own: the place of one of the query's rows among the ids of its vector.
     asking = written(
-        rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v").join(base.select("v", F.col("vec_id").alias("name")), "v"), "asking"
+        wanted.join(base.withColumnRenamed("vec_id", "query"), "v").select("query_id", "times", "v", "query", F.col("h").alias("query_h"), F.array_position("ids", F.col("query_id")).alias("own")), "asking"
     )
-    mine = asking.select(F.col("name").alias("vec_id"), "v").dropDuplicates(["vec_id"])
+    mine = asking.select(F.col("query").alias("vec_id"), F.col("query_h").alias("h"), "v").dropDuplicates(["vec_id", "h"])
     n_queries = mine.count()
     q_parts = max(1, -(-n_queries // QUERIES))
     asked = written(
-        mine.repartition(q_parts, "vec_id").mapInPandas(tables, "q_ids binary, q binary").withColumn("block", F.monotonically_increasing_id()), "queries"
+        mine.repartition(q_parts, "vec_id", "h").mapInPandas(tables, "q_ids binary, q_hs binary, q binary").withColumn("block", F.monotonically_increasing_id()), "queries"
     )
     numbers = [r["block"] for r in asked.select("block").collect()]  # one number per QUERIES queries
     if not numbers:
@@ -195,22 +198,24 @@ def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Running lists of one block of queries; rows come sorted by block."""
-        now, q_ids, q, long, best, found = None, None, None, None, None, None
+        now, q_ids, q_hs, q, long, best, found, hashes = None, None, None, None, None, None, None, None
 
         def flush() -> Iterator[pd.DataFrame]:
             if now is not None:
-                out = pd.DataFrame({"query": np.repeat(q_ids, best.shape[1]), "name": found.ravel(), "score": best.ravel()})
+                each = best.shape[1]
+                out = pd.DataFrame({"query": np.repeat(q_ids, each), "query_h": np.repeat(q_hs, each), "name": found.ravel(), "name_h": hashes.ravel(), "score": best.ravel()})
                 yield out[out["score"] > -np.inf]
 
         for pdf in batches:
-            columns = ("block", "group", "ids", "x", "codes", "scales", "reaches", "q_ids", "q")
-            for block, group, ids, x, code, scale, reach, own, asks in zip(*(pdf[c] for c in columns), strict=True):
+            columns = ("block", "group", "ids", "hs", "x", "codes", "scales", "reaches", "q_ids", "q_hs", "q")
+            for block, group, ids, hs, x, code, scale, reach, own, own_hs, asks in zip(*(pdf[c] for c in columns), strict=True):
                 if (block, group) != now:
                     yield from flush()
-                    now, q_ids = (block, group), np.frombuffer(own, np.int64)
+                    now, q_ids, q_hs = (block, group), np.frombuffer(own, np.int64), np.frombuffer(own_hs, np.int64)
                     q = np.frombuffer(asks, real).reshape(len(q_ids), dim)
                     long = np.linalg.norm(q.astype(float), axis=1)
-                    best, found = np.full((len(q_ids), k + 1), -np.inf), np.zeros((len(q_ids), k + 1), np.int64)
+                    best, found, hashes = np.full((len(q_ids), k + 1), -np.inf), *np.zeros((2, len(q_ids), k + 1), np.int64)
+                hs = np.frombuffer(hs, np.int64)
                 ids, scale, reach = np.frombuffer(ids, np.int64), np.frombuffer(scale, np.float32), np.frombuffer(reach, float)
                 x = np.frombuffer(x, real).reshape(len(ids), dim)
                 code = np.frombuffer(code, np.uint8).reshape(len(ids), -1)
@@ -228,7 +233,7 @@ def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
                     first = np.argpartition(-bound, few - 1, axis=1)[:, :few]
                     rows, cols = np.repeat(np.arange(len(s)), few), first.ravel()
                     for again in (True, False):
-                        keep_best(best[at], found[at], rows, ids[cols], exact_scores(x, q[at], rows, cols))
+                        keep_best(best[at], found[at], hashes[at], rows, ids[cols], hs[cols], exact_scores(x, q[at], rows, cols))
                         if again:
                             bound[rows, cols] = -np.inf
                             rows, cols = np.nonzero((bound >= best[at, -1:]) & (bound > -np.inf))
@@ -237,12 +242,18 @@ def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     grouped = codes.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(GROUPS)))
     meet = grouped.withColumn("block", F.explode(F.array(*[F.lit(b) for b in numbers]))).join(asked, "block")
     dealt = meet.repartition(max(12, min(GROUPS * len(numbers), 4000)), "block", "group").sortWithinPartitions("block", "group")
-    scored = dealt.select("block", "group", "ids", "x", "codes", "scales", "reaches", "q_ids", "q").mapInPandas(scan, "query long, name long, score double")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "name")
+    scored = dealt.select("block", "group", "ids", "hs", "x", "codes", "scales", "reaches", "q_ids", "q_hs", "q").mapInPandas(
+        scan, "query long, query_h long, name long, name_h long, score double"
+    )
+    best = Window.partitionBy("query", "query_h").orderBy(F.desc("score"), "name", "name_h")
     listed = written(scored.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r"), "lists")
-    ids = listed.join(base.select(F.col("vec_id").alias("name"), "ids"), "name").select("query", F.explode("ids").alias("vec_id"), "score")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    ids = listed.join(base.select(F.col("vec_id").alias("name"), F.col("h").alias("name_h"), "ids"), ["name", "name_h"]).select(
+        "query", "query_h", "name", "name_h", "score", F.posexplode("ids").alias("at", "vec_id")
+    )
+    best = Window.partitionBy("query", "query_h").orderBy(F.desc("score"), "vec_id", "name_h", "at")
     spread = ids.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
-    others = asking.select("query_id", F.col("name").alias("query")).join(spread, "query").where("query_id <> vec_id")
-    best = Window.partitionBy("query_id").orderBy("r")
-    return others.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    itself = (F.col("name") == F.col("query")) & (F.col("name_h") == F.col("query_h")) & (F.col("at") + 1 == F.col("own"))
+    others = asking.drop("v").join(spread, ["query", "query_h"]).where(~itself)
+    best = Window.partitionBy("query_id", "query", "query_h").orderBy("r")
+    ranked = others.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.withColumn("nth", F.explode(F.sequence(F.lit(1), "times"))).select("query_id", "rank", "vec_id", "score")

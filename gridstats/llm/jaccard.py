@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridstats.llm.graph import components
-from gridstats.llm.shared import discard, written
+from gridstats.llm.shared import discard, unused, written
 from gridstats.llm.shingles import U, chunks, mix, sets_of
 
 
@@ -342,8 +342,10 @@ def keep_one(docs: DataFrame, spec: Spec, doc_id: str = "doc_id", text: str = "t
     stay = written(best.union(rows.where("comp IS NULL").select("doc_id", "th").distinct()), "stay").select(
         F.col("doc_id").alias("_id"), F.col("th").alias("_th")
     )
-    kept = docs.withColumn("_h", F.xxhash64(F.col(text))).join(stay, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left_semi")
-    return kept.dropDuplicates([doc_id, "_h"]).drop("_h")
+    mine = unused(docs, "h")
+    hashed = docs.withColumn(mine, F.xxhash64(F.col(text)))
+    kept = hashed.join(stay, hashed[doc_id].eqNullSafe(stay["_id"]) & (hashed[mine] == stay["_th"]), "left_semi")
+    return kept.dropDuplicates([doc_id, mine]).drop(mine)
 
 
 def jaccard_components(docs: DataFrame, spec: Spec, doc_id: str = "doc_id", text: str = "text", with_hash: bool = False) -> DataFrame:

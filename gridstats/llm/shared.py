@@ -42,3 +42,11 @@ def discard(*tables: DataFrame | None) -> None:
             spark = t.sparkSession
             path = spark._jvm.org.apache.hadoop.fs.Path(t.folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

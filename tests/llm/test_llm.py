@@ -231,6 +231,13 @@ def test_leaks_in_empty_tables_and_with_clashing_names(spark):
     assert decontam.drop_leaking(docs, bench.limit(0)).collect() == docs.collect()
 
 
+def test_one_of_each_group_stays_whatever_else_is_there(spark):
+    docs = docs_of(spark, [(2, "a b c d e f"), (1, "a b c d e f"), (3, None)], _h=1, _id=2, _th=3, h=4, node=5, comp=6)
+    kept = jaccard.keep_one(docs, jaccard.Spec(words=5, num=80, den=100))
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+    assert jaccard.keep_one(docs.limit(0), jaccard.Spec(words=5, num=80, den=100)).count() == 0
+
+
 # 3. Token counts
 
 
@@ -592,6 +599,31 @@ def test_copies_push_no_neighbour_out(spark):
     assert found_neighbours(spark, ids, x) == brute_neighbours(ids, x)
 
 
+def test_rows_that_repeat_an_id_are_rows(spark):
+    rng = np.random.default_rng(9)
+    x = rng.integers(-3, 4, (600, 4)).astype(np.float32)
+    x[~x.any(axis=1)] = 1
+    ids = rng.integers(0, 50, 600)
+    ids[:40], x[:40] = 20, x[0]  # one row, forty times
+    df = spark.createDataFrame([(int(i), v.tolist(), 1, 2) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>, query_id int, h int")
+    want = []
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = x.astype(float) @ x[i].astype(float)
+        order = [j for j in np.lexsort((ids, -s)) if j != i][:20]
+        want += [(int(ids[i]), r + 1, int(ids[j]), float(s[j])) for r, j in enumerate(order)]
+    assert sorted(map(tuple, ann.search(df).collect())) == sorted(want)
+
+
+def test_recall_on_the_given_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [r for r in df.collect() if r[1] is not None]
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], np.float32)
+    got = defaultdict(list)
+    for r in ann.search(df).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert got == brute_neighbours(ids, x)
+
+
 def test_few_or_no_vectors(spark):
     df = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.5, 0.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in ann.search(df).orderBy("rank").collect()] == [(20, 1, 1, 0.5), (20, 2, 2, 0.5)]
