@@ -20,10 +20,24 @@ def pooled_t(m1: Column, v1: Column, n1: Column | int, m2: Column, v2: Column, n
 def diff_ttest(a: DataFrame, b: DataFrame, on: list[str], names: Iterable[str], n1: Column | int, n2: Column | int | None = None, percent: bool = False) -> DataFrame:
     """a - b with p (_pval), summed variance (_var) and, if asked, percent of b (_perc, _perc_pval)."""
     names = list(names)
+    side = lambda d, p: d.select(*on, *[F.col(c).alias(p + c) for c in [*names, *[f"{v}_var" for v in names]]])
+    return _differences(side(a, "_a_").join(side(b, "_b_"), on), on, names, n1, n2, percent)
+
+
+def diff_ttest_within(df: DataFrame, column: str, left: str, right: str, on: list[str], names: Iterable[str], n1: Column | int, n2: Column | int | None = None, percent: bool = False) -> DataFrame:
+    """diff_ttest of the rows left and right of `column`, one each per key, from one pass over df."""
+    names = list(names)
+    value = lambda c, v: F.max(F.when(F.col(column) == v, F.col(c)))
+    both = df.where(F.col(column).isin(left, right)).groupBy(*on).agg(
+        (F.max(F.col(column) == left) & F.max(F.col(column) == right)).alias("_both"),
+        *[value(c, v).alias(p + c) for p, v in (("_a_", left), ("_b_", right)) for c in [*names, *[f"{x}_var" for x in names]]],
+    ).where("_both")
+    return _differences(both, on, names, n1, n2, percent)
+
+
+def _differences(both: DataFrame, on: list[str], names: list[str], n1: Column | int, n2: Column | int | None, percent: bool) -> DataFrame:
     n2 = n1 if n2 is None else n2
     x, y = (v if isinstance(v, Column) else F.lit(v) for v in (n1, n2))
-    side = lambda d, p: d.select(*on, *[F.col(c).alias(p + c) for c in [*names, *[f"{v}_var" for v in names]]])
-    both = side(a, "_a_").join(side(b, "_b_"), on)
     out = []
     for c in names:
         m1, v1, m2, v2 = (F.col(k) for k in (f"_a_{c}", f"_a_{c}_var", f"_b_{c}", f"_b_{c}_var"))

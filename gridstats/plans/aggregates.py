@@ -14,6 +14,7 @@ from gridstats.plans.joins import _INSIDE as INSIDE_SQL  # noqa: F401
 from gridstats.plans.joins import CELLS, CONTROL_SQL, SCELL_SQL, WINDOW_SQL, YIELD_SQL, linear_predictor, season_days
 from gridstats.plans.registry import query
 from gridstats.plans.scan_project import SEASON_SQL, pvalue_sql, sine_sql
+from gridstats.sources import io
 from gridstats.sources.derived import CLIM_SQL, MONTHLY_SQL, OBS_SQL, YEARLY_SQL, ZONES_SQL, monthly, obs, yearly, zones
 
 CK = "scenario, member, month, lat, lon"
@@ -227,7 +228,7 @@ def _(s, d):
 
 @query("d28_period_mean", f"SELECT scenario, lat, lon, avg(weight) AS price FROM ({OBS_SQL}) WHERE year BETWEEN 1996 AND 1999 GROUP BY scenario, lat, lon", "price", 3)
 def _(s, d):
-    return obs(s, d).where("year BETWEEN 1996 AND 1999").groupBy("scenario", "lat", "lon").agg(F.avg("weight").alias("price"))
+    return io.scan_months(obs(s, d), 1996, 1999, None, "time").groupBy("scenario", "lat", "lon").agg(F.avg("weight").alias("price"))
 
 
 @query("d29_sum_variables", f"SELECT {CK}, tas + prec + tas_var AS total FROM ({CLIM_SQL})", "total")
@@ -265,8 +266,7 @@ TEST_SQL = _test_sql(f"a.tas - b.tas AS tas, {_p('a.tas', 'a.tas_var', 'b.tas',
 
 
 def delta(s, d, **k):
-    m = by_month(s, d)
-    return I.diff_ttest(side(m, "rcp_a"), side(m, "rcp_n"), MCELL, ["tas"], 28, **k)
+    return I.diff_ttest_within(by_month(s, d), "scenario", "rcp_a", "rcp_n", MCELL, ["tas"], 28, **k)
 
 
 @query("i1_diff_ttest", TEST_SQL, "tas tas_pval tas_var")
@@ -341,7 +341,7 @@ def _(s, d):
 def _(s, d):
     """Member climatologies, pooled, against the control scenario, masked by significance."""
     e = ST.ensemble_stats(clim(s, d).select("scenario", *MCELL, "tas", "tas_var", "n"), ["scenario", *MCELL], ["tas"], about=290.0)
-    t = I.diff_ttest(side(e, "rcp_a"), side(e, "rcp_n"), MCELL, ["tas"], 28)
+    t = I.diff_ttest_within(e, "scenario", "rcp_a", "rcp_n", MCELL, ["tas"], 28)
     return t.select(*MCELL, "tas", "tas_pval", I.significance_mask(F.col("tas"), F.col("tas_pval"), 0.3).alias("masked"))
 
 

@@ -20,6 +20,7 @@ from gridstats.plans.registry import query
 from gridstats.plans.scan_project import AREA_SQL, PRES_SQL, SEASON_SQL, crop_climate
 from gridstats.plans.scan_project import _E as E_SQL
 from gridstats.plans.scan_project import _ES as ES_SQL
+from gridstats.sources import io
 from gridstats.sources.derived import MONTHLY_SQL, OBS_SQL, YEARLY_SQL, ZONE_NAMES_SQL, ZONES_SQL, monthly, obs, yearly, zone_names, zones
 
 MC = ["month", "lat", "lon"]
@@ -52,7 +53,7 @@ def _(s, d):
     m = P.crop_bbox(AG.by_month(s, d), -25, -10, 0, 360)
     g = m.groupBy("scenario", S.season(F.col("month")).alias("season"), "lat", "lon").agg(F.avg("tas").alias("tas"), F.avg("tas_var").alias("tas_var"))
     c = P.affine_convert(g, {"tas": (1.8, 0.0)})
-    t = I.diff_ttest(AG.side(c, "rcp_a"), AG.side(c, "rcp_n"), ["season", "lat", "lon"], ["tas"], 28)
+    t = I.diff_ttest_within(c, "scenario", "rcp_a", "rcp_n", ["season", "lat", "lon"], ["tas"], 28)
     return t.select("season", "lat", "lon", "tas", I.significance_mask(F.col("tas"), F.col("tas_pval"), 0.4).alias("masked"))
 
 
@@ -113,8 +114,9 @@ _PER = f"SELECT scenario, lat, lon, avg(tas) AS tas, var_samp(tas) AS v FROM ({Y
 
 @query("j10_future_deltas", f"SELECT scenario, lat, lon, a.tas - b.tas AS tas, {AG._p('a.tas', 'a.v', 'b.tas', 'b.v', '12', '12')} AS tas_pval, 100 * (a.tas - b.tas) / b.tas AS tas_perc FROM ({_PER.format(1999, 2001)}) a JOIN ({_PER.format(1995, 1997)}) b USING (scenario, lat, lon)", "tas tas_pval tas_perc")
 def _(s, d):
-    y, k = yearly(s, d), ["scenario", "lat", "lon"]
-    part = lambda a, b: ST.mean_var_over(P.slice_time(y, a, b), k, ["tas"])
+    k = ["scenario", "lat", "lon"]
+    years = lambda a, b: io.scan_months(obs(s, d), a, b, None, "time").groupBy("member", "year", *k).agg(F.avg("tas").alias("tas"))
+    part = lambda a, b: ST.mean_var_over(years(a, b), k, ["tas"])
     return I.diff_ttest(part(1999, 2001), part(1995, 1997), k, ["tas"], 12, percent=True).select(*k, "tas", "tas_pval", "tas_perc")
 
 
