@@ -686,3 +686,31 @@ def test_pipeline_stages(spark):
         docs = out.cache()
         assert 0 < docs.count() <= 3 * before
     assert docs.where("copy > copies OR copies > 3").count() == 0
+
+
+ODD_DOCS = "doc_id long, text string, lang string, source string, n_chars long, _id long, th long, copy int, item string"
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_pipeline_stages_of_odd_and_no_rows(spark, number):
+    import corpus_pipeline as cp
+
+    name, stage = cp.STAGES[number]
+    sf = "/root/testdata/sf0.001"
+    odd = [(i, t, None, "s" if i else None, None, 1, 2, 3, "x") for i, t in ODD] + [(70, "one two three four five six", "en", "s", 27, 1, 2, 3, "y")] * 2
+    given = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    docs = given.unionByName(spark.createDataFrame(odd, ODD_DOCS), allowMissingColumns=True)
+    columns = [*cp.COLUMNS, *(["copies", "copy"] if name == "mixing" else [])]
+    none = stage(spark, docs.limit(0), sf)
+    assert none.columns == columns and none.count() == 0
+    if name == "quality":  # learns from the labels of the given documents
+        docs = spark.read.parquet(f"{sf}/documents.parquet").unionByName(spark.createDataFrame(odd, ODD_DOCS), allowMissingColumns=True)
+    out = stage(spark, docs, sf)
+    assert out.columns == columns
+    rows = [(r["doc_id"], r["text"]) for r in out.collect() if (r["doc_id"], r["text"]) in {(i, t) for i, t, *_ in odd}]
+    if name in ("lines", "benchmark"):  # nothing of theirs repeats or leaks; rows that are equal stay so
+        assert sorted(rows, key=str) == sorted(((i, t) for i, t, *_ in odd), key=str)
+    if name == "near":  # of rows that repeat id and text one stays
+        assert sorted(rows, key=str) == sorted({(i, t) for i, t, *_ in odd}, key=str)
+    if name == "mixing":  # texts without words have nothing to take
+        assert not {r for r in rows if not (r[1] or "").strip()}
