@@ -714,3 +714,27 @@ def test_pipeline_stages_of_odd_and_no_rows(spark, number):
         assert sorted(rows, key=str) == sorted({(i, t) for i, t, *_ in odd}, key=str)
     if name == "mixing":  # texts without words have nothing to take
         assert not {r for r in rows if not (r[1] or "").strip()}
+
+
+# All
+
+
+def test_empty_tables_and_names_like_ours(spark, tmp_path):
+    more = dict.fromkeys(("_norm", "_base", "_found", "_t", "_id", "_th", "_h", "_y", "_n", "_sha1", "_source", "node", "seed", "nth", "p"), "their own")
+    docs = docs_of(spark, [(1, "mit license\n" + "a line that is well over forty characters long\n" * 2), (2, None)], **more).withColumn("source", F.lit("s"))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(10)], "doc_id long, quality int, toxic int")
+    learn = docs_of(spark, [(i, ("good words in order " if i % 2 else "x1 x2 zz qq ") * 30 + str(i)) for i in range(10)])
+    model = quality.fit(learn, labels)
+    runs = {
+        "licenses": lambda d: licenses.scan_licenses(d), "tokens": lambda d: tokencount.count_tokens(d, vocabulary()), "lines": lambda d: linededup.dedup_lines(d),
+        "mix": lambda d: mixing.mix(d), "quality": lambda d: quality.score(d, model), "jaccard": lambda d: jaccard.jaccard_components(d, jaccard.Spec(3, 90, 100)),
+        "personal": lambda d: pii.find_personal_data(d),
+    }
+    for name, run in runs.items():
+        assert run(docs.limit(0)).count() == 0, name
+        assert sorted(r["doc_id"] for r in run(docs).collect()) == [1, 2], name
+    pages = spark.createDataFrame([(1, "u", "<p>")], "page_id long, url string, html string").withColumns({k: F.lit(v) for k, v in more.items()})
+    for n, some in enumerate((pages.limit(0), pages)):
+        folder = f"file://{tmp_path}/archive{n}"
+        warc.write_archive(some, folder)
+        assert [r["page_id"] for r in warc.read_archive(spark, folder).collect()] == [1] * n
