@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstats.llm import ann, decontam, jaccard, licenses, linededup, mixing, pii, quality, tokencount, warc
+from gridstats.llm import ann, audit, decontam, jaccard, licenses, linededup, mixing, pii, quality, rules, tokencount, variants, warc
 from gridstats.llm.shared import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,20 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = rules.fit(docs, table(spark, sf_dir, "labels"))
+    return rules.judge(docs, model).drop("text")
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op2_decontamination": op2_decontamination,
@@ -85,9 +99,48 @@ QUERIES: dict[str, Query] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_personal_data": op10_personal_data,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 ORACLE: dict[str, str] = {
+    # Every document through every order, step by step.
+    "op11_filter_audit": """
+        WITH t AS (SELECT row_number() OVER () AS id, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+        d AS (SELECT id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+                     100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+                     coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), FALSE) AS e FROM t LEFT JOIN l USING (doc_id)),
+        f AS (SELECT id, 'A' AS f FROM d WHERE a UNION ALL SELECT id, 'B' FROM d WHERE b UNION ALL SELECT id, 'C' FROM d WHERE c UNION ALL SELECT id, 'D' FROM d WHERE d UNION ALL SELECT id, 'E' FROM d WHERE e),
+        x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        o AS (SELECT p.x || q.x || r.x || s.x || u.x AS o FROM x p, x q, x r, x s, x u WHERE len(list_distinct([p.x, q.x, r.x, s.x, u.x])) = 5),
+        g AS (SELECT o, id, min(instr(o, f)) AS g FROM o, f GROUP BY ALL),
+        n AS (SELECT id, count(*) AS n FROM f GROUP BY id),
+        y AS (SELECT d.part, o.o, CAST(s AS INT) AS s, count(*) FILTER (coalesce(g.g, 9) > s) AS kept, count(*) FILTER (g.g = s) AS removed,
+                     count(*) FILTER (g.g < s AND f.f IS NOT NULL) AS redundant, count(*) FILTER (f.f IS NOT NULL AND n.n = 1) AS unique_fails,
+                     count(*) FILTER (g.g = s AND good = 1) AS good_lost, count(*) FILTER (g.g = s AND toxic = 1) AS toxic_lost
+              FROM d CROSS JOIN o CROSS JOIN (SELECT unnest(range(1, 6)) AS s) LEFT JOIN g ON g.id = d.id AND g.o = o.o LEFT JOIN n ON n.id = d.id LEFT JOIN f ON f.id = d.id AND f.f = substr(o.o, s, 1)
+              GROUP BY ALL)
+        SELECT part, o AS filter_order, s AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, substr(o, s, 1)) AS BIGINT) AS shapley FROM y""",
+    # CRC-32 by its table, which a rule builds; one edit apart by what is left when one letter goes.
+    "op12_spelling_variants": """
+        WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t),
+        r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+        d AS (SELECT id, run, count(*) AS n FROM r GROUP BY ALL),
+        h AS (SELECT run, n, xor(4294967295, list_reduce(flatten(list_transform(string_split(id || ':' || run, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [195, ord(c) - 64] END)),
+                lambda a, b: xor(a // 256, t[xor(a % 256, b) + 1]), 4294967295)) AS h FROM d, crc),
+        v AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+        w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM v WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+        c AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS cut FROM (SELECT *, unnest(range(length(word))) AS i FROM w)),
+        p AS (SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM c a JOIN c b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+              UNION SELECT c.word, w.word, w.n FROM c JOIN w ON w.word = c.cut UNION SELECT w.word, c.word, c.n FROM c JOIN w ON w.word = c.cut),
+        b AS (SELECT word, count(*) AS n_near, max(near_n) AS top FROM p GROUP BY word),
+        f AS (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.top >= 2 * w.n THEN (SELECT min(near) FROM p WHERE p.word = w.word AND p.near_n = b.top) END AS form,
+                     CASE WHEN b.top >= 2 * w.n THEN b.top END AS form_n FROM w LEFT JOIN b USING (word)),
+        up(word, top) AS (SELECT word, word FROM f UNION ALL SELECT up.word, f.form FROM up JOIN f ON f.word = up.top WHERE f.form IS NOT NULL)
+        SELECT f.word, f.n, f.n_near, f.form, f.form_n, up.top AS root FROM f JOIN up USING (word) JOIN f AS last ON last.word = up.top AND last.form IS NULL""",
     "op8_jaccard_join": """
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                 '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
