@@ -18,7 +18,8 @@ WARM_K, BASE_K, STANDARD_K = 213.15, 75.0, 288.15
 ES0, ES_A, ES_B = 6.1078, 17.3, 237.3
 EPSILON = 0.622
 POLAR_KM, EQUATOR_KM = 6356.7523, 6378.137
-SAMPLES = 200
+#: Samples of a day's sine, and how near a sample must be to a temperature to count as on it (degrees).
+SAMPLES, ON_IT = 200, 1e-9
 
 
 def guarded(value: Column, *inputs: Column) -> Column:
@@ -75,25 +76,33 @@ def clamp(x: Column, lo: float | None, hi: float | None) -> Column:
     return guarded(out, x)
 
 
-def _sines() -> Column:
-    return F.array(*[F.lit(math.sin(2 * math.pi * k / SAMPLES)) for k in range(SAMPLES)])
+def _samples_from(tmin: Column, tmax: Column, t: Column) -> Column:
+    """How many of a day's sine samples are at t or above; those within ON_IT of t count.
 
-
-def _over_day(tmin: Column, tmax: Column, each) -> Column:  # noqa: ANN001
-    """Mean over the day's sine samples of each(temperature)."""
-    middle, half = (tmax + tmin) / 2, (tmax - tmin) / 2
-    total = F.aggregate(_sines(), F.lit(0.0), lambda acc, s: acc + each(middle + half * s))
-    return guarded(total / SAMPLES, tmin, tmax)
+    Samples are at angles 2 pi i / SAMPLES, so those above a level are neighbours around the top: an arc sine counts them.
+    """
+    half = F.abs(tmax - tmin) / 2
+    level = F.try_divide(t - ON_IT - (tmax + tmin) / 2, half)
+    side = F.asin(F.greatest(F.least(level, F.lit(1.0)), F.lit(-1.0))) * (SAMPLES / 2 / math.pi)
+    some = F.floor(SAMPLES / 2 - side) - F.ceil(side) + 1
+    flat = F.when((tmax + tmin) / 2 >= t - ON_IT, SAMPLES).otherwise(0)
+    return F.when(half == 0, flat).when(level > 1, 0).when(level <= -1, SAMPLES).otherwise(some).cast("double")
 
 
 def sine_degree_days(tmin: Column, tmax: Column, t0: Column) -> Column:
-    """Degree days above t0 of a day whose temperature is a sine between its extremes."""
-    return _over_day(tmin, tmax, lambda t: F.greatest(t - t0, F.lit(0.0)))
+    """Degree days above t0 of a day whose temperature is a sine between its extremes: the mean over its samples.
+
+    k samples around the top sum to sin(k pi / SAMPLES) / sin(pi / SAMPLES) of the half range.
+    """
+    k = _samples_from(tmin, tmax, t0)
+    top = F.sin(k * (math.pi / SAMPLES)) / math.sin(math.pi / SAMPLES)
+    total = k * ((tmax + tmin) / 2 - t0) + F.abs(tmax - tmin) / 2 * top
+    return guarded(F.greatest(total, F.lit(0.0)) / SAMPLES, tmin, tmax, t0)
 
 
 def sine_exposure(tmin: Column, tmax: Column, t0: Column) -> Column:
-    """Share of the day between t0 and t0 + 1, both included."""
-    return _over_day(tmin, tmax, lambda t: F.when((t >= t0) & (t <= t0 + 1), 1.0).otherwise(0.0))
+    """Share of the day between t0 and t0 + 1, both included; a sample within ON_IT of a bound is on it."""
+    return guarded((_samples_from(tmin, tmax, t0) - _samples_from(tmin, tmax, t0 + 1 + 2 * ON_IT)) / SAMPLES, tmin, tmax, t0)
 
 
 def pixel_area(lat: Column, dlat: Column, dlon: Column) -> Column:

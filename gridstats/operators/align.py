@@ -105,11 +105,20 @@ def attach_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "inn
     return df.join(small, on, how)
 
 
+def attach_attributes(shapes: DataFrame, attributes: DataFrame, on: list[str], *years: int, year: str = "year") -> DataFrame:
+    """Shapes with their attributes in the given years (all, if none is named): one row a shape and year, shapes without are left out.
+
+    The years' filter stands below the join and reaches the attributes' scan.
+    """
+    some = attributes.where(F.col(year).isin(list(years))) if years else attributes
+    return shapes.join(some, on)
+
+
 def control_diff(df: DataFrame, pairs: DataFrame, on: list[str], names: Iterable[str], label: str = "scenario") -> DataFrame:
     """Differences of named pairs(effect, left, right) of scenarios in one plan; variances add."""
     names = list(names)
     side = lambda p, to: df.select(F.col(label).alias(to), *on, *[F.col(c).alias(f"{p}{c}") for c in names])
-    both = side("_a_", "left").join(F.broadcast(pairs), "left").join(side("_b_", "right"), ["right", *on])
+    both = side("_a_", "left").join(pairs, "left").join(side("_b_", "right"), ["right", *on])
     return both.select("effect", *on, *[
         (F.col(f"_a_{c}") + F.col(f"_b_{c}") if c.endswith("_var") else F.col(f"_a_{c}") - F.col(f"_b_{c}")).alias(c) for c in names
     ])

@@ -30,15 +30,36 @@ def complete_ag_years(df: DataFrame, keys: list[str], time: str = "time") -> Dat
     return df.withColumn("_n", F.count("*").over(w)).where(F.col("_n") == full).drop("_n")
 
 
+def fill_days(df: DataFrame, keys: list[str], values: dict[str, object], first: date, time: str = "time") -> DataFrame:
+    """Every day of each series from `first` to its last: rows of df, and between them rows with the given values.
+
+    A row stands for the days until the next one, so the gaps need no join: one exchange by keys, which windows over
+    keys and year that follow share.
+    """
+    w = Window.partitionBy(*keys).orderBy(time)
+    start = F.when(F.lag(time).over(w).isNull(), F.least(F.lit(first), F.col(time))).otherwise(F.col(time))
+    stop = F.coalesce(F.date_sub(F.lead(time).over(w), 1), F.col(time))
+    spread = df.withColumns({"_a": start, "_b": stop}).withColumn("_day", F.explode(F.sequence("_a", "_b")))
+    return spread.select(*keys, F.col("_day").alias(time), *[
+        F.when(F.col("_day") == F.col(time), F.col(c)).otherwise(F.lit(v)).alias(c) for c, v in values.items()
+    ])
+
+
+def accumulation_units(rain: str, base: float) -> Column:
+    """Rain less base as a whole number of millionths of a mm, so that sums are the same in any order and ties are exact."""
+    return F.round(F.col(rain) * 1_000_000).cast("long") - round(base * 1_000_000)
+
+
 def anomalous_accumulation(df: DataFrame, keys: list[str], rain: str = "prec", base: float = BASE_MM) -> DataFrame:
-    """Adds aa (rain less base, summed from day 0) and daa (its step; NULL on day 0)."""
+    """Adds aa (rain less base, summed from day 0) and daa (its step; NULL on day 0), exact to a millionth of a mm."""
     w = Window.partitionBy(*keys, "ag_year").orderBy("ag_day")
-    aa = F.sum(F.col(rain) - base).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("aa", aa).withColumn("daa", F.col("aa") - F.lag("aa").over(w))
+    units = accumulation_units(rain, base)
+    aa = F.sum(units).over(w.rowsBetween(Window.unboundedPreceding, 0)) / 1_000_000
+    return df.withColumn("aa", aa).withColumn("daa", F.when(F.col("ag_day") > 0, units / 1_000_000))
 
 
 def steepest_day(df: DataFrame, keys: list[str]) -> DataFrame:
-    """First day of the largest step in each agricultural year."""
+    """First day of the largest step in each agricultural year; equal steps count as equal to a millionth of a mm."""
     steps = df.where(F.col("daa").isNotNull())
     return steps.groupBy(*keys, "ag_year").agg(F.min_by("ag_day", F.struct((-F.col("daa")).alias("d"), F.col("ag_day"))).alias("steepest"))
 
@@ -46,27 +67,20 @@ def steepest_day(df: DataFrame, keys: list[str]) -> DataFrame:
 def rainy_season(df: DataFrame, keys: list[str], rain: str = "prec", base: float = BASE_MM) -> DataFrame:
     """Onset, end and length of the rainy season per agricultural year, as days from its start.
 
-    Where the mean rain reaches base: the days of the lowest and highest accumulation; else the
-    lowest before the steepest day and the highest from it on, both starting from day 0's value.  The last
-    day (from 1) with the extreme value counts; none: NULL.
+    Where the mean rain reaches base: the days of the lowest and highest accumulation; else the lowest before the steepest
+    day and the highest after it, both starting from day 0's value.  The last day of the year (from 1, on either side) on
+    which the accumulation equals the extreme counts; none: NULL.
     """
-    aa = anomalous_accumulation(df, keys, rain, base)
     g = Window.partitionBy(*keys, "ag_year")
-    first = F.max(F.when(F.col("ag_day") == 0, F.col("aa"))).over(g)
-    peak = F.min_by("ag_day", F.when(F.col("daa").isNotNull(), F.struct((-F.col("daa")).alias("d"), F.col("ag_day")))).over(g)
-    day = aa.withColumns({"_wet": F.avg(rain).over(g) >= base, "_first": first, "_peak": peak})
-    low = F.when(F.col("_wet"), F.min("aa").over(g)).otherwise(
-        F.least(F.col("_first"), F.coalesce(F.min(F.when(F.col("ag_day") < F.col("_peak"), F.col("aa"))).over(g), F.col("_first"))))
-    high = F.when(F.col("_wet"), F.max("aa").over(g)).otherwise(
-        F.greatest(F.col("_first"), F.coalesce(F.max(F.when(F.col("ag_day") >= F.col("_peak"), F.col("aa"))).over(g), F.col("_first"))))
-    day = day.withColumns({"_low": low, "_high": high})
-    before = F.col("_wet") | (F.col("ag_day") < F.col("_peak"))
-    after = F.col("_wet") | (F.col("ag_day") >= F.col("_peak"))
-    late = F.col("ag_day") >= 1
-    out = day.groupBy(*keys, "ag_year").agg(
-        F.max(F.when(late & before & (F.col("aa") == F.col("_low")), F.col("ag_day"))).alias("outoday"),
-        F.max(F.when(late & after & (F.col("aa") == F.col("_high")), F.col("ag_day"))).alias("outeday"),
-    )
+    aa, day = F.col("aa"), F.col("ag_day")
+    steps = anomalous_accumulation(df, keys, rain, base).withColumns({
+        "_wet": F.sum(accumulation_units(rain, base)).over(g) >= 0,
+        "_peak": F.min_by("ag_day", F.when(F.col("daa").isNotNull(), F.struct((-F.col("daa")).alias("d"), day))).over(g),
+    })
+    low = F.min(F.when(F.col("_wet") | (day == 0) | (day < F.col("_peak")), aa)).over(g)
+    high = F.max(F.when(F.col("_wet") | (day == 0) | (day > F.col("_peak")), aa)).over(g)
+    hit = lambda extreme: F.max(F.when((day >= 1) & (aa == F.col(extreme)), day))
+    out = steps.withColumns({"_low": low, "_high": high}).groupBy(*keys, "ag_year").agg(hit("_low").alias("outoday"), hit("_high").alias("outeday"))
     return out.withColumn("outslen", F.col("outeday") - F.col("outoday"))
 
 
@@ -95,27 +109,40 @@ def two_year_days(df: DataFrame, harvest_year: int, time: str = "time") -> DataF
     )
 
 
-def season_means(days: DataFrame, keys: list[str], names: Iterable[str]) -> DataFrame:
-    """Means over the days of the calendar window and its length; days(keys, plan, harv, names)."""
-    return days.groupBy(*keys).agg(*[F.avg(c).alias(f"{c}mean") for c in names], F.max(F.col("harv") - F.col("plan")).alias("ndays"))
+def in_window() -> Column:
+    """Whether a day lies in its series' calendar window."""
+    return (F.col("day_idx") >= F.col("plan")) & (F.col("day_idx") < F.col("harv"))
+
+
+def season_means(days: DataFrame, keys: list[str], names: Iterable[str], inside: Column | None = None, first: Column | None = None, more: Iterable[Column] = ()) -> DataFrame:
+    """Means over the days of the calendar window and its length; days(keys, plan, harv, names), in one pass.
+
+    inside: which days are in the window, if there are others.  first: a value that only the series' first day has;
+    series without it give no row.  more: further aggregates of the same pass.
+    """
+    within = lambda c: F.col(c) if inside is None else F.when(inside, F.col(c))
+    out = days.groupBy(*keys).agg(
+        *[F.avg(within(c)).alias(f"{c}mean") for c in names], F.max(F.col("harv") - F.col("plan")).alias("ndays"), *more,
+        *([F.count(first).alias("_first")] if first is not None else []))
+    return out if first is None else out.where("_first > 0").drop("_first")
+
+
+def season_indices(days: DataFrame, keys: list[str], names: Iterable[str], inside: Column, first: Column, low: float = 10.0, high: float = 30.0) -> DataFrame:
+    """season_means with edd (degree days above high) and gdd (those between low and high) of the window, in the same pass."""
+    above = lambda t: F.sum(F.when(inside, sine_degree_days(F.col("tmin"), F.col("tmax"), F.lit(t))))
+    return season_means(days, keys, names, inside, first, [above(high).alias("edd"), (above(low) - above(high)).alias("gdd")])
 
 
 def degree_days(days: DataFrame, keys: list[str], tmin: str = "tmin", tmax: str = "tmax", thresholds: Iterable[int] = THRESHOLDS, exposure: bool = False) -> DataFrame:
     """Sum over days for each threshold tmp: degree days, or the share of days within [tmp, tmp + 1].
 
-    Each pair of temperatures is worked out once for the whole table, for all thresholds together, and joined
-    back to the cells' counts of it; the thresholds explode after the sums.
+    One pass: a day's value at a threshold is a closed form of its two temperatures; the thresholds explode after the sums.
     """
     f = sine_exposure if exposure else sine_degree_days
-    wanted = [float(x) for x in thresholds]
     name = "exposure" if exposure else "tempgdds"
-    same = days.groupBy(*keys, tmin, tmax).agg(F.count("*").alias("_n"))
-    values = days.select(F.col(tmin).alias("_lo"), F.col(tmax).alias("_hi")).distinct().select(
-        "_lo", "_hi", *[f(F.col("_lo"), F.col("_hi"), F.lit(x)).alias(f"_v{i}") for i, x in enumerate(wanted)]
-    )
-    both = same.join(values, F.col(tmin).eqNullSafe(F.col("_lo")) & F.col(tmax).eqNullSafe(F.col("_hi")))
-    sums = both.groupBy(*keys).agg(*[F.sum(F.col(f"_v{i}") * F.col("_n")).alias(f"_v{i}") for i in range(len(wanted))])
-    return sums.select(*keys, F.explode(F.array(*[F.struct(F.lit(x).alias("tmp"), F.col(f"_v{i}").alias(name)) for i, x in enumerate(wanted)])).alias("_e")).select(*keys, "_e.*")
+    at = {f"_v{i}": float(x) for i, x in enumerate(thresholds)}
+    sums = days.groupBy(*keys).agg(*[F.sum(f(F.col(tmin), F.col(tmax), F.lit(x))).alias(c) for c, x in at.items()])
+    return sums.select(*keys, F.explode(F.array(*[F.struct(F.lit(x).alias("tmp"), F.col(c).alias(name)) for c, x in at.items()])).alias("_e")).select(*keys, "_e.*")
 
 
 def gdd_edd(gdds: DataFrame, keys: list[str], low: float = 10.0, high: float = 30.0) -> DataFrame:

@@ -2,18 +2,86 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def mean_var_over(df: DataFrame, keys: list[str], names: Iterable[str], n: Column | None = None) -> DataFrame:
-    """Mean, sample variance (_var) and number of rows over everything but keys, in one pass."""
+#: Buckets into which an axis is dealt to be numbered.
+BUCKETS = 64
+
+
+def _bucket(axis: str) -> Column:
+    return F.pmod(F.xxhash64(axis), F.lit(BUCKETS)).cast("int")
+
+
+def axis_buckets(df: DataFrame, axes: Iterable[str]) -> dict[str, dict[int, int]]:
+    """Distinct values of each axis by bucket, all axes in one pass; what reaches the driver is BUCKETS numbers an axis."""
+    axes = list(axes)
+    each = df.select(F.explode(F.array(*[
+        F.struct(F.lit(a).alias("axis"), _bucket(a).alias("bucket"), F.col(a).cast("string").alias("v")) for a in axes
+    ])).alias("e")).select("e.*")
+    found = each.where("v IS NOT NULL").distinct().groupBy("axis", "bucket").agg(F.count("*").alias("n"))
+    out: dict[str, dict[int, int]] = {a: {} for a in axes}
+    for r in found.collect():
+        out[r["axis"]][r["bucket"]] = r["n"]
+    return out
+
+
+def axis_lengths(df: DataFrame, axes: Iterable[str]) -> dict[str, int]:
+    """Number of distinct values of each axis, in one pass."""
+    return {a: sum(b.values()) for a, b in axis_buckets(df, axes).items()}
+
+
+def numbered(df: DataFrame, axis: str, sizes: dict[int, int]) -> DataFrame:
+    """(axis, _no): the distinct values of an axis numbered from 0, in buckets by hash (of these sizes), so no task holds a whole axis."""
+    values = df.select(axis).where(F.col(axis).isNotNull()).distinct().withColumn("_b", _bucket(axis))
+    before = [sum(sizes.get(k, 0) for k in range(b)) for b in range(BUCKETS)]
+    place = F.row_number().over(Window.partitionBy("_b").orderBy(axis)) - 1 + F.element_at(F.array(*[F.lit(n) for n in before]), F.col("_b") + 1)
+    return values.select(axis, place.cast("long").alias("_no"))
+
+
+def dense_index(df: DataFrame, axes: Iterable[str], sizes: dict[str, dict[int, int]] | None = None) -> DataFrame:
+    """Every combination of the values that the axes have in df: a range of numbers, each taken apart into places on the axes.
+
+    The range is spread over tasks and meets each numbered axis by an equi-join on the place; nothing is joined crosswise.
+    """
+    axes = list(axes)
+    sizes = axis_buckets(df, axes) if sizes is None else sizes
+    length = {a: sum(sizes[a].values()) for a in axes}
+    out, stride = df.sparkSession.range(math.prod(length.values())), 1
+    for a in axes:
+        out = out.withColumn(f"_at_{a}", (F.floor(F.col("id") / F.lit(stride)) % max(length[a], 1)).cast("long"))
+        stride *= max(length[a], 1)
+    for a in axes:
+        out = out.join(numbered(df, a, sizes[a]).withColumnRenamed("_no", f"_at_{a}"), f"_at_{a}")
+    return out.select(*axes)
+
+
+def gaps(df: DataFrame, axes: Iterable[str], sizes: dict[str, dict[int, int]] | None = None) -> DataFrame:
+    """Combinations of the axes' values that df has no row for."""
+    axes = list(axes)
+    return dense_index(df, axes, sizes).join(df.select(*axes), axes, "left_anti")
+
+
+def mean_var_over(df: DataFrame, keys: list[str], names: Iterable[str], n: Column | None = None, dims: Iterable[str] | None = None) -> DataFrame:
+    """Mean, sample variance (_var) and number of rows over everything but keys, in one pass.
+
+    dims: the table stands for a dense grid over keys and dims.  n is then the product of the dims' lengths, whether or not
+    values are present, and every combination of the keys' values has a row; those without values have NULL.
+    """
     names = list(names)
     aggs = [F.avg(c).alias(c) for c in names] + [F.var_samp(c).alias(f"{c}_var") for c in names]
-    return df.groupBy(*keys).agg(*aggs, (F.count("*") if n is None else n).alias("n"))
+    if dims is None:
+        return df.groupBy(*keys).agg(*aggs, (F.count("*") if n is None else n).alias("n"))
+    dims = list(dims)
+    sizes = axis_buckets(df, [*keys, *dims])
+    product = math.prod(sum(sizes[d].values()) for d in dims)
+    have = df.groupBy(*keys).agg(*aggs)
+    return have.unionByName(gaps(df, keys, sizes), allowMissingColumns=True).withColumn("n", F.lit(product).cast("long"))
 
 
 def monthly_climatology(df: DataFrame, names: Iterable[str], keys: list[str] | None = None) -> DataFrame:
@@ -26,26 +94,29 @@ def pooled_mean(mean: str, n: str = "n") -> Column:
     return F.try_divide(F.sum(F.col(mean) * seen), F.sum(seen))
 
 
-def pooled_variance(mean: str, var: str, n: str = "n", about: float = 0.0) -> Column:
+def pooled_variance(mean: str, var: str, n: str = "n") -> Column:
     """Variance (n - 1) of all samples together from groups' means, variances and sizes.
 
-    A closed form of the running pair formula, so it aggregates partially and in any order;
-    `about` is a constant near the means that keeps squares small.
+    The spread of the means comes from covariances, which Spark holds as counts, means and sums of centred products and merges pair
+    by pair.  So it aggregates partially, in any order, and means far from 0 cost no digits: with a the plain mean of means,
+    sum n (m - a)^2 = C(n m, m) - a C(n, m), less what moves a to the pooled mean.
     """
-    m = F.col(mean) - about
-    w = F.when(F.col(mean).isNotNull(), F.col(n))
+    m = F.col(mean)
+    w = F.when(m.isNotNull(), F.col(n)).cast("double")
     within = F.coalesce((w - 1) * F.col(var), F.when(w == 1, F.lit(0.0)))
-    between = F.sum(w * m * m) - F.try_divide(F.pow(F.sum(w * m), F.lit(2)), F.sum(w))
-    return F.try_divide(F.sum(within) + F.greatest(between, F.lit(0.0)), F.sum(w) - 1)
+    k, total, moved = F.count(m), F.sum(w), F.covar_pop(w, m)
+    about = F.covar_pop(w * m, m) - F.avg(m) * moved
+    between = k * about - F.try_divide(F.pow(k * moved, F.lit(2)), total)
+    return F.try_divide(F.sum(within) + F.greatest(between, F.lit(0.0)), total - 1)
 
 
-def ensemble_stats(df: DataFrame, keys: list[str], names: Iterable[str], n: str | Column = "n", about: float = 0.0) -> DataFrame:
+def ensemble_stats(df: DataFrame, keys: list[str], names: Iterable[str], n: str | Column = "n") -> DataFrame:
     """Mean over members and pooled variance of columns with a _var twin."""
     if isinstance(n, Column):
         df, n = df.withColumn("_n", n), "_n"
     aggs = []
     for c in names:
-        aggs += [F.avg(c).alias(c), pooled_variance(c, f"{c}_var", n, about).alias(f"{c}_var")]
+        aggs += [F.avg(c).alias(c), pooled_variance(c, f"{c}_var", n).alias(f"{c}_var")]
     return df.groupBy(*keys).agg(*aggs, F.sum(n).alias("n"))
 
 

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 
 def pad_ends(df: DataFrame, keys: list[str], time: str = "time", days: int = 31) -> DataFrame:
-    """The first and last rows of each key again, `days` days outside."""
+    """The first and last rows of each key again, `days` days outside; one exchange by keys, which monthly_to_daily shares."""
     w = Window.partitionBy(*keys)
-    ends = df.withColumn("_a", F.min(time).over(w)).withColumn("_b", F.max(time).over(w))
-    early = ends.where(F.col(time) == F.col("_a")).withColumn(time, F.date_sub(time, days))
-    late = ends.where(F.col(time) == F.col("_b")).withColumn(time, F.date_add(time, days))
-    return df.unionByName(early.drop("_a", "_b")).unionByName(late.drop("_a", "_b"))
+    first, last = F.min(time).over(w), F.max(time).over(w)
+    at = F.array(F.col(time), F.when(F.col(time) == F.col("_a"), F.date_sub(time, days)), F.when(F.col(time) == F.col("_b"), F.date_add(time, days)))
+    rest = [c for c in df.columns if c != time]
+    return df.withColumns({"_a": first, "_b": last}).select(*rest, F.explode(F.filter(at, lambda t: t.isNotNull())).alias(time)).select(*df.columns)
 
 
 def monthly_to_daily(df: DataFrame, keys: list[str], names: Iterable[str], time: str = "time") -> DataFrame:

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from gridstats.functions.scalar import student_t_pvalue
 
-#: Linear congruential generator (fixed values, shared with the oracle).
-LCG_A, LCG_C, LCG_M = 1103515245, 12345, 2147483648
+#: Odd multipliers and steps of the counter-based generator (fixed values, shared with the oracle).
+MODULUS = 2147483648
+BY_SEED, BY_REPLICATE, BY_DRAW = 1640531527, 1013904223, 1664525
+MIX_1, MIX_2 = 1812433253, 1566083941
 
 
 def trend_slope(df: DataFrame, keys: list[str], x: str, names: Iterable[str], most_missing: int = 3) -> DataFrame:
@@ -20,40 +22,41 @@ def trend_slope(df: DataFrame, keys: list[str], x: str, names: Iterable[str], mo
     ])
 
 
-def _slope(points: Column) -> Column:
-    """Slope over an array of struct(x, y) from sums; NULL if all x are equal."""
-    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("n", "sx", "sy", "sxx", "sxy")])
-    s = F.aggregate(points, zero, lambda a, p: F.struct(
-        (a["n"] + 1).alias("n"), (a["sx"] + p["x"]).alias("sx"), (a["sy"] + p["y"]).alias("sy"),
-        (a["sxx"] + p["x"] * p["x"]).alias("sxx"), (a["sxy"] + p["x"] * p["y"]).alias("sxy"),
-    ), lambda a: F.struct((a["n"] * a["sxy"] - a["sx"] * a["sy"]).alias("up"), (a["n"] * a["sxx"] - a["sx"] * a["sx"]).alias("down")))
-    return F.transform(F.array(s), lambda v: F.when(F.abs(v["down"]) > 1e-9, v["up"] / F.when(F.abs(v["down"]) > 1e-9, v["down"])))[0]
+def counter_draws(seed: Column, replicate: Column, n: Column) -> Column:
+    """n numbers from 0 to n - 1, each of its own seed, replicate and place: draws have no order and carry no state.
+
+    A step a transform, as a lambda works an argument out anew wherever it stands.
+    """
+    step = lambda shift, by: lambda x: F.pmod(x.bitwiseXOR(F.shiftright(x, shift)) * by, F.lit(MODULUS))
+    start = F.transform(F.sequence(F.lit(1).cast("long"), n), lambda i: F.pmod(seed * BY_SEED + replicate * BY_REPLICATE + i * BY_DRAW, F.lit(MODULUS)))
+    mixed = F.transform(F.transform(start, step(15, MIX_1)), step(13, MIX_2))
+    return F.transform(mixed, lambda x: F.shiftright(x.bitwiseXOR(F.shiftright(x, 16)) * n, 31).cast("int"))
 
 
 def trend_bootstrap(df: DataFrame, keys: list[str], x: str, y: str, nsamp: int = 30, seed: int = 1) -> DataFrame:
     """Mean and variance (ddof 0) of the slopes of nsamp resamples with replacement per group.
 
-    A group's series is one array; replicates are rows, so the work spreads over groups times
-    replicates.  Draw i of replicate r is state_i // 65536 mod n of a generator seeded by seed, replicate and group,
-    so that groups are resampled independently.
+    A group's series is one array; replicates are rows, so the work spreads over groups times replicates.  A replicate is
+    five sums over as many draws as the series is long; each draw is a number of its own, by seed, group, replicate and place, so groups are
+    resampled independently and nothing is copied or carried on.
     """
     one = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    middle = F.avg(x).alias("_mid")
     series = one.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))).alias("p"), middle
+        F.array_sort(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))).alias("p"), F.avg(x).alias("_mid")
     ).withColumn("p", F.transform("p", lambda v: F.struct((v["x"] - F.col("_mid")).alias("x"), v["y"].alias("y"))))
-    reps = series.select(*keys, "p", F.explode(F.sequence(F.lit(0), F.lit(nsamp - 1))).alias("r"))
-    n = F.size("p")
     group = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])), 1, 7), 16, 10).cast("long")
-    start = ((F.lit(seed) * 7919 + F.col("r") * 104729 + group) % LCG_M).cast("long")
-    zero = F.struct(start.alias("s"), F.array().cast("array<struct<x:double,y:double>>").alias("out"))
+    reps = series.select(*keys, "p", (group + seed).alias("_g"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nsamp - 1).cast("long"))).alias("r"))
+    n = F.size("p")
+    drawn = F.transform(counter_draws(F.col("_g"), F.col("r"), n.cast("long")), lambda i: F.col("p")[i])
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("sx", "sy", "sxx", "sxy")])
 
-    def draw(acc: Column, _: Column) -> Column:
-        s = (acc["s"] * LCG_A + LCG_C) % LCG_M
-        return F.struct(s.alias("s"), F.concat(acc["out"], F.array(F.col("p")[(F.floor(s / 65536) % n).cast("int")])).alias("out"))
+    def add(s: Column, v: Column) -> Column:
+        return F.struct((s["sx"] + v["x"]).alias("sx"), (s["sy"] + v["y"]).alias("sy"), (s["sxx"] + v["x"] * v["x"]).alias("sxx"), (s["sxy"] + v["x"] * v["y"]).alias("sxy"))
 
-    drawn = F.aggregate(F.sequence(F.lit(1), n), zero, draw, lambda a: a["out"])
-    slopes = reps.select(*keys, _slope(drawn).alias("b"))
+    s = F.col("_s")
+    down = n * s["sxx"] - s["sx"] * s["sx"]
+    sums = reps.select(*keys, "p", F.aggregate(drawn, zero, add).alias("_s"))
+    slopes = sums.select(*keys, F.when(F.abs(down) > 1e-9, F.try_divide(n * s["sxy"] - s["sx"] * s["sy"], down)).alias("b"))
     ok = F.count("b") == F.count("*")  # a singular resample leaves no estimate
     return slopes.groupBy(*keys).agg(F.when(ok, F.avg("b")).alias(y), F.when(ok, F.var_pop("b")).alias(f"{y}_var"))
 

@@ -24,11 +24,10 @@ def interp_levels(df: DataFrame, keys: list[str], p: str, value: str, targets: t
         *keys, F.col(p).alias("_p0"), F.lead(p).over(w).alias("_p1"), F.col(value).alias("_v0"), F.lead(value).over(w).alias("_v1"),
         F.row_number().over(w).alias("_i"), F.count("*").over(Window.partitionBy(*keys)).alias("_n"),
     ).where("_p1 IS NOT NULL AND _p1 > _p0")
-    lev = F.explode(F.array(*[F.lit(float(t * 100)) for t in targets])).alias("lev")
     first, last = F.col("_i") == 1, F.col("_i") == F.col("_n") - 1
-    hit = seg.select("*", lev).where(
-        ((F.col("lev") >= F.col("_p0")) | first) & ((F.col("lev") < F.col("_p1")) | (last & (F.lit(extrapolate) | (F.col("lev") <= F.col("_p1")))))
-    )
+    inside = lambda t: ((t >= F.col("_p0")) | first) & ((t < F.col("_p1")) | (last & (F.lit(extrapolate) | (t <= F.col("_p1")))))
+    levels = F.array(*[F.lit(float(t * 100)) for t in targets])
+    hit = seg.select("*", F.explode(F.filter(levels, inside)).alias("lev"))  # a row for each target of the segment, none for the others
     frac = (F.col("lev") - F.col("_p0")) / (F.col("_p1") - F.col("_p0"))
     return hit.select(*keys, "lev", (F.col("_v0") + frac * (F.col("_v1") - F.col("_v0"))).alias(value))
 

@@ -11,7 +11,7 @@ from gridstats.operators import stats as ST
 from gridstats.operators import trend as T
 from gridstats.operators.align import attach_small
 from gridstats.plans.joins import _INSIDE as INSIDE_SQL  # noqa: F401
-from gridstats.plans.joins import CELLS, CONTROL_SQL, SCELL_SQL, WINDOW_SQL, YIELD_SQL, linear_predictor, season_days
+from gridstats.plans.joins import CELLS, CONTROL_SQL, SCELL_SQL, TWO_YEARS_SQL, WINDOW_SQL, YIELD_SQL, linear_predictor, season_days, two_years
 from gridstats.plans.registry import query
 from gridstats.plans.scan_project import SEASON_SQL, pvalue_sql, sine_sql
 from gridstats.sources import io
@@ -45,20 +45,41 @@ def _(s, d):
     return ST.mean_var_over(yearly(s, d), ["scenario", "lat", "lon"], ["tas", "prec"])
 
 
+# A grid with holes: members and cells without some months, one cell without any of a scenario.
+HOLES = "scenario = 'rcp_a' AND lat = -10 AND lon = 300 OR scenario = 'rcp_r' AND lon > 300 AND month <= 3 OR member = 2 AND year < 1998"
+DENSE_SQL = f"""WITH m AS MATERIALIZED (SELECT * FROM ({MONTHLY_SQL}) WHERE NOT ({HOLES}))
+    SELECT s.scenario, mo.month, la.lat, lo.lon, v.tas, v.prec, v.tas_var, v.prec_var, (SELECT count(DISTINCT year) * count(DISTINCT member) FROM m) AS n
+    FROM (SELECT DISTINCT scenario FROM m) s, (SELECT DISTINCT month FROM m) mo, (SELECT DISTINCT lat FROM m) la, (SELECT DISTINCT lon FROM m) lo
+    LEFT JOIN (SELECT scenario, month, lat, lon, avg(tas) AS tas, avg(prec) AS prec, var_samp(tas) AS tas_var, var_samp(prec) AS prec_var FROM m GROUP BY ALL) v
+        ON v.scenario = s.scenario AND v.month = mo.month AND v.lat = la.lat AND v.lon = lo.lon"""
+
+
+@query("d4_mean_var_dense", DENSE_SQL, "tas prec tas_var prec_var")
+def _(s, d):
+    return ST.mean_var_over(monthly(s, d).where(f"NOT ({HOLES})"), ["scenario", *MCELL], ["tas", "prec"], dims=["year", "member"])
+
+
+@query("d4_gaps", f"""WITH m AS MATERIALIZED (SELECT scenario, member, year, lat, lon FROM ({YEARLY_SQL}) WHERE NOT ({HOLES.replace("month <= 3", "year = 1996")}))
+    SELECT s.scenario, me.member, y.year, la.lat, lo.lon FROM (SELECT DISTINCT scenario FROM m) s, (SELECT DISTINCT member FROM m) me, (SELECT DISTINCT year FROM m) y, (SELECT DISTINCT lat FROM m) la, (SELECT DISTINCT lon FROM m) lo
+    EXCEPT SELECT * FROM m""")
+def _(s, d):
+    return ST.gaps(yearly(s, d).where("NOT (" + HOLES.replace("month <= 3", "year = 1996") + ")"), ["scenario", "member", "year", "lat", "lon"])
+
+
 @query("d5_ensemble_mean", f"SELECT scenario, month, lat, lon, avg(tas) AS tas FROM ({CLIM_SQL}) GROUP BY scenario, month, lat, lon", "tas")
 def _(s, d):
     return clim(s, d).groupBy("scenario", *MCELL).agg(F.avg("tas").alias("tas"))
 
 
 # The pooled variance must be the variance of all samples together.
-POOL_SQL = f"SELECT scenario, month, lat, lon, avg(tas) AS tas, (coalesce(sum((n - 1) * tas_var), 0) + sum(n * (tas - 290) * (tas - 290)) - pow(sum(n * (tas - 290)), 2) / sum(n)) / nullif(sum(n) - 1, 0) AS tas_var, CAST(sum(n) AS BIGINT) AS n FROM ({CLIM_SQL}) GROUP BY scenario, month, lat, lon"
 DIRECT_SQL = f"SELECT scenario, month, lat, lon, var_samp(tas) AS tas_var, count(*) AS n FROM ({MONTHLY_SQL}) GROUP BY scenario, month, lat, lon"
+POOL_SQL = f"SELECT m.*, v.tas_var, v.n FROM (SELECT scenario, month, lat, lon, avg(tas) AS tas FROM ({CLIM_SQL}) GROUP BY scenario, month, lat, lon) m JOIN ({DIRECT_SQL}) v USING (scenario, month, lat, lon)"
 
 
 @query("d6_pool_variances", DIRECT_SQL, "tas_var", 5)
 def _(s, d):
     c = clim(s, d).withColumn("tas_var", F.coalesce("tas_var", F.when(F.col("n") == 1, 0.0)))
-    return c.groupBy("scenario", *MCELL).agg(ST.pooled_variance("tas", "tas_var", "n", 290.0).alias("tas_var"), F.sum("n").alias("n"))
+    return c.groupBy("scenario", *MCELL).agg(ST.pooled_variance("tas", "tas_var", "n").alias("tas_var"), F.sum("n").alias("n"))
 
 
 @query("d7_pool_means", f"SELECT scenario, month, lat, lon, avg(tas) AS tas FROM ({MONTHLY_SQL}) GROUP BY scenario, month, lat, lon", "tas")
@@ -78,7 +99,7 @@ def _(s, d):
 
 @query("d9_ensemble_stats", POOL_SQL, "tas tas_var", 5)
 def _(s, d):
-    return ST.ensemble_stats(clim(s, d).select("scenario", *MCELL, "tas", "tas_var", "n"), ["scenario", *MCELL], ["tas"], about=290.0)
+    return ST.ensemble_stats(clim(s, d).select("scenario", *MCELL, "tas", "tas_var", "n"), ["scenario", *MCELL], ["tas"])
 
 
 @query("d10_zonal_mean", f"SELECT scenario, code, month, avg(tas) AS tas FROM ({MONTHLY_SQL}) JOIN ({ZONES_SQL}) USING (lat, lon) GROUP BY scenario, code, month", "tas")
@@ -140,12 +161,19 @@ def _(s, d):
     return ST.with_multi_model_mean(y, ["scenario", "member", "year", "lat", "lon"], ["yield"], "model")
 
 
-ORACLE_D19 = f"SELECT scenario, lat, lon, avg(tmin) AS tminmean, avg(tmax) AS tmaxmean, avg(prec) AS precmean, max(harv - plan) AS ndays FROM ({WINDOW_SQL}) GROUP BY scenario, lat, lon"
+_MEANS19 = ", ".join(f"avg({c}) FILTER (inside) AS {c}mean" for c in ("temp", "tmin", "tmax", "prec", "vpd", "trng"))
+ORACLE_D19 = f"SELECT scenario, lat, lon, {_MEANS19}, max(harv - plan) AS ndays FROM ({TWO_YEARS_SQL}) GROUP BY scenario, lat, lon HAVING count(temp) FILTER (day_idx = 1) > 0"
+INDEX_NAMES = ["temp", "tmin", "tmax", "prec", "vpd", "trng"]
+
+
+def first_day():
+    """The temperature of the tables' first day, the 2nd of January 1995."""
+    return F.when(F.col("day_idx") == 1, F.col("temp"))
 
 
-@query("d19_season_means", ORACLE_D19, "tminmean tmaxmean precmean")
+@query("d19_season_means", ORACLE_D19, " ".join(f"{c}mean" for c in INDEX_NAMES))
 def _(s, d):
-    return SE.season_means(season_days(s, d), ["scenario", "lat", "lon"], ["tmin", "tmax", "prec"])
+    return SE.season_means(two_years(s, d), ["scenario", "lat", "lon"], INDEX_NAMES, SE.in_window(), first_day())
 
 
 GDD_SQL = f"SELECT scenario, lat, lon, CAST(tmp AS DOUBLE) AS tmp, sum({sine_sql('tmin', 'tmax', 'tmp')}) AS tempgdds FROM ({WINDOW_SQL}), (SELECT unnest(range(10, 32)) AS tmp) GROUP BY scenario, lat, lon, tmp"
@@ -160,12 +188,10 @@ def _(s, d):
     return gdds(s, d)
 
 
-@query("d21_temperature_exposure", f"""SELECT scenario, lat, lon, CAST(tmp AS DOUBLE) AS tmp, sum(list_sum(list_transform(range(200), lambda k: CASE WHEN (tmax + tmin) / 2 + (tmax - tmin) / 2 * sin(2 * pi() * k / 200) BETWEEN tmp + 0.0001 AND tmp + 1.0001 THEN 1.0 ELSE 0.0 END)) / 200) AS exposure
+@query("d21_temperature_exposure", f"""SELECT scenario, lat, lon, CAST(tmp AS DOUBLE) AS tmp, sum(list_sum(list_transform(range(200), lambda k: CASE WHEN (tmax + tmin) / 2 + (tmax - tmin) / 2 * sin(2 * pi() * k / 200) BETWEEN tmp - 1e-9 AND tmp + 1 + 1e-9 THEN 1.0 ELSE 0.0 END)) / 200) AS exposure
     FROM ({WINDOW_SQL}), (SELECT unnest([15, 20, 25]) AS tmp) GROUP BY scenario, lat, lon, tmp""", "exposure", 5)
 def _(s, d):
-    # The bounds are moved off the values that the data's few decimals hit exactly.
-    days = season_days(s, d).withColumns({"tmin": F.col("tmin") - 0.0001, "tmax": F.col("tmax") - 0.0001})
-    return SE.degree_days(days, ["scenario", "lat", "lon"], thresholds=(15, 20, 25), exposure=True)
+    return SE.degree_days(season_days(s, d), ["scenario", "lat", "lon"], thresholds=(15, 20, 25), exposure=True)
 
 
 ORACLE_D22 = f"SELECT scenario, lat, lon, max(CASE WHEN tmp = 30 THEN tempgdds END) AS edd, max(CASE WHEN tmp = 10 THEN tempgdds END) - max(CASE WHEN tmp = 30 THEN tempgdds END) AS gdd FROM ({GDD_SQL}) GROUP BY ALL"
@@ -173,7 +199,7 @@ ORACLE_D22 = f"SELECT scenario, lat, lon, max(CASE WHEN tmp = 30 THEN tempgdds E
 
 @query("d22_gdd_edd", ORACLE_D22, "edd gdd", 5)
 def _(s, d):
-    return SE.gdd_edd(gdds(s, d), ["scenario", "lat", "lon"])
+    return SE.gdd_edd(SE.degree_days(season_days(s, d), ["scenario", "lat", "lon"], thresholds=(10, 30)), ["scenario", "lat", "lon"])
 
 
 _MISS = f"SELECT scenario, lat, lon, year, CASE WHEN (year + CAST(lat AS INT)) % 4 = 0 AND scenario = 'rcp_a' OR scenario = 'rcp_n' AND lon > 300 AND year < 1999 THEN NULL ELSE tas END AS tas FROM (SELECT scenario, lat, lon, year, avg(tas) AS tas FROM ({OBS_SQL}) GROUP BY ALL)"
@@ -186,12 +212,12 @@ def _(s, d):
     return T.trend_slope(g.withColumn("tas", F.when(~gone, F.col("tas"))), ["scenario", "lat", "lon"], "year", ["tas"])
 
 
-_LCG = "(s * 1103515245 + 12345) % 2147483648"
-BOOT_SQL = f"""WITH RECURSIVE g AS (SELECT scenario, lat, lon, list(struct_pack(x := year - mid, y := tas) ORDER BY year, tas) AS p, count(*) AS n FROM (SELECT *, avg(year) OVER (PARTITION BY scenario, lat, lon) AS mid FROM
+_STEP = "xor({0}, {0} >> {1}) * {2} % 2147483648"
+BOOT_SQL = f"""WITH g AS MATERIALIZED (SELECT scenario, lat, lon, list(struct_pack(x := year - mid, y := tas) ORDER BY year, tas) AS p, count(*) AS n FROM (SELECT *, avg(year) OVER (PARTITION BY scenario, lat, lon) AS mid FROM
         (SELECT scenario, lat, lon, year, avg(tas) AS tas FROM ({OBS_SQL}) GROUP BY ALL)) GROUP BY ALL),
-    states AS (SELECT scenario, lat, lon, n, r, 0 AS i, CAST((1 * 7919 + r * 104729 + CAST('0x' || substr(md5(concat_ws('|', scenario, lat, lon)), 1, 7) AS BIGINT)) % 2147483648 AS BIGINT) AS s FROM g, range(30) t(r)
-        UNION ALL SELECT scenario, lat, lon, n, r, i + 1, CAST({_LCG} AS BIGINT) FROM states WHERE i < n),
-    draws AS (SELECT scenario, lat, lon, r, p[CAST((s // 65536) % g.n AS BIGINT) + 1] AS v FROM g JOIN states USING (scenario, lat, lon) WHERE i >= 1),
+    c AS (SELECT *, unnest(range(1, n + 1)) AS i FROM (SELECT *, CAST('0x' || substr(md5(concat_ws('|', scenario, lat, lon)), 1, 7) AS BIGINT) + 1 AS s, unnest(range(500)) AS r FROM g)),
+    x AS (SELECT * EXCLUDE x, {_STEP.format('x', 13, 1566083941)} AS x FROM (SELECT * EXCLUDE x, {_STEP.format('x', 15, 1812433253)} AS x FROM (SELECT *, (s * 1640531527 + r * 1013904223 + i * 1664525) % 2147483648 AS x FROM c))),
+    draws AS (SELECT scenario, lat, lon, r, p[((xor(x, x >> 16) * n) >> 31) + 1] AS v FROM x),
     slopes AS (SELECT scenario, lat, lon, r, count(*) AS k, sum(v.x) AS sx, sum(v.y) AS sy, sum(v.x * v.x) AS sxx, sum(v.x * v.y) AS sxy FROM draws GROUP BY ALL),
     b AS (SELECT scenario, lat, lon, CASE WHEN abs(k * sxx - sx * sx) > 1e-9 THEN (k * sxy - sx * sy) / (k * sxx - sx * sx) END AS b FROM slopes)
     SELECT scenario, lat, lon, CASE WHEN count(b) = count(*) THEN avg(b) END AS tas, CASE WHEN count(b) = count(*) THEN var_pop(b) END AS tas_var FROM b GROUP BY scenario, lat, lon"""
@@ -200,7 +226,7 @@ BOOT_SQL = f"""WITH RECURSIVE g AS (SELECT scenario, lat, lon, list(struct_pack(
 @query("d24_trend_bootstrap", BOOT_SQL, "tas tas_var")
 def _(s, d):
     g = obs(s, d).groupBy("scenario", "lat", "lon", "year").agg(F.avg("tas").alias("tas"))
-    return T.trend_bootstrap(g, ["scenario", "lat", "lon"], "year", "tas")
+    return T.trend_bootstrap(g, ["scenario", "lat", "lon"], "year", "tas", nsamp=500)
 
 
 @query("d25_regression_summary", f"""SELECT scenario, lat, n, slope, intercept, r2, pvalue, printf('y = %.3f x + %.3f; R2 = %.2f; p %s', slope, intercept, r2, CASE WHEN pvalue <= 0.05 THEN '<0.05' ELSE printf('= %.2f', pvalue) END) AS equation FROM
@@ -340,7 +366,7 @@ def _(s, d):
     FROM (SELECT * FROM ({POOL_SQL}) WHERE scenario = 'rcp_a') a JOIN (SELECT * FROM ({POOL_SQL}) WHERE scenario = 'rcp_n') b USING (month, lat, lon)""", "tas tas_pval masked", 5)
 def _(s, d):
     """Member climatologies, pooled, against the control scenario, masked by significance."""
-    e = ST.ensemble_stats(clim(s, d).select("scenario", *MCELL, "tas", "tas_var", "n"), ["scenario", *MCELL], ["tas"], about=290.0)
+    e = ST.ensemble_stats(clim(s, d).select("scenario", *MCELL, "tas", "tas_var", "n"), ["scenario", *MCELL], ["tas"])
     t = I.diff_ttest_within(e, "scenario", "rcp_a", "rcp_n", MCELL, ["tas"], 28)
     return t.select(*MCELL, "tas", "tas_pval", I.significance_mask(F.col("tas"), F.col("tas_pval"), 0.3).alias("masked"))
 

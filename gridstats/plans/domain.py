@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridstats.functions import scalar as S
@@ -15,7 +16,7 @@ from gridstats.operators import trend as T
 from gridstats.operators import vertical as V
 from gridstats.plans import aggregates as AG
 from gridstats.plans import ordered as O
-from gridstats.plans.joins import CELLS, NEAREST_SQL, PAIRS_SQL, SCELL_SQL, YIELD_SQL, by_scenario, linear_predictor, pair_table, season_days, target_axes
+from gridstats.plans.joins import CELLS, NEAREST_SQL, PAIRS_SQL, SCELL_SQL, YIELD_SQL, by_scenario, linear_predictor, pair_table, target_axes, two_years
 from gridstats.plans.registry import query
 from gridstats.plans.scan_project import AREA_SQL, PRES_SQL, SEASON_SQL, crop_climate
 from gridstats.plans.scan_project import _E as E_SQL
@@ -30,7 +31,7 @@ MC = ["month", "lat", "lon"]
     (SELECT e.scenario, e.month, e.lat, e.lon, lev_no, hyam * 100000 + hybm * (100000 - 100 * (tas - 285)) AS p0, tas - 40 + 8 * lev_no AS t0, tas_var FROM ({AG.POOL_SQL}) e, {O.LEVELS_SQL}) x WINDOW w AS (PARTITION BY scenario, month, lat, lon ORDER BY p0)), {O.TARGETS_SQL}
     WHERE p1 IS NOT NULL AND (lev >= p0 OR lev_no = 1) AND (lev < p1 OR lev_no = 5)""", "t tas_var", 5)
 def _(s, d):
-    e = ST.ensemble_stats(AG.clim(s, d).select("scenario", *MC, "tas", "tas_var", "n"), ["scenario", *MC], ["tas"], about=290.0)
+    e = ST.ensemble_stats(AG.clim(s, d).select("scenario", *MC, "tas", "tas_var", "n"), ["scenario", *MC], ["tas"])
     lev = s.createDataFrame(O.LEVELS, "lev_no int, hyam double, hybm double")
     p = V.hybrid_pressure(F.col("hyam"), F.col("hybm"), F.lit(100000.0), 100000 - 100 * (F.col("tas") - 285))
     col = e.crossJoin(F.broadcast(lev)).select("scenario", *MC, "tas_var", p.alias("p"), (F.col("tas") - 40 + 8 * F.col("lev_no")).alias("t"))
@@ -65,11 +66,10 @@ def _(s, d):
     return e.select("effect", *MC, "tas", I.significance_mask(F.col("tas"), S.student_t_pvalue(t, 54), 0.2).alias("masked"))
 
 
-@query("j5_daily_harmonisation", f"SELECT * FROM ({O.DAYLIN_SQL.replace(f'FROM ({OBS_SQL})', f'FROM ({OBS_SQL}) WHERE lat <= -15')})", "tas")
+@query("j5_daily_harmonisation", O.by_month_sql(O.DAYLIN_SQL.replace(f"FROM ({OBS_SQL})", f"FROM ({OBS_SQL}) WHERE lat <= -15")), "low tas high")
 def _(s, d):
-    m = P.crop_bbox(obs(s, d), -30, -15, 0, 360).groupBy("scenario", "year", "month").agg(F.avg("tas").alias("tas"))
-    st = m.select("scenario", F.date_add(F.make_date("year", "month", F.lit(1)), 15).alias("time"), "tas")
-    return TG.monthly_to_daily(TG.pad_ends(st, ["scenario"]), ["scenario"], ["tas"])
+    st = O.stamped(P.crop_bbox(obs(s, d), -30, -15, 0, 360))
+    return O.by_month(TG.monthly_to_daily(TG.pad_ends(st, O.K), O.K, ["tas"]))
 
 
 @query("j6_crop_climate", f"SELECT scenario, time, lat, lon, tas - 273.15 AS temp, {PRES_SQL} AS pres, {ES_SQL} AS es, {E_SQL} AS e, greatest({ES_SQL} - {E_SQL}, 0) AS vpd FROM (SELECT scenario, time, lat, lon, avg(tas) AS tas, avg(tasmax) AS tasmax, avg(tasmin) AS tasmin, avg(sphum) AS sphum FROM ({OBS_SQL}) GROUP BY ALL)", "temp pres es e vpd")
@@ -78,11 +78,9 @@ def _(s, d):
     return crop_climate(g).select("scenario", "time", "lat", "lon", S.kelvin_to_celsius(F.col("tas")).alias("temp"), "pres", "es", "e", "vpd")
 
 
-@query("j7_season_indices", f"SELECT scenario, lat, lon, m.tminmean, m.tmaxmean, m.precmean, m.ndays, g.edd, g.gdd FROM ({AG.ORACLE_D19}) m JOIN ({AG.ORACLE_D22}) g USING (scenario, lat, lon)", "tminmean tmaxmean precmean edd gdd", 5)
+@query("j7_season_indices", f"SELECT m.*, g.edd, g.gdd FROM ({AG.ORACLE_D19}) m LEFT JOIN ({AG.ORACLE_D22}) g USING (scenario, lat, lon)", " ".join(f"{c}mean" for c in AG.INDEX_NAMES) + " edd gdd", 5)
 def _(s, d):
-    days = season_days(s, d)
-    k = ["scenario", "lat", "lon"]
-    return SE.season_means(days, k, ["tmin", "tmax", "prec"]).join(SE.gdd_edd(SE.degree_days(days, k, thresholds=(10, 30)), k), k)
+    return SE.season_indices(two_years(s, d), ["scenario", "lat", "lon"], AG.INDEX_NAMES, SE.in_window(), AG.first_day())
 
 
 @query("j8_yield_estimate", f"SELECT model, scenario, year, avg(yield) AS yield FROM ({YIELD_SQL}) GROUP BY ALL", "yield")
@@ -99,14 +97,14 @@ def _(s, d):
     return T.trend_slope(y, k, "year", ["y"]).join(mean, k).select(*k, F.try_divide(100 * F.col("y"), F.col("m")).alias("trend"))
 
 
-#: The bootstrap's SQL over yearly yields instead of temperatures, with 60 replicates.
-_BOOT = AG.BOOT_SQL.replace(f"avg(tas) AS tas FROM ({OBS_SQL})", f"avg(yield) AS tas FROM ({YIELD_SQL})").replace("range(30)", "range(60)")
+#: The bootstrap's SQL over yearly yields instead of temperatures.
+_BOOT = AG.BOOT_SQL.replace(f"avg(tas) AS tas FROM ({OBS_SQL})", f"avg(yield) AS tas FROM ({YIELD_SQL})")
 
 
 @query("j9_yield_trend_bootstrap", f"SELECT scenario, lat, lon, tas AS y, tas_var AS y_var FROM ({_BOOT})", "y y_var", 9)
 def _(s, d):
     y = linear_predictor(s, d).groupBy("scenario", "lat", "lon", "year").agg(F.avg(F.exp("eta")).alias("y"))
-    return T.trend_bootstrap(y, ["scenario", "lat", "lon"], "year", "y", nsamp=60)
+    return T.trend_bootstrap(y, ["scenario", "lat", "lon"], "year", "y", nsamp=500)
 
 
 _PER = f"SELECT scenario, lat, lon, avg(tas) AS tas, var_samp(tas) AS v FROM ({YEARLY_SQL}) WHERE year BETWEEN {{}} AND {{}} GROUP BY ALL"
@@ -120,26 +118,32 @@ def _(s, d):
     return I.diff_ttest(part(1999, 2001), part(1995, 1997), k, ["tas"], 12, percent=True).select(*k, "tas", "tas_pval", "tas_perc")
 
 
-@query("j11_rainy_extension", f"""SELECT r.scenario, r.ag_year, r.outoday, r.outeday, r.outslen, b.ref AS outslen_ref, h.m - b.ref AS outslen_bias FROM ({O.RAINY_SQL}) r, (SELECT avg(outslen) AS ref FROM ({O.RAINY_SQL}) WHERE scenario = 'rcp_n') b JOIN (SELECT scenario, avg(outslen) AS m FROM ({O.RAINY_SQL}) GROUP BY ALL) h ON true WHERE h.scenario = r.scenario""", "outslen_ref outslen_bias")
+@query("j11_rainy_extension", f"""WITH r AS MATERIALIZED ({O.RAINY_SQL}), ref AS (SELECT lat, lon, avg(outslen) AS ref FROM r WHERE scenario = 'rcp_n' GROUP BY lat, lon)
+    SELECT r.*, ref.ref AS outslen_ref, m.m - ref.ref AS outslen_bias FROM r JOIN (SELECT scenario, member, lat, lon, avg(outslen) AS m FROM r GROUP BY ALL) m USING (scenario, member, lat, lon) LEFT JOIN ref USING (lat, lon)""", "outslen_ref outslen_bias")
 def _(s, d):
     r = O.seasons(s, d)
-    ref = r.where("scenario = 'rcp_n'").agg(F.avg("outslen").alias("outslen_ref"))
-    m = r.groupBy("scenario").agg(F.avg("outslen").alias("m"))
-    return r.join(m, "scenario").crossJoin(F.broadcast(ref)).select(
-        "scenario", "ag_year", "outoday", "outeday", "outslen", "outslen_ref", (F.col("m") - F.col("outslen_ref")).alias("outslen_bias"))
+    ref = r.where("scenario = 'rcp_n'").groupBy("lat", "lon").agg(F.avg("outslen").alias("outslen_ref"))
+    with_mean = r.withColumn("m", F.avg("outslen").over(Window.partitionBy(*O.K)))  # the season's own layout
+    return with_mean.join(ref, ["lat", "lon"], "left").withColumn("outslen_bias", F.col("m") - F.col("outslen_ref")).drop("m")
 
 
-@query("j12_rainy_ensemble", f"SELECT scenario, avg(outoday) AS outoday, var_samp(outoday) AS outoday_var, avg(outslen) AS outslen, var_samp(outslen) AS outslen_var, count(*) AS n FROM ({O.RAINY_SQL}) GROUP BY ALL", "outoday outoday_var outslen outslen_var")
+@query("j12_rainy_ensemble", f"""WITH r AS MATERIALIZED ({O.RAINY_SQL})
+    SELECT s.scenario, la.lat, lo.lon, v.outoday, v.outoday_var, v.outslen, v.outslen_var, (SELECT count(DISTINCT ag_year) * count(DISTINCT member) FROM r) AS n FROM (SELECT DISTINCT scenario FROM r) s, (SELECT DISTINCT lat FROM r) la, (SELECT DISTINCT lon FROM r) lo
+    LEFT JOIN (SELECT scenario, lat, lon, avg(outoday) AS outoday, var_samp(outoday) AS outoday_var, avg(outslen) AS outslen, var_samp(outslen) AS outslen_var FROM r GROUP BY ALL) v ON v.scenario = s.scenario AND v.lat = la.lat AND v.lon = lo.lon""", "outoday outoday_var outslen outslen_var")
 def _(s, d):
-    return ST.mean_var_over(O.seasons(s, d), ["scenario"], ["outoday", "outslen"])
+    r = O.seasons(s, d).persist()  # read for its axes and for its means
+    return ST.mean_var_over(r, ["scenario", "lat", "lon"], ["outoday", "outslen"], dims=["ag_year", "member"])
 
 
-@query("j13_bias_corrected", f"SELECT scenario, CASE WHEN x IS NOT NULL THEN least(greatest(x, 0), 365) END AS outslen FROM (SELECT scenario, CASE WHEN count(*) - count(outslen) <= 3 THEN regr_slope(outslen, ag_year) END * 39 + (SELECT avg(outslen) FROM ({O.RAINY_SQL}) WHERE scenario = 'rcp_n') AS x FROM ({O.RAINY_SQL}) GROUP BY scenario)", "outslen")
+@query("j13_bias_corrected", f"""WITH r AS MATERIALIZED ({O.RAINY_SQL}), y AS (SELECT scenario, lat, lon, ag_year, avg(outslen) AS outslen FROM r GROUP BY ALL)
+    SELECT scenario, lat, lon, CASE WHEN x IS NOT NULL THEN least(greatest(x, 0), 365) END AS outslen FROM (SELECT scenario, lat, lon, CASE WHEN count(*) - count(outslen) <= 3 THEN regr_slope(outslen, ag_year) END * 39 + any_value(ref) AS x
+        FROM y LEFT JOIN (SELECT lat, lon, avg(outslen) AS ref FROM r WHERE scenario = 'rcp_n' GROUP BY lat, lon) USING (lat, lon) GROUP BY scenario, lat, lon)""", "outslen")
 def _(s, d):
     r = O.seasons(s, d)
-    ref = r.where("scenario = 'rcp_n'").agg(F.avg("outslen").alias("ref"))
-    t = T.trend_slope(r, ["scenario"], "ag_year", ["outslen"]).crossJoin(F.broadcast(ref))
-    return t.select("scenario", S.clamp(F.col("outslen") * 39 + F.col("ref"), 0, 365).alias("outslen"))
+    ref = r.where("scenario = 'rcp_n'").groupBy("lat", "lon").agg(F.avg("outslen").alias("ref"))
+    by_year = r.groupBy("scenario", "lat", "lon", "ag_year").agg(F.avg("outslen").alias("outslen"))
+    t = T.trend_slope(by_year, ["scenario", "lat", "lon"], "ag_year", ["outslen"]).join(ref, ["lat", "lon"], "left")
+    return t.select("scenario", "lat", "lon", S.clamp(F.col("outslen") * 39 + F.col("ref"), 0, 365).alias("outslen"))
 
 
 DEF_SQL = f"SELECT scenario, year, lat, lon, coalesce(sum(pct) FILTER (pft IN (1, 2, 3)), 0) AS pct FROM ({OBS_SQL}) GROUP BY scenario, year, lat, lon"

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridstats.functions import scalar as S
 from gridstats.operators import align as A
 from gridstats.operators import season as SE
 from gridstats.operators.stats import mean_var_over
 from gridstats.plans.registry import query
-from gridstats.plans.scan_project import CALIDX_SQL, COEF_SQL, calendar, coef_table
+from gridstats.plans.scan_project import _E as E_SQL
+from gridstats.plans.scan_project import _ES as ES_SQL
+from gridstats.plans.scan_project import CALIDX_SQL, COEF_SQL, calendar, coef_table, crop_climate
 from gridstats.sources import io
 from gridstats.sources.derived import OBS_SQL, YEARLY_SQL, ZONE_NAMES_SQL, ZONES_SQL, obs, table, yearly, zone_names, zones
 
@@ -98,11 +101,20 @@ def _(s, d):
     return o.groupBy("scenario", "code", "name").agg(F.count("*").alias("n"))
 
 
-@query("c9_attach_attributes", "SELECT s_suppkey, n_name, s_acctbal FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 3 = n_nationkey % 3")
+# Shapes by municipality with a census of many years: here customers' nations with the year's orders of each.
+CENSUS_SQL = "SELECT c_nationkey AS codmun, CAST(year(o_orderdate) AS INT) AS year, sum(o_totalprice) / 1e6 AS area, avg(o_totalprice) AS yield FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL"
+
+
+def census(s, d):
+    c = table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("codmun"))
+    return table(s, d, "orders").join(c, "o_custkey").groupBy("codmun", F.year("o_orderdate").alias("year")).agg(
+        (F.sum("o_totalprice") / 1e6).alias("area"), F.avg("o_totalprice").alias("yield"))
+
+
+@query("c9_attach_attributes", f"SELECT n_nationkey AS codmun, n_name, c.year, area, yield FROM nation JOIN ({CENSUS_SQL}) c ON codmun = n_nationkey WHERE c.year = 1996", "area yield", 4)
 def _(s, d):
-    # Shapes by municipality with the year's census: here suppliers with their nation.
-    n = table(s, d, "nation").withColumnRenamed("n_nationkey", "s_nationkey")
-    return table(s, d, "supplier").join(n, "s_nationkey").where("s_suppkey % 3 = s_nationkey % 3").select("s_suppkey", "n_name", "s_acctbal")
+    shapes = table(s, d, "nation").select(F.col("n_nationkey").alias("codmun"), "n_name")
+    return A.attach_attributes(shapes, census(s, d), ["codmun"], 1996)
 
 
 def triangles(s, d):
@@ -194,15 +206,23 @@ def _(s, d):
 
 
 DAYS_SQL = f"""SELECT scenario, lat, lon, CAST((year(time) - 1995) * 365 + dayofyear(time) - CASE WHEN dayofyear(make_date(year(time), 12, 31)) = 366 AND dayofyear(time) >= 60 THEN 1 ELSE 0 END - 1 AS INT) AS day_idx,
-    tasmin - 273.15 AS tmin, tasmax - 273.15 AS tmax, prec FROM ({OBS_SQL}) WHERE year(time) IN (1995, 1996) AND NOT (month(time) = 2 AND day(time) = 29)"""
+    tas - 273.15 AS temp, tasmin - 273.15 AS tmin, tasmax - 273.15 AS tmax, prec, greatest({ES_SQL} - {E_SQL}, 0) AS vpd, tasmax - tasmin AS trng FROM ({OBS_SQL}) WHERE year(time) IN (1995, 1996) AND NOT (month(time) = 2 AND day(time) = 29)"""
 WINDOW_SQL = f"SELECT x.*, plan, harv FROM ({DAYS_SQL}) x JOIN ({CALIDX_SQL}) c USING (lat, lon) WHERE day_idx >= plan AND day_idx < harv"
+#: All days of both years, with what the season's means need; inside: within the calendar's window.
+TWO_YEARS_SQL = f"SELECT x.*, plan, harv, day_idx >= plan AND day_idx < harv AS inside FROM ({DAYS_SQL}) x JOIN ({CALIDX_SQL}) c USING (lat, lon)"
+
+
+def two_years(s, d):
+    """Days of 1995 and 1996 with temperatures, rain, vapour pressure deficit and each cell's calendar."""
+    days = crop_climate(SE.two_year_days(obs(s, d), 1996)).select(
+        "scenario", "lat", "lon", "day_idx", S.kelvin_to_celsius(F.col("tas")).alias("temp"), S.kelvin_to_celsius(F.col("tasmin")).alias("tmin"),
+        S.kelvin_to_celsius(F.col("tasmax")).alias("tmax"), "prec", "vpd", (F.col("tasmax") - F.col("tasmin")).alias("trng"))
+    return A.attach_small(days, SE.calendar_index(calendar(s, d)).drop("plant_doy", "harvest_doy"), CELLS)
 
 
 def season_days(s, d):
     """Days of the 1995/96 season of each cell's calendar."""
-    days = SE.two_year_days(obs(s, d), 1996).select(
-        "scenario", "lat", "lon", "day_idx", (F.col("tasmin") - 273.15).alias("tmin"), (F.col("tasmax") - 273.15).alias("tmax"), "prec")
-    return A.calendar_join(days, SE.calendar_index(calendar(s, d)).drop("plant_doy", "harvest_doy"), CELLS)
+    return two_years(s, d).where(SE.in_window())
 
 
 @query("c17_calendar_join", f"SELECT scenario, lat, lon, min(day_idx) AS first_day, max(day_idx) AS last_day, count(*) AS n FROM ({WINDOW_SQL}) GROUP BY ALL")

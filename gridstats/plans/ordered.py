@@ -2,66 +2,76 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gridstats.functions import scalar as S
 from gridstats.operators import project as P
 from gridstats.operators import season as SE
 from gridstats.operators import timegrid as TG
 from gridstats.operators import vertical as V
 from gridstats.plans.registry import query
-from gridstats.sources.derived import DAILY_SQL, MONTHLY_SQL, OBS_SQL, YEARLY_SQL, daily, monthly, obs, table, yearly
+from gridstats.sources.derived import CELL_DAYS_SQL, MONTHLY_SQL, OBS_SQL, YEARLY_SQL, cell_days, monthly, obs, table, yearly
 
-AG_SQL = f"""SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY scenario, ag_year) AS cnt FROM
-    (SELECT *, CAST(date_diff('day', make_date(ag_year, 7, 1), time) AS INT) AS ag_day FROM (SELECT *, CAST(year(time) - CASE WHEN month(time) < 7 THEN 1 ELSE 0 END AS INT) AS ag_year FROM ({DAILY_SQL}))))
+K = ["scenario", "member", "lat", "lon"]
+_K = ", ".join(K)
+AG_SQL = f"""SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY {_K}, ag_year) AS cnt FROM
+    (SELECT *, CAST(date_diff('day', make_date(ag_year, 7, 1), time) AS INT) AS ag_day FROM (SELECT *, CAST(year(time) - CASE WHEN month(time) < 7 THEN 1 ELSE 0 END AS INT) AS ag_year FROM ({CELL_DAYS_SQL}))))
     WHERE cnt = date_diff('day', make_date(ag_year, 7, 1), make_date(ag_year + 1, 7, 1))"""
-AA_SQL = f"SELECT *, aa - lag(aa) OVER w AS daa FROM (SELECT *, sum(prec - 2.5) OVER (PARTITION BY scenario, ag_year ORDER BY ag_day) AS aa FROM ({AG_SQL})) WINDOW w AS (PARTITION BY scenario, ag_year ORDER BY ag_day)"
-K = ["scenario"]
 
 
 def ag_days(s, d):
-    return SE.complete_ag_years(daily(s, d), K)
+    """Daily rain by cell and member, in complete agricultural years."""
+    return SE.complete_ag_years(SE.fill_days(cell_days(s, d), K, {"prec": 0.0}, date(1995, 1, 1)), K)
 
 
-@query("e1_ag_year", f"SELECT scenario, ag_year, min(time) AS first_day, max(ag_day) AS last_day, count(*) AS days, sum(prec) AS prec FROM ({AG_SQL}) GROUP BY ALL", "prec")
+@query("e1_ag_year", f"SELECT {_K}, ag_year, min(time) AS first_day, max(ag_day) AS last_day, count(*) AS days, sum(prec) AS prec FROM ({AG_SQL}) GROUP BY ALL", "prec")
 def _(s, d):
-    return ag_days(s, d).groupBy("scenario", "ag_year").agg(
+    return ag_days(s, d).groupBy(*K, "ag_year").agg(
         F.min("time").alias("first_day"), F.max("ag_day").alias("last_day"), F.count("*").alias("days"), F.sum("prec").alias("prec"))
 
 
-@query("e2_anomalous_accumulation", f"SELECT scenario, ag_year, ag_day, aa, daa FROM ({AA_SQL})", "aa daa")
-def _(s, d):
-    return SE.anomalous_accumulation(ag_days(s, d), K).select("scenario", "ag_year", "ag_day", "aa", "daa")
-
-
-# Steps are compared as rounded values, as equal rain sums differ in their last bits.
-_RND = f"SELECT scenario, ag_year, ag_day, time, round(prec * 64) / 64 AS prec FROM ({AG_SQL})"
-_AA = f"SELECT *, aa - lag(aa) OVER w AS daa FROM (SELECT *, sum(prec - 2.5) OVER (PARTITION BY scenario, ag_year ORDER BY ag_day) AS aa FROM ({_RND})) WINDOW w AS (PARTITION BY scenario, ag_year ORDER BY ag_day)"
+def _aa_sql(base: float) -> str:
+    return f"""SELECT *, aa - lag(aa) OVER w AS daa FROM (SELECT {_K}, ag_year, ag_day, x, sum(x) OVER (PARTITION BY {_K}, ag_year ORDER BY ag_day) AS aa
+        FROM (SELECT *, CAST(round(prec * 1000000) AS BIGINT) - {round(base * 1_000_000)} AS x FROM ({AG_SQL}))) WINDOW w AS (PARTITION BY {_K}, ag_year ORDER BY ag_day)"""
 
 
-def exact_days(s, d):
-    """Rain in multiples of 1/64, so that sums are exact in any order."""
-    return ag_days(s, d).withColumn("prec", F.round(F.col("prec") * 64) / 64)
+@query("e2_anomalous_accumulation", f"""SELECT {_K}, ag_year, count(*) AS days, CAST(min(aa) AS DOUBLE) / 1000000 AS low, CAST(max(aa) AS DOUBLE) / 1000000 AS high, CAST(sum(CASE WHEN ag_day % 7 = 0 THEN aa ELSE 0 END) AS DOUBLE) / 1000000 AS weekly, CAST(sum(daa) AS DOUBLE) / 1000000 AS risen
+    FROM ({_aa_sql(2.5)}) GROUP BY ALL""", "low high weekly risen", 5)
+def _(s, d):
+    # Every day's value enters the year's extremes and sums.
+    days = SE.anomalous_accumulation(ag_days(s, d), K)
+    return days.groupBy(*K, "ag_year").agg(
+        F.count("*").alias("days"), F.min("aa").alias("low"), F.max("aa").alias("high"),
+        F.sum(F.when(F.col("ag_day") % 7 == 0, F.col("aa")).otherwise(0.0)).alias("weekly"), F.sum("daa").alias("risen"))
 
 
-STEEP_SQL = f"SELECT scenario, ag_year, min(ag_day) AS steepest FROM (SELECT *, max(daa) OVER (PARTITION BY scenario, ag_year) AS top FROM ({_AA})) WHERE daa = top GROUP BY ALL"
+STEEP_SQL = f"SELECT {_K}, ag_year, min(ag_day) AS steepest FROM (SELECT *, max(daa) OVER (PARTITION BY {_K}, ag_year) AS top FROM ({_aa_sql(2.5)})) WHERE daa = top GROUP BY ALL"
 
 
 @query("e3_steepest_day", STEEP_SQL)
 def _(s, d):
-    return SE.steepest_day(SE.anomalous_accumulation(exact_days(s, d), K), K)
+    return SE.steepest_day(SE.anomalous_accumulation(ag_days(s, d), K), K)
+
 
+def rainy_sql(base: float) -> str:
+    """Day by day as stated: extremes from day 0 on, days of the extremes looked for in the whole year."""
+    return f"""WITH a AS MATERIALIZED ({_aa_sql(base)}),
+    top AS (SELECT {_K}, ag_year, max(daa) AS top, sum(x) >= 0 AS wet, max(aa) FILTER (ag_day = 0) AS a0, min(aa) AS least_aa, max(aa) AS most_aa FROM a GROUP BY ALL),
+    peak AS (SELECT {_K}, ag_year, min(ag_day) AS peak FROM a JOIN top USING ({_K}, ag_year) WHERE daa = top GROUP BY ALL),
+    side AS (SELECT {_K}, ag_year, min(aa) FILTER (ag_day < peak) AS before, max(aa) FILTER (ag_day > peak) AS after FROM a JOIN peak USING ({_K}, ag_year) GROUP BY ALL),
+    ends AS (SELECT {_K}, ag_year, CASE WHEN wet THEN least_aa ELSE least(a0, before) END AS low, CASE WHEN wet THEN most_aa ELSE greatest(a0, after) END AS high FROM top JOIN side USING ({_K}, ag_year))
+    SELECT {_K}, ag_year, max(ag_day) FILTER (ag_day >= 1 AND aa = low) AS outoday, max(ag_day) FILTER (ag_day >= 1 AND aa = high) AS outeday,
+           max(ag_day) FILTER (ag_day >= 1 AND aa = high) - max(ag_day) FILTER (ag_day >= 1 AND aa = low) AS outslen FROM a JOIN ends USING ({_K}, ag_year) GROUP BY ALL"""
 
-RAINY_SQL = f"""SELECT scenario, ag_year, onset AS outoday, ending AS outeday, ending - onset AS outslen FROM (
-    SELECT scenario, ag_year, max(CASE WHEN ag_day >= 1 AND (wet OR ag_day < steepest) AND aa = low THEN ag_day END) AS onset, max(CASE WHEN ag_day >= 1 AND (wet OR ag_day >= steepest) AND aa = high THEN ag_day END) AS ending FROM (
-        SELECT *, CASE WHEN wet THEN min(aa) OVER g ELSE least(a0, min(CASE WHEN ag_day < steepest THEN aa END) OVER g) END AS low,
-               CASE WHEN wet THEN max(aa) OVER g ELSE greatest(a0, max(CASE WHEN ag_day >= steepest THEN aa END) OVER g) END AS high FROM (
-            SELECT x.*, steepest, avg(prec) OVER h >= 2.5 AS wet, max(CASE WHEN ag_day = 0 THEN aa END) OVER h AS a0 FROM ({_AA}) x JOIN ({STEEP_SQL}) USING (scenario, ag_year) WINDOW h AS (PARTITION BY scenario, ag_year))
-        WINDOW g AS (PARTITION BY scenario, ag_year)) GROUP BY scenario, ag_year)"""
+
+RAINY_SQL = rainy_sql(2.5)
 
 
 def seasons(s, d):
-    return SE.rainy_season(exact_days(s, d), K)
+    return SE.rainy_season(ag_days(s, d), K)
 
 
 @query("e4_rainy_season", RAINY_SQL)
@@ -69,42 +79,60 @@ def _(s, d):
     return seasons(s, d)
 
 
-RAINY_DRY_SQL = RAINY_SQL.replace("prec - 2.5", "prec - 2.625").replace(">= 2.5 AS wet", ">= 2.625 AS wet")
+@query("e4_rainy_season_dry", rainy_sql(4.0))
+def _(s, d):
+    # A base above the mean rain of most cells, so that the search before and after the steepest day runs.
+    return SE.rainy_season(ag_days(s, d), K, base=4.0)
 
 
-@query("e4_rainy_season_dry", RAINY_DRY_SQL)
+@query("e4r_rainy_season_units", f"SELECT 'm/s' AS units, * FROM ({RAINY_SQL}) UNION ALL SELECT 'kg m-2 s-1', * FROM ({RAINY_SQL})")
 def _(s, d):
-    # A base above the mean rain, so that the search before and after the steepest day runs; also a multiple of 1/64.
-    return SE.rainy_season(exact_days(s, d), K, base=2.625)
+    # The same rain as fluxes in either unit, back to mm a day before the season is looked for; units are one more key.
+    per_day = {"m/s": 86_400_000.0, "kg m-2 s-1": 86_400.0}
+    flux = cell_days(s, d).select("*", F.explode(F.array(*[F.struct(F.lit(u).alias("units"), (F.col("prec") / by).alias("flux")) for u, by in per_day.items()])).alias("_u"))
+    rain = flux.select("_u.units", *K, "time", S.precip_mm_day(F.col("_u.flux"), F.col("_u.units")).alias("prec"))
+    keys = ["units", *K]
+    return SE.rainy_season(SE.complete_ag_years(SE.fill_days(rain, keys, {"prec": 0.0}, date(1995, 1, 1)), keys), keys)
 
 
-@query("b19_valid_season", f"SELECT scenario, ag_year, CASE WHEN outslen > 20 THEN outoday END AS outoday FROM ({RAINY_SQL})")
+@query("b19_valid_season", f"SELECT {_K}, ag_year, CASE WHEN outslen > 20 THEN outoday END AS outoday FROM ({RAINY_SQL})")
 def _(s, d):
     v = seasons(s, d).withColumn("outslen", F.col("outslen") - 20)
-    return P.valid_season(v, ["outoday"]).select("scenario", "ag_year", "outoday")
+    return P.valid_season(v, ["outoday"]).select(*K, "ag_year", "outoday")
 
 
-_MS = f"SELECT scenario, make_date(CAST(year AS INT), CAST(month AS INT), 1) + 15 AS time, avg(tas) AS tas FROM ({OBS_SQL}) GROUP BY scenario, year, month"
-PAD_SQL = f"SELECT * FROM ({_MS}) UNION ALL SELECT scenario, min(time) - 31, arg_min(tas, time) FROM ({_MS}) GROUP BY scenario UNION ALL SELECT scenario, max(time) + 31, arg_max(tas, time) FROM ({_MS}) GROUP BY scenario"
+_MS = f"SELECT {_K}, make_date(CAST(year AS INT), CAST(month AS INT), 1) + 15 AS time, avg(tas) AS tas FROM ({OBS_SQL}) GROUP BY {_K}, year, month"
+PAD_SQL = f"SELECT * FROM ({_MS}) UNION ALL SELECT {_K}, min(time) - 31, arg_min(tas, time) FROM ({_MS}) GROUP BY {_K} UNION ALL SELECT {_K}, max(time) + 31, arg_max(tas, time) FROM ({_MS}) GROUP BY {_K}"
 
 
-def stamped(s, d):
-    m = obs(s, d).groupBy("scenario", "year", "month").agg(F.avg("tas").alias("tas"))
-    return m.select("scenario", F.date_add(F.make_date("year", "month", F.lit(1)), 15).alias("time"), "tas")
+def stamped(df):
+    """Monthly means at mid-month."""
+    m = df.groupBy(*K, "year", "month").agg(F.avg("tas").alias("tas"))
+    return m.select(*K, F.date_add(F.make_date("year", "month", F.lit(1)), 15).alias("time"), "tas")
 
 
-@query("e6_pad_ends", f"SELECT scenario, CAST(time AS DATE) AS time, tas FROM ({PAD_SQL})", "tas")
+@query("e6_pad_ends", f"SELECT {_K}, CAST(time AS DATE) AS time, tas FROM ({PAD_SQL})", "tas")
 def _(s, d):
-    return TG.pad_ends(stamped(s, d), K)
+    return TG.pad_ends(stamped(obs(s, d)), K)
+
+
+DAYLIN_SQL = f"""SELECT {_K}, CAST(t0 + CAST(i AS INT) AS DATE) AS time, tas + CASE WHEN i = 0 THEN 0 ELSE (nxt - tas) * i / len END AS tas FROM (SELECT *, unnest(range(coalesce(len, 1))) AS i FROM (
+    SELECT {_K}, CAST(time AS DATE) AS t0, tas, lead(tas) OVER w AS nxt, date_diff('day', CAST(time AS DATE), CAST(lead(time) OVER w AS DATE)) AS len FROM ({PAD_SQL}) WINDOW w AS (PARTITION BY {_K} ORDER BY time)))"""
+
+
+def by_month_sql(days: str) -> str:
+    return f"SELECT {_K}, CAST(year(time) AS INT) AS year, CAST(month(time) AS INT) AS month, count(*) AS days, min(tas) AS low, avg(tas) AS tas, max(tas) AS high FROM ({days}) GROUP BY ALL"
 
 
-DAYLIN_SQL = f"""SELECT scenario, CAST(t0 + CAST(i AS INT) AS DATE) AS time, tas + CASE WHEN i = 0 THEN 0 ELSE (nxt - tas) * i / len END AS tas FROM (SELECT *, unnest(range(coalesce(len, 1))) AS i FROM (
-    SELECT scenario, CAST(time AS DATE) AS t0, tas, lead(tas) OVER w AS nxt, date_diff('day', CAST(time AS DATE), CAST(lead(time) OVER w AS DATE)) AS len FROM ({PAD_SQL}) WINDOW w AS (PARTITION BY scenario ORDER BY time)))"""
+def by_month(days):
+    """What each month holds of a daily series."""
+    return days.groupBy(*K, F.year("time").alias("year"), F.month("time").alias("month")).agg(
+        F.count("*").alias("days"), F.min("tas").alias("low"), F.avg("tas").alias("tas"), F.max("tas").alias("high"))
 
 
-@query("e5_monthly_to_daily", DAYLIN_SQL, "tas")
+@query("e5_monthly_to_daily", by_month_sql(DAYLIN_SQL), "low tas high")
 def _(s, d):
-    return TG.monthly_to_daily(TG.pad_ends(stamped(s, d), K), K, ["tas"])
+    return by_month(TG.monthly_to_daily(TG.pad_ends(stamped(obs(s, d)), K), K, ["tas"]))
 
 
 LEVELS = [(1, 0.002, 0.0), (2, 0.05, 0.05), (3, 0.12, 0.18), (4, 0.08, 0.5), (5, 0.02, 0.83), (6, 0.0, 0.99)]
@@ -156,7 +184,7 @@ def flux(s, d):
 
 @query("e9_convergence", f"SELECT scenario, lat, lon, conv * 1e6 AS conv FROM ({CONV_SQL})", "conv")
 def _(s, d):
-    return V.convergence(flux(s, d), K, "fx", "fy").select("scenario", "lat", "lon", (F.col("conv") * 1e6).alias("conv"))
+    return V.convergence(flux(s, d), ["scenario"], "fx", "fy").select("scenario", "lat", "lon", (F.col("conv") * 1e6).alias("conv"))
 
 
 @query("e10_first_slice", f"SELECT scenario, lat, lon, arg_min(tas, year * 100 + month) AS tas FROM (SELECT scenario, lat, lon, year, month, avg(tas) AS tas FROM ({OBS_SQL}) GROUP BY ALL) GROUP BY ALL", "tas")

@@ -80,6 +80,19 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Daily rain of every cell of every member from 1995 to its last day with any; days without are 0.
+SERIES = ("scenario", "member", "lat", "lon")
+CELL_DAYS_SQL = f"""
+    SELECT s.scenario, s.member, s.lat, s.lon, s.time, coalesce(o.prec, 0.0) AS prec
+    FROM (SELECT scenario, member, lat, lon, CAST(unnest(generate_series(DATE '1995-01-01', max(time), INTERVAL 1 DAY)) AS DATE) AS time FROM ({OBS_SQL}) GROUP BY scenario, member, lat, lon) s
+    LEFT JOIN (SELECT scenario, member, lat, lon, time, sum(prec) * 6 AS prec FROM ({OBS_SQL}) GROUP BY scenario, member, lat, lon, time) o USING (scenario, member, lat, lon, time)"""
+
+
+def cell_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days with rain alone; fill_days adds the others."""
+    return obs(spark, sf_dir).groupBy(*SERIES, "time").agg((F.sum("prec") * 6).alias("prec"))
+
+
 #: Zone codes and names of cells, as a dimension table.
 ZONES_SQL = """SELECT DISTINCT CAST(-30 + 5 * (l_partkey % 5) AS DOUBLE) AS lat, CAST(290 + 5 * (floor(l_partkey / 5) % 5) AS DOUBLE) AS lon,
     CAST(1 + (l_partkey % 5) % 3 AS INT) AS code FROM lineitem"""
