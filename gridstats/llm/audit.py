@@ -44,13 +44,17 @@ def failures(text: Column) -> Column:
 
 
 def later_copies(rows: DataFrame) -> DataFrame:
-    """rows(doc_id, part, digest, text) of which an equal text has a smaller doc_id, without the text."""
-    ids = rows.where(F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    shared = written(ids.where("least < most").select("digest"), "shared")
-    several = written(rows.where(F.col("doc_id").isNotNull()).join(shared, "digest", "left_semi"), "several")
-    first = several.groupBy(F.col("digest").alias("_digest"), F.col("text").alias("_text")).agg(F.min("doc_id").alias("_first"))
+    """rows(doc_id, part, digest, text) of which an equal text has a smaller doc_id, without the text.
+
+    Both joins are dealt by key at any size: texts move once to learn whether their digest is shared, and Spark can split a text that many rows share.
+    """
+    known = rows.where(F.col("doc_id").isNotNull())
+    ids = known.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    shared = ids.where("least < most").select("digest")
+    several = written(known.join(shared.hint("merge"), "digest", "left_semi"), "several")
+    first = written(several.groupBy(F.col("digest").alias("_digest"), F.col("text").alias("_text")).agg(F.min("doc_id").alias("_first")), "first")
     same = (F.col("digest") == F.col("_digest")) & (F.col("text") == F.col("_text")) & (F.col("doc_id") > F.col("_first"))
-    return several.join(first, same, "left_semi").drop("text")
+    return several.join(first.hint("merge"), same, "left_semi").drop("text")
 
 
 def combinations(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
