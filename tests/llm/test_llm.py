@@ -664,13 +664,79 @@ def test_accepted_identifiers_make_new_patterns_trusted(spark):
     rows = [(i, f"please mail to user{i}@mail.example.com today and more") for i in range(30)]
     rows += [(100 + i, f"please mail to KEY{i}99XX77YY55 today and more") for i in range(4)]
     rows += [(200 + i, f"vault entry KEY{i}99XX77YY55 closed") for i in range(4)] + [(300, "vault entry NEW123456789 closed")]
-    # One seed in four is no ground for the other three.
+    # Where ordinary words stand three times as often as seeds, a pattern tells nothing.
     rows += [(400 + i, f"ticket no box{i}@mail.example.com done") for i in range(10)] + [(500 + i, f"ticket no {12345600 + i} done") for i in range(30)]
+    rows += [(600 + i, "ticket no more done") for i in range(30)]
     out = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(docs_of(spark, rows)).collect()}
     assert out[300] == "id:12:24" and out[203] == "id:12:26" and out[103] == "id:15:29"
     assert {out[500 + i] for i in range(30)} == {""}
 
 
+def hops(n=20):
+    """Codes that no shape gives away: first beside emails, then in two more contexts, each with new ones; ordinary words and numbers."""
+    code = lambda k, i: f"q{k}{'abcdefghij'[i % 10]}{i:02d}z{i * 7 % 89:02d}"
+    rows = [(f"your login name is user{i}@mail.example.com as agreed", []) for i in range(n)]
+    rows += [(f"your login name is {code(1, i)} as agreed", [code(1, i)]) for i in range(n)]
+    rows += [(f"badge number: {code(k, i)} (valid)", [code(k, i)]) for k in (1, 2) for i in range(n)]
+    rows += [(f"open the gate with pin={code(k, i)} tonight", [code(k, i)]) for k in (2, 3) for i in range(n)]
+    rows += [(f"a house of {1000000 + 37 * i} bricks and a {word} by the sea in order {200000 + i}", []) for i in range(n) for word in ("door", "wall", "tree")]
+    rows += [(f"the {word} is {word} and of no use", []) for word in ("badge", "gate", "login", "house", "bricks") for _ in range(n)]
+    return [(k, text, secrets) for k, (text, secrets) in enumerate(rows)]
+
+
+def test_discovery_goes_on_over_hops_without_shapes(spark):
+    rows = hops()
+    out = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(docs_of(spark, [(k, t) for k, t, _ in rows]), shapes=False).collect()}
+    at = {k: [f"id:{t.index(s)}:{t.index(s) + len(s)}" for s in secrets] for k, t, secrets in rows}
+    for first in ("q1", "q2", "q3"):  # beside seeds, one hop on, two hops on
+        own = [k for k, _, s in rows if s and s[0].startswith(first)]
+        assert sum(at[k][0] in out[k] for k in own) >= 0.9 * len(own)
+    assert not [k for k, _, secrets in rows if not secrets and "id:" in out[k]]
+
+
+def bootstrap_by_hand(edges, against, seeds, accept):
+    seed = {i for _, i, s, _ in edges if s}
+    score: dict[int, float] = {}
+    while True:
+        known, new = seed | set(score), {}
+        for p in {e[0] for e in edges}:
+            if p not in against:
+                continue
+            here = {i: n for q, i, _, n in edges if q == p}
+            for i in here:
+                others = [n for j, n in here.items() if j != i and j in known]
+                if i not in seed and len(others) >= seeds:
+                    new[i] = max(new.get(i, 0), sum(others) / (sum(others) + against[p]))
+        more = {i: max(x, score.get(i, 0)) for i, x in (new | {}).items() if x >= accept} | {i: max(x, new.get(i, 0)) for i, x in score.items()}
+        if len(more) == len(score):
+            return more
+        score = more
+
+
+def test_bootstrap_scores_by_hand(spark):
+    rng = random.Random(12)
+    for trial in range(3):
+        seed = {i for i in range(60) if rng.random() < 0.2}
+        edges = sorted({(rng.randrange(25), rng.randrange(60)) for _ in range(260)})
+        edges = [(p, i, i in seed, rng.randint(1, 4)) for p, i in edges]
+        against = {p: rng.choice((0, 1, 6, 20, 80)) for p in range(25)}
+        df = spark.createDataFrame(edges, "pattern long, instance long, seed boolean, n long")
+        _, got = pii.bootstrap(df, spark.createDataFrame(list(against.items()), "pattern long, against long"), 3, 0.5)
+        want = bootstrap_by_hand(edges, against, 3, 0.5)
+        assert {r["instance"]: pytest.approx(r["score"]) for r in got.collect()} == want
+        assert trial or want
+
+
+def test_words_against_a_pattern_are_counted_over_all_texts(spark):
+    rows = [(i, f"Key: A{i}B22{i}C done") for i in range(5)] + [(10 + i, f"key: word{'s' * i} of key: none") for i in range(7)] + [(20, "PIN=abc pin=x1y2z3 pin=q1q2q3 pin=w1w2w3 pin=e1e2e3")]
+    docs = docs_of(spark, rows)
+    seen = pii.scan(docs).select("doc_id", "th", F.explode("seen").alias("x"))
+    edges = pii.edges_of(seen)
+    got = {r["pattern"]: r["against"] for r in pii.ordinary(docs, edges).collect()}
+    key = spark.sql("SELECT xxhash64('<key:') AS a, xxhash64('=pin=') AS b").first()
+    assert got[key["a"]] == 14 and got[key["b"]] == 1
+
+
 # Pipeline
 
 
