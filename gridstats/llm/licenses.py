@@ -14,6 +14,8 @@ empty table gives no rows; other columns of the input are kept and a clash with
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,6 +91,46 @@ FORMS = (
     (3, "title", " ", r"{name}", 0.7),
 )
 
+#: How notices give a licence by its short name; each way holds "licen".
+NOTICE = (
+    r"(?:licen[cs]ed under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:{name})(?: licen[cs]e)?"
+    r"|under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:{name}) licen[cs]e"
+    r"|licen[cs]es? (?:is |type |name )?(?:the )?(?:{name})|(?:{name}) licen[cs]ed)"
+)
+
+#: label, short name as a regular expression over words; versions before families, as the first of equal intervals stays.
+SHORT_NAMES = (
+    ("mit", r"mit(?: x11| expat)?"),
+    ("mit", r"expat"),
+    ("x11", r"x11(?: mit)?"),
+    ("isc", r"isc"),
+    ("apache-2.0", r"apache ?(?:license )?(?:version |v )?2(?: 0)?"),
+    ("apache-2.0", r"asl ?2(?: 0)?"),
+    ("bsd-2-clause", r"bsd 2(?: clause)?|2 clause bsd|simplified bsd|freebsd"),
+    ("bsd-3-clause", r"bsd 3(?: clause)?|3 clause bsd|(?:new|revised|modified) bsd"),
+    ("gpl-2.0", r"(?:gnu )?gpl ?(?:version ?|v ?)?2(?: 0)?(?: or later| only)?"),
+    ("gpl-3.0", r"(?:gnu )?gpl ?(?:version ?|v ?)?3(?: 0)?(?: or later| only)?"),
+    ("lgpl-2.1", r"(?:gnu )?lgpl ?(?:version ?|v ?)?2 1(?: or later| only)?"),
+    ("lgpl-3.0", r"(?:gnu )?lgpl ?(?:version ?|v ?)?3(?: 0)?(?: or later| only)?"),
+    ("agpl-3.0", r"(?:gnu )?agpl ?(?:version ?|v ?)?3(?: 0)?(?: or later| only)?"),
+    ("mpl-2.0", r"mpl ?(?:version ?|v ?)?2(?: 0)?"),
+    ("epl-1.0", r"epl ?(?:version ?|v ?)?1(?: 0)?"),
+    ("epl-2.0", r"epl ?(?:version ?|v ?)?2(?: 0)?"),
+    ("bsl-1.0", r"bsl ?1(?: 0)?"),
+    ("zlib", r"zlib(?: libpng)?"),
+    ("unlicense", r"(?:the )?unlicense"),
+    ("cc0-1.0", r"cc0(?: 1 0)?"),
+    ("cc-by-4.0", r"cc by 4(?: 0)?"),
+    ("cc-by-sa-4.0", r"cc by sa 4(?: 0)?"),
+    ("bsd", r"bsd(?: style)?"),
+    ("apache", r"apache"),
+    ("gpl", r"(?:gnu )?gpl"),
+    ("lgpl", r"(?:gnu )?lgpl"),
+    ("agpl", r"(?:gnu )?agpl"),
+    ("mpl", r"mpl"),
+    ("wtfpl", r"wtfpl"),
+)
+
 #: SPDX identifiers (fixed values) as words, and the label if it is not the identifier joined by dashes.
 SPDX = """
 apache 1 0 = apache-1.0
@@ -447,20 +489,40 @@ LEVELS = 5
 Rule = tuple[int, str, str, str, str, float]
 
 
+#: Stands for the blank before each operand of an SPDX expression but the first.
+MARK = "\x01"
+
+
+def _operand() -> str:
+    """An identifier, the longest that fits, or an unknown one of a few words with an operator after it."""
+    known = sorted((line.split(" = ")[0] for line in SPDX.strip().split("\n")), key=len, reverse=True)
+    return f"(?:(?:{'|'.join(known)})(?= )|[^ ]+(?: (?!or |and |spdx )[^ ]+){{0,5}}?(?= (?:or|and) ))"
+
+
+def marked(norm: Column) -> Column:
+    """norm with MARK for the blank before each later operand of an SPDX expression, however many there are.
+
+    A match goes on where the last one ended, so an expression has no length limit; nothing changes its place.
+    """
+    step = f"((?<= )spdx license identifiers?|(?!^)\\G (?:or|and)) ({_operand()})"
+    both = F.regexp_replace(norm, step, f"$1{MARK}$2")
+    return F.when(F.contains(norm, F.lit("spdx license")), F.regexp_replace(both, f"(spdx license identifiers?){MARK}", "$1 ")).otherwise(norm)
+
+
 def rules() -> list[Rule]:
     """(priority, label, keyword, second keyword, regex, weight), strongest first.
 
     Identifiers count after an SPDX tag, and within its expression after OR and AND.
     """
     out: list[Rule] = []
-    chain = r"(?<=spdx license identifiers? [a-z0-9 ]{1,60} (?:or|and) )"
     for line in SPDX.strip().split("\n"):
         words, label = line.split(" = ")
-        out += [(0, label, "spdx license", " ", f"spdx license identifiers? {words}", 1.0), (0, label, "spdx license", " ", chain + words, 1.0)]
+        out += [(0, label, "spdx license", " ", f"spdx license identifiers? {words}", 1.0), (0, label, "spdx license", " ", f"(?<={MARK}){words}", 1.0)]
     for (prio, weight), block in SIGNATURES.items():
         for line in block.strip().split("\n"):
             label, kw, rx = line.split(" ; ")
             out.append((prio, label, kw, " ", rx, weight))
+    out += [(1, label, "licen", " ", NOTICE.format(name=name), 0.85) for label, name in SHORT_NAMES]
     out += [(prio, label, kw, form_kw, template.format(name=name), weight) for prio, _, form_kw, template, weight in FORMS for label, kw, name in LICENSES]
     return sorted(out, key=lambda r: r[0])
 
@@ -476,16 +538,15 @@ def _blanks(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
 
+RULE = "array<struct<id:int,prio:int,label:string,kw2:string,rx:string,weight:double>>"
+
+
 def _rule_array(rule_list: list[tuple[int, Rule]]) -> Column:
-    return F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("id"), F.lit(p).alias("prio"), F.lit(label).alias("label"),
-                F.lit(kw2).alias("kw2"), F.lit(f"(?<= ){rx}(?= )").alias("rx"), F.lit(float(w)).alias("weight"),
-            )
-            for i, (p, label, _, kw2, rx, w) in rule_list
-        ]
-    )
+    """Rules as one literal, which Spark parses once, while it plans."""
+    left = lambda rx: rx if rx.startswith(f"(?<={MARK})") else f"(?<= ){rx}"
+    return F.from_json(F.lit(json.dumps([
+        {"id": i, "prio": p, "label": label, "kw2": kw2, "rx": f"{left(rx)}(?= )", "weight": float(w)} for i, (p, label, _, kw2, rx, w) in rule_list
+    ])), RULE)
 
 
 def _candidates(norm: Column, rule_list: list[Rule]) -> Column:
@@ -496,16 +557,21 @@ def _candidates(norm: Column, rule_list: list[Rule]) -> Column:
     by: dict[str, list[tuple[int, Rule]]] = {}
     for i, r in enumerate(rule_list):
         by.setdefault(r[2], []).append((i, r))
-    none = F.array().cast("array<struct<id:int,prio:int,label:string,kw2:string,rx:string,weight:double>>")
-    groups = [
-        F.when(F.contains(norm, F.lit(kw)) & norm.rlike("(?<= )(?:" + "|".join(dict.fromkeys(r[4] for _, r in own)) + ")(?= )"), _rule_array(own)).otherwise(none)
-        for kw, own in by.items()
-    ]
+    none = F.array().cast(RULE)
+
+    def group(kw: str, own: list[tuple[int, Rule]]) -> Column:
+        there = F.contains(norm, F.lit(kw))
+        if not any(MARK in r[4] for _, r in own):  # later operands match in the marked text alone
+            there = there & norm.rlike("(?<= )(?:" + "|".join(dict.fromkeys(r[4] for _, r in own)) + ")(?= )")
+        return F.when(there, _rule_array(own)).otherwise(none)
+
+    groups = [group(kw, own) for kw, own in by.items()]
     return F.filter(F.flatten(F.array(*groups)) if groups else none, lambda r: F.contains(norm, r["kw2"]))
 
 
-def _intervals(norm: Column, rule: Column) -> Column:
-    """All matches of a rule as (start, -end, prio, id, label, weight), characters from 0."""
+def _intervals(norm: Column, marks: Column, rule: Column) -> Column:
+    """All matches of a rule as (start, -end, prio, id, label, weight), characters from 0; places are the same in either text."""
+    norm = F.when(F.contains(rule["rx"], F.lit(MARK)), marks).otherwise(norm)
     pieces = F.arrays_zip(
         F.split(norm, rule["rx"], -1).alias("a"), F.regexp_extract_all(norm, rule["rx"], F.lit(0)).alias("b")
     )
@@ -544,10 +610,10 @@ def scan_licenses(docs: DataFrame, text: str = "text", rule_list: list[Rule] | N
     detections: the kept intervals (label, priority, rule, start and end in the normalised text, weight).
     """
     rule_list = rules() if rule_list is None else rule_list
-    names = ("_norm", "_base", "_found", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
+    names = ("_norm", "_marked", "_base", "_found", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
     src = docs.drop(*[c for c in names if c != text])
     norm = F.col("_norm")
-    df = src.withColumn("_norm", normalise(F.col(text)))
+    df = src.withColumn("_norm", normalise(F.col(text))).withColumn("_marked", marked(norm))
     n_words = F.when(F.length(norm) == 2, F.lit(0)).otherwise(_blanks(norm) - 1).cast("long")
 
     def phrase_places(phrase: str, label: str) -> Column:
@@ -569,7 +635,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", rule_list: list[Rule] | N
     anchored = F.lit(False)
     for a in ANCHORS:
         anchored = anchored | F.contains(norm, F.lit(a))
-    found = F.when(anchored, F.flatten(F.transform(_candidates(norm, rule_list), lambda r: _intervals(norm, r)))).otherwise(
+    found = F.when(anchored, F.flatten(F.transform(_candidates(norm, rule_list), lambda r: _intervals(norm, F.col("_marked"), r)))).otherwise(
         F.array().cast("array<struct<start:int,stop:int,prio:int,id:int,label:string,weight:double>>")
     )
     df = df.select(

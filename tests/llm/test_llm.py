@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 from pathlib import Path
@@ -132,6 +133,41 @@ def test_families_of_rules(spark):
     assert len({r[4] for r in licenses.rules()}) > 500
 
 
+NOTICES = {
+    "SPDX-License-Identifier: (MIT OR Apache-2.0 OR GPL-2.0-or-later OR BSD-3-Clause OR MPL-2.0 OR LGPL-2.1-only OR ISC OR EPL-2.0)":
+        "apache-2.0,bsd-3-clause,epl-2.0,gpl-2.0,isc,lgpl-2.1,mit,mpl-2.0",
+    "SPDX-License-Identifier: LicenseRef-Our-Own AND (ISC OR Zlib)\nor mit": "isc,mit,zlib",
+    "SPDX-License-Identifier: ISC\nThis is one of many words, and MIT is a university": "isc",
+    "or MIT and ISC": "",
+    "license: mit": "mit",
+    "Licensed under MIT": "mit",
+    "released under the terms of the MIT/X11 License": "mit",
+    "Apache 2 licensed": "apache-2.0",
+    "License: GPLv3+": "gpl-3.0",
+    "licensed under the terms and conditions of the BSD 2-clause": "bsd-2-clause",
+    "The submit licence and a summit": "",
+}
+
+
+def test_notices_as_people_write_them(spark):
+    long = "SPDX-License-Identifier: " + " OR ".join(["MIT", "Unheard-Of-1.0"] * 300 + ["ISC"])
+    rows = [*enumerate(NOTICES), (99, long)]
+    out = {r["doc_id"]: r for r in licenses.scan_licenses(docs_of(spark, rows)).collect()}
+    assert {t: out[i]["labels"] for i, t in rows[:-1]} == NOTICES
+    assert out[99]["labels"] == "isc,mit" and len(out[99]["detections"]) == 301
+    for d in out[99]["detections"]:  # places are those of the text's words
+        norm = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(long))) + " "
+        assert norm[d["start"] : d["end"]].split()[-1] == d["label"]
+
+
+def test_rules_are_planned_in_seconds(spark):
+    df = docs_of(spark, [(1, "x")])
+    licenses.scan_licenses(df)
+    began = time.perf_counter()
+    licenses.scan_licenses(df)._jdf.queryExecution().executedPlan()
+    assert time.perf_counter() - began < 8
+
+
 def test_suppression_against_brute_force(spark):
     """All matches of all rules, then those without a stronger or longer interval around them."""
     rng = random.Random(2)
