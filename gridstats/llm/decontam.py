@@ -3,20 +3,25 @@
 Words become typed placeholders: numbers (digits, also with inner points, and number words) <num>;
 capitalised words within a sentence <name>, neighbours joined; units after a number <unit>; all others are
 literal, ASCII letters lower-cased.  Windows of WINDOW template tokens with at least LITERALS literals are hashed.
-A capitalised word that opens a sentence may be a name or not: a window with such words is hashed twice, with them as literals and with
-all of them as <name>; of two matches at one place the one with fewer such readings counts.
+A capitalised word that opens a sentence may be a name or not, and a word after a number that is no known unit may be a unit or not: a window with such
+words is hashed in each reading (all its openers as names or none; all its words after numbers as units or none); of
+matches at one place the one with the fewest such readings counts.  As capitals and small letters may have been lost, each text is also
+read without any names, as an edition of its own, in which names are literals and slots are compared without case; it counts if SHARE of the item's windows with names are found in it too,
+so names that were exchanged are left to the first edition.
 Windows of the documents are joined with those of the benchmark on the hash.  Matches of one item
 at one offset form an occurrence; its slots must be consistent: equal values of the item are equal values
-in the document.  A document holds an item if consistent occurrences cover at least SHARE of the
+in the document.  A document holds an item if, in either edition, consistent occurrences cover at least SHARE of the
 item's windows, or one of them covers STRETCH tokens of the item on end (all of a shorter item): `verbatim` if all
 slots are the item's own, else `reparameterised`.
 
 Null texts hold nothing; an item with fewer than WINDOW tokens is one shorter window.  An item of which no window has
 enough literals is one window over all of it, found only with the item's own slots.  One with
-fewer than LITERALS tokens is never found, nor one that is altered so that neither SHARE nor STRETCH is left.  Repeated items are found alike; repeated documents (id and text)
-give one row an item.  Extra columns are ignored.
+fewer than LITERALS tokens is found where it is a line of its own, whatever stands between and around its words (first_token is NULL).  An item is not found if it is
+altered so that neither SHARE nor STRETCH is left.  Repeated items are found alike; repeated documents (id and text)
+give one row an item.  Texts of any length are read whole, a text at a time beyond shingles.CHUNK bytes.  Extra columns are ignored, whatever their
+names; without documents or without items there are no rows.
 
-A Bloom filter of the benchmark's hashes, of 2^FILTER_BITS bits (8 MB) whatever the benchmark's size, is built in Spark and goes to
+A Bloom filter of the benchmark's hashes, sized by their count up to 2^FILTER_BITS bits (32 MB), is built in Spark and goes to
 the tasks to discard other windows before the join; what it lets through wrongly the join discards.
 """
 
@@ -29,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridstats.llm.shared import written
+from gridstats.llm.shared import discard, written
 from gridstats.llm.shingles import U, _powers, chunks, mix
 from gridstats.llm.shingles import _BYTES as BYTE_CODES
 
@@ -37,7 +42,7 @@ WINDOW = 5
 LITERALS = 3
 SHARE = 0.8
 STRETCH = 13
-FILTER_BITS = 26
+FILTER_BITS = 28
 
 #: Number words and units (fixed values).
 NUMBER_WORDS = ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen "
@@ -74,25 +79,33 @@ def _is_in(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
 _LISTS: dict[str, np.ndarray] = {}
 
 
-def _tokens(data: bytes, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, stop, code, opener) of the template tokens of texts joined by zero bytes; openers may be names that open a sentence."""
+def _tokens(data: bytes, plain: bool = False, names: bool = True) -> tuple[np.ndarray, ...]:
+    """(start, stop, code, opener, soft) of the template tokens of texts joined by zero bytes.
+
+    Openers may be names that open a sentence, soft ones units that no list has.  Without names all words but numbers and units are
+    literals, and opener marks what would be a name or an opener.
+    """
     a = np.frombuffer(data, np.uint8)
     word = _WORD[a]
     edge = np.flatnonzero(np.diff(word.astype(np.int8), prepend=0, append=0))
     start, stop = edge[::2], edge[1::2]
+    none = np.zeros(len(start), bool)
     if not len(start):
-        return start, stop, np.zeros(0, U), np.zeros(0, bool)
+        return start, stop, np.zeros(0, U), none, none
     length = stop - start
     at = np.flatnonzero(word)
     first = np.cumsum(length) - length
     within = np.arange(len(at)) - np.repeat(first, length)
     code = mix(np.add.reduceat(_CODES[a[at]] * _powers(int(length.max()))[within], first) + length.astype(U))
     if plain:
-        return start, stop, code, np.zeros(len(start), bool)
+        return start, stop, code, none, none
     if not _LISTS:
         _LISTS.update(num=_word_code(NUMBER_WORDS), unit=_word_code(UNITS))
     digits = _DIGIT[a[start]]
     number = digits | _is_in(code, _LISTS["num"])
+    after, unit = none.copy(), none.copy()
+    after[1:] = number[:-1] & ~number[1:] & (start[1:] - stop[:-1] <= 2) & (a[start[1:] - 1] > 0) & (a[stop[:-1]] > 0)  # of one text
+    unit = after & _is_in(code, _LISTS["unit"])
     # The last byte before a word that is neither blank, quote nor bracket tells where sentences begin.
     loud = np.where(_QUIET[a], -1, np.arange(len(a)))
     last = np.maximum.accumulate(loud)
@@ -100,9 +113,9 @@ def _tokens(data: bytes, plain: bool = False) -> tuple[np.ndarray, np.ndarray, n
     opens = (before < 0) | _STOP[a[np.maximum(before, 0)]]
     second = a[np.minimum(start + 1, len(a) - 1)]
     capital = _UPPER[a[start]] & (length > 1) & (_LOWER[second] | (second >= 128)) & ~number
-    unit = np.zeros(len(start), bool)
-    unit[1:] = number[:-1] & _is_in(code[1:], _LISTS["unit"]) & ~number[1:] & (start[1:] - stop[:-1] <= 2)
     name, opener = capital & ~opens & ~unit, capital & opens & ~unit
+    if not names:
+        name, opener = none, capital & ~unit
     code = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, code)))
     # Digits joined by a point or comma are one number, neighbouring names one name.
     gap = np.zeros(len(start), np.int64)
@@ -114,13 +127,13 @@ def _tokens(data: bytes, plain: bool = False) -> tuple[np.ndarray, np.ndarray, n
     )
     keep = np.flatnonzero(~joined)
     last_of = np.append(keep[1:], len(start)) - 1
-    return start[keep], stop[last_of], code[keep], opener[keep]
+    return start[keep], stop[last_of], code[keep], opener[keep], (after & ~unit & ~capital)[keep]
 
 
-def _slots(data: bytes, start: np.ndarray, stop: np.ndarray, code: np.ndarray, lo: int, hi: int) -> list[str]:
+def _slots(data: bytes, start: np.ndarray, stop: np.ndarray, code: np.ndarray, lo: int, hi: int, low: bool = False) -> list[str]:
     kinds = {int(NUM): "n", int(NAME): "p", int(UNIT): "u"}
     return [
-        kinds[int(code[i])] + ":" + data[start[i] : stop[i]].decode("utf-8", "replace") for i in range(lo, hi) if int(code[i]) in kinds
+        kinds[int(code[i])] + ":" + (data[start[i] : stop[i]].lower() if low else data[start[i] : stop[i]]).decode("utf-8", "replace") for i in range(lo, hi) if int(code[i]) in kinds
     ]
 
 
@@ -156,39 +169,55 @@ def window_filter(hashes: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def filter_bits(n: int) -> int:
+    """Sixteen bits a hash, from 2^15 to 2^FILTER_BITS bits."""
+    return min(FILTER_BITS, max(15, (16 * n).bit_length()))
+
+
 def template_windows(texts: list[bytes], widths: tuple[int, ...], only: np.ndarray | None, literals: int,
-                     whole: frozenset[int] = frozenset()) -> Iterator[tuple[int, int, int, int, list[str], int, bool]]:
-    """(text number, width, position, hash, slots, tokens of the text, openers are names) of windows with enough literals (any, for widths in whole)."""
+                     whole: frozenset[int] = frozenset()) -> Iterator[tuple[int, int, int, int, list[str], int, int, bool]]:
+    """(text number, width, position, hash, slots, tokens of the text, readings, edition without names) of windows with enough literals (any, for widths in whole).
+
+    readings: 1 if openers are names, 2 if words after numbers are units, 3 if both, 0 if neither; 4 more if a window of the edition without names would have any.
+    """
     for lo, hi in chunks(texts):
         part = texts[lo:hi]
         data = b"\0" + b"\0".join(t.replace(b"\0", b" ") for t in part) + b"\0"
         starts = 1 + np.cumsum([0] + [len(t) + 1 for t in part[:-1]])
-        start, stop, code, opener = _tokens(data)
-        doc = np.searchsorted(starts, start, side="right") - 1
-        per = np.bincount(doc, minlength=len(part))
-        first = np.cumsum(per) - per
-        openers = np.concatenate([[0], np.cumsum(opener)])
-        for named in (False, True):
-            codes = np.where(opener, NAME, code) if named else code
-            literal = (codes != NUM) & (codes != NAME) & (codes != UNIT)
-            so_far = np.concatenate([[0], np.cumsum(literal)])
-            for width in widths:
-                if len(codes) < width:
+        for bare in (False, True):
+            start, stop, code, opener, soft = _tokens(data, names=not bare)
+            doc = np.searchsorted(starts, start, side="right") - 1
+            per = np.bincount(doc, minlength=len(part))
+            first = np.cumsum(per) - per
+            so_many = lambda marks: np.concatenate([[0], np.cumsum(marks)])
+            openers, softs = so_many(opener), so_many(soft)
+            for reading in range(4):
+                named, loose = reading & 1, reading & 2
+                if named and (bare or not openers[-1]) or loose and not softs[-1]:
                     continue
-                at = np.flatnonzero(doc[: len(codes) - width + 1] == doc[width - 1 :])
-                if named:
-                    at = at[openers[at + width] > openers[at]]
-                at = at[so_far[at + width] - so_far[at] >= (0 if width in whole and not named else min(literals, width))]
-                h = _window_hashes(codes, at, width)
-                if only is not None:
-                    hit = _may_hold(only, h)
-                    at, h = at[hit], h[hit]
-                for i, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
-                    d = int(doc[i])
-                    yield lo + d, width, i - int(first[d]), x, _slots(data, start, stop, codes, i, i + width), int(per[d]), named
-
-
-_OUT = "doc_id string, th long, width int, pos int, hash long, slots array<string>, n_tokens int, named boolean"
+                codes = np.where(opener, NAME, code) if named else code
+                codes = np.where(soft, UNIT, codes) if loose else codes
+                so_far = so_many((codes != NUM) & (codes != NAME) & (codes != UNIT))
+                for width in widths:
+                    if len(codes) < width:
+                        continue
+                    at = np.flatnonzero(doc[: len(codes) - width + 1] == doc[width - 1 :])
+                    if named:
+                        at = at[openers[at + width] > openers[at]]
+                    if loose:
+                        at = at[softs[at + width] > softs[at]]
+                    at = at[so_far[at + width] - so_far[at] >= (0 if width in whole and not reading else min(literals, width))]
+                    h = _window_hashes(codes, at, width)
+                    if only is not None:
+                        hit = _may_hold(only, h)
+                        at, h = at[hit], h[hit]
+                    for i, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
+                        d = int(doc[i])
+                        marked = reading + (4 if bare and openers[i + width] > openers[i] else 0)
+                        yield lo + d, width, i - int(first[d]), x, _slots(data, start, stop, codes, i, i + width, bare), int(per[d]), marked, bare
+
+
+_OUT = "doc_id string, th long, width int, pos int, hash long, slots array<string>, n_tokens int, reading int, bare boolean"
 
 
 def _windows(df: DataFrame, widths: tuple[int, ...] | None, only: np.ndarray | None, window: int, literals: int,
@@ -202,39 +231,59 @@ def _windows(df: DataFrame, widths: tuple[int, ...] | None, only: np.ndarray | N
             kept = [x for x in template_windows(raw, widths or tuple(range(literals, window + 1)), only, literals, whole)
                     if widths is not None or x[1] == min(window, x[5])]
             if widths is None:
-                for i in sorted(set(range(len(raw))) - {x[0] for x in kept}):
-                    size = len(_tokens(b"\0" + raw[i].replace(b"\0", b" ") + b"\0")[0])
-                    if size >= literals:
-                        kept += [(i, *x[1:]) for x in template_windows([raw[i]], (size,), None, 0) if not x[6]]
+                for bare in (False, True):
+                    for i in sorted(set(range(len(raw))) - {x[0] for x in kept if x[7] == bare}):
+                        size = len(_tokens(b"\0" + raw[i].replace(b"\0", b" ") + b"\0", names=not bare)[0])
+                        if size >= literals:
+                            kept += [(i, *x[1:]) for x in template_windows([raw[i]], (size,), None, 0) if not x[6] & 3 and x[7] == bare]
             ids, th = pdf["doc_id"].to_numpy(), pdf["th"].to_numpy()
             for lo in range(0, len(kept), 20_000):
-                n, w, p, x, s, k, named = zip(*kept[lo : lo + 20_000], strict=True)
-                yield pd.DataFrame({"doc_id": ids[list(n)], "th": th[list(n)], "width": w, "pos": p, "hash": x, "slots": s, "n_tokens": k, "named": named})
+                n, w, p, x, s, k, r, e = zip(*kept[lo : lo + 20_000], strict=True)
+                yield pd.DataFrame({"doc_id": ids[list(n)], "th": th[list(n)], "width": w, "pos": p, "hash": x, "slots": s, "n_tokens": k, "reading": r, "bare": e})
 
     return df.mapInPandas(run, _OUT)
 
 
+def bare_words(text: Column) -> Column:
+    """A text's words, lower-cased (A-Z), with single blanks."""
+    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.trim(F.regexp_replace(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+
+
+def short_items(docs: DataFrame, items: DataFrame, literals: int = LITERALS) -> DataFrame:
+    """(doc_id, th, item): documents(doc_id, th, text) with a line that is an item of fewer than `literals` words."""
+    few = lambda c: (F.col(c) != "") & (F.size(F.split(c, " ")) < literals)
+    short = items.select(F.col("doc_id").alias("item"), bare_words(F.col("text")).alias("line")).where(few("line")).distinct()
+    lines = docs.select("doc_id", "th", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("raw")).select("doc_id", "th", bare_words(F.col("raw")).alias("line"))
+    return lines.where(few("line")).join(short, "line").select("doc_id", "th", "item").distinct()
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
                window: int = WINDOW, literals: int = LITERALS, share: float = SHARE, stretch: int = STRETCH) -> DataFrame:
     """One row a document and item held: doc_id, th, item_id, n_windows, n_found, coverage, kind, first_token."""
     keyed = lambda df, i, t: df.select(F.col(i).cast("long").cast("string").alias("doc_id"), F.xxhash64(F.col(t)).alias("th"), F.col(t).alias("text"))
-    items = written(_windows(keyed(benchmark, item_id, item_text).distinct(), None, None, window, literals), "items")
+    bench, given = keyed(benchmark, item_id, item_text).distinct(), keyed(docs, doc_id, text)
+    items = written(_windows(bench, None, None, window, literals), "items")
     poor = F.size("slots") > F.col("width") - literals  # windows over all of an item without enough literals
-    found = items.groupBy("width").agg(F.max(poor).alias("poor")).collect()  # one row a width
+    found = items.groupBy("width").agg(F.max(poor).alias("poor"), F.count("*").alias("n")).collect()  # one row a width
     whole = frozenset(r["width"] for r in found if r["poor"])
     widths = tuple(sorted(r["width"] for r in found)) or (window,)
-    only = window_filter(items, FILTER_BITS)
+    only = window_filter(items, filter_bits(sum(r["n"] for r in found)))
+    of_item = ("item_th", "item", "bare")
+    with_names = lambda c: F.col(c) >= 4
     theirs = items.select(
-        F.col("doc_id").alias("item"), F.col("th").alias("item_th"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "hash", "width", F.col("n_tokens").alias("item_tokens"), F.col("named").alias("item_named")
-    ).join(items.groupBy(F.col("doc_id").alias("item"), F.col("th").alias("item_th")).agg(F.countDistinct("pos").alias("n_windows")), ["item_th", "item"])
-    ours = _windows(keyed(docs, doc_id, text), widths, only, window, literals, whole)
-    met = ours.join(theirs, ["hash", "width"]).where(F.size("slots") == F.size("item_slots")).where(~poor | (F.col("slots") == F.col("item_slots")))
-    readings = F.col("named").cast("int") + F.col("item_named").cast("int") * 2
-    place = ("doc_id", "th", "item", "item_th", "n_windows", "item_tokens", "pos", "item_pos")
-    met = met.groupBy(*place).agg(F.min_by(F.struct("slots", "item_slots", "width"), readings).alias("m")).select(*place, "m.*")
+        F.col("doc_id").alias("item"), F.col("th").alias("item_th"), "bare", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "hash", "width", F.col("n_tokens").alias("item_tokens"), F.col("reading").alias("item_reading")
+    ).join(items.groupBy(F.col("doc_id").alias("item"), F.col("th").alias("item_th"), "bare").agg(
+        F.countDistinct("pos").alias("n_windows"), F.countDistinct(F.when(with_names("reading"), F.col("pos"))).alias("n_names")), list(of_item))
+    ours = _windows(given, widths, only, window, literals, whole)
+    met = ours.join(theirs, ["hash", "width", "bare"]).where(F.size("slots") == F.size("item_slots")).where(~poor | (F.col("slots") == F.col("item_slots")))
+    ours_read, its_read = (F.col(c).bitwiseAND(3) for c in ("reading", "item_reading"))
+    readings = (F.bit_count(ours_read) + F.bit_count(its_read)) * 16 + ours_read + its_read * 4
+    place = ("doc_id", "th", *of_item, "n_windows", "n_names", "item_tokens", "pos", "item_pos")
+    met = met.groupBy(*place).agg(F.min_by(F.struct("slots", "item_slots", "width", "item_reading"), readings).alias("m")).select(*place, "m.*")
     pairs = F.transform(F.arrays_zip("item_slots", "slots"), lambda z: F.struct(z["item_slots"].alias("a"), z["slots"].alias("b")))
-    spot = met.groupBy("doc_id", "th", "item", "item_th", "n_windows", (F.col("pos") - F.col("item_pos")).alias("offset")).agg(
-        F.collect_set("item_pos").alias("found"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"), F.min("pos").alias("first_token"),
+    spot = met.groupBy("doc_id", "th", *of_item, "n_windows", "n_names", (F.col("pos") - F.col("item_pos")).alias("offset")).agg(
+        F.collect_set("item_pos").alias("found"), F.collect_set(F.when(with_names("item_reading"), F.col("item_pos"))).alias("names"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"), F.min("pos").alias("first_token"),
         F.max("width").alias("width"), F.max("item_tokens").alias("item_tokens"),
     )
     none = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("stop"), F.lit(0).alias("most"))
@@ -245,20 +294,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 
     spot = spot.withColumn("long", F.aggregate(F.array_sort("found"), none, longer, lambda acc: acc["most"]) >= F.least(F.lit(stretch), "item_tokens"))
     consistent = spot.where(F.size(F.array_distinct(F.transform("pairs", lambda z: z["a"]))) == F.size("pairs"))
-    held = consistent.groupBy("doc_id", "th", "item", "item_th", "n_windows").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("found")))).alias("n_found"),
+    both = lambda c: F.size(F.array_distinct(F.flatten(F.collect_set(c))))
+    held = consistent.groupBy("doc_id", "th", *of_item, "n_windows", "n_names").agg(
+        both("found").alias("n_found"), both("names").alias("named"),
         F.max(F.exists("pairs", lambda z: z["a"] != z["b"])).alias("other"), F.min("first_token").alias("first_token"),
         F.max("long").alias("long"),
-    )
-    return held.where((F.col("n_found") >= share * F.col("n_windows")) | F.col("long")).select(
+    ).where(((F.col("n_found") >= share * F.col("n_windows")) | F.col("long")) & (F.col("named") >= share * F.col("n_names")))
+    # Of the two editions the one that holds more of the item counts; of equal ones the one with names.
+    more = F.struct(F.col("n_found") / F.col("n_windows"), ~F.col("bare"), ~F.col("other"), F.col("item_th"))
+    best = held.groupBy("doc_id", "th", "item").agg(F.max_by(F.struct("n_windows", "n_found", "other", "first_token"), more).alias("m")).select("doc_id", "th", "item", "m.*")
+    one = F.lit(1)
+    short = short_items(given, bench, literals).select("doc_id", "th", "item", one.alias("n_windows"), one.alias("n_found"), F.lit(False).alias("other"), F.lit(None).cast("int").alias("first_token"))
+    out = written(best.unionByName(short).select(
         F.col("doc_id").cast("long").alias("doc_id"), "th", F.col("item").cast("long").alias("item_id"),
         F.col("n_windows").cast("long").alias("n_windows"), F.col("n_found").cast("long").alias("n_found"),
         (F.col("n_found") / F.col("n_windows")).alias("coverage"),
         F.when(F.col("other"), "reparameterised").otherwise("verbatim").alias("kind"), F.col("first_token").cast("long").alias("first_token"),
-    )
+    ), "leaks")
+    discard(items)
+    return out
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that hold no item of the benchmark."""
-    leaks = written(find_leaks(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct(), "leaks")
+    leaks = find_leaks(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
     return docs.join(leaks, docs[doc_id].eqNullSafe(leaks["_id"]) & (F.xxhash64(docs[text]) == leaks["_th"]), "left_anti")

@@ -218,7 +218,119 @@ def test_long_passages_and_items_without_literals_are_found(spark):
         (4, " ".join(words[20:32])), (5, "5 6"), (6, " ".join(words[20:33])),
     ]
     out = {(r["doc_id"], r["item_id"]): r["kind"] for r in decontam.find_leaks(docs_of(spark, rows), bench).collect()}
-    assert out == {(1, 1): "verbatim", (2, 2): "verbatim", (6, 1): "verbatim"}
+    assert out == {(1, 1): "verbatim", (2, 2): "verbatim", (5, 3): "verbatim", (6, 1): "verbatim"}
+
+
+def test_units_capitals_and_short_items(spark):
+    item = "A train travels 60 km in 2 hours and then rests. How far does Anna ride it in Rome?"
+    bench = spark.createDataFrame([(1, item), (2, "see Rome"), (3, "???"), (4, "")], "item_id long, text string")
+    rows = [
+        (1, "A train travels seventy kilometres in 3 hours and then rests. How far does Bella ride it in Oslo?"), (2, item.upper()), (3, item.lower()),
+        (4, "so: " + item.replace("Anna", "ANNA")), (5, "we went to\n  See -- ROME!\nand back"), (6, "we went to see Rome and back"), (7, ""), (8, None),
+        (9, "x " * 40_000 + item), (10, "A TRAIN TRAVELS 60 KM IN 2 HOURS AND THEN STOPS THERE FOR NOW"),
+    ]
+    out = {(r["doc_id"], r["item_id"]): r["kind"] for r in decontam.find_leaks(docs_of(spark, rows, bare=1, reading=2), bench).collect()}
+    assert out == {(1, 1): "reparameterised", (2, 1): "verbatim", (3, 1): "verbatim", (4, 1): "verbatim", (5, 2): "verbatim", (9, 1): "verbatim"}
+
+
+def template_by_hand(text, names):
+    """[kind, text, opener, soft] of a text's tokens."""
+    data = text.replace("\0", " ")
+    number = lambda w: w[0].isascii() and w[0].isdigit() or lower(w) in decontam.NUMBER_WORDS
+    out, last = [], None
+    for m in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+", data):
+        w, k = m[0], m.start() - 1
+        while k >= 0 and data[k] in " \t\r\"'()[]":
+            k -= 1
+        opens = k < 0 or data[k] in ".!?:\n"
+        after = last is not None and number(last[0]) and not number(w) and m.start() - last[1] <= 2
+        unit = after and lower(w) in decontam.UNITS
+        capital = re.match(r"[A-Z][a-z\x80-\U0010ffff]", w) and not number(w) and not unit
+        kind = "n" if number(w) else "u" if unit else "p" if names and capital and not opens else lower(w)
+        between = data[last[1] : m.start()] if last else None
+        if last and (w[0].isdigit() and last[0][0].isdigit() and between in (".", ",") or kind == "p" and last[2] == "p" and between == " "):
+            out[-1][1] = data[out[-1][4] : m.end()]
+        else:
+            out.append([kind, w, bool(capital and (opens or not names)), bool(after and not unit and not capital), m.start()])
+        last = (w, m.end(), kind)
+    return out
+
+
+def windows_by_hand(tokens, width, literals, whole=False, names=True):
+    """{position: [(readings, template, slots)]}"""
+    found = defaultdict(list)
+    for r in range(4) if names else (0, 2):
+        for i in range(len(tokens) - width + 1):
+            part = tokens[i : i + width]
+            if r & 1 and not any(t[2] for t in part) or r & 2 and not any(t[3] for t in part):
+                continue
+            kinds = ["p" if r & 1 and t[2] else "u" if r & 2 and t[3] else t[0] for t in part]
+            slot = [(("n", "p", "u").index(k) if k in ("n", "p", "u") else None) for k in kinds]
+            kinds = [("<n>", "<p>", "<u>")[x] if x is not None else k for x, k in zip(slot, kinds, strict=True)]
+            if sum(x is None for x in slot) >= (0 if whole and not r else min(literals, width)):
+                found[i].append((r, tuple(kinds), tuple((x, t[1] if names else lower(t[1])) for x, t in zip(slot, part, strict=True) if x is not None)))
+    return found
+
+
+def leak_by_hand(doc, item, window=5, literals=3, share=0.8, stretch=13):
+    best = None
+    for names in (True, False):
+        d, t = template_by_hand(doc, names), template_by_hand(item, names)
+        width = min(window, len(t))
+        if len(t) < literals:
+            continue
+        theirs, poor = windows_by_hand(t, width, literals, names=names), False
+        if not theirs:
+            width, poor = len(t), True
+            theirs = {0: [x for x in windows_by_hand(t, width, 0, True, names)[0] if x[0] == 0]}
+        ours = windows_by_hand(d, width, literals, poor, names)
+        named = set() if names else {j for j in theirs if any(x[2] for x in t[j : j + width])}
+        spots = defaultdict(dict)
+        for i, mine in ours.items():
+            for j, its in theirs.items():
+                cost = lambda a, b: (bin(a).count("1") + bin(b).count("1")) * 16 + a + 4 * b
+                same = [(cost(a[0], b[0]), b[2], a[2]) for a in mine for b in its if a[1] == b[1] and (not poor or a[2] == b[2])]
+                if same:
+                    spots[i - j][j] = min(same)[1:]
+        covered, other, long = set(), False, False
+        for at in spots.values():
+            pairs = {p for its, mine in at.values() for p in zip(its, mine, strict=True)}
+            if len({a for a, _ in pairs}) == len(pairs):
+                covered |= set(at)
+                other |= any(a != b for a, b in pairs)
+                tokens = [any(j <= k < j + width for j in at) for k in range(len(t))]
+                runs = "".join("x" if x else " " for x in tokens).split()
+                long |= max(map(len, runs)) >= min(stretch, len(t))
+        if covered and (len(covered) >= share * len(theirs) or long) and len(covered & named) >= share * len(named):
+            row = (len(covered) / len(theirs), names, not other)
+            best = row if best is None else max(best, row)
+    return best and (pytest.approx(best[0]), "verbatim" if best[2] else "reparameterised")
+
+
+def test_leaks_are_those_found_by_hand(spark):
+    rng = random.Random(21)
+    common = "the a of in with and then takes gives leaves red old train shop apples coins each every".split()
+    proper, units = ["Anna", "Berlin", "New York", "Marcus", "Rome"], ["km", "hours", "kilometres", "bags", "kg"]
+
+    def sentence(n):
+        out = []
+        for _ in range(n):
+            x = rng.random()
+            out.append(rng.choice(proper) if x < 0.12 else f"{rng.choice(['2', '60', 'seven', '1,500', '3.5'])} {rng.choice(units)}" if x < 0.3 else rng.choice(common))
+        return (" ".join(out)[0].upper() + " ".join(out)[1:]).replace(" and ", ". ", 1) + rng.choice(".!?")
+
+    items = [(i, sentence(rng.randint(3, 24))) for i in range(14)] + [(90, "12 + 7 = 19"), (91, "1 2 3"), (92, "Anna Berlin 5 km")]
+    rows = []
+    for _ in range(150):
+        text = rng.choice(items)[1]
+        for a, b in rng.sample([("Anna", "Clara"), ("60", "75"), ("2 ", "nine "), ("km", "miles"), ("bags", "boxes"), ("old", "new"), ("the ", ""), ("Rome", "Oslo"), ("1,500", "40")], rng.randint(0, 3)):
+            text = text.replace(a, b, rng.choice((1, -1)))
+        text = rng.choice((str, str, str, str.upper, str.lower, str.title))(text)
+        rows.append((len(rows), rng.choice(("", "so ", "Well. ", sentence(4) + "\n")) + text + rng.choice(("", " " + sentence(3)))))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["coverage"], r["kind"]) for r in decontam.find_leaks(docs_of(spark, rows), bench).collect()}
+    want = {(d, i): found for d, text in rows for i, item in items if (found := leak_by_hand(text, item))}
+    assert got == want and len({k for _, k in got.values()}) == 2
 
 
 def test_leaks_against_brute_force(spark):
