@@ -6,13 +6,13 @@ compressed sizes over the larger one is all that enters a score.  A logistic cur
 dictionary has seen and never falling, makes it the probability of label 1.
 
 Training uses at most SAMPLE labelled texts of each class (those with the smallest hash of the id), two thirds for the
-dictionaries and one third for the curve.  Of the former's pieces, from all through the texts, at most PIECES of
-each class go into a dictionary (those with the smallest hash); the latter are compressed whole where they lie, and only their
-differences are collected.  Scoring reads every whole text, of any length, in bounded memory.
+dictionaries and one third for the curve.  A dictionary is trained on all pieces of its texts (equal ones once), in a task of their class, and only the dictionary is
+collected; the other third is compressed whole where it lies, and only the differences are collected.  Scoring reads every whole text, of any
+length, in bounded memory.
 
 Null text is scored as empty text; its difference is 0, so empty texts share a defined score.  Labels other than 0 and 1, null labels and
-null ids teach nothing; of labels that repeat an id one counts.  If a class has no labelled row, every score is the share of
-good labels (0.5 without any).  Repeated rows score alike.  An empty table gives no rows.  Other columns are kept, `score` and
+null ids teach nothing; of labels that repeat an id one counts.  If a class has no labelled row, or too little text to train a dictionary on,
+every score is the share of good labels (0.5 without any).  Repeated rows score alike.  An empty table gives no rows.  Other columns are kept, `score` and
 `predicted` of the input are replaced.
 """
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -28,9 +29,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 1500  # texts of a class
-PIECES = 3000  # of a class, for its dictionary
-LEARN = 2000  # characters of such a piece
+LEARN = 2000  # characters of a piece that trains
 DICTIONARY = 16_000  # bytes
+SEGMENT, SEED = 64, 6  # bytes that a dictionary takes at once, and that tell whether they recur
 PIECE = 400  # bytes that are compressed at once
 LEVEL = 3
 THRESHOLD = 0.3
@@ -51,12 +52,19 @@ class Model:
     prior: float
 
 
-def dictionary(pieces: list[bytes], size: int = DICTIONARY) -> bytes:
-    """Trained on the pieces, or made of them if they are too few to train on."""
+def dictionary(pieces: list[bytes], size: int = DICTIONARY) -> bytes | None:
+    """Trained on the pieces; None if they are too few to train on."""
     try:
-        return zstandard.train_dictionary(size, pieces).as_bytes()
+        return zstandard.train_dictionary(size, pieces, k=SEGMENT, d=SEED).as_bytes()
     except zstandard.ZstdError:
-        return b"\n".join(pieces)[-size:].ljust(64, b" ")
+        return None
+
+
+def _train(rows: pd.DataFrame) -> pd.DataFrame:
+    """The dictionary of a class, from all its texts; the sample's bound is the bound of what is held here."""
+    pieces = {t[i : i + LEARN].encode("utf-8", "surrogatepass") for t in rows["_t"] for i in range(0, len(t), LEARN)}
+    pieces = sorted(pieces, key=lambda p: (crc32(p), p))  # mixed, as the trainer holds some of them back, and the same in every run
+    return pd.DataFrame({"_y": rows["_y"].iloc[:1], "trained": [dictionary(pieces)]})
 
 
 class Scorer:
@@ -116,17 +124,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         picked = part if picked is None else picked.union(part)
     rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(picked), "_id")  # at most 2 * sample
     teaches = F.pmod(F.xxhash64(F.lit("role"), "_id"), F.lit(3)) < 2
-    stretches = rows.where(teaches & (F.length("_t") > 0)).select(
-        "_id", "_y", "_t", F.explode(F.sequence(F.lit(0), F.floor((F.length("_t") - 1) / LEARN).cast("int"))).alias("_k")
-    )
-    order = F.xxhash64("_id", "_k")
-    learn: dict[int, list[bytes]] = {}
-    for c in (0, 1):
-        few = stretches.where(F.col("_y") == c).select(order.alias("o"), F.expr(f"substring(_t, _k * {LEARN} + 1, {LEARN})").alias("piece")).orderBy("o", "piece")
-        learn[c] = [r["piece"].encode("utf-8", "surrogatepass") for r in few.limit(PIECES).collect()]
-    if not learn[0] or not learn[1]:
+    trained = rows.where(teaches & (F.length("_t") > 0)).groupBy("_y").applyInPandas(_train, "_y int, trained binary")
+    found = {r["_y"]: bytes(r["trained"]) for r in trained.where("trained IS NOT NULL").collect()}  # two dictionaries
+    if len(found) < 2:
         return Model(b"", b"", None, prior)
-    good, bad = dictionary(learn[1]), dictionary(learn[0])
+    good, bad = found[1], found[0]
 
     @F.pandas_udf("double")
     def difference(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
