@@ -49,8 +49,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "archive")
     warc.write_archive(table(spark, sf_dir, "pages"), folder)
-    return warc.read_archive(spark, folder).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified"
+    # Every record is put together again; its bytes are told by their number and digest.
+    return warc.with_record(warc.read_archive(spark, folder)).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified",
+        F.octet_length("record").cast("long").alias("record_bytes"), F.sha1("record").alias("record_sha1"),
     )
 
 
@@ -153,12 +155,14 @@ ORACLE: dict[str, str] = {
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM documents d LEFT JOIN n USING (doc_id)
             JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) m USING (doc_id)""",
     "op7_warc": """
-        SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
-               sha1(coalesce(html, '')) AS payload_digest,
-               CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000 AND page_id < m THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000 AND page_id < m THEN m END AS refers_to,
-               TRUE AS verified
-        FROM (SELECT *, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS m FROM pages)""",
+        WITH p AS (SELECT page_id, url, coalesce(html, '') AS t, octet_length(encode(coalesce(html, ''))) AS n, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS m FROM pages),
+        k AS (SELECT *, n >= 1000 AND page_id < m AS again, chr(13) || chr(10) AS e FROM p),
+        r AS (SELECT *, 'WARC/1.1' || e || 'WARC-Type: ' || CASE WHEN again THEN 'revisit' ELSE 'response' END || e || 'WARC-Record-ID: <urn:page:' || page_id || '>' || e
+                || 'WARC-Date: 1970-01-01T00:00:00Z' || e || coalesce('WARC-Target-URI: ' || replace(replace(url, chr(13), '%0D'), chr(10), '%0A') || e, '') || 'WARC-Payload-Digest: sha1:' || sha1(t) || e
+                || CASE WHEN again THEN 'WARC-Refers-To: <urn:page:' || m || '>' || e || 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' ELSE 'Content-Type: text/html; charset=utf-8' END || e
+                || 'Content-Length: ' || CASE WHEN again THEN 0 ELSE n END || e || e || CASE WHEN again THEN '' ELSE t END || e || e AS record FROM k)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(t) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN m END AS refers_to,
+               TRUE AS verified, CAST(octet_length(encode(record)) AS BIGINT) AS record_bytes, sha1(record) AS record_sha1 FROM r""",
     "op4_line_dedup": """
         WITH l0 AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL),
         l AS (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS raw FROM l0),

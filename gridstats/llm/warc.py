@@ -79,7 +79,7 @@ def write_archive(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     bodies = pages.select(F.col(page_id).cast("long").alias("page_id"), payload.alias("payload"), F.sha2(payload, 256).alias("strong"))
     # The bytes of a payload come from its keeper; repeated rows of a keeper leave one.
     first = bodies.groupBy("strong").agg(F.max_by("payload", F.coalesce(F.col("page_id"), F.lit(-(2**63)))).alias("payload"))
-    first.write.mode("overwrite").parquet(f"{folder}/payloads")
+    first.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/payloads")
 
 
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,7 +109,12 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def record_bytes(archive: DataFrame) -> DataFrame:
-    """The bytes of each record: header, block, two line ends."""
+def with_record(archive: DataFrame) -> DataFrame:
+    """Adds record, the bytes of each record: header, block, two line ends."""
     block = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return archive.select("page_id", F.concat(F.col("header"), block, F.lit(b"\r\n\r\n")).alias("record"))
+    return archive.withColumn("record", F.concat(F.col("header"), block, F.lit(b"\r\n\r\n")))
+
+
+def record_bytes(archive: DataFrame) -> DataFrame:
+    """page_id and the bytes of each record."""
+    return with_record(archive).select("page_id", "record")
