@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridstats.llm.shared import written
+from gridstats.llm.shared import discard, written
 from gridstats.llm.shingles import mix as mixed
 
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -61,6 +61,7 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     place = F.row_number().over(Window.partitionBy("part").orderBy("last", "source")) - 1 + F.element_at(F.array(*[F.lit(b) for b in before]), F.col("part") + 1)
     kinds = F.array(*[F.lit(float(w)) for w in weights])
     ranked = written(ranged.withColumn("weight", F.element_at(kinds, place % len(weights) + 1)).select("source", "source_size", "n_docs", "weight"), "weights")
+    discard(ranged)
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     level = 0.0
     while True:
@@ -74,10 +75,12 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
             break
         level = new
     target = F.least(F.col("weight") * level, most * F.col("source_size"))
-    return ranked.select(
+    out = written(ranked.select(
         "source", "source_size", "n_docs", target.alias("target"),
         F.when(F.col("source_size") > 0, target / F.when(F.col("source_size") > 0, F.col("source_size"))).otherwise(0.0).alias("ratio"),
-    )
+    ), "targets")
+    discard(ranked)
+    return out
 
 
 def pivot(size: np.ndarray, p: np.ndarray, draw: np.ndarray) -> int:
@@ -139,10 +142,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """One row a document: doc_id, size, source_size, target, taken, copies, source, th (its text's hash), nth (among equals)."""
     sized = written(sizes(docs, doc_id, text, source), "sizes")
-    want = written(targets(sized, weights, most), "targets")
-    if want.count() <= FEW_SOURCES:
-        want = F.broadcast(want)
-    named = want.withColumnsRenamed({"source": "_source"})
+    want = targets(sized, weights, most)
+    named = (F.broadcast(want) if want.count() <= FEW_SOURCES else want).withColumnsRenamed({"source": "_source"})
     with_target = sized.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     # Equal rows are numbered; a window only over those that have equals would not change a number.
     same = with_target.groupBy("doc_id", "source", "size", "th", "source_size", "n_docs", "target", "ratio").agg(F.count("*").alias("times"))
@@ -160,6 +161,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     most_docs = want.agg(F.max("n_docs")).first()[0] or 0
     kind = _ROWS + ", source string, th long"
     level = written(start.groupBy("sid", "node").applyInPandas(_round(0), kind), "mix0")
+    discard(sized, want)
     done = [level.where("taken >= 0")]
     left, nodes = level.where("taken < 0"), math.ceil(most_docs / CHUNK)
     height = 0

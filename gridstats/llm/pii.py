@@ -250,7 +250,8 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     _, unseen = bootstrap(edges, against, accept=accept)
     discard(against)
     secrets = edges.where("seed").select("instance")
-    good = unseen.select("instance").union(secrets).distinct()
+    good = written(unseen.select("instance").union(secrets).distinct(), "good")
+    discard(edges, unseen)
     more = (
         seen.where("NOT x.base").select("doc_id", "th", F.xxhash64("x.value").alias("instance"), "x.start", "x.stop")
         .join(good, "instance", "left_semi").groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
