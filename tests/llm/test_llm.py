@@ -547,6 +547,56 @@ def test_mix_meets_targets(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def shared_by_hand(sizes, weights=(1.0, 2.0, 3.0), most=3.0):
+    """Targets by resharing what stands above the cap, source by source, until nothing does."""
+    names = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight = {n: weights[k % 3] for k, n in enumerate(names)}
+    target, free, left = {}, set(names), sum(sizes.values())
+    while free:
+        w = sum(weight[n] for n in free)
+        over = {n for n in free if left * weight[n] / w > most * sizes[n]}
+        if not over:
+            return target | {n: left * weight[n] / w for n in free}
+        target |= {n: most * sizes[n] for n in over}
+        left -= sum(most * sizes[n] for n in over)
+        free -= over
+    return target
+
+
+def test_mix_against_targets_by_hand(spark):
+    rng = random.Random(31)
+    for trial in range(3):
+        sources = [f"s{k}" for k in range(rng.randint(1, 12))] + [None, "é", ""]
+        rows = [(i, "w " * rng.choice((0, 1, 3, 50, 400)), rng.choices(sources, [1 / (k + 1) ** 2 for k in range(len(sources))])[0]) for i in range(600)]
+        got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+        sizes = defaultdict(int)
+        for _, t, src in rows:
+            sizes[src] += len(t.split())
+        want = shared_by_hand(sizes)
+        taken, biggest = defaultdict(int), defaultdict(int)
+        for r in got:
+            ratio = want[r["source"]] / sizes[r["source"]] if sizes[r["source"]] else 0
+            assert r["target"] == pytest.approx(want[r["source"]]) and r["source_size"] == sizes[r["source"]]
+            assert r["copies"] in (int(ratio + 1e-9), int(ratio + 1e-9) + 1) or r["size"] == 0
+            taken[r["source"]] += r["taken"]
+            biggest[r["source"]] = max(biggest[r["source"]], r["size"])
+        assert len(got) == len(rows) and all(abs(taken[k] - want[k]) <= biggest[k] for k in sizes)
+
+
+def test_rounding_keeps_each_documents_expectation():
+    """Over many seeds a document is taken as often as its fraction says, whatever its partners."""
+    rng = np.random.default_rng(7)
+    size, p = np.array([5.0, 1, 20, 7, 7, 3, 50]), np.array([0.2, 0.9, 0.5, 0.35, 0.65, 0.1, 0.8])
+    total = np.zeros(len(p))
+    for _ in range(20_000):
+        q = p.copy()
+        left = mixing.pivot(size, q, rng.random(len(q)))
+        if left >= 0:
+            q[left] = rng.random() < q[left]
+        total += q
+    assert np.abs(total / 20_000 - p).max() < 0.015
+
+
 # 6. Quality
 
 
