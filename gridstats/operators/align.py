@@ -34,17 +34,48 @@ def axis_of(df: DataFrame, axis: str) -> DataFrame:
     return df.select(axis).where(F.col(axis).isNotNull()).distinct()
 
 
+#: Stretches into which an axis is cut.
+STRETCHES = 32
+
+
+def _bounds(df: DataFrame, axis: str) -> list[float]:
+    """Values of an axis that cut it into stretches of like length; what reaches the driver is STRETCHES numbers at most."""
+    shares = [k / STRETCHES for k in range(1, STRETCHES)]
+    found = axis_of(df, axis).agg(F.percentile_approx(F.col(axis), shares).alias("b")).first()["b"]
+    return sorted(set(found or []))
+
+
+def _stretch(axis: str, bounds: list[float]) -> Column:
+    """How many of the bounds are at or below a value."""
+    values = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
+    return F.size(F.filter(values, lambda b: b <= F.col(axis)))
+
+
 def _between(source: DataFrame, target: DataFrame, axis: str) -> DataFrame:
     """(axis of target, _lo, _hi): the source values at or below it and above it, NULL where there is none.
 
-    Both axes are sorted once, in one task: at 0.01 degrees that is 36 000 values.
+    Both axes are cut into the same stretches and sorted there, so no task holds a whole axis.  Every stretch but the first begins with a
+    source value, its bound: what lies below a value is in its stretch, and what lies above is there too or is the next bound.
     """
+    bounds = _bounds(source, axis)
     both = axis_of(source, axis).select(axis, F.col(axis).alias("_s"), F.lit(False).alias("_t")).unionByName(
         axis_of(target, axis).select(axis, F.lit(None).cast("double").alias("_s"), F.lit(True).alias("_t"))
-    ).groupBy(axis).agg(F.max("_s").alias("_s"), F.max("_t").alias("_t"))
-    up = Window.orderBy(axis).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.orderBy(F.desc(axis)).rowsBetween(Window.unboundedPreceding, -1)
-    return both.select(axis, "_t", F.last("_s", True).over(up).alias("_lo"), F.last("_s", True).over(down).alias("_hi")).where("_t").drop("_t")
+    ).groupBy(axis).agg(F.max("_s").alias("_s"), F.max("_t").alias("_t")).withColumn("_part", _stretch(axis, bounds))
+    up = Window.partitionBy("_part").orderBy(axis).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("_part").orderBy(F.desc(axis)).rowsBetween(Window.unboundedPreceding, -1)
+    following = F.get(F.array(*[F.lit(b) for b in bounds]), F.col("_part")) if bounds else F.lit(None).cast("double")
+    return both.select(
+        axis, "_t", F.last("_s", True).over(up).alias("_lo"), F.coalesce(F.last("_s", True).over(down), following).alias("_hi")
+    ).where("_t").drop("_t")
+
+
+def _ranked(df: DataFrame, axis: str, name: str) -> DataFrame:
+    """(name, _i): the values of an axis in order, numbered from 1; the stretches' sizes go over the driver."""
+    values = axis_of(df, axis).withColumn("_part", _stretch(axis, _bounds(df, axis)))
+    sizes = {r["_part"]: r["n"] for r in values.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    before = [sum(sizes.get(k, 0) for k in range(p)) for p in range(max(sizes, default=0) + 1)]
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(axis)) + F.get(F.array(*[F.lit(n) for n in before]), F.col("_part"))
+    return values.select(F.col(axis).alias(name), place.alias("_i"))
 
 
 def _near_axis(source: DataFrame, target: DataFrame, axis: str) -> DataFrame:
@@ -95,8 +126,7 @@ def regrid_bilinear(df: DataFrame, target: DataFrame, keys: list[str], names: It
 
 def impose_coords(df: DataFrame, target: DataFrame, axis: str) -> DataFrame:
     """The i-th value of an axis becomes the target's i-th value."""
-    rank = lambda d, name: axis_of(d, axis).select(F.col(axis).alias(name), F.row_number().over(Window.orderBy(axis)).alias("_i"))
-    pairs = rank(df, "_old").join(rank(target, "_new"), "_i").drop("_i")
+    pairs = _ranked(df, axis, "_old").join(_ranked(target, axis, "_new"), "_i").drop("_i")
     return df.join(pairs, F.col(axis) == F.col("_old")).withColumn(axis, F.col("_new")).drop("_old", "_new")
 
 
@@ -135,35 +165,62 @@ def calendar_join(days: DataFrame, calendar: DataFrame, on: list[str]) -> DataFr
     return days.join(calendar, on).where((F.col("day_idx") >= F.col("plan")) & (F.col("day_idx") < F.col("harv")))
 
 
-def point_in_polygon(x: Column, y: Column, ring: Column) -> Column:
-    """Even-odd rule over a ring of struct(x, y), closed or not."""
-    n = F.size(ring)
-    edges = F.sequence(F.lit(0), n - 1)
+def edges_of(polygons: DataFrame, *keep: str) -> DataFrame:
+    """(shape_no, keep, x0, y0, x1, y1): the sides of all rings, closed or not, each side once."""
+    ring = polygons.select("shape_no", *keep, F.explode("rings").alias("_r")).where(F.size("_r") > 2)
+    n = F.size("_r")
+    sides = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.col("_r")[i].alias("a"), F.col("_r")[(i + 1) % n].alias("b")))
+    return ring.select("shape_no", *keep, F.explode(sides).alias("_e")).select(
+        "shape_no", *keep, F.col("_e.a.x").alias("x0"), F.col("_e.a.y").alias("y0"), F.col("_e.b.x").alias("x1"), F.col("_e.b.y").alias("y1"))
+
 
-    def crosses(i: Column) -> Column:
-        a, b = ring[i], ring[(i + 1) % n]
-        level = (a["y"] > y) != (b["y"] > y)
-        at = (b["x"] - a["x"]) * F.try_divide(y - a["y"], b["y"] - a["y"]) + a["x"]
-        return F.when(level & (x < at), 1).otherwise(0)
+def spans_of(edges: DataFrame, rows: DataFrame, *keep: str, tile: float = 5.0) -> DataFrame:
+    """(shape_no, keep, lat, _lo, _hi): the stretches lo <= lon < hi of each row(lat) inside each shape, by the even-odd rule.
 
-    return F.aggregate(F.transform(edges, crosses), F.lit(0), lambda s, c: s + c) % 2 == 1
+    A side meets the rows of the bands that it crosses, by an equi-join; a row's crossings in order are the ends of its stretches, so the
+    work follows sides times rows crossed, however many corners a shape has.
+    """
+    band = lambda c: F.floor(c / tile)
+    bands = F.sequence(band(F.least("y0", "y1")), band(F.greatest("y0", "y1")))
+    tall = edges.where(F.col("y0") != F.col("y1")).withColumn("_band", F.explode(bands))
+    met = tall.join(rows.select("lat", band(F.col("lat")).alias("_band")), "_band").where((F.col("y0") > F.col("lat")) != (F.col("y1") > F.col("lat")))
+    at = (F.col("x1") - F.col("x0")) * F.try_divide(F.col("lat") - F.col("y0"), F.col("y1") - F.col("y0")) + F.col("x0")
+    order = Window.partitionBy("shape_no", "lat").orderBy("_lo")
+    ends = met.select("shape_no", *keep, "lat", at.alias("_lo")).withColumns({"_k": F.row_number().over(order), "_hi": F.lead("_lo").over(order)})
+    return ends.where((F.col("_k") % 2 == 1) & (F.col("_lo") < F.col("_hi"))).drop("_k")
 
 
-def rasterize(cells: DataFrame, polygons: DataFrame, value: str, background: float = 0.0, missing: float = -9999.0, tile: float = 5.0) -> DataFrame:
-    """Cells with the value of the last polygon(shape_no, rings, value) whose inside holds their centre.
+def covered(cells: DataFrame, polygons: DataFrame, *keep: str, tile: float = 5.0) -> DataFrame:
+    """(lat, lon, shape_no, keep): the cells whose centres each polygon(shape_no, rings, keep) holds.
 
-    A polygon meets the cells of the tiles that its bounding box touches, by an equi-join; the box is tested next, its rings last.
+    Shapes become stretches of the grid's rows; a stretch meets the cells of its row in the columns that it touches, by an equi-join.
     """
-    flat = F.flatten("rings")
-    at = lambda c: F.floor(c / tile)
-    boxed = polygons.select(
-        "shape_no", "rings", value,
-        F.array_min(F.transform(flat, lambda p: p["x"])).alias("x0"), F.array_max(F.transform(flat, lambda p: p["x"])).alias("x1"),
-        F.array_min(F.transform(flat, lambda p: p["y"])).alias("y0"), F.array_max(F.transform(flat, lambda p: p["y"])).alias("y1"),
-    ).withColumn("_tx", F.explode(F.sequence(at(F.col("x0")), at(F.col("x1"))))).withColumn("_ty", F.explode(F.sequence(at(F.col("y0")), at(F.col("y1")))))
-    tiled = cells.select("lat", "lon", at(F.col("lon")).alias("_tx"), at(F.col("lat")).alias("_ty"))
-    near = tiled.join(boxed, ["_tx", "_ty"]).where(F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1")))
-    hits = F.aggregate(F.transform("rings", lambda r: point_in_polygon(F.col("lon"), F.col("lat"), r).cast("int")), F.lit(0), lambda s, c: s + c)
-    last = near.where(hits % 2 == 1).groupBy("lat", "lon").agg(F.max_by(value, "shape_no").alias("_v"))
+    column = lambda c: F.floor(c / tile)
+    spans = spans_of(edges_of(polygons, *keep), axis_of(cells, "lat"), *keep, tile=tile)
+    wide = spans.withColumn("_col", F.explode(F.sequence(column(F.col("_lo")), column(F.col("_hi")))))
+    centres = cells.select("lat", "lon", column(F.col("lon")).alias("_col"))
+    hits = centres.join(wide, ["lat", "_col"]).where((F.col("lon") >= F.col("_lo")) & (F.col("lon") < F.col("_hi")))
+    return hits.select("lat", "lon", "shape_no", *keep)
+
+
+def rasterize(cells: DataFrame, polygons: DataFrame, value: str, background: float = 0.0, missing: float = -9999.0, tile: float = 5.0) -> DataFrame:
+    """Cells with the value of the last polygon(shape_no, rings, value) whose inside holds their centre."""
+    last = covered(cells, polygons, value, tile=tile).groupBy("lat", "lon").agg(F.max_by(value, "shape_no").alias("_v"))
     v = F.coalesce(F.when(F.col("_v") != missing, F.col("_v")), F.lit(background))
     return cells.join(last, ["lat", "lon"], "left").withColumn(value, v).drop("_v")
+
+
+def rasterize_attributes(cells: DataFrame, polygons: DataFrame, attributes: DataFrame, layers: list[str], values: list[str],
+                         background: float = 0.0, missing: float = -9999.0, tile: float = 5.0) -> DataFrame:
+    """A raster for each layer (crop, year) of attributes(shape_no, layers, values): one row a cell and layer.
+
+    Which cells a shape holds is found once, whatever the number of layers.  In each layer the last shape that holds a cell and has attributes there
+    wins; cells of none, and missing values, get the background.  The layers' names, a row a raster, go over the driver.
+    """
+    named = attributes.select(*layers).distinct().sort(*layers).collect()
+    if not named:
+        return cells.select("lat", "lon", *[F.lit(None).cast(attributes.schema[c].dataType).alias(c) for c in layers], *[F.lit(background).alias(v) for v in values]).limit(0)
+    last = covered(cells, polygons, tile=tile).join(attributes, "shape_no").groupBy("lat", "lon", *layers).agg(F.max_by(F.struct(*values), "shape_no").alias("_v"))
+    every = F.explode(F.array(*[F.struct(*[F.lit(r[c]).cast(attributes.schema[c].dataType).alias(c) for c in layers]) for r in named])).alias("_l")
+    clean = [F.coalesce(F.when(F.col(f"_v.{v}") != missing, F.col(f"_v.{v}")), F.lit(background)).alias(v) for v in values]
+    return cells.select("lat", "lon", every).select("lat", "lon", "_l.*").join(last, ["lat", "lon", *layers], "left").select("lat", "lon", *layers, *clean)

@@ -181,17 +181,38 @@ def _(s, d):
     return c.groupBy("year", "lat", "lon").agg(F.avg("pct").alias("pct")).withColumn("luscenario", F.lit("weg"))
 
 
-@query("j18_census_raster", f"""SELECT r.lat, r.lon, y.year, r.value / 100 * {AREA_SQL.replace('lat', 'r.lat')} AS area, r.value / 100 * {AREA_SQL.replace('lat', 'r.lat')} * y.yield * 100 AS production FROM
-    (SELECT c.lat, c.lon, coalesce(v, 0) AS value FROM (SELECT DISTINCT lat, lon FROM ({OBS_SQL})) c LEFT JOIN (SELECT lat, lon, max(k) + 0.5 AS v FROM (SELECT DISTINCT lat, lon FROM ({OBS_SQL})), (SELECT CAST(r_regionkey AS DOUBLE) AS k FROM region) WHERE ({AG.INSIDE_SQL}) % 2 = 1 GROUP BY ALL) USING (lat, lon)) r,
-    (SELECT year, avg(prec) AS yield FROM ({OBS_SQL}) GROUP BY year) y""", "area production", 3)
+#: Two crops with a share of the municipality's area each, for every year of the census; one raster a crop and year.
+CROPS = [("single", 1.0), ("maize", 0.4)]
+CENSUS_YEARS = range(1995, 2002)
+_CROPS_SQL = "(VALUES " + ", ".join(f"('{c}', {x})" for c, x in CROPS) + ") crops(crop, part)"
+J18_SQL = f"""WITH c AS (SELECT DISTINCT lat, lon FROM ({OBS_SQL})), census AS (SELECT crop, k, year, part * (k + 0.5 + year - 1995) AS share, yield FROM {_CROPS_SQL},
+        (SELECT CAST(r_regionkey AS DOUBLE) AS k FROM region), (SELECT year, avg(prec) AS yield FROM ({OBS_SQL}) GROUP BY year) WHERE NOT (crop = 'maize' AND k = 1)),
+    inside AS (SELECT lat, lon, crop, year, arg_max(share, k) AS share, arg_max(yield + k, k) AS yield FROM c, census WHERE ({AG.INSIDE_SQL}) % 2 = 1 GROUP BY ALL)
+    SELECT y.crop, c.lat, c.lon, y.year, coalesce(share, 0) / 100 * {AREA_SQL.replace('lat', 'c.lat')} AS area, coalesce(share, 0) / 100 * {AREA_SQL.replace('lat', 'c.lat')} * coalesce(yield, 0) * 100 AS production
+    FROM c CROSS JOIN (SELECT DISTINCT crop, year FROM census) y LEFT JOIN inside i ON i.lat = c.lat AND i.lon = c.lon AND i.crop = y.crop AND i.year = y.year"""
+
+
+@query("j18_census_raster", J18_SQL, "area production", 3)
 def _(s, d):
     from gridstats.plans.joins import triangles
 
     o = obs(s, d)
-    r = A.rasterize(o.select("lat", "lon").distinct(), triangles(s, d), "value")
-    y = o.groupBy("year").agg(F.avg("prec").alias("yield"))
-    area = F.col("value") / 100 * S.pixel_area(F.col("lat"), F.lit(5.0), F.lit(5.0))
-    return r.crossJoin(F.broadcast(y)).select("lat", "lon", "year", area.alias("area"), (area * F.col("yield") * 100).alias("production"))
+    # Shapes get their attributes by municipality and year, then each row's stretches are found once for all crops and years.
+    crops = F.explode(F.array(*[F.struct(F.lit(c).alias("crop"), F.lit(x).alias("part")) for c, x in CROPS])).alias("c")
+    yields = o.groupBy("year").agg(F.avg("prec").alias("yield"))
+    share = F.col("c.part") * (F.col("shape_no") + 0.5 + F.col("year") - 1995)
+    shapes = triangles(s, d).select("shape_no", "rings", F.explode(F.array(*[F.lit(y) for y in CENSUS_YEARS])).alias("year"))
+    census = shapes.select("shape_no", "year", crops).where("NOT (c.crop = 'maize' AND shape_no = 1)").join(yields, "year").select(
+        "shape_no", "year", F.col("c.crop").alias("crop"), share.alias("share"), (F.col("yield") + F.col("shape_no")).alias("yield"))
+    return A.rasterize_attributes(
+        o.select("lat", "lon").distinct(), triangles(s, d), census, ["crop", "year"], ["share", "yield"]
+    ).select("crop", "lat", "lon", "year", *census_columns())
+
+
+def census_columns():
+    """Area in km2 from the share of the cell, production from area and yield."""
+    area = F.col("share") / 100 * S.pixel_area(F.col("lat"), F.lit(5.0), F.lit(5.0))
+    return area.alias("area"), (area * F.col("yield") * 100).alias("production")
 
 
 @query("j19_biome_summary", f"""SELECT scenario, ensemble, code, month, avg(tas) AS tas FROM (SELECT *, count(*) OVER (PARTITION BY run, lat, lon) AS n, row_number() OVER (PARTITION BY run, lat, lon ORDER BY ym) AS r FROM

@@ -35,19 +35,11 @@ def kept(s, name, write):
     return path
 
 
-_RUNS = ("rcp_a", "rcp_n", "rcp_r")
-
-
-@query("a1_scan_runs", f"SELECT scenario, CAST(member AS VARCHAR) AS member, count(*) AS n, sum(prec) AS prec FROM ({OBS_SQL}) WHERE member < 2 GROUP BY ALL", "prec")
+@query("a1_scan_runs", f"SELECT scenario, CAST(member AS VARCHAR) AS member, count(*) AS n, sum(prec) AS prec FROM ({OBS_SQL}) GROUP BY ALL", "prec")
 def _(s, d):
-    o = obs(s, d).where("member < 2")
-
-    def runs(path):
-        for scenario in _RUNS:
-            for member in range(2):
-                io.write_grid(o.where((F.col("scenario") == scenario) & (F.col("member") == member)).select("time", "lat", "lon", "prec"), f"{path}/{scenario}_{member}")
-
-    return io.scan_runs(s, kept(s, "runs", runs)).groupBy("scenario", "member").agg(F.count("*").alias("n"), F.sum("prec").alias("prec"))
+    o = obs(s, d).select(F.concat_ws("_", "scenario", "member").alias("run"), "time", "lat", "lon", "prec")
+    path = kept(s, "runs", lambda p: o.write.partitionBy("run").parquet(p))
+    return io.scan_runs(s, path).groupBy("scenario", "member").agg(F.count("*").alias("n"), F.sum("prec").alias("prec"))
 
 
 @query("a3_scan_all", f"SELECT year, count(tas) AS n_tas, count(rain) AS n_rain, sum(rain) AS rain FROM (SELECT year, tas, NULL AS rain FROM ({MONTHLY_SQL}) WHERE year <= 1997 UNION ALL SELECT year, tas, prec FROM ({MONTHLY_SQL}) WHERE year > 1997) GROUP BY ALL", "rain")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from datetime import date
 
@@ -9,15 +10,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RUN_PATTERN = r"/([^/_]+(?:_[^/_]+)*)_([^/_]+)/[^/]*$"
+#: <scenario>_<member>, with or without the name of a partition column before it.
+RUN_PATTERN = r"^(?:[^/_=]+=)?([^/_=]+(?:_[^/_=]+)*)_([^/_=]+)$"
 
 
-def scan_runs(spark: SparkSession, path: str, pattern: str = RUN_PATTERN) -> DataFrame:
-    """Parquet under <scenario>_<member> folders, with both from the path."""
-    df = spark.read.option("recursiveFileLookup", "true").parquet(path).withColumn("_path", F.col("_metadata.file_path"))
-    return df.withColumns({
-        "scenario": F.regexp_extract("_path", pattern, 1), "member": F.regexp_extract("_path", pattern, 2)
-    }).where("scenario <> ''").drop("_path")
+def run_folders(spark: SparkSession, path: str, pattern: str = RUN_PATTERN) -> list[tuple[str, str, str]]:
+    """(folder, scenario, member) of the run folders right under path, from their names; no file is opened."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = top.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(top)
+    named = [(str(x.getPath()), re.match(pattern, x.getPath().getName())) for x in found if x.isDirectory()]
+    return sorted((folder, m[1], m[2]) for folder, m in named if m)
+
+
+def scan_runs(spark: SparkSession, path: str, pattern: str = RUN_PATTERN, scenarios: Iterable[str] | None = None, members: Iterable[str] | None = None) -> DataFrame:
+    """Parquet under <scenario>_<member> folders, with both from the folders' names.
+
+    Names are matched before anything is opened, so runs that are not asked for cost nothing; the others are read as one table.
+    """
+    wanted = lambda names, x: names is None or x in set(names)
+    scenarios, members = (None if x is None else list(x) for x in (scenarios, members))
+    chosen = [(f, s, m) for f, s, m in run_folders(spark, path, pattern) if wanted(scenarios, s) and wanted(members, m)]
+    if not chosen:
+        raise ValueError(f"no such runs under {path}")
+    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    df = spark.read.parquet(*[f for f, _, _ in chosen])
+    return df.withColumns({"scenario": F.regexp_extract(folder, pattern, 1), "member": F.regexp_extract(folder, pattern, 2)})
 
 
 def scan_months(df: DataFrame, first: int, last: int, months: Iterable[int] | None = None, time: str | None = None) -> DataFrame:

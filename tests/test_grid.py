@@ -248,8 +248,16 @@ def test_sinks_and_scans(spark, tmp_path):
     assert sorted(r["x"] for r in spark.read.parquet(str(tmp_path / "y")).collect()) == [1.0, 9.0]
     for m in ("01", "02"):
         io.write_grid(df.drop("scenario", "member"), str(tmp_path / "runs" / f"rcp_85_{m}"))
+    (tmp_path / "runs" / "_SUCCESS").write_text("")
     got = io.scan_runs(spark, str(tmp_path / "runs"))
     assert {(r["scenario"], r["member"]) for r in got.collect()} == {("rcp_85", "01"), ("rcp_85", "02")}
+    (tmp_path / "runs" / "rcp_26_01").mkdir()
+    (tmp_path / "runs" / "rcp_26_01" / "part.parquet").write_text("not opened unless it is asked for")
+    (tmp_path / "runs" / "notes").mkdir()
+    some = io.scan_runs(spark, str(tmp_path / "runs"), scenarios=["rcp_85"], members=["02"])
+    assert some.count() == 2 and all("rcp_85_02" in f for f in some.inputFiles())
+    with pytest.raises(ValueError, match="no such runs"):
+        io.scan_runs(spark, str(tmp_path / "runs"), members=["77"])
     assert io.scan_all(spark, str(tmp_path / "runs/rcp_85_01"), str(tmp_path / "runs/rcp_85_02")).count() == 4
     io.write_summary_csv(spark.createDataFrame([(1, "a")], "code int, name string"), str(tmp_path / "c"))
     assert [tuple(r) for r in io.read_codes(spark, str(tmp_path / "c")).collect()] == [(1, "a")]

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridstats.functions import scalar as S
+from gridstats.operators import align as A
 from gridstats.operators import season as SE
 from gridstats.operators import stats as ST
 from gridstats.operators import timegrid as TG
@@ -153,3 +154,69 @@ def test_bootstrap_of_a_long_series(spark):
     rows = [(1, y, 0.5 * y + rng.gauss(0, 1)) for y in range(3000)]
     got = T.trend_bootstrap(spark.createDataFrame(rows, "k int, year int, x double"), ["k"], "year", "x", nsamp=40).first()
     assert got["x"] == pytest.approx(0.5, abs=1e-3) and 0 < got["x_var"] < 1e-6
+
+
+def test_axes_are_cut_into_stretches(spark, monkeypatch):
+    """Neighbours, nearest values and ranks are those of whole sorted axes, and no task gets a whole one."""
+    rng = random.Random(11)
+    source = sorted({round(rng.uniform(-90, 90), 2) for _ in range(300)})
+    target = sorted({round(rng.uniform(-100, 100), 2) for _ in range(400)} | set(source[:20]))
+    frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "lat double")
+    got = {r["lat"]: (r["_lo"], r["_hi"]) for r in A._between(frame(source), frame(target), "lat").collect()}
+    assert got == {t: (max((x for x in source if x <= t), default=None), min((x for x in source if x > t), default=None)) for t in target}
+    ranks = A._ranked(frame(source), "lat", "v")
+    assert {r["v"]: r["_i"] for r in ranks.collect()} == {x: i + 1 for i, x in enumerate(source)}
+    g = spark.createDataFrame([(x, 1.0, x) for x in source], "lat double, lon double, x double")
+    for out in (A.regrid_nearest(g, g), A.regrid_bilinear(g, g, [], ["x"]), A.snap_join(g, g.drop("x"), []), A.impose_coords(g, g, "lat"), ranks):
+        assert "SinglePartition" not in out._jdf.queryExecution().toString()
+    assert A._between(frame([]), frame(target), "lat").where("_lo IS NOT NULL OR _hi IS NOT NULL").count() == 0
+
+
+def inside_by_hand(x, y, rings):
+    crossings = 0
+    for ring in rings:
+        for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1], strict=True):
+            crossings += (y0 > y) != (y1 > y) and x < (x1 - x0) * (y - y0) / (y1 - y0) + x0
+    return crossings % 2 == 1
+
+
+RINGS = "shape_no int, rings array<array<struct<x:double,y:double>>>, v double"
+
+
+def test_shapes_fill_the_cells_that_they_hold(spark):
+    """Holes, crossing sides, closed rings, slivers, a large circle of 100 000 corners and one over half the grid."""
+    rng = random.Random(13)
+    circle = [(3 + 8 * math.cos(2 * math.pi * k / 100_000), -2 + 8 * math.sin(2 * math.pi * k / 100_000)) for k in range(100_000)]
+    shapes = {
+        1: ([[(-30.0, -20.0), (0.0, -20.0), (0.0, 20.0), (-30.0, 20.0)]], 1.0),
+        2: ([circle], 2.0),
+        3: ([[(-9.0, -9.0), (9.0, -9.0), (9.0, 9.0), (-9.0, 9.0), (-9.0, -9.0)], [(-5.0, -5.0), (5.0, -5.0), (5.0, 5.0), (-5.0, 5.0)]], -9999.0),
+        **{k: ([[(rng.uniform(-25, 25), rng.uniform(-18, 18)) for _ in range(7)]], float(k)) for k in range(4, 9)},
+        9: ([[(1.0, 1.0), (2.0, 2.0)], []], 9.0),
+    }
+    cells = [(a * 0.9 - 18, o * 1.1 - 28) for a in range(41) for o in range(51)]
+    frame = spark.createDataFrame(cells, "lat double, lon double")
+    poly = spark.createDataFrame([(k, [[{"x": x, "y": y} for x, y in ring] for ring in rings], v) for k, (rings, v) in shapes.items()], RINGS)
+    raster = A.rasterize(frame, poly, "v", background=-1.0)
+    got = {(r["lat"], r["lon"]): r["v"] for r in raster.collect()}
+    want = {}
+    for lat, lon in cells:
+        near = {k: s for k, s in shapes.items() if k != 2 or 7.9 < math.hypot(lon - 3, lat + 2) < 8.1}
+        inside = {k for k, (rings, _) in near.items() if inside_by_hand(lon, lat, rings)} | ({2} if math.hypot(lon - 3, lat + 2) <= 7.9 else set())
+        v = shapes[max(inside)][1] if inside else -9999.0
+        want[lat, lon] = -1.0 if v == -9999.0 else v
+    assert got == want
+    plan = raster._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_layers_share_the_shapes_cells(spark):
+    square = lambda x: [[{"x": x + a, "y": b} for a, b in ((0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0))]]
+    poly = spark.createDataFrame([(1, square(0.0), 0.0), (2, square(1.0), 0.0)], RINGS).drop("v")
+    cells = spark.createDataFrame([(0.5, 0.5), (0.5, 1.5), (0.5, 2.5), (0.5, 9.5)], "lat double, lon double")
+    facts = spark.createDataFrame([(1, "maize", 1974, 5.0), (2, "maize", 1974, -9999.0), (1, "soy", 1975, 7.0)], "shape_no int, crop string, year int, share double")
+    got = {(r["crop"], r["year"], r["lon"]): r["share"] for r in A.rasterize_attributes(cells, poly, facts, ["crop", "year"], ["share"]).collect()}
+    assert got == {("maize", 1974, 0.5): 5.0, ("maize", 1974, 1.5): 0.0, ("maize", 1974, 2.5): 0.0, ("maize", 1974, 9.5): 0.0,
+                   ("soy", 1975, 0.5): 7.0, ("soy", 1975, 1.5): 7.0, ("soy", 1975, 2.5): 0.0, ("soy", 1975, 9.5): 0.0}
+    assert A.rasterize_attributes(cells, poly, facts.limit(0), ["crop", "year"], ["share"]).count() == 0
+    assert A.attach_attributes(poly, facts, ["shape_no"], 1974).count() == 2
