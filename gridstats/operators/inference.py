@@ -35,6 +35,21 @@ def diff_ttest_within(df: DataFrame, column: str, left: str, right: str, on: lis
     return _differences(both, on, names, n1, n2, percent)
 
 
+def diff_ttest_pairs(df: DataFrame, column: str, pairs: Iterable[tuple[str, str, str]], on: list[str], names: Iterable[str], n1: Column | int, n2: Column | int | None = None, percent: bool = False) -> DataFrame:
+    """diff_ttest of several pairs(effect, left, right) of `column`'s values, one row each per key, from one pass over df; keys without both sides have no row."""
+    names, pairs = list(names), list(pairs)
+    every = [*names, *[f"{x}_var" for x in names]]
+    sides = sorted({v for _, a, b in pairs for v in (a, b)})
+    wide = df.where(F.col(column).isin(sides)).groupBy(*on).agg(*[
+        F.max(F.when(F.col(column) == v, F.struct(*every))).alias(f"_s{i}") for i, v in enumerate(sides)
+    ])
+    side = lambda v: F.col(f"_s{sides.index(v)}")
+    each = wide.select(*on, F.explode(F.array(*[F.struct(F.lit(e).alias("effect"), side(a).alias("a"), side(b).alias("b")) for e, a, b in pairs])).alias("_p"))
+    both = each.where("_p.a IS NOT NULL AND _p.b IS NOT NULL").select(
+        "_p.effect", *on, *[F.col(f"_p.{k}.{c}").alias(f"_{k}_{c}") for k in ("a", "b") for c in every])
+    return _differences(both, ["effect", *on], names, n1, n2, percent)
+
+
 def _differences(both: DataFrame, on: list[str], names: list[str], n1: Column | int, n2: Column | int | None, percent: bool) -> DataFrame:
     n2 = n1 if n2 is None else n2
     x, y = (v if isinstance(v, Column) else F.lit(v) for v in (n1, n2))

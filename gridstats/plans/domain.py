@@ -16,7 +16,7 @@ from gridstats.operators import trend as T
 from gridstats.operators import vertical as V
 from gridstats.plans import aggregates as AG
 from gridstats.plans import ordered as O
-from gridstats.plans.joins import CELLS, NEAREST_SQL, PAIRS_SQL, SCELL_SQL, YIELD_SQL, by_scenario, linear_predictor, pair_table, target_axes, two_years
+from gridstats.plans.joins import CELLS, NEAREST_SQL, PAIRS, PAIRS_SQL, SCELL_SQL, YIELD_SQL, by_scenario, linear_predictor, pair_table, target_axes, two_years
 from gridstats.plans.registry import query
 from gridstats.plans.scan_project import AREA_SQL, PRES_SQL, SEASON_SQL, crop_climate
 from gridstats.plans.scan_project import _E as E_SQL
@@ -60,10 +60,8 @@ def _(s, d):
 
 @query("j4_effects_masked", f"SELECT p.effect, a.month, a.lat, a.lon, a.tas - b.tas AS tas, CASE WHEN {AG._p('a.tas', 'a.tas_var', 'b.tas', 'b.tas_var', '28', '28')} <= 0.2 THEN a.tas - b.tas END AS masked FROM {PAIRS_SQL} JOIN ({AG.SM_SQL}) a ON a.scenario = l JOIN ({AG.SM_SQL}) b ON b.scenario = r AND b.month = a.month AND b.lat = a.lat AND b.lon = a.lon", "tas masked")
 def _(s, d):
-    e = A.control_diff(AG.by_month(s, d).drop("n"), pair_table(s), MC, ["tas", "tas_var"])
-    # With equal n the pooled variance is half the summed one.
-    t = F.try_divide(F.col("tas"), F.sqrt(F.col("tas_var") / 2 * (2.0 / 28)))
-    return e.select("effect", *MC, "tas", I.significance_mask(F.col("tas"), S.student_t_pvalue(t, 54), 0.2).alias("masked"))
+    t = I.diff_ttest_pairs(AG.by_month(s, d), "scenario", PAIRS, MC, ["tas"], 28)
+    return t.select("effect", *MC, "tas", I.significance_mask(F.col("tas"), F.col("tas_pval"), 0.2).alias("masked"))
 
 
 @query("j5_daily_harmonisation", O.by_month_sql(O.DAYLIN_SQL.replace(f"FROM ({OBS_SQL})", f"FROM ({OBS_SQL}) WHERE lat <= -15")), "low tas high")
@@ -113,9 +111,12 @@ _PER = f"SELECT scenario, lat, lon, avg(tas) AS tas, var_samp(tas) AS v FROM ({Y
 @query("j10_future_deltas", f"SELECT scenario, lat, lon, a.tas - b.tas AS tas, {AG._p('a.tas', 'a.v', 'b.tas', 'b.v', '12', '12')} AS tas_pval, 100 * (a.tas - b.tas) / b.tas AS tas_perc FROM ({_PER.format(1999, 2001)}) a JOIN ({_PER.format(1995, 1997)}) b USING (scenario, lat, lon)", "tas tas_pval tas_perc")
 def _(s, d):
     k = ["scenario", "lat", "lon"]
-    years = lambda a, b: io.scan_months(obs(s, d), a, b, None, "time").groupBy("member", "year", *k).agg(F.avg("tas").alias("tas"))
-    part = lambda a, b: ST.mean_var_over(years(a, b), k, ["tas"])
-    return I.diff_ttest(part(1999, 2001), part(1995, 1997), k, ["tas"], 12, percent=True).select(*k, "tas", "tas_pval", "tas_perc")
+    # One pass over the years from the first period to the last; each row belongs to one of the periods or to none.
+    o = io.scan_months(obs(s, d), 1995, 2001, None, "time")
+    period = F.when(F.col("year") >= 1999, "future").when(F.col("year") <= 1997, "past")
+    years = o.withColumn("period", period).where("period IS NOT NULL").groupBy("period", "member", "year", *k).agg(F.avg("tas").alias("tas"))
+    part = ST.mean_var_over(years, ["period", *k], ["tas"])
+    return I.diff_ttest_within(part, "period", "future", "past", k, ["tas"], 12, percent=True).select(*k, "tas", "tas_pval", "tas_perc")
 
 
 @query("j11_rainy_extension", f"""WITH r AS MATERIALIZED ({O.RAINY_SQL}), ref AS (SELECT lat, lon, avg(outslen) AS ref FROM r WHERE scenario = 'rcp_n' GROUP BY lat, lon)
@@ -243,13 +244,18 @@ PROJ_SQL = f"""SELECT scenario, code, 100 * (f - b) / b AS change, (f - b) * pri
 
 @query("j22_production_projection", PROJ_SQL, "change worth", 4)
 def _(s, d):
-    o, k = obs(s, d), ["scenario", "lat", "lon"]
-    mean = o.agg((F.sum(F.col("prec") * F.col("weight")) / F.sum("weight")).alias("fill"), F.avg(F.when(F.col("year").between(1996, 1999), F.col("weight") / 1000)).alias("price"))
-    y = F.avg(F.when((F.col("pft") != 4) | (F.col("lat") < -20), F.col("prec")))
-    base = o.where("year = 1996").groupBy(*k).agg((F.sum("weight") / 1e6).alias("area"), y.alias("y"))
-    past, future = F.avg(F.when(F.col("year") <= 1997, F.col("tas"))), F.avg(F.when(F.col("year") >= 1999, F.col("tas")))
-    delta = o.groupBy(*k).agg(S.percent_diff(future, past).alias("delta"))
-    both = A.attach_small(base.join(delta, k), zones(s, d), CELLS).crossJoin(F.broadcast(mean))
+    k = ["scenario", "lat", "lon"]
+    when = lambda c, x: F.when(c, x)
+    year, base = F.col("year"), F.col("year") == 1996
+    # One pass: what the whole table's means need are sums of the cells' sums.
+    cell = obs(s, d).groupBy(*k).agg(
+        (F.sum(when(base, F.col("weight"))) / 1e6).alias("area"), F.avg(when(base & ((F.col("pft") != 4) | (F.col("lat") < -20)), F.col("prec"))).alias("y"),
+        F.avg(when(year <= 1997, F.col("tas"))).alias("past"), F.avg(when(year >= 1999, F.col("tas"))).alias("future"),
+        F.sum(F.col("prec") * F.col("weight")).alias("pw"), F.sum("weight").alias("w"),
+        F.sum(when(year.between(1996, 1999), F.col("weight"))).alias("priced"), F.count(when(year.between(1996, 1999), F.col("weight"))).alias("n_priced"))
+    mean = cell.agg(F.try_divide(F.sum("pw"), F.sum("w")).alias("fill"), F.try_divide(F.sum("priced"), F.sum("n_priced") * 1000).alias("price"))
+    delta = S.percent_diff(F.col("future"), F.col("past")).alias("delta")
+    both = A.attach_small(cell.where("area IS NOT NULL").select(*k, "area", "y", delta), zones(s, d), CELLS).crossJoin(F.broadcast(mean))
     y0 = F.coalesce("y", "fill")
     g = both.groupBy("scenario", "code", "price").agg(F.sum(F.col("area") * y0 * (1 + F.col("delta") / 100) * 100).alias("f"), F.sum(F.col("area") * y0 * 100).alias("b"))
     return g.select("scenario", "code", S.percent_diff(F.col("f"), F.col("b")).alias("change"), ((F.col("f") - F.col("b")) * F.col("price")).alias("worth"))
