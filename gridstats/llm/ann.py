@@ -8,20 +8,22 @@ what the code leaves out: no score differs from its guess by more than reach tim
 vector whose guess and bound come up to the k-th best score found so far is scored on the original vectors
 in double precision, so no neighbour is lost; codebooks that fit badly only make the search slower.
 
-Queries are stated, candidates are all vectors, in blocks: blocks of vectors and codes stream past blocks of
-queries.  A task keeps one running list of the best a query; GROUPS tasks share the vectors.
+Queries are stated, candidates are all vectors.  Vectors and codes stay where they were written, in rows of BLOCK vectors; at most about QUERIES queries at
+a time go to all tasks, and each task keeps one running list a query over the rows that it reads.  Only lists are exchanged: no vector
+moves however many queries there are, and the table is read once for every QUERIES of them.
 
 Equal vectors are one candidate and one query, named by their smallest id and, as different vectors may share that, a 64-bit hash.  The k + 1 best of them hold all that a query can
 list (it is among them itself); they become ids at the end, by score and id, of equal vectors the k + 1 smallest ids.
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor do those whose length is
 not the most frequent one (ties: the longest); rows without an id take no part.  Rows that repeat an id are rows like others: each is a candidate, and each a query
-that leaves out only itself; its list stands once for each such row.
+that leaves out only itself; its list stands once for each such row.  Other columns, whatever their names, are ignored; without vectors or without
+queries there are no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridstats.llm.shared import written
+from gridstats.llm.shared import discard, written
 
 BOOKS = 24
 WORDS = 256
@@ -37,8 +39,7 @@ BEAM = 3
 SAMPLE = 4096  # vectors that codebooks are fitted on
 K = 20
 BLOCK = 2048  # vectors
-GROUPS = 4  # tasks that share the blocks of vectors for one block of queries
-QUERIES = 2048
+QUERIES = 32_768  # that go to the tasks at once: with their lists some 40 MB at 64 components
 SLICE = 64  # queries that are looked up together
 PAIRS = 1 << 20  # products held at once in exact scoring
 
@@ -173,13 +174,6 @@ def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
                 reach = reach * (1 + 1e-12) + (dim + len(books) + 8) * 2.0**-23 * (size + np.linalg.norm(whole, axis=1))
                 yield pd.DataFrame({"ids": [ids.tobytes()], "hs": [part["h"].to_numpy(np.int64).tobytes()], "x": [x.tobytes()], "codes": [codes.tobytes()], "scales": [scale.tobytes()], "reaches": [reach.tobytes()]})
 
-    def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Blocks of queries."""
-        for pdf in batches:
-            for lo in range(0, len(pdf), QUERIES):
-                part = pdf.iloc[lo : lo + QUERIES]
-                yield pd.DataFrame({"q_ids": [part["vec_id"].to_numpy(np.int64).tobytes()], "q_hs": [part["h"].to_numpy(np.int64).tobytes()], "q": [np.stack(part["v"].to_numpy()).astype(real).tobytes()]})
-
     codes = written(base.repartition(parts, "vec_id", "h").mapInPandas(pack, "ids binary, hs binary, x binary, codes binary, scales binary, reaches binary"), "codes")
     wanted = rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id"), "v").agg(F.count("*").cast("int").alias("times"))
     # own: the place of one of the query's rows among the ids of its vector.
@@ -187,66 +181,58 @@ def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
         wanted.join(base.withColumnRenamed("vec_id", "query"), "v").select("query_id", "times", "v", "query", F.col("h").alias("query_h"), F.array_position("ids", F.col("query_id")).alias("own")), "asking"
     )
     mine = asking.select(F.col("query").alias("vec_id"), F.col("query_h").alias("h"), "v").dropDuplicates(["vec_id", "h"])
-    n_queries = mine.count()
-    q_parts = max(1, -(-n_queries // QUERIES))
-    asked = written(
-        mine.repartition(q_parts, "vec_id", "h").mapInPandas(tables, "q_ids binary, q_hs binary, q binary").withColumn("block", F.monotonically_increasing_id()), "queries"
-    )
-    numbers = [r["block"] for r in asked.select("block").collect()]  # one number per QUERIES queries
-    if not numbers:
-        return spark.createDataFrame([], shape)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Running lists of one block of queries; rows come sorted by block."""
-        now, q_ids, q_hs, q, long, best, found, hashes = None, None, None, None, None, None, None, None
+    blocks = max(1, -(-mine.count() // QUERIES))
+    asked = written(mine.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "vec_id", "h"), F.lit(blocks)).cast("int")), "queries")
+    discard(rows)
+
+    def scan_for(own: list) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        """The scan of vectors for these queries."""
+        q_ids, q_hs = (np.array([r[c] for r in own], np.int64) for c in ("vec_id", "h"))
+        q = np.array([r["v"] for r in own]).astype(real)
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            long = np.linalg.norm(q.astype(float), axis=1)
+            best, found, hashes = np.full((len(q_ids), k + 1), -np.inf), *np.zeros((2, len(q_ids), k + 1), np.int64)
+            for pdf in batches:
+                for ids, hs, x, code, scale, reach in zip(*(pdf[c] for c in ("ids", "hs", "x", "codes", "scales", "reaches")), strict=True):
+                    ids, hs, scale, reach = np.frombuffer(ids, np.int64), np.frombuffer(hs, np.int64), np.frombuffer(scale, np.float32), np.frombuffer(reach, float)
+                    x = np.frombuffer(x, real).reshape(len(ids), dim)
+                    code = np.frombuffer(code, np.uint8).reshape(len(ids), -1)
+                    for lo in range(0, len(q_ids), SLICE):
+                        at = slice(lo, lo + SLICE)
+                        t = (q[at].astype(np.float32) @ books.reshape(-1, dim).T).reshape(-1, books.shape[0], books.shape[1])
+                        s = t[:, 0, :][:, code[:, 0]]
+                        for j in range(1, books.shape[0]):
+                            s += t[:, j, :][:, code[:, j]]
+                        s *= scale
+                        bound = s + long[at, None] * reach
+                        bound[~(np.isfinite(s) & np.isfinite(bound))] = np.inf  # beyond single precision: no bound
+                        # The best guesses first, as they raise the score to be reached; then all whose bound reaches it.
+                        few = min(k + 1, len(ids))
+                        first = np.argpartition(-bound, few - 1, axis=1)[:, :few]
+                        rows, cols = np.repeat(np.arange(len(s)), few), first.ravel()
+                        for again in (True, False):
+                            keep_best(best[at], found[at], hashes[at], rows, ids[cols], hs[cols], exact_scores(x, q[at], rows, cols))
+                            if again:
+                                bound[rows, cols] = -np.inf
+                                rows, cols = np.nonzero((bound >= best[at, -1:]) & (bound > -np.inf))
+            out = pd.DataFrame({"query": np.repeat(q_ids, k + 1), "query_h": np.repeat(q_hs, k + 1), "name": found.ravel(), "name_h": hashes.ravel(), "score": best.ravel()})
+            yield out[out["score"] > -np.inf]
+
+        return scan
 
-        def flush() -> Iterator[pd.DataFrame]:
-            if now is not None:
-                each = best.shape[1]
-                out = pd.DataFrame({"query": np.repeat(q_ids, each), "query_h": np.repeat(q_hs, each), "name": found.ravel(), "name_h": hashes.ravel(), "score": best.ravel()})
-                yield out[out["score"] > -np.inf]
-
-        for pdf in batches:
-            columns = ("block", "group", "ids", "hs", "x", "codes", "scales", "reaches", "q_ids", "q_hs", "q")
-            for block, group, ids, hs, x, code, scale, reach, own, own_hs, asks in zip(*(pdf[c] for c in columns), strict=True):
-                if (block, group) != now:
-                    yield from flush()
-                    now, q_ids, q_hs = (block, group), np.frombuffer(own, np.int64), np.frombuffer(own_hs, np.int64)
-                    q = np.frombuffer(asks, real).reshape(len(q_ids), dim)
-                    long = np.linalg.norm(q.astype(float), axis=1)
-                    best, found, hashes = np.full((len(q_ids), k + 1), -np.inf), *np.zeros((2, len(q_ids), k + 1), np.int64)
-                hs = np.frombuffer(hs, np.int64)
-                ids, scale, reach = np.frombuffer(ids, np.int64), np.frombuffer(scale, np.float32), np.frombuffer(reach, float)
-                x = np.frombuffer(x, real).reshape(len(ids), dim)
-                code = np.frombuffer(code, np.uint8).reshape(len(ids), -1)
-                for lo in range(0, len(q_ids), SLICE):
-                    at = slice(lo, lo + SLICE)
-                    t = (q[at].astype(np.float32) @ books.reshape(-1, dim).T).reshape(-1, books.shape[0], books.shape[1])
-                    s = t[:, 0, :][:, code[:, 0]]
-                    for j in range(1, books.shape[0]):
-                        s += t[:, j, :][:, code[:, j]]
-                    s *= scale
-                    bound = s + long[at, None] * reach
-                    bound[~(np.isfinite(s) & np.isfinite(bound))] = np.inf  # beyond single precision: no bound
-                    # The best guesses first, as they raise the score to be reached; then all whose bound reaches it.
-                    few = min(k + 1, len(ids))
-                    first = np.argpartition(-bound, few - 1, axis=1)[:, :few]
-                    rows, cols = np.repeat(np.arange(len(s)), few), first.ravel()
-                    for again in (True, False):
-                        keep_best(best[at], found[at], hashes[at], rows, ids[cols], hs[cols], exact_scores(x, q[at], rows, cols))
-                        if again:
-                            bound[rows, cols] = -np.inf
-                            rows, cols = np.nonzero((bound >= best[at, -1:]) & (bound > -np.inf))
-        yield from flush()
-
-    grouped = codes.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(GROUPS)))
-    meet = grouped.withColumn("block", F.explode(F.array(*[F.lit(b) for b in numbers]))).join(asked, "block")
-    dealt = meet.repartition(max(12, min(GROUPS * len(numbers), 4000)), "block", "group").sortWithinPartitions("block", "group")
-    scored = dealt.select("block", "group", "ids", "hs", "x", "codes", "scales", "reaches", "q_ids", "q_hs", "q").mapInPandas(
-        scan, "query long, query_h long, name long, name_h long, score double"
-    )
     best = Window.partitionBy("query", "query_h").orderBy(F.desc("score"), "name", "name_h")
-    listed = written(scored.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r"), "lists")
+    listed = None
+    for block in range(blocks):
+        own = asked.where(F.col("block") == block).select("vec_id", "h", "v").collect()  # about QUERIES
+        if not own:
+            continue
+        scored = codes.mapInPandas(scan_for(own), "query long, query_h long, name long, name_h long, score double")
+        lists = written(scored.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r"), "lists")
+        listed = lists if listed is None else listed.union(lists)
+    discard(codes, asked)
+    if listed is None:
+        return spark.createDataFrame([], shape)
     ids = listed.join(base.select(F.col("vec_id").alias("name"), F.col("h").alias("name_h"), "ids"), ["name", "name_h"]).select(
         "query", "query_h", "name", "name_h", "score", F.posexplode("ids").alias("at", "vec_id")
     )

@@ -828,6 +828,24 @@ def test_few_or_no_vectors(spark):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def test_queries_in_many_turns(spark, monkeypatch):
+    """However many queries go to the tasks at once, the lists are those of brute force, and no vector is exchanged."""
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(1500, 16)).astype(np.float32)
+    x[700:760] = x[20]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").withColumns({"block": F.lit("clash"), "h": F.lit(1)})
+    monkeypatch.setattr(ann, "QUERIES", 9)
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    got = defaultdict(list)
+    for r in ann.search(df).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    want = {}
+    for q in range(0, 1500, 20):
+        scores = np.cumsum(x.astype(float) * x[q].astype(float), axis=1)[:, -1]
+        want[q] = [i for i in sorted(range(1500), key=lambda i: (-scores[i], i)) if i != q][:20]
+    assert got == want
+
+
 # 10. Personal data
 
 
