@@ -170,7 +170,7 @@ def spread_vars(df: DataFrame, keys: list[str], column: str, values: list[str],
 
 def tag_attrs(df: DataFrame, meta: DataFrame) -> DataFrame:
     """Units and long names from a table keyed by variable."""
-    return df.join(F.broadcast(meta), "variable", "left")
+    return df.join(meta, "variable", "left")
 
 
 def to_table(df: DataFrame, names: list[str]) -> DataFrame:

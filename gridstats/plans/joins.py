@@ -243,7 +243,7 @@ def crop_vars(s, d):
 
 def linear_predictor(s, d):
     """Sum of estimate times variable over the terms both have, per model; NULL if a variable is missing."""
-    both = crop_vars(s, d).join(F.broadcast(io.coefficients(coef_table(s, d))), "term")  # some tens of coefficients
+    both = crop_vars(s, d).join(io.coefficients(coef_table(s, d)), "term")
     total = F.when(F.count("x") == F.count("*"), F.sum(F.col("estimate") * F.col("x")))
     return both.groupBy("model", "scenario", "member", "year", "lat", "lon").agg(total.alias("eta"))
 
