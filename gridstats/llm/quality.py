@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 1500  # texts of a class
-LEARN = 2000  # characters of a piece that trains
+LEARN = 400  # characters of a piece that trains
 DICTIONARY = 16_000  # bytes
 SEGMENT, SEED = 64, 6  # bytes that a dictionary takes at once, and that tell whether they recur
 PIECE = 400  # bytes that are compressed at once
