@@ -48,14 +48,18 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go; null and empty texts hold none, and rows that are equal go or stay together."""
+    """Documents that hold a benchmark item go; null and empty texts hold none, and rows that are equal go or stay together.
+
+    There are no ties: whether a document holds an item depends on the two texts alone.
+    """
     return decontam.drop_leaking(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy that the mix takes: the columns of documents, copies, copy (from 1).
 
-    Rows equal in id, text and source are one document here; texts without words have no size and are not taken.
+    Rows equal in id, text and source are one document here; texts without words have no size and are not taken.  Ties of draws are
+    broken by id, size and text, so reruns agree.
     """
     docs = docs.select(*COLUMNS).dropDuplicates(["doc_id", "text", "source"])
     taken = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("th").alias("_th"), "copies")
