@@ -250,12 +250,17 @@ def bare_words(text: Column) -> Column:
     return F.trim(F.regexp_replace(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
 
 
+def short_lines(items: DataFrame, literals: int = LITERALS) -> DataFrame:
+    """(item, line): items of fewer than `literals` words, but at least one."""
+    lines = items.select(F.col("doc_id").alias("item"), bare_words(F.col("text")).alias("line"))
+    return lines.where((F.col("line") != "") & (F.size(F.split("line", " ")) < literals)).distinct()
+
+
 def short_items(docs: DataFrame, items: DataFrame, literals: int = LITERALS) -> DataFrame:
     """(doc_id, th, item): documents(doc_id, th, text) with a line that is an item of fewer than `literals` words."""
-    few = lambda c: (F.col(c) != "") & (F.size(F.split(c, " ")) < literals)
-    short = items.select(F.col("doc_id").alias("item"), bare_words(F.col("text")).alias("line")).where(few("line")).distinct()
     lines = docs.select("doc_id", "th", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("raw")).select("doc_id", "th", bare_words(F.col("raw")).alias("line"))
-    return lines.where(few("line")).join(short, "line").select("doc_id", "th", "item").distinct()
+    few = (F.col("line") != "") & (F.size(F.split("line", " ")) < literals)
+    return lines.where(few).join(short_lines(items, literals), "line").select("doc_id", "th", "item").distinct()
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -304,8 +309,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     more = F.struct(F.col("n_found") / F.col("n_windows"), ~F.col("bare"), ~F.col("other"), F.col("item_th"))
     best = held.groupBy("doc_id", "th", "item").agg(F.max_by(F.struct("n_windows", "n_found", "other", "first_token"), more).alias("m")).select("doc_id", "th", "item", "m.*")
     one = F.lit(1)
-    short = short_items(given, bench, literals).select("doc_id", "th", "item", one.alias("n_windows"), one.alias("n_found"), F.lit(False).alias("other"), F.lit(None).cast("int").alias("first_token"))
-    out = written(best.unionByName(short).select(
+    if not short_lines(bench, literals).isEmpty():  # else no document's lines need be looked at
+        best = best.unionByName(short_items(given, bench, literals).select(
+            "doc_id", "th", "item", one.alias("n_windows"), one.alias("n_found"), F.lit(False).alias("other"), F.lit(None).cast("int").alias("first_token")))
+    out = written(best.select(
         F.col("doc_id").cast("long").alias("doc_id"), "th", F.col("item").cast("long").alias("item_id"),
         F.col("n_windows").cast("long").alias("n_windows"), F.col("n_found").cast("long").alias("n_found"),
         (F.col("n_found") / F.col("n_windows")).alias("coverage"),
