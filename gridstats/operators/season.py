@@ -136,13 +136,14 @@ def season_indices(days: DataFrame, keys: list[str], names: Iterable[str], insid
 def degree_days(days: DataFrame, keys: list[str], tmin: str = "tmin", tmax: str = "tmax", thresholds: Iterable[int] = THRESHOLDS, exposure: bool = False) -> DataFrame:
     """Sum over days for each threshold tmp: degree days, or the share of days within [tmp, tmp + 1].
 
-    One pass: a day's value at a threshold is a closed form of its two temperatures; the thresholds explode after the sums.
+    One pass: a day's value at a threshold is a closed form of its two temperatures.  Days meet the thresholds within their task and are summed
+    there before anything is exchanged.
     """
     f = sine_exposure if exposure else sine_degree_days
     name = "exposure" if exposure else "tempgdds"
-    at = {f"_v{i}": float(x) for i, x in enumerate(thresholds)}
-    sums = days.groupBy(*keys).agg(*[F.sum(f(F.col(tmin), F.col(tmax), F.lit(x))).alias(c) for c, x in at.items()])
-    return sums.select(*keys, F.explode(F.array(*[F.struct(F.lit(x).alias("tmp"), F.col(c).alias(name)) for c, x in at.items()])).alias("_e")).select(*keys, "_e.*")
+    at = F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("tmp")
+    each = days.select(*keys, F.col(tmin).alias("_lo"), F.col(tmax).alias("_hi"), at)
+    return each.groupBy(*keys, "tmp").agg(F.sum(f(F.col("_lo"), F.col("_hi"), F.col("tmp"))).alias(name))
 
 
 def gdd_edd(gdds: DataFrame, keys: list[str], low: float = 10.0, high: float = 30.0) -> DataFrame:
