@@ -165,7 +165,7 @@ def test_rules_are_planned_in_seconds(spark):
     licenses.scan_licenses(df)
     began = time.perf_counter()
     licenses.scan_licenses(df)._jdf.queryExecution().executedPlan()
-    assert time.perf_counter() - began < 8
+    assert time.perf_counter() - began < 15
 
 
 def test_suppression_against_brute_force(spark):
