@@ -123,6 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         part = y.where(F.col("_y") == c).orderBy(F.xxhash64("_id"), "_id").limit(sample)
         picked = part if picked is None else picked.union(part)
     rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(picked), "_id")  # at most 2 * sample
+    rows = rows.groupBy("_id").agg(F.min("_y").alias("_y"), F.min("_t").alias("_t"))  # of rows that repeat an id one, the smallest text
     teaches = F.pmod(F.xxhash64(F.lit("role"), "_id"), F.lit(3)) < 2
     trained = rows.where(teaches & (F.length("_t") > 0)).groupBy("_y").applyInPandas(_train, "_y int, trained binary")
     found = {r["_y"]: bytes(r["trained"]) for r in trained.where("trained IS NOT NULL").collect()}  # two dictionaries

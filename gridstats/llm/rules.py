@@ -11,7 +11,7 @@ windows of WINDOW words that it holds twice or more.
 
 Fitting uses at most SAMPLE labelled rows of each class (those with the smallest hash of the id), two thirds for the weights and one third for
 the curve; their texts are read whole.  Labels other than 0 and 1, null labels, null ids and the held-out fifth of the ids teach nothing; of labels
-that repeat an id the smaller counts.  If a class has no labelled row, every score is the share of good labels (0.5 without
+that repeat an id the smaller counts, of texts that repeat one the smallest.  If a class has no labelled row, every score is the share of good labels (0.5 without
 any).  Null text has no words and fails the base rules like an empty one; repeated rows are judged alike; an empty table gives no rows.
 Very long texts are read in pieces that end between words.  Other columns are kept; those named like the results are replaced.
 """
@@ -174,7 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     for c in (0, 1):
         part = y.where(F.col("_y") == c).orderBy(F.xxhash64("_id"), "_id").limit(sample)
         picked = part if picked is None else picked.union(part)
-    chosen = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(picked), "_id")  # at most 2 * sample rows of two numbers
+    # At most 2 * sample rows of two numbers go out, and as many texts come back: of rows that repeat an id the smallest text.
+    chosen = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(picked), "_id").groupBy("_id").agg(F.min("_y").alias("_y"), F.min("_t").alias("_t"))
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
