@@ -11,7 +11,9 @@ in most buckets; a second parity sketch, of SKETCH bits, whose Hamming distance
 screens the pairs, and the sets themselves verify them.  Two other members can only link
 if their differences from the leader overlap: |A^B| = |dA| + |dB| - 2|dA & dB|.  So members that
 links have not joined meet again in buckets of the first D+1 elements of dA, those the leader
-lacks before those it has (prefix filter).  This repeats until every bucket lies within one component or is
+lacks before those it has (prefix filter).  Elements that few texts have come before those that many have, and those that one
+text alone has are no keys: texts that share a common passage and differ elsewhere meet no more, so the pairs made don't
+grow with the square of a passage's texts.  This repeats until every bucket lies within one component or is
 spent.  Nothing is capped: each pair that could link is verified, or is known to be in one component.
 
 Texts with equal sets are one node.  What is moved: 16 bytes a key once; of nodes in any bucket the packed text,
@@ -236,30 +238,62 @@ def _verified(pairs: DataFrame, held: DataFrame, spec: Spec) -> DataFrame:
     return _with_bodies(pairs, held).select("leader", "node", "own", "lead").mapInPandas(run, "leader long, node long")
 
 
-def _prefixes(members: DataFrame, held: DataFrame, spec: Spec) -> DataFrame:
+def _outside(x: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Those of x that are not in the sorted among."""
+    if not len(among):
+        return x
+    return x[among[np.minimum(np.searchsorted(among, x), len(among) - 1)] != x]
+
+
+def _common(held: DataFrame, spec: Spec) -> DataFrame:
+    """(node, common): the shingles that another of the nodes has too, the rarer first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sets = _Sets(spec)
+        for pdf in batches:
+            for lo in range(0, len(pdf), 256):
+                part = pdf.iloc[lo : lo + 256]
+                found = [sets.of(body) for body in part["body"]]
+                yield pd.DataFrame({"x": np.concatenate(found).view(np.int64), "node": np.repeat(part["node"].to_numpy(), [len(d) for d in found])})
+
+    rows = held.select("node", "body").mapInPandas(run, "x long, node long")
+    # One exchange, as in _buckets: the rows of a shingle, once there, tell how many nodes have it.
+    counted = rows.withColumn("many", F.count("*").over(Window.partitionBy("x"))).where("many > 1")
+    return counted.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("many", "x")))["x"].alias("common"))
+
+
+def _prefixes(members: DataFrame, held: DataFrame, common: DataFrame, spec: Spec) -> DataFrame:
     """members(leader, node, comp) -> (key, node, comp): the elements of the difference that must be indexed.
 
-    Those that the leader lacks come first, each part in order of value.
+    Those that the leader lacks come first, the rarer before the others; those that no other node has are counted, but are no keys.
+    Then those that it has, in order of value.  A text of n shingles has at most n(den-num)/den that one linked with it
+    lacks, so where the leader lacks more, one more than these will do.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets = _Sets(spec)
+        sets, none = _Sets(spec), np.zeros(0, U)
         for pdf in batches:
             for lo in range(0, len(pdf), 256):
                 part = pdf.iloc[lo : lo + 256]
                 found = []
-                for name, own, lead in zip(part["leader"], part["own"], part["lead"], strict=True):
+                for name, own, lead, mine in zip(part["leader"], part["own"], part["lead"], part["common"], strict=True):
                     a, b = sets.of(own), sets.leader(name, lead)
-                    k = spec.apart(len(a) + spec.partner(len(a))) + 1
-                    new = np.setdiff1d(a, b, assume_unique=True)[:k]
-                    found.append(np.concatenate([new, np.setdiff1d(b, a, assume_unique=True)[: k - len(new)]]).view(np.int64))
+                    new = len(_outside(a, b))
+                    few = len(a) * (spec.den - spec.num) // spec.den
+                    k = (few if new > few else spec.apart(len(a) + spec.partner(len(a)))) + 1
+                    shared = _outside(none if mine is None else mine.view(U), b)
+                    keys = [shared[: max(0, k - (new - len(shared)))]]
+                    if new < k:
+                        keys.append(_outside(b, a)[: k - new])
+                    found.append(np.concatenate(keys).view(np.int64))
                 n = [len(d) for d in found]
                 yield pd.DataFrame({
                     "leader": np.repeat(part["leader"].to_numpy(), n), "x": np.concatenate(found),
                     "node": np.repeat(part["node"].to_numpy(), n), "comp": np.repeat(part["comp"].to_numpy(), n),
                 })
 
-    rows = _with_bodies(members, held).select("leader", "node", "comp", "own", "lead").mapInPandas(run, "leader long, x long, node long, comp long")
+    both = _with_bodies(members.hint("merge").join(common, "node", "left"), held)
+    rows = both.select("leader", "node", "comp", "own", "lead", "common").mapInPandas(run, "leader long, x long, node long, comp long")
     return rows.select(F.xxhash64("leader", "x").alias("key"), "node", "comp")
 
 
@@ -295,7 +329,7 @@ def link_classes(docs: DataFrame, spec: Spec, text: str) -> DataFrame | None:
     weights = first.groupBy("node").agg(F.count("*").alias("weight"))
     held = written(_bodies(docs, spec, text, weights), "nodes")
     rank = held.select("node", "weight", "n", *WORDS)
-    buckets, links, comps, few = first, None, None, 1
+    buckets, links, comps, common, few = first, None, None, None, 1
     while True:
         weighed = written(_in_components(buckets.join(rank, "node"), comps), "weighed")
         discard(buckets)
@@ -322,10 +356,12 @@ def link_classes(docs: DataFrame, spec: Spec, text: str) -> DataFrame | None:
         still = written(rest.join(_open(rest), "key", "left_semi").join(top, "key").select("leader", "node", "comp").distinct(), "still")
         discard(rest, buckets, leads)
         if still.limit(1).count() == 0:
-            discard(still, held)
+            discard(still, held, common)
             return comps
         # Most links are known now.  Buckets of common passages and of looser copies, which stay large, are left at once.
-        prefix = written(_prefixes(still, held, spec), "prefixes")
+        if common is None:
+            common = written(_common(held, spec), "common")
+        prefix = written(_prefixes(still, held, common, spec), "prefixes")
         buckets = written(prefix.join(_open(prefix), "key", "left_semi").select("key", "node"), "open")
         discard(still, prefix)
         few *= FEW

@@ -716,6 +716,33 @@ def test_components_against_brute_force(spark, spec):
     assert sorted((tuple(r) for r in out), key=str) == brute_components(rows, spec)
 
 
+def test_pairs_made_do_not_grow_with_the_square_of_a_passages_texts(spark, monkeypatch):
+    # Two of six passages are 70 % of every text, so no two link by them; each tenth text has a copy.
+    spec, write = jaccard.Spec(), jaccard.written
+
+    def made(n):
+        rng, met = random.Random(n), []
+        words = lambda k: ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(k)]
+        passages = [words(70) for _ in range(6)]
+        rows = [(i, " ".join(sum(rng.sample(passages, 2), words(60)))) for i in range(n)]
+        rows += [(n + i, t.rsplit(" ", 1)[0] + " changed") for i, t in rows[::10]]
+
+        def counted(df, name):
+            out = write(df, name)
+            if name == "weighed":  # the leaders of a bucket meet its members
+                few = jaccard.FEW ** len(met)
+                met.append(sum(r["count"] * min(r["count"], few) for r in out.groupBy("key").count().collect()))
+            return out
+
+        monkeypatch.setattr(jaccard, "written", counted)
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs_of(spark, rows), spec).collect()}
+        assert got == {i: i - n if i >= n else i for i, _ in rows}
+        return sum(met)
+
+    few, many = made(100), made(400)
+    assert many < 6 * few
+
+
 def test_one_of_each_group_stays(spark):
     w = " ".join(f"w{i}" for i in range(100))
     rows = [(3, w), (2, w + " more"), (2, w + " more"), (None, w), (9, "another text of some words here"), (10, None), (11, "")]
