@@ -8,12 +8,15 @@ hash is a bucket key.  Blocks without shingles are no keys, unless a set has so
 
 Equal keys form buckets.  A bucket is not expanded into pairs: its members meet its leader, the one found
 in most buckets; a second parity sketch, of SKETCH bits, whose Hamming distance is also at most the sets' difference,
-screens the pairs, and the sets themselves verify them.  Two other members can only link
-if their differences from the leader overlap: |A^B| = |dA| + |dB| - 2|dA & dB|.  So members that
-links have not joined meet again in buckets of the first D+1 elements of dA, those the leader
-lacks before those it has (prefix filter).  Elements that few texts have come before those that many have, and those that one
-text alone has are no keys: texts that share a common passage and differ elsewhere meet no more, so the pairs made don't
-grow with the square of a passage's texts.  This repeats until every bucket lies within one component or is
+screens the pairs, and the sets themselves verify them.  Members that links have not joined meet again in
+buckets of their rarest shingles (prefix filter): of two linked sets, the rarest shingle that both have is among the n(den-num)/den + 1
+rarest of either.  Those that one text alone has are no keys: texts that share a common passage and differ elsewhere meet no
+more, so the pairs made don't grow with the square of a passage's texts.  A text gives these keys once, in however many buckets it is
+left over and whoever leads them, so their number grows with the texts alone.
+
+What then is still together goes on by differences from leaders.  Two members can only link
+if these overlap: |A^B| = |dA| + |dB| - 2|dA & dB|.  So they meet in buckets of the first D+1 elements of dA, those the leader
+lacks, the rarer first, before those it has.  This repeats until every bucket lies within one component or is
 spent.  Nothing is capped: each pair that could link is verified, or is known to be in one component.
 
 Texts with equal sets are one node.  What is moved: 16 bytes a key once; of nodes in any bucket the packed text,
@@ -262,6 +265,18 @@ def _common(held: DataFrame, spec: Spec) -> DataFrame:
     return counted.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("many", "x")))["x"].alias("common"))
 
 
+def _rarest(nodes: DataFrame, held: DataFrame, common: DataFrame, spec: Spec) -> DataFrame:
+    """nodes(node, comp) -> (key, node, comp): the rarest shingles of a node, that must be indexed.
+
+    Those that no other node has are the rarest, and counted, but are no keys.  A text of n shingles has at least n num/den in common
+    with one linked with it, and the order is the same for all, so the n(den-num)/den rarest and one more hold the first of these.
+    """
+    few = F.floor(F.col("n") * (spec.den - spec.num) / spec.den) + 1
+    keys = F.greatest(F.lit(0), few - (F.col("n") - F.size("common"))).cast("int")
+    sized = nodes.hint("merge").join(held.select("node", "n"), "node").hint("merge").join(common, "node")
+    return sized.select(F.explode(F.slice("common", F.lit(1), keys)).alias("key"), "node", "comp")
+
+
 def _prefixes(members: DataFrame, held: DataFrame, common: DataFrame, spec: Spec) -> DataFrame:
     """members(leader, node, comp) -> (key, node, comp): the elements of the difference that must be indexed.
 
@@ -319,10 +334,10 @@ def _may_link(spec: Spec) -> Column:
 def link_classes(docs: DataFrame, spec: Spec, text: str) -> DataFrame | None:
     """(node, comp) for nodes with a link; comp is one of the nodes.
 
-    The order of leaders is fixed once: by buckets, then node.  A bucket's first leaders (one, then FEW in buckets of
-    differences, then FEW squared, and so on) meet the members after them that lie in other components: sketches screen the
-    pairs, sets verify them.  The rest of a bucket meets again by its difference from the first leader, which comes before all of
-    them; so leaders of buckets within buckets descend, more of them lead at each level, and two nodes that
+    The order of leaders is fixed once: by buckets, then node.  A bucket's first leaders (one, then FEW in buckets of the
+    rarest shingles, then FEW squared in those of differences, and so on) meet the members after them that lie in other components: sketches screen the
+    pairs, sets verify them.  The rest meets again by its rarest shingles, later the rest of a bucket by its difference from the first leader,
+    which comes before all of them; so leaders of buckets within buckets descend, more of them lead at each level, and two nodes that
     stay together meet in the end.
     """
     first = written(_buckets(docs, spec, text), "buckets")
@@ -361,7 +376,9 @@ def link_classes(docs: DataFrame, spec: Spec, text: str) -> DataFrame | None:
         # Most links are known now.  Buckets of common passages and of looser copies, which stay large, are left at once.
         if common is None:
             common = written(_common(held, spec), "common")
-        prefix = written(_prefixes(still, held, common, spec), "prefixes")
+            prefix = written(_rarest(still.select("node", "comp").distinct(), held, common, spec), "prefixes")
+        else:
+            prefix = written(_prefixes(still, held, common, spec), "prefixes")
         buckets = written(prefix.join(_open(prefix), "key", "left_semi").select("key", "node"), "open")
         discard(still, prefix)
         few *= FEW

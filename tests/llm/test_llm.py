@@ -743,6 +743,31 @@ def test_pairs_made_do_not_grow_with_the_square_of_a_passages_texts(spark, monke
     assert many < 6 * few
 
 
+def test_a_text_gives_its_rarest_shingles_once_whoever_leads_its_buckets(spark, monkeypatch):
+    # Two of six passages are 84 % of every text, so no two link by them, yet some of their shingles must be keys; each tenth text has a copy.
+    spec, write, made = jaccard.Spec(), jaccard.written, {}
+    rng = random.Random(5)
+    words = lambda k: ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(k)]
+    passages = [words(80) for _ in range(6)]
+    n = 300
+    rows = [(i, " ".join(sum(rng.sample(passages, 2), words(30)))) for i in range(n)]
+    rows += [(n + i, t.rsplit(" ", 1)[0] + " changed") for i, t in rows[::10]]
+
+    def counted(df, name):
+        out = write(df, name)
+        if name == "nodes":
+            made["n"] = {r["node"]: r["n"] for r in out.select("node", "n").collect()}
+        if name == "prefixes" and name not in made:
+            made[name] = {r["node"]: r["count"] for r in out.groupBy("node").count().collect()}
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    docs = docs_of(spark, rows)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs, spec).collect()}
+    assert got == {i: i - n if i >= n else i for i, _ in rows}
+    assert len(made["prefixes"]) > n / 2 and all(k <= made["n"][node] // 5 + 1 for node, k in made["prefixes"].items())
+
+
 def test_one_of_each_group_stays(spark):
     w = " ".join(f"w{i}" for i in range(100))
     rows = [(3, w), (2, w + " more"), (2, w + " more"), (None, w), (9, "another text of some words here"), (10, None), (11, "")]
